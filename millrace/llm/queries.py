@@ -6,16 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup
-from millrace.llm.common import documents
+import base64
+
+import public_tokenizers
+
+from millrace.llm import exact_dedup, near_dedup, secret_scan, token_counts
+from millrace.llm.common import documents, fresh_path
+
+
+def _bytes_of(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _bytes_of("byte_bpe_50k.tiktoken").splitlines()
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line)}
+    efficiency = secret_scan.TokenEfficiency(ranks, public_tokenizers.PATTERN)
+    return secret_scan.report(secret_scan.find_secrets(documents(spark, sf_dir), efficiency))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of its own each time: the query shows the cost of texts that no cache holds yet."""
+    model = _bytes_of("piece_bpe_32k.model")
+    counter, version = token_counts.SentencePieceCounter(model), token_counts.tokenizer_version(model)
+    return token_counts.token_counts(documents(spark, sf_dir), fresh_path(spark, "token-cache"), counter, version, limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +57,32 @@ SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op8_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+                                           WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+            FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * common >= 85 * (p.n + q.n - common)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+        FROM documents d JOIN least l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+    """,
 }
