@@ -10,7 +10,7 @@ import base64
 
 import public_tokenizers
 
-from millrace.llm import exact_dedup, near_dedup, secret_scan, token_counts
+from millrace.llm import exact_dedup, language_id, near_dedup, secret_scan, sentencepiece_codec, token_counts
 from millrace.llm.common import documents, fresh_path
 
 
@@ -19,6 +19,11 @@ def _bytes_of(name: str) -> bytes:
         return f.read()
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepiece_codec.Vocabulary(_bytes_of("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_and_verify(documents(spark, sf_dir), vocabulary)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _bytes_of("byte_bpe_50k.tiktoken").splitlines()
     ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line)}
@@ -26,6 +31,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(documents(spark, sf_dir), efficiency))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir), keep="largest")
 
@@ -42,7 +51,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
+    "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op10_token_counts": op10_token_counts,
