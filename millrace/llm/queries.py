@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import base64
 
 import public_tokenizers
 
-from millrace.llm import exact_dedup, language_id, near_dedup, secret_scan, sentencepiece_codec, token_counts
+from millrace.llm import exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece_codec, sharding, token_counts
 from millrace.llm.common import documents, fresh_path
 
 
@@ -31,6 +32,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(documents(spark, sf_dir), efficiency))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(documents(spark, sf_dir), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir), license_scan.known_licenses(spark))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -53,6 +63,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
+    "op3_sharding": op3_sharding,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
@@ -60,6 +72,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_license_scan": f"""
+        WITH known AS (
+            SELECT form, min(license) AS license
+            FROM (SELECT license, {license_scan.canonical_sql("text")} AS form FROM (VALUES {license_scan.known_sql()}) AS k(license, text)) GROUP BY form
+        ), lines AS (
+            SELECT doc_id, {license_scan.canonical_sql("line")} AS form
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+        ), noted AS (
+            SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
+            FROM lines JOIN known USING (form) GROUP BY doc_id
+        )
+        SELECT d.doc_id, k.license, coalesce(n.names, '') AS line_licenses, coalesce(n.n, 0) AS n_license_lines
+        FROM (SELECT doc_id, {license_scan.canonical_sql("coalesce(text, '')")} AS form FROM documents) d
+        LEFT JOIN known k ON k.form = d.form AND d.form <> '' LEFT JOIN noted n ON n.doc_id = d.doc_id
+    """,
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
