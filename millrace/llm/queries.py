@@ -11,7 +11,7 @@ import base64
 
 import public_tokenizers
 
-from millrace.llm import exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece_codec, sharding, token_counts
+from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece_codec, sharding, token_counts
 from millrace.llm.common import documents, fresh_path
 
 
@@ -45,6 +45,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir), keep="largest")
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op10_token_counts": op10_token_counts,
