@@ -11,7 +11,7 @@ import base64
 
 import public_tokenizers
 
-from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece_codec, sharding, token_counts
+from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece_codec, sharding, substring_dedup, token_counts
 from millrace.llm.common import documents, fresh_path
 
 
@@ -57,6 +57,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own each time: the query shows the cost of texts that no cache holds yet."""
     model = _bytes_of("piece_bpe_32k.model")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -128,4 +133,18 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
         FROM documents d JOIN least l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
     """,
+    "op9_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+        ), later AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM windows) WHERE doc_id > least
+        ), gone AS (
+            SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, unnest(range(i, i + 50)) AS place FROM later) GROUP BY doc_id
+        )
+        SELECT words.doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+        FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id
+    """,
 }
