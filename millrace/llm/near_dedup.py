@@ -251,3 +251,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
         "component_id",
         F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: one of each component. Rows with a null id stay."""
+    gone = near_duplicates(docs, percent=percent, id_col=id_col, text_col=text_col).filter(~F.col("kept") & F.col(id_col).isNotNull())
+    return docs.join(gone.select(F.col(id_col).alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
