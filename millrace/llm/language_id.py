@@ -32,7 +32,8 @@ from millrace.llm.common import require, text_slices
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST_GRAM = 4
-SMOOTHING = 0.5
+#: Weight, in words, of the mean of all languages.
+SMOOTHING = 100.0
 EVIDENCE = 20
 #: Unseen words remembered by a worker.
 REMEMBERED = 1 << 17
@@ -64,8 +65,10 @@ class Model:
                 for (which, k), n in counts.items():
                     if which == language:
                         table[place[k], j] = n
+            # Smoothed towards the mean of all languages, so that one with few words does not draw rare ones to itself.
             total = table.sum(axis=0)
-            logs = np.log(table + SMOOTHING) - np.log(total + SMOOTHING * max(1, len(known)))
+            everywhere = (table / np.maximum(total, 1)).mean(axis=1, keepdims=True)
+            logs = np.log(table + SMOOTHING * everywhere) - np.log(total + SMOOTHING)
             tables.append({k: i + sum(map(len, rows)) for k, i in place.items()})
             rows.append(logs)
         return cls(languages, tables[0], tables[1:], np.concatenate(rows) if rows else np.zeros((0, 0)))
