@@ -58,7 +58,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), window=50, with_text=False)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

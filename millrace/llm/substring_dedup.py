@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, require, text_or_empty, text_slices
@@ -208,8 +208,12 @@ def _around(words: Words, hits: list[bytes], window: int, block: int) -> tuple[n
     return (np.concatenate(starts) if starts else np.zeros(0, np.int64)), np.array(number, dtype=np.int64)
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: (id, n_words, digest) of each row, and of those with repeats (id, digest, body, starts).
+    """Two tables: (id, n_words, digest) of each row, and of those with repeats (id, digest, body, starts), repeated rows too.
 
     digest is the SHA-256 of a row's words joined by one space; starts are the first words of the windows to go.
     """
@@ -227,46 +231,44 @@ def repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
     # A row's text is told by its id and digest; rows that share both are one here.
     candidates = known.join(hit, "id")
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "body"):
+                pairs = zip(part.column("body").to_pylist(), part.column("digest").to_pylist(), strict=True)
+                yield part.filter(pa.array([_sha(b" ".join(t.encode().split())) == d for t, d in pairs], pa.bool_()))
+
+    candidates = candidates.select("id", "digest", "hits", "body")
+    extended = durable(candidates.mapInArrow(own_text, candidates.schema), "extended")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "body"):
-                own = [_sha(b" ".join(t.encode().split())) for t in part.column("body").to_pylist()]
-                part = part.filter(pa.array([a == b for a, b in zip(own, part.column("digest").to_pylist(), strict=True)], pa.bool_()))
-                if not part.num_rows:
-                    continue
                 words = words_of(part.column("body"))
                 starts, number = _around(words, part.column("hits").to_pylist(), window, block)
                 prints = windows(words, window)[np.repeat(words.first[:-1], number) + starts]
-                at = np.concatenate(([0], np.cumsum(number))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        part.column("digest"),
-                        part.column("body"),
-                        pa.ListArray.from_arrays(at, pa.array(starts.astype(np.int32))),
-                        pa.ListArray.from_arrays(at, pa.array(prints.view(np.int64))),
-                    ],
-                    names=["id", "digest", "body", "starts", "prints"],
-                )
-
-    extended = candidates.select("id", "digest", "hits", "body").mapInArrow(extend, "id bigint, digest binary, body string, starts array<int>, prints array<bigint>")
-    extended = durable(extended.filter(F.size("starts") > 0), "extended")
-    each = extended.select("id", "digest", F.explode(F.arrays_zip("starts", "prints")).alias("w")).select("id", "digest", F.col("w.starts").alias("start"), F.col("w.prints").alias("print"))
-    first = each.groupBy("print").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("print", "least")
+                rows = pa.array(np.repeat(np.arange(part.num_rows), number))
+                columns = [part.column("id").take(rows), part.column("digest").take(rows), pa.array(starts.astype(np.int32)), pa.array(prints.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "start", "print"])
+
+    each = extended.mapInArrow(around, "id bigint, digest binary, start int, print bigint")
+    first = each.groupBy("print").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    # A table of its own: a print that very many documents share is then a skewed join, which Spark splits.
+    first = durable(first.select("print", "least"), "first")
     later = each.join(first, "print").filter("id > least").groupBy("id", "digest").agg(F.collect_set("start").alias("starts"))
-    texts = extended.select("id", "digest", "body").dropDuplicates(["id", "digest"])
+    texts = extended.select("id", "digest", "body")
     left_out = rows.filter("id is null")
     if not left_out.isEmpty():
-        spaced = F.array_join(F.filter(F.split("body", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), " ")
-        words = F.size(F.filter(F.split("body", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
-        documents = documents.select("id", "n_words", "digest").unionByName(left_out.select("id", words.alias("n_words"), F.unhex(F.sha2(spaced, 256)).alias("digest")))
+        said = _words(F.col("body"))
+        nameless = left_out.select("id", F.size(said).cast("long").alias("n_words"), F.unhex(F.sha2(F.array_join(said, " "), 256)).alias("digest"))
+        documents = documents.select("id", "n_words", "digest").unionByName(nameless)
     return documents.select("id", "n_words", "digest"), texts.join(later, ["id", "digest"])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256, spans (maximal repeats, in words), kept_text.
 
-    spans and kept_text are null for rows without repeats: their words all stay.
+    spans and kept_text are null for rows without repeats, whose words all stay, and left out without with_text.
     """
     documents, repeats = repeated_words(docs, window=window, id_col=id_col, text_col=text_col)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -295,12 +297,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
     shorter = repeats.select("id", "digest", "body", "starts").mapInArrow(
         cut, "rid bigint, rdigest binary, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string, kept binary"
     )
+    # Repeated rows have the same result.
+    wanted = ["n_removed", "kept", *(["spans", "kept_text"] if with_text else [])]
+    shorter = shorter.select("rid", "rdigest", *wanted).dropDuplicates(["rid", "rdigest"])
     out = documents.join(shorter, (F.col("id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.lower(F.hex(F.coalesce("kept", "digest"))).alias("kept_sha256"),
-        "spans",
-        "kept_text",
+        *wanted[2:],
     )
