@@ -5,7 +5,8 @@ segments of SEGMENT characters that overlap by half (a shorter item is one segme
 in part is found too. If a region of a text is within k edits of a segment of n characters, they share at
 least n + 1 - (k + 1) * q q-grams whose diagonals (place in text minus place in segment) differ by k at
 most. Shared q-grams are counted in diagonal bands of width 2 * (k + 1) that overlap by half; bands that
-reach the bound are verified by a banded alignment, so what is reported is within the budget exactly, and
+reach the bound, each gram of a segment counted once, are verified by a banded alignment (after a bit-
+parallel bound on the edits), so what is reported is within the budget exactly, and
 nothing within the budget is missed.
 
 The benchmark is taken in blocks of bounded size, each sent to the tasks that read the texts; more
@@ -19,9 +20,9 @@ through find_passages() unread.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import require, text_slices
-from millrace.llm.wordhash import mix, ranges
+from millrace.llm.wordhash import ranges
 
 Q = 8
 SEGMENT = 100
@@ -38,27 +39,39 @@ LEAST_ITEM = 40
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
-WORD = re.compile(r"[^\W_]+")
-_GRAM = np.uint64(0x9E3779B97F4A7C15)
+_GRAM = 0x9E3779B97F4A7C15
+_SPREAD = np.uint64(0xD1342543DE82EF95)
 MATCH = "struct<item_id:{0},start:int,end:int,distance:int>"
 
+# What each character of the basic plane counts as: its small letter, and whether it is a letter or digit.
+_SMALL = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(1 << 16))], dtype=np.uint32)
+_COUNTS = np.array([chr(c).isalnum() for c in range(1 << 16)], dtype=bool)
 
-def normalise(text: str | None) -> str:
-    return " ".join(WORD.findall(text.lower())) if text else ""
 
+def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Small letters and digits with single spaces between, as code points, and the place of each in the text.
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    Characters outside the basic plane count as spaces, as do all that are neither letter nor digit.
+    """
+    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    held = np.minimum(chars, 0xFFFF)
+    word = _COUNTS[held]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # one space after a word
+    places = np.flatnonzero(keep)
+    return np.where(word[places], _SMALL[held[places]], np.uint32(32)), places
 
 
 def gram_hashes(chars: np.ndarray) -> np.ndarray:
+    """A polynomial over each Q characters in a row, by doubling."""
     n = len(chars) - Q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(Q):
-        h = h * _GRAM + chars[i : i + n]
-    return mix(h)
+    h, size = chars.astype(np.uint64), 1
+    while size < Q:
+        h = h[:-size] * np.uint64(pow(_GRAM, size, 1 << 64)) + h[size:]
+        size *= 2
+    return h
 
 
 def budget(length: int) -> int:
@@ -72,13 +85,23 @@ class Segment:
     chars: np.ndarray
     edits: int
 
+    @cached_property
+    def masks(self) -> dict[int, int]:
+        """Of each character, the bits of its places."""
+        out: dict[int, int] = {}
+        for i, c in enumerate(self.chars.tolist()):
+            out[c] = out.get(c, 0) | 1 << i
+        return out
+
     @property
     def least_shared(self) -> int:
         return len(self.chars) + 1 - (self.edits + 1) * Q
 
 
 def segments_of(item_id: object, text: str | None) -> list[Segment]:
-    chars = codes(normalise(text))
+    chars, _ = normalise(text)
+    if len(chars) and chars[-1] == 32:
+        chars = chars[:-1]
     if len(chars) < LEAST_ITEM:
         return []
     if len(chars) <= SEGMENT:
@@ -109,7 +132,7 @@ class Index:
 
     @staticmethod
     def _slot(hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return ((hashes * _SPREAD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
     def regions(self, chars: np.ndarray) -> list[tuple[int, int]]:
         """(segment, first diagonal) of the bands of `chars` that reach their segment's bound."""
@@ -135,8 +158,40 @@ class Index:
         following[:-1] = np.where(strips[1:] == strips[:-1] + 1, number[1:], 0)
         of, strip = strips // room, strips % room
         enough = number + following >= self.least[of]
-        first = strip * (self.edits[of] + 1) - base
-        return [(int(s), int(d)) for s, d in zip(of[enough], first[enough], strict=True)]
+        if not enough.any():
+            return []
+        # A gram of the segment may be shared at several diagonals of a band, and counts once.
+        order = np.lexsort((diagonal, segment))
+        segment, diagonal, place = segment[order], diagonal[order], self.place[entry][order]
+        found = []
+        for s, first in zip(of[enough].tolist(), (strip * (self.edits[of] + 1) - base)[enough].tolist(), strict=True):
+            begin, end = np.searchsorted(segment, (s, s + 1))
+            low, high = begin + np.searchsorted(diagonal[begin:end], (first, first + 2 * (int(self.edits[s]) + 1)))
+            if high - low >= self.least[s] and len(set(place[low:high].tolist())) >= self.least[s]:
+                found.append((s, first))
+        return found
+
+
+def least_edits(segment: Segment, chars: np.ndarray, first: int, width: int) -> int:
+    """No more than the edits of align() over the same band, and quick: the whole region, one machine word of bits a row."""
+    begin, end = max(0, first - segment.edits), min(len(chars), first + width + segment.edits + len(segment.chars))
+    n, masks = len(segment.chars), segment.masks
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = full, 0, n
+    best = n
+    for c in chars[begin:end].tolist():
+        same = masks.get(c, 0)
+        x = same | down
+        d = (((x & up) + up) ^ up) | x
+        plus, minus = down | (full & ~(d | up)), up & d
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+            best = min(best, score)
+        plus, minus = (plus << 1) & full, (minus << 1) & full
+        up, down = minus | (full & ~(d | plus)), plus & d
+    return best
 
 
 def align(segment: np.ndarray, chars: np.ndarray, first: int, width: int, edits: int) -> tuple[int, int, int] | None:
@@ -179,30 +234,21 @@ def align(segment: np.ndarray, chars: np.ndarray, first: int, width: int, edits:
 
 
 def passages(text: str | None, index: Index) -> list[tuple[object, int, int, int]]:
-    """(item, start, end, edits) for each segment found, in places of the normalised text."""
-    chars = codes(normalise(text))
+    """(item, start, end, edits) for each segment found, in places of the text."""
+    chars, places = normalise(text)
     found: dict[tuple[int, int], tuple[object, int, int, int]] = {}
     for which, first in index.regions(chars):
         segment = index.segments[which]
-        hit = align(segment.chars, chars, first, 2 * (segment.edits + 1), segment.edits)
+        width = 2 * (segment.edits + 1)
+        if least_edits(segment, chars, first, width) > segment.edits:
+            continue
+        hit = align(segment.chars, chars, first, width, segment.edits)
         if hit is not None:
-            found.setdefault((which, hit[2]), (segment.item, hit[1], hit[2], hit[0]))
+            distance, start, end = hit
+            found.setdefault((which, end), (segment.item, int(places[start]), int(places[max(start, end - 1)]) + 1, distance))
     return [found[k] for k in sorted(found)]
 
 
-def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Places of the normalised text as places of the text itself, whole words."""
-    # Lower-casing may lengthen a character; where it does, spans are told in the lower-cased text.
-    words = [m.span() for m in WORD.finditer(text.lower())]
-    starts = np.cumsum([0] + [e - s + 1 for s, e in words[:-1]])
-    out = []
-    for start, end in spans:
-        a = int(np.searchsorted(starts, start, "right")) - 1
-        b = int(np.searchsorted(starts, max(start, end - 1), "right")) - 1
-        out.append((words[a][0], words[b][1]))
-    return out
-
-
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The items, in blocks of about BLOCK_CHARS characters; one block at a time comes to the driver."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
@@ -244,8 +290,7 @@ def find_passages(
                     for text, before in zip(part.column(text_col).to_pylist(), part.column(at).to_pylist(), strict=True):
                         hits = passages(text, index)
                         if hits:
-                            spans = original_spans(text, [(h[1], h[2]) for h in hits])
-                            before = before + [{"item_id": h[0], "start": a, "end": b, "distance": h[3]} for h, (a, b) in zip(hits, spans, strict=True)]
+                            before = before + [dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in hits]
                         matches.append(before)
                     columns = [*part.columns]
                     columns[at] = pa.array(matches, pa.list_(match))

@@ -12,10 +12,15 @@ are told by the one whose name sorts first; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import require, text_or_empty
+from millrace.llm.common import require, text_or_empty, text_slices
 
 # Spellings that licence texts use for one another.
 SPELLINGS = [
@@ -83,31 +88,63 @@ KNOWN = [
 COPYRIGHT_LINE = r"(?m)^\W*(copyright\b.*\b[0-9]{4}\b.*|copyright \(c\).*|©.*|\(c\) *[0-9]{4}.*|all rights reserved\W*)$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; only functions that keep to a text's own characters."""
-    form = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    form = F.regexp_replace(form, r"[\x00-\x2D\x2F\x3A-\x60\x7B-\x7F\x{2010}-\x{201F}]+", " ")
+_SPACED = {c: " " for c in (*range(0x2E), 0x2F, *range(0x3A, 0x61), *range(0x7B, 0x80), *range(0x2010, 0x2020)) if c != 0x0A}
+_COPYRIGHT = re.compile(COPYRIGHT_LINE, re.ASCII)
+_FULL_STOP = re.compile(r"\.([^0-9]|$)")
+_WORDINGS = [(f" {spelling.replace(' ', '  ')} ", f" {usual.replace(' ', '  ')} ") for spelling, usual in SPELLINGS]
+
+
+def _bare(text: str) -> str:
+    """Lower case, without copyright lines and punctuation; line ends stay."""
+    text = text.lower()
+    if "copyright" in text or "rights" in text or "\u00a9" in text or "(c)" in text:
+        text = _COPYRIGHT.sub(" ", text)
+    text = text.translate(_SPACED)
     # A full stop before a digit is part of a version; any other is punctuation.
-    form = F.regexp_replace(form, r"\.([^0-9]|$)", " $1")
-    form = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.regexp_replace(form, " +", " ")), " ", "  "), F.lit(" "))
-    for spelling, usual in SPELLINGS:
-        form = F.replace(form, F.lit(" " + spelling.replace(" ", "  ") + " "), F.lit(" " + usual.replace(" ", "  ") + " "))
-    return F.trim(F.regexp_replace(form, " +", " "))
+    return _FULL_STOP.sub(r" \1", text) if "." in text else text
+
+
+def _worded(bare: str) -> str:
+    words = [w for w in bare.split(" ") if w]
+    form = f" {'  '.join(words)} "
+    for spelling, usual in _WORDINGS:
+        if spelling in form:
+            form = form.replace(spelling, usual)
+    return " ".join(w for w in form.split(" ") if w)
+
 
+def canonical(text: str | None) -> str:
+    return _worded(_bare(text or "").replace("\n", " "))
 
-def digest(text: Column) -> Column:
+
+def digest(text: str | None) -> bytes | None:
     form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    return hashlib.sha256(form.encode()).digest() if form else None
+
+
+def _line_digests(text: str) -> list[bytes]:
+    forms = [_worded(line) for line in _bare(text).split("\n")]
+    return [hashlib.sha256(form.encode()).digest() for form in forms if form]
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license, digest. For a table of one's own: select a name and digest(text)."""
-    rows = spark.createDataFrame(texts, "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("digest"))
+    """license, digest."""
+    return known_of(spark.createDataFrame(texts, "license string, text string"))
+
+
+def known_of(table: DataFrame, name_col: str = "license", text_col: str = "text") -> DataFrame:
+    """license, digest of a table of names and texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("license"), pa.array([digest(t) for t in batch.column("text").to_pylist()], pa.binary())], names=["license", "digest"])
+
+    named = table.select(F.col(name_col).cast("string").alias("license"), F.col(text_col).alias("text"))
+    return named.mapInArrow(run, "license string, digest binary")
 
 
 def canonical_sql(text: str) -> str:
-    """canonical() as SQL of an engine whose regexp_replace takes the flag 'g'."""
+    """The same as canonical(), as SQL of an engine whose regexp_replace takes the flag 'g'."""
     form = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
     form = f"regexp_replace({form}, '[\\x00-\\x2D\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{2010}}-\\x{{201F}}]+', ' ', 'g')"
     form = f"regexp_replace({form}, '\\.([^0-9]|$)', ' \\1', 'g')"
@@ -130,10 +167,24 @@ def scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     require(docs, id_col, text_col)
     known = known.filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
-    body = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("content"), digest(body).alias("whole"), body.alias("body"))
-    whole = rows.select("id", "content", "whole").join(known.select(F.col("digest").alias("whole"), F.col("license").alias("whole_license")), "whole", "left")
-    lines = rows.select("id", "content", F.posexplode(F.split("body", "\n")).alias("at", "line")).select("id", "content", "at", digest(F.col("line")).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "body"):
+                texts = part.column("body").to_pylist()
+                columns = [
+                    part.column("id"),
+                    pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()),
+                    pa.array([digest(t) for t in texts], pa.binary()),
+                    pa.array([_line_digests(t) for t in texts], pa.list_(pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "content", "whole", "lines"])
+
+    told = rows.mapInArrow(digests, f"id {id_type}, content binary, whole binary, lines array<binary>")
+    whole = told.select("id", "content", "whole").join(known.select(F.col("digest").alias("whole"), F.col("license").alias("whole_license")), "whole", "left")
+    lines = told.select("id", "content", F.posexplode("lines").alias("at", "digest"))
     # Repeated rows have the same lines: places are counted, not rows.
     noted = lines.join(known, "digest").groupBy("id", "content").agg(F.count_distinct("at").alias("n"), F.sort_array(F.collect_set("license")).alias("names"))
     noted = noted.withColumnsRenamed({"id": "noted_id", "content": "noted_content"})

@@ -3,9 +3,10 @@
 The best segmentation is the one with the greatest sum of piece scores of the given model. Only the last
 `longest piece` positions of the lattice are kept: as soon as all live backpointer paths pass through one
 boundary, the pieces before it are final and their ids are given out, so memory does not grow with the
-text. Where two adjacent characters occur in no piece side by side, every path has a boundary: such
-places cut a text into chunks that are solved one by one, and the answers of short chunks are remembered
-(a bounded table), since words repeat.
+text. Where two adjacent characters stand side by side in no piece, every path has a boundary: before a
+space mark, around line ends and before signs that no piece has after a word. Such places cut a text into
+chunks that are solved one by one, and the answers of short chunks are remembered (in a bounded table),
+since words repeat.
 
 Characters that are no piece may become the model's byte pieces, with a penalty below every score. Spaces
 become the model's space mark, with one before the text; a space mark that the text itself holds is
@@ -20,7 +21,8 @@ an empty table gives an empty result; extra columns pass through encode() and de
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +34,11 @@ from millrace.llm.common import require, text_slices
 MARK = "▁"
 #: How far below the least score a character without a piece lies.
 UNKNOWN_PENALTY = 10.0
-#: Chunks up to this length are remembered, and so many of them.
-REMEMBERED_LENGTH, REMEMBERED = 48, 1 << 18
+#: Chunks up to this length are remembered: so many in use, and as many from before.
+REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
 NO_SCORE = float("-inf")
+#: Characters taken for parts of words where a text is cut into chunks; the cuts are right for any choice.
+WORD = "A-Za-z0-9\u00c0-\u1fff"
 
 
 class Vocabulary:
@@ -65,14 +69,27 @@ class Vocabulary:
         # Every beginning of a piece; those that are no piece themselves have no score.
         self.begins: dict[str, tuple[float, int] | tuple[()]] = {p[:k]: () for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
-        # The cuts below hold for vocabularies whose pieces have the mark in front only and no line ends.
-        cut = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score)
-        self.chunk = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n") if cut else re.compile(r"(?s).+")
-        self.known: dict[str, list[int]] = {}
+        self.chunk = _chunk_pattern(self.score)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.known_before: dict[str, tuple[int, ...]] = {}
         self._ready = True
         return self
 
 
+def _chunk_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """What matches one after the other in a marked text are chunks with a boundary of every path between them."""
+    after_word: set[str] = set()  # characters that some piece has right after a word character
+    for piece in pieces:
+        plain = piece.lstrip(MARK)
+        if MARK in plain or "\n" in plain:
+            return re.compile(r"(?s).+")  # a vocabulary of another kind: the text is one chunk
+        after_word |= {b for a, b in zip(plain, plain[1:], strict=False) if re.match(f"[{WORD}]", a)}
+    apart = re.escape("".join(c for c in string.punctuation if c not in after_word))
+    # Other signs, then a word, up to a sign that begins a piece; what follows any other character stays with it.
+    joined = f"(?:[^{WORD}{MARK}\n{apart}][^{MARK}\n]*)?"
+    return re.compile(f"{MARK}*(?:[^{WORD}{MARK}\n]*[{WORD}]+{joined}|[^{WORD}{MARK}\n]+)|{MARK}+|\n")
+
+
 def stream(chars: Iterator[str], v: Vocabulary) -> Iterator[list[int]]:
     """Ids of a stream of characters, in runs: each run is given out once no later character can change it.
 
@@ -163,10 +180,11 @@ def encode_text(text: str, v: Vocabulary) -> list[int]:
         for chunk in v.chunk.findall(MARK + marked if not k else marked):
             got = known.get(chunk)
             if got is None:
-                got = chunk_ids(chunk, v)
+                got = v.known_before.get(chunk) or tuple(chunk_ids(chunk, v))
                 if len(chunk) <= REMEMBERED_LENGTH:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        v.known, v.known_before = {}, known
+                        known = v.known
                     known[chunk] = got
             ids += got
     return ids

@@ -5,7 +5,7 @@ from millrace.llm.license_scan import KNOWN, canonical, known_licenses, scan
 MIT = next(t for n, t in KNOWN if n == "MIT" and len(t) > 500)
 
 
-def test_canonical_forms(spark):
+def test_canonical_forms():
     pairs = [
         ("Released under the MIT Licence", "released under the MIT license."),
         ("Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + MIT.upper().replace(". ", ".\n"), MIT),
@@ -13,10 +13,9 @@ def test_canonical_forms(spark):
         ("licensed under the GPL, v 3", "Licensed under the GNU General Public License, version 3"),
         ("non-commercial per cent licence licence", "NonCommercial percent license license"),
     ]
-    got = spark.createDataFrame(pairs, "a string, b string").select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b")).collect()
-    for r in got:
-        assert r.a == r.b and r.a
-    assert got[2].a.endswith("version 2.0")
+    for a, b in pairs:
+        assert canonical(a) == canonical(b) != ""
+    assert canonical(pairs[2][0]).endswith("version 2.0")
 
 
 def test_whole_texts_and_lines(spark, docs):
@@ -48,5 +47,5 @@ def test_whole_texts_and_lines(spark, docs):
 
 def test_empty_tables(spark, docs):
     assert scan(docs([]), known_licenses(spark)).count() == 0
-    none = spark.createDataFrame([], "license string, digest string")
+    none = spark.createDataFrame([], "license string, digest binary")
     assert [r.license for r in scan(docs([(1, MIT)]), none).collect()] == [None]

@@ -39,7 +39,7 @@ def whole_lattice(chars, v):
 
 def made_up(seed):
     pick = random.Random(seed)
-    return "".join(pick.choice(["a", "be", "th", " ", "  ", MARK, "\n", "\t", "é", "日", "🎉", "ing", "Q", "1", "\x00", "<s>", "İ"]) for _ in range(pick.randint(0, 90)))
+    return "".join(pick.choice(["a", "be", "th", " ", "  ", MARK, "\n", "\t", "é", "日", "🎉", "ing", "Q", "1", "\x00", "<s>", "İ", ".", ",", "(", "'", "-", "_", "\"", "#"]) for _ in range(pick.randint(0, 90)))
 
 
 def test_against_the_whole_lattice(v):
