@@ -117,14 +117,19 @@ def canonical(text: str | None) -> str:
     return _worded(_bare(text or "").replace("\n", " "))
 
 
-def digest(text: str | None) -> bytes | None:
-    form = canonical(text)
+def _hashed(form: str) -> bytes | None:
     return hashlib.sha256(form.encode()).digest() if form else None
 
 
-def _line_digests(text: str) -> list[bytes]:
-    forms = [_worded(line) for line in _bare(text).split("\n")]
-    return [hashlib.sha256(form.encode()).digest() for form in forms if form]
+def digest(text: str | None) -> bytes | None:
+    return _hashed(canonical(text))
+
+
+def _digests(text: str) -> list[bytes | None]:
+    """Of the whole text, then of each line of which something is left."""
+    bare = _bare(text)
+    lines = (_worded(line) for line in bare.split("\n"))
+    return [_hashed(_worded(bare.replace("\n", " "))), *(_hashed(form) for form in lines if form)]
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -162,8 +167,8 @@ def known_sql() -> str:
 def scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, license of the whole text, licenses of its lines (sorted), number of such lines.
 
-    Only lines with a licence are gathered again, by id and content. known is joined by digest; Spark
-    chooses how.
+    Each text is read once: its digest and those of its lines are joined with known (Spark chooses how),
+    and what matched is gathered by id and content. Rows with one id and text are counted and told again.
     """
     require(docs, id_col, text_col)
     known = known.filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
@@ -177,21 +182,20 @@ def scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col:
                 columns = [
                     part.column("id"),
                     pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()),
-                    pa.array([digest(t) for t in texts], pa.binary()),
-                    pa.array([_line_digests(t) for t in texts], pa.list_(pa.binary())),
+                    pa.array([_digests(t) for t in texts], pa.list_(pa.binary())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "content", "whole", "lines"])
-
-    told = rows.mapInArrow(digests, f"id {id_type}, content binary, whole binary, lines array<binary>")
-    whole = told.select("id", "content", "whole").join(known.select(F.col("digest").alias("whole"), F.col("license").alias("whole_license")), "whole", "left")
-    lines = told.select("id", "content", F.posexplode("lines").alias("at", "digest"))
-    # Repeated rows have the same lines: places are counted, not rows.
-    noted = lines.join(known, "digest").groupBy("id", "content").agg(F.count_distinct("at").alias("n"), F.sort_array(F.collect_set("license")).alias("names"))
-    noted = noted.withColumnsRenamed({"id": "noted_id", "content": "noted_content"})
-    same = F.col("id").eqNullSafe(F.col("noted_id")) & (F.col("content") == F.col("noted_content"))
-    return whole.join(noted, same, "left").select(
-        F.col("id").alias(id_col),
-        F.col("whole_license").alias("license"),
-        F.coalesce(F.array_join("names", ","), F.lit("")).alias("line_licenses"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"),
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "content", "digests"])
+
+    told = rows.mapInArrow(digests, f"id {id_type}, content binary, digests array<binary>")
+    told = told.select("id", "content", F.posexplode("digests").alias("at", "digest"))
+    whole, named = F.col("at") == 0, F.col("license").isNotNull()
+    found = told.join(known, "digest", "left").filter(whole | named)
+    said = found.groupBy("id", "content").agg(
+        F.count_if(whole).alias("copies"),
+        F.max(F.when(whole, F.col("license"))).alias("license"),
+        F.array_join(F.sort_array(F.collect_set(F.when(~whole, F.col("license")))), ",").alias("line_licenses"),
+        F.count_if(~whole).alias("n"),
     )
+    # Copies of a row have the same lines.
+    n = (F.col("n") / F.col("copies")).cast("long").alias("n_license_lines")
+    return said.select(F.col("id").alias(id_col), "license", "line_licenses", n, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
