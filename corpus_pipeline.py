@@ -52,7 +52,7 @@ STAGES = [
     ("token ids", token_ids),
 ]
 
-#: Learned language scores, hashes of 128 functions and a Viterbi search are not for SQL: tests compare with brute force.
+#: Learned language scores, hashes of 128 functions and merges by rank are not for SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 

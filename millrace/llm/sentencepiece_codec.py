@@ -1,6 +1,14 @@
-"""SentencePiece encoding by a streaming Viterbi search, and decoding.
+"""SentencePiece encoding the way a model was trained, and decoding.
 
-The best segmentation is the one with the greatest sum of piece scores of the given model. Only the last
+encode() and encode_and_verify() ask the model for its type. Scores of a BPE model are merge ranks: the
+adjacent pair whose joint piece has the best rank is joined, the leftmost first, until no pair makes a
+piece (trained_ids()). For a unigram model the best segmentation is the one with the greatest sum of piece
+scores, found by a streaming Viterbi search (encode_text()).
+
+A merge joins two adjacent characters only inside a piece, so a text falls apart wherever two characters
+stand side by side in no piece, and each run between such places is merged and given out by itself.
+
+Of the Viterbi search's lattice only the last
 `longest piece` positions of the lattice are kept: as soon as all live backpointer paths pass through one
 boundary, the pieces before it are final and their ids are given out, so memory does not grow with the
 text. Where two adjacent characters stand side by side in no piece, every path has a boundary: before a
@@ -12,7 +20,7 @@ Characters that are no piece may become the model's byte pieces, with a penalty
 become the model's space mark, with one before the text; a space mark that the text itself holds is
 spelled in bytes. decode(encode(text)) is the text, whatever the text is.
 
-Among segmentations of equal score the one whose last piece is longest is taken, from the end on.
+Among segmentations of equal score sum the one whose last piece is longest is taken, from the end on.
 
 Defined results: null gives null ids, the empty text gives no ids; repeated rows give repeated results;
 an empty table gives an empty result; extra columns pass through encode() and decode() unread.
@@ -20,9 +28,10 @@ an empty table gives an empty result; extra columns pass through encode() and de
 
 from __future__ import annotations
 
+import heapq
 import re
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,11 +79,27 @@ class Vocabulary:
         self.begins: dict[str, tuple[float, int] | tuple[()]] = {p[:k]: () for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.chunk = _chunk_pattern(self.score)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_before: dict[str, tuple[int, ...]] = {}
+        self.merges = self._by_merges(m)
+        self.rank = {p: s for p, (s, _) in self.score.items()}
+        self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        # Of each search: answers in use, and those from before.
+        self.known: dict[Callable, dict[str, tuple[int, ...]]] = {}
+        self.known_before: dict[Callable, dict[str, tuple[int, ...]]] = {}
         self._ready = True
         return self
 
+    def _by_merges(self, m) -> bool:
+        """Whether ids come from merges by rank (BPE), not from the greatest sum of scores (unigram)."""
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        said = proto.ModelProto.FromString(self.model)
+        kind, piece = said.trainer_spec.model_type, proto.ModelProto.SentencePiece
+        if kind not in (proto.TrainerSpec.BPE, proto.TrainerSpec.UNIGRAM):
+            raise ValueError(f"models of type {proto.TrainerSpec.ModelType.Name(kind)} are not supported")
+        if kind == proto.TrainerSpec.BPE and any(p.type in (piece.USER_DEFINED, piece.UNUSED) for p in said.pieces):
+            raise ValueError("BPE models with pieces of the user's own or unused ones are not supported")
+        return kind == proto.TrainerSpec.BPE
+
 
 def _chunk_pattern(pieces: Iterable[str]) -> re.Pattern:
     """What matches one after the other in a marked text are chunks with a boundary of every path between them."""
@@ -167,11 +192,85 @@ def chunk_ids(chunk: str, v: Vocabulary) -> list[int]:
     return ids
 
 
-def encode_text(text: str, v: Vocabulary) -> list[int]:
+def _merged(run: str, v: Vocabulary) -> list[str]:
+    """The parts of a run after all merges, by a heap of pairs over linked parts."""
+    parts: list[str] = list(run)
+    before, after = list(range(-1, len(run) - 1)), [*range(1, len(run)), -1]
+    heap: list[tuple[float, int, str]] = []
+
+    def offer(left: int, right: int) -> None:
+        if left >= 0 and right >= 0 and (rank := v.rank.get(both := parts[left] + parts[right])) is not None:
+            heapq.heappush(heap, (-rank, left, both))
+
+    for k in range(len(run) - 1):
+        offer(k, k + 1)
+    while heap:
+        _, left, both = heapq.heappop(heap)
+        right = after[left]
+        # A part that went into another is empty; one that grew makes another pair.
+        if not parts[left] or right < 0 or len(parts[left]) + len(parts[right]) != len(both):
+            continue
+        parts[left], parts[right] = both, ""
+        after[left] = after[right]
+        if after[right] >= 0:
+            before[after[right]] = left
+        offer(before[left], left)
+        offer(left, after[left])
+    return [p for p in parts if p]
+
+
+def _ids_of(parts: list[str], v: Vocabulary) -> list[int]:
+    ids: list[int] = []
+    for part in parts:
+        found = v.score.get(part)
+        if found is not None:
+            ids.append(found[1])
+        else:
+            ids.extend(v.bytes[b] for b in part.encode())
+    return ids
+
+
+def merge_stream(chars: Iterator[str], v: Vocabulary) -> Iterator[list[int]]:
+    """Ids of a stream of characters, in runs: each is given out once a character follows that no piece joins to it."""
+    run, last = [], ""
+    for char in chars:
+        if run and last + char not in v.pairs:
+            yield _ids_of(_merged("".join(run), v), v)
+            run = []
+        run.append(char)
+        last = char
+    if run:
+        yield _ids_of(_merged("".join(run), v), v)
+
+
+def merged_ids(chunk: str, v: Vocabulary) -> list[int]:
+    """The merges of a chunk: the same as merge_stream(), over a chunk that ends."""
+    if len(chunk) > REMEMBERED_LENGTH:
+        return [i for run in merge_stream(iter(chunk), v) for i in run]
+    rank, parts = v.rank.get, list(chunk)
+    ranks = [rank(a + b, NO_SCORE) for a, b in zip(parts, parts[1:], strict=False)]
+    while ranks and (top := max(ranks)) > NO_SCORE:
+        k = ranks.index(top)
+        parts[k] += parts.pop(k + 1)
+        del ranks[k]
+        if k:
+            ranks[k - 1] = rank(parts[k - 1] + parts[k], NO_SCORE)
+        if k < len(ranks):
+            ranks[k] = rank(parts[k] + parts[k + 1], NO_SCORE)
+    return _ids_of(parts, v)
+
+
+def trained_ids(text: str, v: Vocabulary) -> list[int]:
+    """Ids by the search that the model was trained for."""
+    return encode_text(text, v, merged_ids if v.merges else chunk_ids)
+
+
+def encode_text(text: str, v: Vocabulary, search: Callable[[str, Vocabulary], list[int]] = chunk_ids) -> list[int]:
+    """Ids by the given search of chunks: by default those of the greatest sum of scores, whatever the model's type."""
     if not text:
         return []
     ids: list[int] = []
-    known = v.known
+    known, known_before = v.known.setdefault(search, {}), v.known_before.get(search, {})
     # Literal space marks are cut out first: they are spelled in bytes and belong to no piece.
     for k, part in enumerate(text.split(MARK)):
         if k:
@@ -180,11 +279,11 @@ def encode_text(text: str, v: Vocabulary) -> list[int]:
         for chunk in v.chunk.findall(MARK + marked if not k else marked):
             got = known.get(chunk)
             if got is None:
-                got = v.known_before.get(chunk) or tuple(chunk_ids(chunk, v))
+                got = known_before.get(chunk) or tuple(search(chunk, v))
                 if len(chunk) <= REMEMBERED_LENGTH:
                     if len(known) >= REMEMBERED:
-                        v.known, v.known_before = {}, known
-                        known = v.known
+                        v.known_before[search] = known_before = known
+                        v.known[search] = known = {}
                     known[chunk] = got
             ids += got
     return ids
@@ -209,7 +308,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", i
         v = vocabulary.load()
         for batch in batches:
             for part in text_slices(batch, text_col):
-                ids = [None if t is None else encode_text(t, v) for t in part.column(text_col).to_pylist()]
+                ids = [None if t is None else trained_ids(t, v) for t in part.column(text_col).to_pylist()]
                 columns = [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids_col])
 
@@ -243,7 +342,7 @@ def encode_and_verify(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str =
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                ids = [None if t is None else encode_text(t, v) for t in texts]
+                ids = [None if t is None else trained_ids(t, v) for t in texts]
                 same = [i is None or decode_ids(i, v) == t for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["id", "ids", "round_trip"])
 

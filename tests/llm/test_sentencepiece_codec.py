@@ -5,7 +5,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from millrace.llm.sentencepiece_codec import MARK, Vocabulary, chunk_ids, decode, decode_ids, encode, encode_and_verify, encode_text, stream
+from millrace.llm.sentencepiece_codec import MARK, Vocabulary, chunk_ids, decode, decode_ids, encode, encode_and_verify, encode_text, merge_stream, merged_ids, stream, trained_ids
 
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 
@@ -93,3 +93,33 @@ def test_tables(docs):
     assert encode_and_verify(docs([]), Vocabulary(MODEL)).count() == 0
     with pytest.raises(ValueError):
         encode(table.withColumn("ids", F.lit(1)), Vocabulary(MODEL))
+
+
+def test_the_librarys_ids(spark, sf_dir, v):
+    library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    texts = [made_up(seed).replace(MARK, "") for seed in range(400)]
+    texts += ["Hello The world", "x" * 3000, "the" * 700, "日本語の文章" * 40, "aAbB" * 50 + "\n" * 80, " " * 70, "▁".replace(MARK, " ")]
+    assert all(trained_ids(t, v) == library.encode(t) for t in texts)
+    assert all(merged_ids(MARK + t.replace(" ", MARK), v) == library.encode(t) for t in texts if t)
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    got = {r.doc_id: r for r in encode_and_verify(whole, Vocabulary(MODEL)).collect()}
+    rows = [r for r in whole.collect() if MARK not in r.text]
+    assert rows and all(got[r.doc_id].ids == library.encode(r.text) for r in rows)
+
+
+def test_literal_marks_come_back_where_the_library_loses_them(v):
+    for seed in range(250):
+        text = made_up(seed)
+        assert decode_ids(trained_ids(text, v), v) == text
+
+
+def test_merges_are_given_out_early(v):
+    read = 0
+
+    def counted():
+        nonlocal read
+        for c in (MARK + "word") * 5000:
+            read += 1
+            yield c
+
+    assert next(merge_stream(counted(), v)) and read < 10
