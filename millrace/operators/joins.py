@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Reference rows sent to the tasks at a time.
 BLOCK_ROWS = 50_000
@@ -31,9 +32,11 @@ def complete_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.filter(F.when(once, F.lit(True)).otherwise(refused)).drop("__left", "__right")
 
 
-def nearest(queries: DataFrame, references: DataFrame, key: str, features: Sequence[str], *, as_key: str = "nearest") -> DataFrame:
+def nearest(queries: DataFrame, references: DataFrame, key: str, features: Sequence[str], *, as_key: str = "nearest", exclude_self: bool = False) -> DataFrame:
     """key, nearest, distance2: for each query the reference of least squared distance, then least key.
 
+    With exclude_self a query does not meet the references of its own key; null where no other is left.
+
     The references go to the tasks in blocks of BLOCK_ROWS rows, by hash of their key; each block gives a
     candidate for each query and the best of them stays. Queries never meet all references in a shuffle.
     """
@@ -42,6 +45,7 @@ def nearest(queries: DataFrame, references: DataFrame, key: str, features: Seque
     known = references.select(F.col(key).alias("r"), *columns)
     names, blocks = [f"f{i}" for i in range(len(features))], max(1, -(-known.count() // BLOCK_ROWS))
     types = (rows.schema["q"].dataType.simpleString(), known.schema["r"].dataType.simpleString())
+    r_type = to_arrow_type(known.schema["r"].dataType)
     found: DataFrame | None = None
     for block in range(blocks):
         part = known.filter(F.pmod(F.xxhash64("r"), F.lit(blocks)) == block).toPandas().sort_values("r")
@@ -59,19 +63,26 @@ def nearest(queries: DataFrame, references: DataFrame, key: str, features: Seque
                     rough = norms - 2 * x @ points.T
                     # The product is rounded: the distance is taken anew where it could be the least.
                     best, distance = [], []
+                    asked = piece.column("q").to_numpy(zero_copy_only=False) if exclude_self else None
                     for i in range(len(x)):
+                        if exclude_self:
+                            rough[i, keys == asked[i]] = np.inf
+                        if np.isinf(rough[i].min()):
+                            best.append(None)
+                            distance.append(None)
+                            continue
                         near = np.flatnonzero(rough[i] <= rough[i].min() + 1e-6 * (1 + norms.max()))
                         exact = ((points[near] - x[i]) ** 2).sum(axis=1)
                         j = int(np.argmin(exact))
                         best.append(keys[near[j]])
                         distance.append(float(exact[j]))
-                    yield pa.RecordBatch.from_arrays([piece.column("q"), pa.array(best), pa.array(distance, pa.float64())], names=["q", "r", "d"])
+                    yield pa.RecordBatch.from_arrays([piece.column("q"), pa.array(best, r_type), pa.array(distance, pa.float64())], names=["q", "r", "d"])
 
         one = rows.mapInArrow(search, f"q {types[0]}, r {types[1]}, d double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return rows.select(F.col("q").alias(key), F.lit(None).cast(types[1]).alias(as_key), F.lit(None).cast("double").alias("distance2"))
-    best = found if blocks == 1 else found.groupBy("q").agg(F.min(F.struct("d", "r")).alias("b")).select("q", "b.r", "b.d")
+    best = found if blocks == 1 else found.groupBy("q").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "r"))).alias("b")).select("q", "b.r", "b.d")
     return best.select(F.col("q").alias(key), F.col("r").alias(as_key), F.col("d").alias("distance2"))
 
 

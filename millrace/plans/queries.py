@@ -173,6 +173,15 @@ def nearest_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, 8, "distance2")
 
 
+@query
+def nearest_design_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of nearest_design against all parts but the query itself."""
+    parts = table(spark, sf_dir, "part")
+    unit = parts.select("p_partkey", ((F.col("p_size") - 1) / 49.0).alias("size"), ((F.col("p_retailprice") - 900) / 1200.0).alias("price"))
+    found = joins.nearest(unit.filter("p_partkey % 20 = 0"), unit, "p_partkey", ["size", "price"], exclude_self=True)
+    return rounded(found, 8, "distance2")
+
+
 @query
 def shared_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of two shapes on a grid by set operations."""

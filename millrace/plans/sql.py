@@ -117,6 +117,11 @@ SQL: dict[str, str] = {
         SELECT q.p_partkey, r.p_partkey AS nearest, round(power(r.size - q.size, 2) + power(r.price - q.price, 2), 8) AS distance2 FROM u q JOIN u r ON r.p_partkey % 20 <> 0
         WHERE q.p_partkey % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.p_partkey ORDER BY power(r.size - q.size, 2) + power(r.price - q.price, 2), r.p_partkey) = 1
     """,
+    "nearest_design_all_parts": """
+        WITH u AS (SELECT p_partkey, (p_size - 1) / 49.0::DOUBLE AS size, (p_retailprice - 900) / 1200.0::DOUBLE AS price FROM part)
+        SELECT q.p_partkey, r.p_partkey AS nearest, round(power(r.size - q.size, 2) + power(r.price - q.price, 2), 8) AS distance2 FROM u q JOIN u r ON r.p_partkey <> q.p_partkey
+        WHERE q.p_partkey % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.p_partkey ORDER BY power(r.size - q.size, 2) + power(r.price - q.price, 2), r.p_partkey) = 1
+    """,
     "shared_neighbours": """
         WITH t AS (SELECT y, x, n, (x + 0.5 - cx) * cos(radians(d)) + (y + 0.5 - 24) * sin(radians(d)) AS p, (y + 0.5 - 24) * cos(radians(d)) - (x + 0.5 - cx) * sin(radians(d)) AS q
                    FROM range(48) a(y), range(64) b(x), (VALUES ('a', 26, 20), ('b', 38, 160)) s(n, cx, d)),

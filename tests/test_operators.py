@@ -67,6 +67,24 @@ def test_nearest_takes_the_least_key_on_ties_and_works_in_blocks(spark, monkeypa
     assert [r["nearest"] for r in joins.nearest(asked, known.limit(0), "k", ["f"]).collect()] == [None, None]
 
 
+def test_nearest_of_all_others(spark, monkeypatch):
+    known = spark.createDataFrame([(i, float(i * i)) for i in range(10)], "k bigint, f double")
+    for block_rows in (50_000, 3):
+        monkeypatch.setattr(joins, "BLOCK_ROWS", block_rows)
+        said = {r["k"]: r["nearest"] for r in joins.nearest(known, known, "k", ["f"], exclude_self=True).collect()}
+        assert said == {0: 1} | {i: i - 1 for i in range(1, 10)}
+        alone = known.filter("k = 4")
+        assert [(r["k"], r["nearest"], r["distance2"]) for r in joins.nearest(alone, alone, "k", ["f"], exclude_self=True).collect()] == [(4, None, None)]
+
+
+def test_nearest_design_may_answer_with_any_part(spark, tmp_path):
+    from millrace.plans.queries import nearest_design_all_parts
+
+    parts = [(20, 10, 1000.0), (40, 10, 1001.0), (41, 30, 1500.0)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["p_partkey"]: r["nearest"] for r in nearest_design_all_parts(spark, str(tmp_path)).collect()} == {20: 40, 40: 20}
+
+
 def test_one_solid_cell_has_eight_links(spark):
     shifts = [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1), (4, -1, 0), (5, 1, 1), (6, 1, -1), (7, -1, -1), (8, -1, 1)]
     cells = grid.cells(spark, 16, 20).withColumn("solid", (F.col("y") == 8) & (F.col("x") == 10))
