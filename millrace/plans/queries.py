@@ -37,9 +37,8 @@ GATES = [
 ]
 
 
-@query
-def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = order_metrics(spark, sf_dir).filter("valid").withColumn("all", F.lit("gap_pct"))
+def _gates_on(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    metrics = orders.withColumn("all", F.lit("gap_pct"))
     said = profile.summarise_closed(metrics, ["all"], F.col("gap_pct"), F.col("valid"))
     cells = profile.long_form(said, ["median", "p90", "p95", "maximum"], ["all", "status"])
     evidence = cells.select(F.concat_ws(".", "all", "column").alias("metric"), "value", "status")
@@ -49,6 +48,23 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.evaluate_gates(gates, evidence), 4, "value")
 
 
+@query
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates on the complete orders only."""
+    return _gates_on(spark, sf_dir, order_metrics(spark, sf_dir).filter("valid"))
+
+
+@query
+def gate_report_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates on all orders: one invalid order makes those on the gap red."""
+    return _gates_on(spark, sf_dir, order_metrics(spark, sf_dir))
+
+
+@query
+def gate_verdict_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.verdict(gate_report_all_orders(spark, sf_dir))
+
+
 @query
 def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.verdict(gate_report(spark, sf_dir))
