@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,36 @@ KNOWN = [
     ),
 ]
 
+#: Whole licence texts as published, one a file: its name, and after a plus sign which wording it is.
+TEXTS = Path(__file__).parent / "licenses"
+#: Titles that stand above the texts of licences without one of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def whole_licenses() -> list[tuple[str, str]]:
+    """license, text: whole texts in the forms they are handed on: with a title, without list numbers, without the appendix."""
+    texts = [(f.stem.split("+")[0], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    texts += [(name, text) for name, text in KNOWN if name in TITLES and len(text) > 500]
+    found = []
+    for name, text in texts:
+        forms = [text]
+        if END_OF_TERMS in text:
+            forms.append(text[: text.index(END_OF_TERMS)] + END_OF_TERMS)
+            forms.append(text[: text.index(END_OF_TERMS)])
+        if name in TITLES:
+            forms.append(re.sub(r"(?m)^ *[0-9]\. ", "* ", text))
+            forms += [f"{title}\n\n{form}" for title in TITLES[name] for form in forms[:]]
+        found += [(name, form) for form in forms]
+    return found
+
+
 #: A line that names who holds the rights and when: "Copyright (c) 2020 …", "© …", "All rights reserved".
 COPYRIGHT_LINE = r"(?m)^\W*(copyright\b.*\b[0-9]{4}\b.*|copyright \(c\).*|©.*|\(c\) *[0-9]{4}.*|all rights reserved\W*)$"
 
@@ -132,8 +163,9 @@ def _digests(text: str) -> list[bytes | None]:
     return [_hashed(_worded(bare.replace("\n", " "))), *(_hashed(form) for form in lines if form)]
 
 
-def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license, digest."""
+def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """license, digest; by default of KNOWN and of the whole texts."""
+    texts = [*KNOWN, *whole_licenses()] if texts is None else texts
     return known_of(spark.createDataFrame(texts, "license string, text string"))
 
 

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from millrace.llm.license_scan import KNOWN, canonical, known_licenses, scan
+from millrace.llm.license_scan import KNOWN, TEXTS, canonical, known_licenses, scan
 
 MIT = next(t for n, t in KNOWN if n == "MIT" and len(t) > 500)
 
@@ -45,6 +45,21 @@ def test_whole_texts_and_lines(spark, docs):
     ]
 
 
+def test_whole_licence_documents(spark, docs):
+    names = {"Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense"}
+    texts = {f.stem: f.read_text() for f in TEXTS.glob("*.txt")}
+    assert {n.split("+")[0] for n in texts} == names
+    bsd, gpl, apache = texts["BSD-3-Clause"], texts["GPL-3.0"], texts["Apache-2.0"]
+    holder = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n"
+    rows = [(n.split("+")[0], t) for n, t in texts.items()]
+    rows += [(n.split("+")[0], "  " + " ".join(t.split("\n")[k] + "\n" for k in range(len(t.split("\n"))))) for n, t in texts.items()]
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + holder + bsd), ("BSD-3-Clause", holder + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    rows += [("MIT", "MIT License\n\n" + holder + MIT), ("GPL-3.0", gpl[: gpl.index("END OF TERMS")]), ("Apache-2.0", apache[: apache.index("APPENDIX")])]
+    rows += [(None, bsd + "and more"), (None, gpl[:-2000]), (None, "Some prose.\n" + apache)]
+    got = {r.doc_id: r.license for r in scan(docs([(i, t) for i, (_, t) in enumerate(rows)]), known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
 def test_empty_tables(spark, docs):
     assert scan(docs([]), known_licenses(spark)).count() == 0
     none = spark.createDataFrame([], "license string, digest binary")
