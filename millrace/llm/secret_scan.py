@@ -2,7 +2,8 @@
 
 Ordinary words and names pack several characters into a token of a large BPE vocabulary; random keys do
 not. A long run of key characters with few characters per token is reported as kind `dense`, unless it
-is a digest of a known length, a UUID, or an identifier made of words. The patterns are leftmost and
+is a digest of a known length, a UUID, or an identifier made of words. Whether the letter parts of an
+identifier are words is told by their tokens as well: each is one token or has enough characters per token. The patterns are leftmost and
 non-overlapping for each kind; spans are code points, end exclusive.
 
 Defined results: null and empty texts have no spans (the digest is that of the empty string); repeated
@@ -35,6 +36,8 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Words joined by separators, each with a short number at most: names of files, functions, versions.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Za-z]+[0-9]{0,4}(?:[+/_=-]+|\Z)|[0-9]{1,4}(?:[+/_=-]+|\Z))+\Z")
 
+LETTERS = re.compile(r"[A-Za-z]+")
+
 
 class TokenEfficiency:
     """Characters per token of a string under a tiktoken vocabulary; loads once a worker."""
@@ -53,10 +56,18 @@ class TokenEfficiency:
         return len(text) / max(1, len(self._encoding.encode_ordinary(text)))
 
 
+def is_known(run: str) -> bool:
+    return bool(HEX_ONLY.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run))
+
+
 def is_known_or_identifier(run: str) -> bool:
-    if HEX_ONLY.match(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    return bool(UUID.match(run) or IDENTIFIER.match(run))
+    """By shape alone."""
+    return is_known(run) or bool(IDENTIFIER.match(run))
+
+
+def is_made_of_words(run: str, efficiency, most: float) -> bool:
+    """Shaped like an identifier, with letter parts of one token or of enough characters per token."""
+    return bool(IDENTIFIER.match(run)) and all((e := efficiency(part)) >= most or e == len(part) for part in LETTERS.findall(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -74,10 +85,10 @@ def dense_spans(text: str, efficiency, most: float) -> list[tuple[int, int, str]
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        # Without a digit, or with one kind of characters only, a run is a word, a rule or a number.
-        if not any(c.isdigit() for c in run) or run.isdigit() or is_known_or_identifier(run):
+        # Without a letter, or of one character only, a run is a rule or a number.
+        if not LETTERS.search(run) or len(set(run)) == 1 or is_known(run):
             continue
-        if efficiency(run) < most:
+        if efficiency(run) < most and not is_made_of_words(run, efficiency, most):
             found.append((m.start(), m.end(), "dense"))
     return found
 

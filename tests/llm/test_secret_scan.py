@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.secret_scan import TokenEfficiency, find_secrets, is_known_or_identifier, report
+from millrace.llm.secret_scan import TokenEfficiency, dense_spans, find_secrets, is_known_or_identifier, report
 
 BASE = {
     "assign": (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
@@ -59,5 +59,27 @@ def test_random_strings_are_dense_and_words_are_not(docs, efficiency):
     assert is_known_or_identifier("a" * 40) and not is_known_or_identifier("a1b2c3d4e5f6g7h8")
 
 
+def test_random_letters_and_short_numbers_are_dense(efficiency):
+    pick = random.Random(11)
+
+    def some(signs, k):
+        return "".join(pick.choices(signs, k=k))
+
+    letters, digits = string.ascii_letters, string.digits
+    kinds = {
+        "letters": lambda: some(letters, 32),
+        "lower case": lambda: some(string.ascii_lowercase, 40),
+        "letters and a number": lambda: some(letters, 28) + some(digits, 4),
+        "letters, number, letters": lambda: f"{some(letters, 14)}-{some(digits, 4)}-{some(letters, 14)}",
+        "base62": lambda: some(letters + digits, 20),
+        "base64": lambda: some(letters + digits + "+/", 24),
+    }
+    for kind, make in kinds.items():
+        keys = [make() for _ in range(200)]
+        assert sum(dense_spans(f"see {k} here", efficiency, 2.2) == [(4, 4 + len(k), "dense")] for k in keys) >= 198, kind
+    words = ["antidisestablishmentarianism", "getUserNameFromDatabaseConnection", "i_j_k_l_m_n_o_p_x1_y2", "LD_LIBRARY_PATH_OVERRIDE_X86", "_" * 40, "=" * 20 + "-" * 20, "x" * 40]
+    assert not any(dense_spans(w, efficiency, 2.2) for w in words)
+
+
 def test_empty_table(docs, efficiency):
     assert report(find_secrets(docs([]), efficiency)).count() == 0
