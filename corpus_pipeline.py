@@ -22,6 +22,8 @@ MODEL = "piece_bpe_32k.model"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, ~language_id.held_out())
+    if not model.languages:  # no row to learn from: no language can be told, so every text with a letter stays
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     said = language_id.predict(docs, model, pred_col="__lang", score_col="__score")
     return said.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).drop("__lang", "__score")
 

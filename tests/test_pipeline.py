@@ -1,0 +1,9 @@
+import corpus_pipeline
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    rows = [(2, "the cat sat", None), (3, "日本語", None), (4, "12 + 7 = 19", None), (5, "", None), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
