@@ -1,37 +1,41 @@
-"""SentencePiece encoding the way a model was trained, and decoding.
-
-encode() and encode_and_verify() ask the model for its type. Scores of a BPE model are merge ranks: the
-adjacent pair whose joint piece has the best rank is joined, the leftmost first, until no pair makes a
-piece (trained_ids()). For a unigram model the best segmentation is the one with the greatest sum of piece
-scores, found by a streaming Viterbi search (encode_text()).
-
-A merge joins two adjacent characters only inside a piece, so a text falls apart wherever two characters
-stand side by side in no piece, and each run between such places is merged and given out by itself.
-
-Of the Viterbi search's lattice only the last
-`longest piece` positions of the lattice are kept: as soon as all live backpointer paths pass through one
-boundary, the pieces before it are final and their ids are given out, so memory does not grow with the
-text. Where two adjacent characters stand side by side in no piece, every path has a boundary: before a
-space mark, around line ends and before signs that no piece has after a word. Such places cut a text into
-chunks that are solved one by one, and the answers of short chunks are remembered (in a bounded table),
+"""SentencePiece encoding by a streaming Viterbi search, and decoding.
+
+stream() goes through a text character by character. Each boundary between characters keeps one back-
+pointer, the last piece of the best segmentation up to it, and only boundaries from which a piece may still
+go on keep their state, so the search's window is bounded by the longest piece. As soon as the paths back
+from all of them pass through one boundary, the pieces before it are final and their ids are given out:
+memory does not grow with the text. (Only a unigram model may keep several paths apart for long, through
+one word repeated without spaces in several phases; their backpointers are held until they meet.)
+
+What "best" means follows from how the model was trained:
+
+- Unigram: the greatest sum of piece scores. Of equal sums the one whose last piece is longest is taken.
+- BPE: scores are merge ranks, whose sums mean nothing. The segmentation that merging by rank leads to is
+  the only one in which every piece, and every two neighbours, come out of merging by themselves as they
+  are. So a piece may follow the last piece before it only if merging the two leaves both (Vocabulary.
+  beside()); exactly one last piece is left at each boundary, and the same search applies. Ids are those
+  of the library.
+
+Where two adjacent characters stand side by side in no piece, every path has a boundary: before a space
+mark, around line ends and before signs that no piece has after a word. Such places cut a text into
+chunks that are searched one by one, and the answers of short chunks are remembered (in a bounded table),
 since words repeat.
 
-Characters that are no piece may become the model's byte pieces, with a penalty below every score. Spaces
-become the model's space mark, with one before the text; a space mark that the text itself holds is
-spelled in bytes. decode(encode(text)) is the text, whatever the text is.
+Characters that are no piece become the model's byte pieces; in a unigram search with a penalty below
+every score. Spaces become the model's space mark, with one before the text; a space mark that the text
+itself holds is spelled in bytes (the library reads it as a space). decode(encode(text)) is the text,
+whatever the text is.
 
-Among segmentations of equal score sum the one whose last piece is longest is taken, from the end on.
-
-Defined results: null gives null ids, the empty text gives no ids; repeated rows give repeated results;
-an empty table gives an empty result; extra columns pass through encode() and decode() unread.
+Defined results: null gives null ids, the empty text gives no ids; repeated rows give repeated results; a
+text of any length is searched whole, in the same window; an empty table gives an empty result; extra
+columns pass through encode() and decode() unread, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import string
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,8 +47,9 @@ from millrace.llm.common import require, text_slices
 MARK = "▁"
 #: How far below the least score a character without a piece lies.
 UNKNOWN_PENALTY = 10.0
-#: Chunks up to this length are remembered: so many in use, and as many from before.
+#: Chunks up to this length are remembered: so many in use, and as many from before. Likewise pairs of pieces.
 REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
+REMEMBERED_PAIRS = 300_000
 NO_SCORE = float("-inf")
 #: Characters taken for parts of words where a text is cut into chunks; the cuts are right for any choice.
 WORD = "A-Za-z0-9\u00c0-\u1fff"
@@ -80,14 +85,40 @@ class Vocabulary:
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.chunk = _chunk_pattern(self.score)
         self.merges = self._by_merges(m)
-        self.rank = {p: s for p, (s, _) in self.score.items()}
-        self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
-        # Of each search: answers in use, and those from before.
-        self.known: dict[Callable, dict[str, tuple[int, ...]]] = {}
-        self.known_before: dict[Callable, dict[str, tuple[int, ...]]] = {}
+        self.neighbours: dict[tuple[str, str], bool] = {}
+        # Answers in use, and those from before.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.known_before: dict[str, tuple[int, ...]] = {}
         self._ready = True
         return self
 
+    def ids_of(self, part: str) -> list[int]:
+        """The id of a piece, or those of the bytes of a character that is none."""
+        found = self.score.get(part)
+        return [found[1]] if found is not None else [self.bytes[b] for b in part.encode()]
+
+    def merged(self, text: str) -> list[str]:
+        """What is left of a short text after joining, by rank and from the left, adjacent parts that make a piece."""
+        parts = list(text)
+        ranks = [self.score.get(a + b, (NO_SCORE,))[0] for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (top := max(ranks)) > NO_SCORE:
+            k = ranks.index(top)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            for near in (k - 1, k):
+                if 0 <= near < len(ranks):
+                    ranks[near] = self.score.get(parts[near] + parts[near + 1], (NO_SCORE,))[0]
+        return parts
+
+    def beside(self, left: str, right: str) -> bool:
+        """Whether merging left and right together leaves the two; left may be empty: right alone."""
+        said = self.neighbours.get((left, right))
+        if said is None:
+            if len(self.neighbours) >= REMEMBERED_PAIRS:
+                self.neighbours.clear()
+            said = self.neighbours[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return said
+
     def _by_merges(self, m) -> bool:
         """Whether ids come from merges by rank (BPE), not from the greatest sum of scores (unigram)."""
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -115,162 +146,74 @@ def _chunk_pattern(pieces: Iterable[str]) -> re.Pattern:
     return re.compile(f"{MARK}*(?:[^{WORD}{MARK}\n]*[{WORD}]+{joined}|[^{WORD}{MARK}\n]+)|{MARK}+|\n")
 
 
-def stream(chars: Iterator[str], v: Vocabulary) -> Iterator[list[int]]:
+def stream(chars: Iterable[str], v: Vocabulary) -> Iterator[list[int]]:
     """Ids of a stream of characters, in runs: each run is given out once no later character can change it.
 
-    Nodes are boundaries between characters; back holds each node's last piece as (start, id), with no id
-    for a character spelled in bytes. Only the last `longest` nodes keep a score.
+    State of a boundary: the start of its last piece, that piece, and (unigram) the sum of scores up to it.
+    `open` holds the boundaries from which the characters so far begin a longer piece; they and the newest
+    one are all that a later piece can start at.
     """
+    begins, merges, unknown = v.begins, v.merges, v.unknown
+    back: dict[int, tuple[int, str]] = {}
     score = {0: 0.0}
-    back: dict[int, tuple[int, int | None]] = {}
-    window, done, end = "", 0, 0  # window: the characters from `done` to `end`
+    window, done, end, last = "", 0, 0, ""  # window: the characters from `done` to `end`; last: the piece before it
+    open_at: list[int] = []
 
-    def path(node: int, to: int) -> list[int]:
-        ids: list[list[int]] = []
-        while node > to:
-            start, piece = back[node]
-            ids.append([piece] if piece is not None else [v.bytes[b] for b in window[start - done : node - done].encode()])
-            node = start
-        return [i for part in reversed(ids) for i in part]
+    def path(node: int) -> list[int]:
+        parts = []
+        while node > done:
+            node, part = back[node]
+            parts.append(part)
+        return [i for part in reversed(parts) for i in v.ids_of(part)]
 
     for char in chars:
         window += char
         end += 1
-        best, choice = NO_SCORE, (end - 1, None)
-        for start in range(max(done, end - v.longest), end):
-            found = v.score.get(window[start - done :])
-            if found is not None and score[start] + found[0] > best:
-                best, choice = score[start] + found[0], (start, found[1])
-        if char not in v.score and score[end - 1] + v.unknown > best:
-            best, choice = score[end - 1] + v.unknown, (end - 1, None)
-        score[end], back[end] = best, choice
-        score.pop(end - v.longest, None)
-        # Live nodes are those a later piece may start at; follow them back to where they meet.
-        live = {n for n in range(max(done, end - v.longest + 1), end + 1) if n in score}
+        going: list[int] = []
+        choice, best = None, NO_SCORE
+        for start in (*open_at, end - 1):
+            part = window[start - done :]
+            found = begins.get(part)
+            if found is None:
+                if start < end - 1:
+                    continue
+                found = ()
+            else:
+                going.append(start)
+            if not found and start < end - 1:
+                continue
+            if merges:
+                if choice is None and v.beside(back[start][1] if start > done else last, part):
+                    choice = (start, part)
+            else:
+                total = score[start] + (found[0] if found else unknown)
+                if total > best:
+                    choice, best = (start, part), total
+        back[end], score[end], open_at = choice, best, going
+        # Follow the paths back from the boundaries that count, the furthest on first, to where they meet.
+        live = {end, *going}
         while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(back[last][0])
+            top = max(live)
+            live.remove(top)
+            live.add(back[top][0])
         meet = live.pop()
         if meet > done:
-            yield path(meet, done)
-            for n in range(done, meet):
-                back.pop(n + 1, None)
-                score.pop(n, None)
+            yield path(meet)
+            last = back[meet][1]
+            for node in range(done + 1, meet + 1):
+                del back[node]
+                score.pop(node - 1, None)
             window, done = window[meet - done :], meet
     if end > done:
-        yield path(end, done)
-
-
-def chunk_ids(chunk: str, v: Vocabulary) -> list[int]:
-    """The best segmentation of a chunk: the same search as stream(), over a chunk that ends."""
-    n, longest, scores, begins = len(chunk), v.longest, v.score, v.begins
-    if n > REMEMBERED_LENGTH:
-        return [i for run in stream(iter(chunk), v) for i in run]
-    best, back = [NO_SCORE] * (n + 1), [(0, None)] * (n + 1)
-    best[0] = 0.0
-    for start in range(n):
-        here = best[start]
-        for end in range(start + 1, min(n, start + longest) + 1):
-            found = begins.get(chunk[start:end])
-            if found is None:
-                break
-            if found and here + found[0] > best[end]:
-                best[end], back[end] = here + found[0], (start, found[1])
-        if chunk[start] not in scores and here + v.unknown > best[start + 1]:
-            best[start + 1], back[start + 1] = here + v.unknown, (start, None)
-    ids: list[int] = []
-    end = n
-    while end:
-        start, piece = back[end]
-        if piece is not None:
-            ids.append(piece)
-        else:
-            ids.extend(v.bytes[b] for b in reversed(chunk[start].encode()))
-        end = start
-    ids.reverse()
-    return ids
-
-
-def _merged(run: str, v: Vocabulary) -> list[str]:
-    """The parts of a run after all merges, by a heap of pairs over linked parts."""
-    parts: list[str] = list(run)
-    before, after = list(range(-1, len(run) - 1)), [*range(1, len(run)), -1]
-    heap: list[tuple[float, int, str]] = []
-
-    def offer(left: int, right: int) -> None:
-        if left >= 0 and right >= 0 and (rank := v.rank.get(both := parts[left] + parts[right])) is not None:
-            heapq.heappush(heap, (-rank, left, both))
-
-    for k in range(len(run) - 1):
-        offer(k, k + 1)
-    while heap:
-        _, left, both = heapq.heappop(heap)
-        right = after[left]
-        # A part that went into another is empty; one that grew makes another pair.
-        if not parts[left] or right < 0 or len(parts[left]) + len(parts[right]) != len(both):
-            continue
-        parts[left], parts[right] = both, ""
-        after[left] = after[right]
-        if after[right] >= 0:
-            before[after[right]] = left
-        offer(before[left], left)
-        offer(left, after[left])
-    return [p for p in parts if p]
-
-
-def _ids_of(parts: list[str], v: Vocabulary) -> list[int]:
-    ids: list[int] = []
-    for part in parts:
-        found = v.score.get(part)
-        if found is not None:
-            ids.append(found[1])
-        else:
-            ids.extend(v.bytes[b] for b in part.encode())
-    return ids
-
-
-def merge_stream(chars: Iterator[str], v: Vocabulary) -> Iterator[list[int]]:
-    """Ids of a stream of characters, in runs: each is given out once a character follows that no piece joins to it."""
-    run, last = [], ""
-    for char in chars:
-        if run and last + char not in v.pairs:
-            yield _ids_of(_merged("".join(run), v), v)
-            run = []
-        run.append(char)
-        last = char
-    if run:
-        yield _ids_of(_merged("".join(run), v), v)
-
-
-def merged_ids(chunk: str, v: Vocabulary) -> list[int]:
-    """The merges of a chunk: the same as merge_stream(), over a chunk that ends."""
-    if len(chunk) > REMEMBERED_LENGTH:
-        return [i for run in merge_stream(iter(chunk), v) for i in run]
-    rank, parts = v.rank.get, list(chunk)
-    ranks = [rank(a + b, NO_SCORE) for a, b in zip(parts, parts[1:], strict=False)]
-    while ranks and (top := max(ranks)) > NO_SCORE:
-        k = ranks.index(top)
-        parts[k] += parts.pop(k + 1)
-        del ranks[k]
-        if k:
-            ranks[k - 1] = rank(parts[k - 1] + parts[k], NO_SCORE)
-        if k < len(ranks):
-            ranks[k] = rank(parts[k] + parts[k + 1], NO_SCORE)
-    return _ids_of(parts, v)
-
-
-def trained_ids(text: str, v: Vocabulary) -> list[int]:
-    """Ids by the search that the model was trained for."""
-    return encode_text(text, v, merged_ids if v.merges else chunk_ids)
+        yield path(end)
 
 
-def encode_text(text: str, v: Vocabulary, search: Callable[[str, Vocabulary], list[int]] = chunk_ids) -> list[int]:
-    """Ids by the given search of chunks: by default those of the greatest sum of scores, whatever the model's type."""
+def encode_text(text: str, v: Vocabulary) -> list[int]:
+    """Ids of a whole text."""
     if not text:
         return []
     ids: list[int] = []
-    known, known_before = v.known.setdefault(search, {}), v.known_before.get(search, {})
+    known, known_before = v.known, v.known_before
     # Literal space marks are cut out first: they are spelled in bytes and belong to no piece.
     for k, part in enumerate(text.split(MARK)):
         if k:
@@ -279,12 +222,17 @@ def encode_text(text: str, v: Vocabulary, search: Callable[[str, Vocabulary], li
         for chunk in v.chunk.findall(MARK + marked if not k else marked):
             got = known.get(chunk)
             if got is None:
-                got = known_before.get(chunk) or tuple(search(chunk, v))
-                if len(chunk) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        v.known_before[search] = known_before = known
-                        v.known[search] = known = {}
-                    known[chunk] = got
+                got = known_before.get(chunk)
+                if got is None:
+                    if len(chunk) > REMEMBERED_LENGTH:
+                        for run in stream(chunk, v):
+                            ids += run
+                        continue
+                    got = tuple(i for run in stream(chunk, v) for i in run)
+                if len(known) >= REMEMBERED:
+                    v.known_before = known_before = known
+                    v.known = known = {}
+                known[chunk] = got
             ids += got
     return ids
 
@@ -308,7 +256,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", i
         v = vocabulary.load()
         for batch in batches:
             for part in text_slices(batch, text_col):
-                ids = [None if t is None else trained_ids(t, v) for t in part.column(text_col).to_pylist()]
+                ids = [None if t is None else encode_text(t, v) for t in part.column(text_col).to_pylist()]
                 columns = [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids_col])
 
@@ -342,7 +290,7 @@ def encode_and_verify(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str =
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                ids = [None if t is None else trained_ids(t, v) for t in texts]
+                ids = [None if t is None else encode_text(t, v) for t in texts]
                 same = [i is None or decode_ids(i, v) == t for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["id", "ids", "round_trip"])
 

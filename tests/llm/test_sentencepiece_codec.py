@@ -5,7 +5,8 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from millrace.llm.sentencepiece_codec import MARK, Vocabulary, chunk_ids, decode, decode_ids, encode, encode_and_verify, encode_text, merge_stream, merged_ids, stream, trained_ids
+from millrace.llm import sentencepiece_codec
+from millrace.llm.sentencepiece_codec import MARK, Vocabulary, decode, decode_ids, encode, encode_and_verify, encode_text, stream
 
 MODEL = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 
@@ -15,6 +16,18 @@ def v():
     return Vocabulary(MODEL).load()
 
 
+@pytest.fixture(scope="module")
+def u():
+    """The same pieces and scores, read as those of a unigram model."""
+    v = Vocabulary(MODEL).load()
+    v.merges = False
+    return v
+
+
+def marked(text):
+    return MARK + text.replace(" ", MARK)
+
+
 def whole_lattice(chars, v):
     """The best segmentation over the whole lattice at once; chars: list of characters, literal marks as None."""
     best, back = [0.0], [None]
@@ -42,34 +55,52 @@ def made_up(seed):
     return "".join(pick.choice(["a", "be", "th", " ", "  ", MARK, "\n", "\t", "é", "日", "🎉", "ing", "Q", "1", "\x00", "<s>", "İ", ".", ",", "(", "'", "-", "_", "\"", "#"]) for _ in range(pick.randint(0, 90)))
 
 
-def test_against_the_whole_lattice(v):
+def test_sums_of_scores_against_the_whole_lattice(u):
     for seed in range(250):
         text = made_up(seed)
         chars = [MARK, *(MARK if c == " " else None if c == MARK else c for c in text)] if text else []
-        assert encode_text(text, v) == whole_lattice(chars, v)
+        assert encode_text(text, u) == whole_lattice(chars, u)
+        if MARK not in text and text:
+            assert [i for r in stream(marked(text), u) for i in r] == whole_lattice(list(marked(text)), u)
+
 
+def test_merges_against_merging_whole_texts(v):
+    for seed in range(250):
+        text = marked(made_up(seed).replace(MARK, ""))
+        assert [i for r in stream(text, v) for i in r] == [i for part in v.merged(text) for i in v.ids_of(part)]
 
-def test_streaming_gives_the_same_and_commits_early(v):
-    for seed in range(60):
-        marked = MARK + made_up(seed).replace(MARK, "").replace(" ", MARK)
-        runs = list(stream(iter(marked), v))
-        assert [i for r in runs for i in r] == whole_lattice(list(marked), v)
-        assert len(marked) < 40 or len(runs) > 1
-    read = 0
 
-    def counted():
-        nonlocal read
-        for c in (MARK + "word") * 5000:
-            read += 1
-            yield c
+LONG = ["word " * 2000, "x" * 5000, "the" * 2000, "日本語の文章" * 500, "aAbB" * 900, "\n" * 3000, " " * 5000, "ab1Q日z" * 700, "ing" * 1500]
 
-    next(stream(counted(), v))
-    assert read < 4 * v.longest  # the first ids come before the text has been read
 
+def test_ids_are_given_out_within_a_short_window(v, u):
+    for vocabulary in (v, u):
+        for text in LONG:
+            read, given, lag = 0, 0, 0
 
-def test_long_chunks_are_searched_as_short_ones(v):
-    text = "ab1Q日z" * 30
-    assert chunk_ids(text, v) == whole_lattice(list(text), v)
+            def counted(text=text):
+                nonlocal read
+                for c in marked(text):
+                    read += 1
+                    yield c
+
+            runs = []
+            for run in stream(counted(), vocabulary):
+                lag = max(lag, read - given)
+                given += len(b"".join(vocabulary.said[i] for i in run).decode())
+                runs += run
+            assert given == read == len(text) + 1
+            # Sums of scores may keep several phases of a repeated word open to the end.
+            assert lag <= 2 * vocabulary.longest or vocabulary is u and text not in LONG[:1]
+            assert vocabulary is u or runs == sentencepiece.SentencePieceProcessor(model_proto=MODEL).encode(text)
+
+
+def test_every_chunk_goes_through_the_search(monkeypatch):
+    fresh, seen = Vocabulary(MODEL).load(), []
+    monkeypatch.setattr(sentencepiece_codec, "stream", lambda chars, v: seen.append(chars) or stream(chars, v))
+    text = "Hello the world, the " + "y" * 100
+    encode_text(text, fresh)
+    assert set(seen) == set(fresh.chunk.findall(marked(text)))
 
 
 def test_round_trip_and_the_library_reads_the_ids(v):
@@ -99,8 +130,8 @@ def test_the_librarys_ids(spark, sf_dir, v):
     library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     texts = [made_up(seed).replace(MARK, "") for seed in range(400)]
     texts += ["Hello The world", "x" * 3000, "the" * 700, "日本語の文章" * 40, "aAbB" * 50 + "\n" * 80, " " * 70, "▁".replace(MARK, " ")]
-    assert all(trained_ids(t, v) == library.encode(t) for t in texts)
-    assert all(merged_ids(MARK + t.replace(" ", MARK), v) == library.encode(t) for t in texts if t)
+    assert all(encode_text(t, v) == library.encode(t) for t in texts)
+    assert all([i for r in stream(marked(t), v) for i in r] == library.encode(t) for t in texts if t)
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
     got = {r.doc_id: r for r in encode_and_verify(whole, Vocabulary(MODEL)).collect()}
     rows = [r for r in whole.collect() if MARK not in r.text]
@@ -110,16 +141,5 @@ def test_the_librarys_ids(spark, sf_dir, v):
 def test_literal_marks_come_back_where_the_library_loses_them(v):
     for seed in range(250):
         text = made_up(seed)
-        assert decode_ids(trained_ids(text, v), v) == text
-
-
-def test_merges_are_given_out_early(v):
-    read = 0
-
-    def counted():
-        nonlocal read
-        for c in (MARK + "word") * 5000:
-            read += 1
-            yield c
+        assert decode_ids(encode_text(text, v), v) == text
 
-    assert next(merge_stream(counted(), v)) and read < 10
