@@ -1,13 +1,15 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 Ordinary words and names pack several characters into a token of a large BPE vocabulary; random keys do
-not. A long run of key characters with few characters per token is reported as kind `dense`, unless it
-is a digest of a known length, a UUID, or an identifier made of words. Whether the letter parts of an
-identifier are words is told by their tokens as well: each is one token or has enough characters per token. The patterns are leftmost and
-non-overlapping for each kind; spans are code points, end exclusive.
+not. A run of 16 key characters or more with few characters per token is reported as kind `dense`, unless
+it is a digest of a known length, a UUID, or an identifier made of words. Whether the letter parts of an
+identifier are words is told by their tokens as well: each is one token or has enough characters per
+token. Runs of letters alone under 20 characters may be rare words, so they must be denser still. The
+patterns are leftmost and non-overlapping for each kind; spans are code points, end exclusive.
 
 Defined results: null and empty texts have no spans (the digest is that of the empty string); repeated
-rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+rows give repeated results; a text of any length is scanned whole, and a run of any length is one span;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 #: A run of these characters is maximal, so asking for the least length at once finds the same spans.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Letters alone under SHORT characters need so many characters per token less.
+SHORT, SHORT_MARGIN = 20, 0.2
 
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+\Z")
@@ -88,7 +92,8 @@ def dense_spans(text: str, efficiency, most: float) -> list[tuple[int, int, str]
         # Without a letter, or of one character only, a run is a rule or a number.
         if not LETTERS.search(run) or len(set(run)) == 1 or is_known(run):
             continue
-        if efficiency(run) < most and not is_made_of_words(run, efficiency, most):
+        least = most - SHORT_MARGIN if len(run) < SHORT and run.isalpha() else most
+        if efficiency(run) < least and not is_made_of_words(run, efficiency, least):
             found.append((m.start(), m.end(), "dense"))
     return found
 

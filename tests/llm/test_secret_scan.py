@@ -77,7 +77,12 @@ def test_random_letters_and_short_numbers_are_dense(efficiency):
     for kind, make in kinds.items():
         keys = [make() for _ in range(200)]
         assert sum(dense_spans(f"see {k} here", efficiency, 2.2) == [(4, 4 + len(k), "dense")] for k in keys) >= 198, kind
-    words = ["antidisestablishmentarianism", "getUserNameFromDatabaseConnection", "i_j_k_l_m_n_o_p_x1_y2", "LD_LIBRARY_PATH_OVERRIDE_X86", "_" * 40, "=" * 20 + "-" * 20, "x" * 40]
+    for signs in (letters, string.ascii_lowercase, letters + digits, letters + digits + "+/"):
+        keys = ["".join(pick.choices(signs, k=k)) for k in range(16, 41) for _ in range(40)]
+        assert sum(dense_spans(f"see {k} here", efficiency, 2.2) == [(4, 4 + len(k), "dense")] for k in keys) >= 0.97 * len(keys)
+        short = [k for k in keys if len(k) < 20]
+        assert sum(bool(dense_spans(k, efficiency, 2.2)) for k in short) >= 0.9 * len(short)
+    words = ["internationalization", "Schpfgegebeunger", "responsibilities", "misunderstanding", "Wirtschaftswunder", "INTERNATIONALLY1", "antidisestablishmentarianism", "getUserNameFromDatabaseConnection", "i_j_k_l_m_n_o_p_x1_y2", "LD_LIBRARY_PATH_OVERRIDE_X86", "_" * 40, "=" * 20 + "-" * 20, "x" * 40]
     assert not any(dense_spans(w, efficiency, 2.2) for w in words)
 
 
