@@ -7,7 +7,8 @@ document is looked up as a text of its own, since notices stand on lines of thei
 
 Defined results: null and empty texts, and texts of which nothing is left, match nothing. Repeated rows
 give repeated results; an empty table, of either kind, gives no matches; two licences with the same form
-are told by the one whose name sorts first; extra columns are ignored.
+are told by the one whose name sorts first; a text of any length is read whole, in time that grows with its
+length; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def whole_licenses() -> list[tuple[str, str]]:
 
 
 #: A line that names who holds the rights and when: "Copyright (c) 2020 …", "© …", "All rights reserved".
-COPYRIGHT_LINE = r"(?m)^\W*(copyright\b.*\b[0-9]{4}\b.*|copyright \(c\).*|©.*|\(c\) *[0-9]{4}.*|all rights reserved\W*)$"
+#: It never runs over a line's end, so it costs no more than the text is long.
+COPYRIGHT_LINE = r"(?m)^[^\w\n]*(copyright\b.*\b[0-9]{4}\b.*|copyright \(c\).*|©.*|\(c\) *[0-9]{4}.*|all rights reserved[^\w\n]*)$"
 
 
 _SPACED = {c: " " for c in (*range(0x2E), 0x2F, *range(0x3A, 0x61), *range(0x7B, 0x80), *range(0x2010, 0x2020)) if c != 0x0A}

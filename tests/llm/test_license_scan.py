@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from millrace.llm import license_scan
 from millrace.llm.license_scan import KNOWN, TEXTS, canonical, known_licenses, scan
 
 MIT = next(t for n, t in KNOWN if n == "MIT" and len(t) > 500)
@@ -64,3 +65,13 @@ def test_empty_tables(spark, docs):
     assert scan(docs([]), known_licenses(spark)).count() == 0
     none = spark.createDataFrame([], "license string, digest binary")
     assert [r.license for r in scan(docs([(1, MIT)]), none).collect()] == [None]
+
+
+def test_time_grows_with_the_length_of_a_text():
+    import time
+
+    texts = ["(c)" + "\n" * 1_000_000, "copyright " + "- " * 500_000 + "x", "all rights reserved" + "\n" * 1_000_000 + "x", "©" + " \n" * 500_000, "(c) " * 250_000]
+    for text in texts:
+        began = time.perf_counter()
+        license_scan.digest(text)
+        assert time.perf_counter() - began < 5
