@@ -7,14 +7,16 @@ room. Shards may take a fixed number of rows each, so the counts are as even as
 hash does, and adding a shard moves little besides what it takes.
 
 Only counts by tick (ring_size numbers at most) come to the driver; the plan made of them, ranges of ranks
-within ticks, has at most ring_size + virtual_nodes * shards rows and is broadcast. Rows are ranked
-inside their tick, so no task gets more than a tick's share; choose ring_size for that.
+within ticks, has at most ring_size + virtual_nodes * shards rows and is broadcast. Rows that are alike in
+id, checksum and size are counted before the shuffle and told again once they are placed, in pieces of
+PIECE rows; the others of a tick are ranked in DEALS parts by hash, each with its own offset. So neither
+rows with one id nor copies of one row gather in a task.
 
 Law: `rows`. With load_factor 1 the counts of any two shards differ by one at most.
 
 Defined results: a null text has size 1 and checksum 0. Rows with a null id are placed by their checksum.
-Repeated rows are placed one by one, next to each other. An empty table gives an empty result. Extra
-columns are ignored.
+Repeated rows are placed one by one, next to each other; a text of any length is one row. An empty table
+gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import require, text_or_empty
+from millrace.llm.common import durable, require, text_or_empty
 
+#: Parts of a tick that are ranked apart, and copies of a row that are told in one piece.
+DEALS, PIECE = 64, 100_000
 PLAN_SCHEMA = "tick int, first bigint, last bigint, shard int, base bigint"
 
 
@@ -89,13 +93,31 @@ def shard_rows(
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
     spot = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("text_crc32", "size"))
     rows = rows.withColumn("spot", spot).withColumn("tick", F.pmod("spot", F.lit(ring_size)).cast("int"))
-    counts = {r["tick"]: r["n"] for r in rows.groupBy("tick").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(DEALS)).cast("int"))
+    # The texts are read once: what is left of a row is a few numbers.
+    alike = durable(rows.groupBy("tick", "deal", "spot", "id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("n")), "alike")
+    deals = alike.groupBy("tick", "deal").agg(F.sum("n").alias("held"))
+    counts = {r["tick"]: r["n"] for r in deals.groupBy("tick").agg(F.sum("held").alias("n")).collect()}
     room = capacities(sum(counts.values()), shards, load_factor)
     plan = plan_of(counts, ring_of(shards, virtual_nodes, ring_size), room, ring_size)
     ranges = docs.sparkSession.createDataFrame(plan, PLAN_SCHEMA).withColumnRenamed("tick", "plan_tick")
-    order = Window.partitionBy("tick").orderBy("spot", "id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
-    placed = ranked.join(F.broadcast(ranges), (F.col("tick") == F.col("plan_tick")) & F.col("rank").between(F.col("first"), F.col("last")))
-    return placed.select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).cast("long").alias("slot")
+
+    def before(n, *parts):
+        return lambda *order: F.coalesce(F.sum(n).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    offsets = deals.select("tick", "deal", before("held", "tick")("deal").alias("offset"))
+    ranked = alike.withColumn("within", before("n", "tick", "deal")("spot", "id", "text_crc32", "size")).join(offsets, ["tick", "deal"])
+    ranked = ranked.withColumn("from", F.col("offset") + F.col("within")).withColumn("to", F.col("offset") + F.col("within") + F.col("n") - 1)
+    meets = (F.col("tick") == F.col("plan_tick")) & (F.col("from") <= F.col("last")) & (F.col("to") >= F.col("first"))
+    placed = ranked.join(F.broadcast(ranges), meets).select(
+        F.col("id").alias(id_col),
+        "size",
+        "text_crc32",
+        "shard",
+        (F.col("base") + F.greatest("from", "first") - F.col("first")).alias("slot"),
+        (F.least("to", "last") - F.greatest("from", "first") + 1).alias("n"),
     )
+    pieces = placed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
+    pieces = pieces.repartition(id_col, "text_crc32", "piece")
+    inside = F.explode(F.sequence(F.col("piece"), F.least(F.col("piece") + PIECE, F.col("n")) - 1))
+    return pieces.withColumn("inside", inside).select(id_col, "size", "text_crc32", "shard", (F.col("slot") + F.col("inside")).cast("long").alias("slot"))

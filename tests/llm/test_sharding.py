@@ -52,6 +52,24 @@ def test_counts_differ_by_one_and_slots_have_no_gaps(docs):
     assert Counter((str(r.doc_id), r.size, r.text_crc32) for r in got) == texts
 
 
+def test_one_id_and_copies_of_one_row_are_placed_whole(docs, monkeypatch):
+    from millrace.llm import sharding
+
+    monkeypatch.setattr(sharding, "PIECE", 50)
+    rows = [(7, f"text {i}") for i in range(400)] + [(8, "same")] * 700 + [(i, "x" * 200_000 if i == 20 else "t") for i in range(10, 60)]
+    got = shard_rows(docs(rows), 8, **SIZES).collect()
+    by_shard = Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(by_shard.values()) - min(by_shard.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(by_shard[s])) for s in range(8))
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+
+
+def test_even_loads_move_little_when_a_shard_is_added(docs):
+    rows = [(i, "t") for i in range(4000)]
+    place = {n: {r.doc_id: r.shard for r in shard_rows(docs(rows), n).collect()} for n in (8, 9)}
+    assert sum(place[8][i] != place[9][i] for i in place[8]) < 0.2 * 4000
+
+
 def test_looser_loads_move_little_when_a_shard_is_added(docs):
     rows = [(i, "t") for i in range(4000)]
     place = {n: {r.doc_id: r.shard for r in shard_rows(docs(rows), n, load_factor=1.25, virtual_nodes=128).collect()} for n in (8, 9)}
