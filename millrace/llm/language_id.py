@@ -6,31 +6,36 @@ to single characters. A text's score for a language is the sum over its words; t
 posterior of the best language with the evidence held to EVIDENCE words, so that it stays graded for
 long texts. Ties go to the language that sorts first.
 
-Training counts words of at most `most_rows` labelled rows (chosen by the hash of their ids, all of them
-where there are no more), and keeps the `most_words` commonest words and `most_grams` commonest n-grams of
-each length for each language, so the model's size does not depend on the corpus. Prediction reads every
-word of every text.
+Training counts every word and n-gram of a sample of the labelled texts: all of them where they are no
+more than about `most_rows` different texts with `most_chars` characters together, else those with the
+least hashes. These two are the only bounds; nothing that the sample holds is left out. Equal texts of one
+language count once. Prediction reads every word of every text.
 
 Defined results: null texts and texts without a letter give "und" and score 0, as does everything where
-no row could be learned from. Rows with a null language are not learned from. Repeated rows give repeated
-results; an empty table gives an empty result; extra columns are ignored.
+no row could be learned from. Rows with a null language are not learned from. A text of any length is
+scored whole, a part at a time. Repeated rows give repeated results; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import require, text_slices
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ASCII_WORD, OUTSIDE_PLANE = re.compile("[a-z]+"), re.compile("[\U00010000-\U0010ffff]")
 LONGEST_GRAM = 4
 #: Weight, in words, of the mean of all languages.
 SMOOTHING = 100.0
@@ -47,6 +52,27 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+@cache
+def _plane_word() -> re.Pattern:
+    """WORD for texts within the basic plane, in the form that Python's own engine looks up in a table."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(1 << 16)]
+
+    def members(which: str) -> str:
+        inside = np.array([k in which for k in kinds])
+        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+    return re.compile(f"[{members('L')}][{members('LM')}]*")
+
+
+def words_of(text: str) -> list[str]:
+    """Words in small letters."""
+    text = text.lower()
+    if text.isascii():
+        return ASCII_WORD.findall(text)
+    return (WORD if OUTSIDE_PLANE.search(text) else _plane_word()).findall(text)
+
+
 class Model:
     """Log frequencies by language of words and of n-grams; rows of a matrix."""
 
@@ -55,23 +81,28 @@ class Model:
 
     @classmethod
     def of_counts(cls, languages: list[str], words: dict[tuple[str, str], int], by_length: list[dict[tuple[str, str], int]]) -> Model:
-        rows: list[np.ndarray] = []
-        tables = []
-        for counts in (words, *by_length):
-            known = sorted({k for _, k in counts})
+        """Of counts by (language, word) and, for each length, by (language, n-gram)."""
+        tables = [([k[0] for k in t], [k[1] for k in t], list(t.values())) for t in (words, *by_length)]
+        return cls.of_columns(languages, tables)
+
+    @classmethod
+    def of_columns(cls, languages: list[str], tables: list[tuple]) -> Model:
+        """Of tables (languages, keys, counts): the first of words, then of n-grams by length."""
+        column, found, rows, begin = {name: j for j, name in enumerate(languages)}, [], [], 0
+        for names, keys, counts in tables:
+            known = sorted(set(keys))
             place = {k: i for i, k in enumerate(known)}
             table = np.zeros((len(known), len(languages)))
-            for j, language in enumerate(languages):
-                for (which, k), n in counts.items():
-                    if which == language:
-                        table[place[k], j] = n
-            # Smoothed towards the mean of all languages, so that one with few words does not draw rare ones to itself.
-            total = table.sum(axis=0)
-            everywhere = (table / np.maximum(total, 1)).mean(axis=1, keepdims=True)
-            logs = np.log(table + SMOOTHING * everywhere) - np.log(total + SMOOTHING)
-            tables.append({k: i + sum(map(len, rows)) for k, i in place.items()})
-            rows.append(logs)
-        return cls(languages, tables[0], tables[1:], np.concatenate(rows) if rows else np.zeros((0, 0)))
+            if known:
+                table[[place[k] for k in keys], [column[n] for n in names]] = counts
+                # Smoothed towards the mean of all languages, so that one with few words does not draw rare ones to itself.
+                total = table.sum(axis=0)
+                everywhere = (table / np.maximum(total, 1)).mean(axis=1, keepdims=True)
+                table = np.log(table + SMOOTHING * everywhere) - np.log(total + SMOOTHING)
+            found.append({k: begin + i for k, i in place.items()})
+            rows.append(table)
+            begin += len(known)
+        return cls(languages, found[0], found[1:], np.concatenate(rows))
 
     def unseen(self, word: str) -> np.ndarray:
         """The score of a word that is not known: a sum over its characters."""
@@ -103,7 +134,7 @@ class Scorer:
         return row
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages))
@@ -126,7 +157,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             for part in text_slices(batch, "text"):
                 seen: Counter = Counter()
                 for language, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    seen.update((language, w) for w in WORD.findall(text.lower()))
+                    seen.update((language, w) for w in words_of(text))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"]
                 )
@@ -149,9 +180,15 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(count, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def _commonest(counts: DataFrame, group: list[str], key: str, most: int) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy(F.desc("n"), F.asc(key))
-    return counts.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= most).drop("__place")
+def _sample(rows: DataFrame, most_rows: int, most_chars: int) -> DataFrame:
+    """Different (lang, text) rows, about so many at most; a text that many rows hold is one, whatever their ids."""
+    rows = rows.withColumn("h", F.xxhash64("lang", "text"))
+    there = rows.agg(F.approx_count_distinct("h", 0.01).alias("texts"), F.sum(F.length("text").cast("double")).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
+    # Copies are counted among the characters, which only makes the sample smaller.
+    share = min(1.0, most_rows / max(1, there["texts"]), most_chars / max(1.0, there["chars"] or 0.0)) if there["rows"] > most_rows or (there["chars"] or 0) > most_chars else 1.0
+    if share < 1:
+        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return rows.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def train(
@@ -159,8 +196,7 @@ def train(
     learn_from: Column | None = None,
     *,
     most_rows: int = 20_000,
-    most_words: int = 20_000,
-    most_grams: int = 20_000,
+    most_chars: int = 100_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -169,21 +205,19 @@ def train(
     require(docs, id_col, text_col, lang_col)
     rows = docs if learn_from is None else docs.filter(learn_from)
     rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    there = rows.count()
-    if there > most_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(there)) < most_rows)
-    # Two reads of a bounded table follow: the counts of at most most_rows texts.
-    words = _word_counts(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))).persist()
+    sample = _sample(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), most_rows, most_chars)
+    # Two reads of a bounded table follow: the counts of the sample's words.
+    words = _word_counts(sample).persist()
     try:
-        known = _commonest(words.filter("n > 1"), ["lang"], "word", most_words).collect()
-        parts = _commonest(_gram_counts(words), ["lang", "size"], "gram", most_grams).collect()
+        of_words = words.select("lang", "word", "n").toArrow()
+        of_grams = _gram_counts(words).select("size", "lang", "gram", "n").toArrow()
     finally:
         words.unpersist()
-    languages = sorted({r["lang"] for r in known} | {r["lang"] for r in parts})
-    by_length: list[dict[tuple[str, str], int]] = [{} for _ in range(LONGEST_GRAM)]
-    for r in parts:
-        by_length[r["size"] - 1][r["lang"], r["gram"]] = r["n"]
-    return Model.of_counts(languages, {(r["lang"], r["word"]): r["n"] for r in known}, by_length)
+    tables = [tuple(c.to_pylist() for c in of_words.columns)]
+    size = of_grams.column("size").to_numpy()
+    for length in range(1, LONGEST_GRAM + 1):
+        tables.append(tuple(c.to_pylist() for c in of_grams.filter(pa.array(size == length)).columns[1:]))
+    return Model.of_columns(sorted(set(tables[0][0])), tables)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
