@@ -17,9 +17,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that folder would lie on one machine.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,6 +41,15 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table that durable() wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        place = hadoop(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def require(docs: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in docs.columns]
     if missing:

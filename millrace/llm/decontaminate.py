@@ -1,21 +1,27 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are brought to lower-case words with single spaces. An item is searched for as
-segments of SEGMENT characters that overlap by half (a shorter item is one segment), so a passage quoted
-in part is found too. If a region of a text is within k edits of a segment of n characters, they share at
+segments of SEGMENT characters, one every STEP characters and one at its end (a shorter item is one
+segment), so a passage quoted in part is found too: any verbatim quote of SEGMENT + STEP - 1 characters
+holds a whole segment. If a region of a text is within k edits of a segment of n characters, they share at
 least n + 1 - (k + 1) * q q-grams whose diagonals (place in text minus place in segment) differ by k at
 most. Shared q-grams are counted in diagonal bands of width 2 * (k + 1) that overlap by half; bands that
 reach the bound, each gram of a segment counted once, are verified by a banded alignment (after a bit-
-parallel bound on the edits), so what is reported is within the budget exactly, and
-nothing within the budget is missed.
+parallel bound on the edits), so what is reported is within the budget exactly, and no region within a
+segment's budget is missed.
 
-The benchmark is taken in blocks of bounded size, each sent to the tasks that read the texts; more
-benchmark makes more blocks. A text is read whole, whatever its length.
+The budget is a tenth of the segment as far as the lemma still gives a bound: none under 2 * Q characters,
+where the words must stand in the text as they are, from one word's beginning to another's end. An item
+under Q characters has no q-gram and would stand in most texts by chance: it matches a text that is the
+item, after normalisation.
 
-Defined results: null and empty texts match nothing; items with fewer than LEAST_ITEM characters (after
-normalisation) and null items are too short to tell a passage and match nothing; an empty benchmark
-matches nothing. Repeated rows give repeated results; repeated items report each; extra columns pass
-through find_passages() unread.
+The benchmark is taken in blocks of bounded size, one after the other: a block's index goes to the tasks
+that read the texts, and with more than one block each block's matches are a written table before the next
+block is read. A text is read whole, whatever its length.
+
+Defined results: null and empty texts match nothing, as do null items and items without a letter or digit;
+an empty benchmark matches nothing. Repeated rows give repeated results; repeated items report each; extra
+columns pass through find_passages() unread.
 """
 
 from __future__ import annotations
@@ -29,15 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import require, text_slices
+from millrace.llm.common import durable, forget, require, text_slices
 from millrace.llm.wordhash import ranges
 
 Q = 8
-SEGMENT = 100
+SEGMENT, STEP = 100, 25
 EDIT_RATE = 0.1
-LEAST_ITEM = 40
 #: Characters of benchmark text in a block.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
 _GRAM = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD1342543DE82EF95)
@@ -49,17 +54,25 @@ _COUNTS = np.array([chr(c).isalnum() for c in range(1 << 16)], dtype=bool)
 
 
 def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Small letters and digits with single spaces between, as code points, and the place of each in the text.
-
-    Characters outside the basic plane count as spaces, as do all that are neither letter nor digit.
-    """
+    """Small letters and digits with single spaces between, as code points, and the place of each in the text."""
     chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     held = np.minimum(chars, 0xFFFF)
-    word = _COUNTS[held]
+    word, small = _COUNTS[held], _SMALL[held]
+    beyond = np.flatnonzero(chars > 0xFFFF)
+    if len(beyond):
+        signs, which = np.unique(chars[beyond], return_inverse=True)
+        said = [chr(c) for c in signs.tolist()]
+        word[beyond] = np.array([c.isalnum() for c in said])[which]
+        small[beyond] = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in said], dtype=np.uint32)[which]
     keep = word.copy()
     keep[1:] |= word[:-1]  # one space after a word
     places = np.flatnonzero(keep)
-    return np.where(word[places], _SMALL[held[places]], np.uint32(32)), places
+    return np.where(word[places], small[places], np.uint32(32)), places
+
+
+def _bare(text: str | None) -> np.ndarray:
+    chars, _ = normalise(text)
+    return chars[:-1] if len(chars) and chars[-1] == 32 else chars
 
 
 def gram_hashes(chars: np.ndarray) -> np.ndarray:
@@ -76,7 +89,7 @@ def gram_hashes(chars: np.ndarray) -> np.ndarray:
 
 def budget(length: int) -> int:
     """Edits allowed in a segment: EDIT_RATE of its length, as far as the lemma still gives a bound."""
-    return min(int(EDIT_RATE * length), length // Q - 1)
+    return max(0, min(int(EDIT_RATE * length), length // Q - 1))
 
 
 @dataclass
@@ -99,15 +112,13 @@ class Segment:
 
 
 def segments_of(item_id: object, text: str | None) -> list[Segment]:
-    chars, _ = normalise(text)
-    if len(chars) and chars[-1] == 32:
-        chars = chars[:-1]
-    if len(chars) < LEAST_ITEM:
+    chars = _bare(text)
+    if not len(chars):
         return []
     if len(chars) <= SEGMENT:
         starts, size = [0], len(chars)
     else:
-        starts = sorted({*range(0, len(chars) - SEGMENT + 1, SEGMENT // 2), len(chars) - SEGMENT})
+        starts = sorted({*range(0, len(chars) - SEGMENT + 1, STEP), len(chars) - SEGMENT})
         size = SEGMENT
     return [Segment(item_id, chars[s : s + size], budget(size)) for s in starts]
 
@@ -116,16 +127,22 @@ class Index:
     """The q-grams of a block of segments: sorted hashes, and where each occurs."""
 
     def __init__(self, segments: list[Segment]):
+        # Those without a q-gram are looked up as whole texts.
+        self.tiny: dict[bytes, list[object]] = {}
+        for s in segments:
+            if len(s.chars) < Q:
+                self.tiny.setdefault(s.chars.tobytes(), []).append(s.item)
+        segments = [s for s in segments if len(s.chars) >= Q]
         self.segments = segments
         self.edits = np.array([s.edits for s in segments], dtype=np.int64)
         self.least = np.array([s.least_shared for s in segments], dtype=np.int64)
         hashes = [gram_hashes(s.chars) for s in segments]
         every = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        segment = np.repeat(np.arange(len(segments)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
+        segment = np.repeat(np.arange(len(segments), dtype=np.int32), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.zeros(0, dtype=np.int32)
         order = np.argsort(every, kind="stable")
         self.known, first, count = np.unique(every[order], return_index=True, return_counts=True)
-        self.first, self.count = first, count
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
         self.segment, self.place = segment[order], place[order]
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self._slot(self.known)] = True
@@ -147,8 +164,8 @@ class Index:
         if not len(at):
             return []
         times = self.count[found]
-        entry = ranges(self.first[found], times)
-        segment, diagonal = self.segment[entry], np.repeat(at, times) - self.place[entry]
+        entry = ranges(self.first[found].astype(np.int64), times)
+        segment, diagonal = self.segment[entry].astype(np.int64), np.repeat(at, times) - self.place[entry]
         base = len(chars) + SEGMENT  # keeps strips positive
         room = 2 * base + 2
         strips, number = np.unique(segment * room + (diagonal + base) // (self.edits[segment] + 1), return_counts=True)
@@ -233,30 +250,42 @@ def align(segment: np.ndarray, chars: np.ndarray, first: int, width: int, edits:
     return distance, max(0, low + c), min(len(chars), end_at)
 
 
+def _stands(segment: np.ndarray, chars: np.ndarray, start: int) -> bool:
+    """Whether the segment stands at start as it is, from one word's beginning to another's end."""
+    end = start + len(segment)
+    if start < 0 or end > len(chars) or not np.array_equal(chars[start:end], segment):
+        return False
+    return (start == 0 or chars[start - 1] == 32) and (end == len(chars) or chars[end] == 32)
+
+
 def passages(text: str | None, index: Index) -> list[tuple[object, int, int, int]]:
     """(item, start, end, edits) for each segment found, in places of the text."""
     chars, places = normalise(text)
+    if len(chars) <= Q:
+        bare = _bare(text)
+        return [(item, int(places[0]), int(places[len(bare) - 1]) + 1, 0) for item in index.tiny.get(bare.tobytes(), ()) if len(bare)] + _regions_found(chars, places, index)
+    return _regions_found(chars, places, index)
+
+
+def _regions_found(chars: np.ndarray, places: np.ndarray, index: Index) -> list[tuple[object, int, int, int]]:
     found: dict[tuple[int, int], tuple[object, int, int, int]] = {}
     for which, first in index.regions(chars):
         segment = index.segments[which]
         width = 2 * (segment.edits + 1)
-        if least_edits(segment, chars, first, width) > segment.edits:
+        if not segment.edits and len(segment.chars) < 2 * Q:
+            hits = [(0, at, at + len(segment.chars)) for at in range(first, first + width) if _stands(segment.chars, chars, at)]
+        elif least_edits(segment, chars, first, width) > segment.edits:
             continue
-        hit = align(segment.chars, chars, first, width, segment.edits)
-        if hit is not None:
+        else:
+            hits = [align(segment.chars, chars, first, width, segment.edits)]
+        for hit in filter(None, hits):
             distance, start, end = hit
             found.setdefault((which, end), (segment.item, int(places[start]), int(places[max(start, end - 1)]) + 1, distance))
     return [found[k] for k in sorted(found)]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The items, in blocks of about BLOCK_CHARS characters; one block at a time comes to the driver."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
+def _count_blocks(items: DataFrame) -> int:
+    return -(-(items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // BLOCK_CHARS)
 
 
 def find_passages(
@@ -267,37 +296,53 @@ def find_passages(
     item_col: str = "item_id",
     item_text_col: str = "text",
     matches_col: str = "matches",
+    only_clean: bool = False,
 ) -> DataFrame:
-    """docs with an array of (item_id, start, end, distance): the parts of the text that stand for a benchmark item."""
+    """docs with an array of (item_id, start, end, distance): the parts of the text that stand for a benchmark item.
+
+    With only_clean, the rows without any, as they are.
+    """
     require(docs, text_col)
     require(benchmark, item_col, item_text_col)
     if matches_col in docs.columns:
         raise ValueError(f"docs already has a column {matches_col}")
+    spark = docs.sparkSession
     item_field = benchmark.schema[item_col].dataType.simpleString()
     item_arrow = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
     match = pa.struct([("item_id", item_arrow), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())])
     out = docs.withColumn(matches_col, F.expr(f"cast(array() as array<{MATCH.format(item_field)}>)"))
     schema = out.schema
-    for block in blocks_of(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(Index([s for item, text in block for s in segments_of(item, text)]))
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
+    blocks, before = _count_blocks(items), None
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        index = Index([s for r in part.toLocalIterator() for s in segments_of(r["item"], r["text"])])
+        shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
                 for part in text_slices(batch, text_col):
                     at = part.schema.get_field_index(matches_col)
-                    matches = []
-                    for text, before in zip(part.column(text_col).to_pylist(), part.column(at).to_pylist(), strict=True):
-                        hits = passages(text, index)
-                        if hits:
-                            before = before + [dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in hits]
-                        matches.append(before)
-                    columns = [*part.columns]
-                    columns[at] = pa.array(matches, pa.list_(match))
-                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                    hits = [passages(text, index) for text in part.column(text_col).to_pylist()]
+                    if any(hits):
+                        told = zip(hits, part.column(at).to_pylist(), strict=True)
+                        matches = [before + [dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in new] for new, before in told]
+                        columns = [*part.columns]
+                        columns[at] = pa.array(matches, pa.list_(match))
+                        part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                    yield part
 
         out = out.mapInArrow(search, schema)
-    return out
+        if only_clean:
+            out = out.filter(F.size(matches_col) == 0)
+        if blocks > 1:  # one block's index and one table at a time
+            out = durable(out, "passages")
+            shared.destroy()
+            if before is not None:
+                forget(before)
+            before = out
+    return out.drop(matches_col) if only_clean else out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,5 +362,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark passage, with their columns."""
-    found = find_passages(docs, benchmark, text_col=text_col, matches_col="__matches")
-    return found.filter(F.size("__matches") == 0).drop("__matches")
+    free = next(name for k in range(len(docs.columns) + 1) if (name := f"__matches{k}") not in docs.columns)
+    return find_passages(docs, benchmark, text_col=text_col, matches_col=free, only_clean=True)
