@@ -12,12 +12,14 @@ document; each word covered by a window that also starts in a document with a sm
    documents are repeats, and neighbouring ones join to maximal repeats.
 
 There is no list of pairs: a passage that many documents share costs each of them its own length.
-Anchors use 64 bits less those that travel as partition and tail; a false hit costs a look at a few
-windows. Repeats are told by 64-bit fingerprints of word sequences that contain a hit.
+Anchors use 40 bits and those that say which part they go to; a false hit costs a look at a few windows.
+The parts follow from the size of the input, so that the blocks of one fit in a task's memory. Repeats are
+told by two 64-bit fingerprints of the whole window, made with different bases.
 
 Defined results: null and empty texts have no words. Rows with a null id are left as they are and are
 no one's earlier document. Rows that share an id are one document: none of them is earlier than another.
-Repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+A text of any length is read whole. Repeated rows give repeated results; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +34,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, require, text_or_empty, text_slices
 from millrace.llm.grouped import group_bounds, whole_groups
-from millrace.llm.wordhash import Words, ranges, windows, words_of
-
-#: Bytes of text whose fingerprints travel together.
-CHUNK_BYTES = 8 << 20
+from millrace.llm.wordhash import BASE_WORD, Words, ranges, windows, words_of
+
+#: Bytes of text whose blocks make a part, and the most parts there are (a part then holds more).
+PART_BYTES, MOST_PARTS = 32 << 20, 1 << 17
+#: Bytes of text whose fingerprints travel together: at least, at most, and for each part.
+CHUNK_BYTES, CHUNK_BYTES_MOST, CHUNK_BYTES_A_PART = 8 << 20, 64 << 20, 512
+TAIL_BITS = 40
+PRINT = ["print", "other"]
+OTHER_BASE = 0xA0761D6478BD642F
 BLOCKS, PROBES, DOCS = 0, 1, 2
 CHUNK_SCHEMA = "part int, kind int, chunk bigint, gaps binary, tails binary, ids binary, counts binary, words binary, digests binary"
 COLUMNS = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
@@ -57,6 +64,16 @@ def unpack_gaps(packed: bytes) -> np.ndarray:
     return (np.cumsum(steps + last) - 1)[last]
 
 
+def pack_tails(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each: all low 32, then all high 8."""
+    return hashes.astype(np.uint32).tobytes() + (hashes >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpack_tails(packed: bytes) -> np.ndarray:
+    n = len(packed) // (TAIL_BITS // 8)
+    return np.frombuffer(packed, np.uint32, n).astype(np.uint64) | np.frombuffer(packed, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _sha(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()
 
@@ -66,8 +83,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int, block: int) -> Iterat
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
+    chunk_bytes = min(max(CHUNK_BYTES, CHUNK_BYTES_A_PART * parts), CHUNK_BYTES_MOST)
     for batch in batches:
-        for piece in text_slices(batch, "body", CHUNK_BYTES):
+        for piece in text_slices(batch, "body", chunk_bytes):
             hashes, kinds, ids, counts, n_words, digests = [], [], [], [], [], []
             for part in text_slices(piece, "body"):
                 body = part.column("body")
@@ -81,7 +99,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int, block: int) -> Iterat
                 n_words.append(words.counts)
                 digests += [_sha(b" ".join(t.encode().split())) for t in body.to_pylist()]
             h, aligned = np.concatenate(hashes), np.concatenate(kinds)
-            tails = h.astype(np.uint32)
             where = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             rows: list[tuple] = []
             for kind, chosen in ((BLOCKS, aligned), (PROBES, ~aligned)):
@@ -91,7 +108,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], parts: int, block: int) -> Iterat
                 for p in range(parts):
                     own = order[bounds[p] : bounds[p + 1]]
                     if len(own):
-                        rows.append((p, kind, number, pack_gaps(own), tails[own].tobytes(), None, None, None, None))
+                        rows.append((p, kind, number, pack_gaps(own), pack_tails(h[own]), None, None, None, None))
             packed = [np.concatenate(x).astype(np.int64).tobytes() for x in (ids, counts, n_words)]
             rows.append((number % parts, DOCS, number, None, None, *packed, b"".join(digests)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
@@ -102,14 +119,14 @@ class _Anchors:
     """The blocks of one part: distinct tails, where each was first seen, and which are repeats."""
 
     def __init__(self):
-        self.tails = np.zeros(0, dtype=np.uint32)
-        self.chunk = self.place = np.zeros(0, dtype=np.int64)
+        self.tails = np.zeros(0, dtype=np.uint64)
+        self.chunk, self.place = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self.told = np.zeros(0, dtype=bool)
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, tails: np.ndarray, chunk: int, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        self.waiting.append((tails, np.full(len(tails), chunk), places))
+        self.waiting.append((tails, np.full(len(tails), chunk), places.astype(np.int32)))
         self.held += len(tails)
         return self.merge() if self.held > max(200_000, len(self.tails) // 2) else []
 
@@ -141,7 +158,7 @@ class _Anchors:
         own = np.unique(at[hit])
         own = own[~self.told[own]]
         self.told[own] = True
-        return [(np.full(int(hit.sum()), chunk), places[hit]), (self.chunk[own], self.place[own])]
+        return [(np.full(int(hit.sum()), chunk), places[hit].astype(np.int32)), (self.chunk[own], self.place[own])]
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +174,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(chunk, kind="stable")
         chunk, place = chunk[order], place[order]
         names, first = np.unique(chunk, return_index=True)
-        packed = [p.tobytes() for p in np.split(place, first[1:])]
+        packed = [p.astype(np.int32).tobytes() for p in np.split(place, first[1:])]
         none = pa.nulls(len(names), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([PROBES] * len(names), pa.int32()), pa.array(packed, pa.binary()), none, none, none, none], schema=schema)
 
@@ -169,7 +186,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["kind"] == DOCS:
                 yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "kind": DOCS, "places": None, **{c: row[c] for c in COLUMNS[5:]}}], schema=schema)
                 continue
-            tails, places = np.frombuffer(row["tails"], dtype=np.uint32), unpack_gaps(row["gaps"])
+            tails, places = unpack_tails(row["tails"]), unpack_gaps(row["gaps"])
             if row["kind"] == BLOCKS:
                 yield from batch_of(anchors.add(tails, row["chunk"], places))
             else:
@@ -186,7 +203,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = group.slice(begin, end - begin).to_pylist()
             docs = next(r for r in rows if r["kind"] == DOCS)
             ids, counts, n_words = (np.frombuffer(docs[c], dtype=np.int64) for c in ("ids", "counts", "words"))
-            places = np.sort(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["places"], dtype=np.int64) for r in rows if r["kind"] != DOCS]]))
+            places = np.sort(np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["places"], dtype=np.int32) for r in rows if r["kind"] != DOCS]])).astype(np.int64)
             first = np.concatenate(([0], np.cumsum(counts)))
             cut = np.searchsorted(places, first)
             starts = [(places[cut[i] : cut[i + 1]] - first[i]).astype(np.int32).tobytes() if cut[i + 1] > cut[i] else None for i in range(len(ids))]
@@ -221,7 +238,8 @@ def repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
     block = window // 2
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"))
     known = rows.filter("id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = known.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // PART_BYTES)), MOST_PARTS)
     packed = known.mapInArrow(lambda b: _chunks(b, parts, block), CHUNK_SCHEMA)
     dealt = packed.repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk")
     found = dealt.mapInArrow(_hits, "chunk bigint, kind int, places binary, ids binary, counts binary, words binary, digests binary")
@@ -231,7 +249,6 @@ def repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
     # A row's text is told by its id and digest; rows that share both are one here.
     candidates = known.join(hit, "id")
 
-
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "body"):
@@ -246,23 +263,26 @@ def repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
             for part in text_slices(batch, "body"):
                 words = words_of(part.column("body"))
                 starts, number = _around(words, part.column("hits").to_pylist(), window, block)
-                prints = windows(words, window)[np.repeat(words.first[:-1], number) + starts]
+                at = np.repeat(words.first[:-1], number) + starts
+                prints = [pa.array(windows(words, window, base)[at].view(np.int64)) for base in (BASE_WORD, OTHER_BASE)]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), number))
-                columns = [part.column("id").take(rows), part.column("digest").take(rows), pa.array(starts.astype(np.int32)), pa.array(prints.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "start", "print"])
+                columns = [part.column("id").take(rows), part.column("mark").take(rows), pa.array(starts.astype(np.int32)), *prints]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "start", *PRINT])
 
-    each = extended.mapInArrow(around, "id bigint, digest binary, start int, print bigint")
-    first = each.groupBy("print").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    # Half a digest is enough to tell the texts of one id.
+    marked = extended.select("id", F.substring("digest", 1, 16).alias("mark"), "hits", "body")
+    each = marked.mapInArrow(around, "id bigint, mark binary, start int, print bigint, other bigint")
+    first = each.groupBy(*PRINT).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     # A table of its own: a print that very many documents share is then a skewed join, which Spark splits.
-    first = durable(first.select("print", "least"), "first")
-    later = each.join(first, "print").filter("id > least").groupBy("id", "digest").agg(F.collect_set("start").alias("starts"))
-    texts = extended.select("id", "digest", "body")
+    first = durable(first.select(*PRINT, "least"), "first")
+    later = each.join(first, PRINT).filter("id > least").groupBy("id", "mark").agg(F.collect_set("start").alias("starts"))
+    texts = extended.select("id", "digest", F.substring("digest", 1, 16).alias("mark"), "body")
     left_out = rows.filter("id is null")
     if not left_out.isEmpty():
         said = _words(F.col("body"))
         nameless = left_out.select("id", F.size(said).cast("long").alias("n_words"), F.unhex(F.sha2(F.array_join(said, " "), 256)).alias("digest"))
         documents = documents.select("id", "n_words", "digest").unionByName(nameless)
-    return documents.select("id", "n_words", "digest"), texts.join(later, ["id", "digest"])
+    return documents.select("id", "n_words", "digest"), texts.join(later, ["id", "mark"]).drop("mark")
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 50, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,12 +97,12 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, hashes, np.searchsorted(start, offsets))
 
 
-def windows(words: Words, size: int) -> np.ndarray:
+def windows(words: Words, size: int, base: int = BASE_WORD) -> np.ndarray:
     """Fingerprints of the windows of `size` words that start at each word; those past the last full one are not to be used."""
     n = len(words.hash)
     if not n:
         return words.hash
-    up, down = powers(BASE_WORD, n)
+    up, down = powers(base, n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(words.hash * up, out=sums[1:])
     stop = np.minimum(np.arange(n) + size, n)
