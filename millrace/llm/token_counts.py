@@ -3,12 +3,14 @@
 A text is known by the digest of its normalised content, a tokenizer by the digest of its model. Texts
 whose (content, tokenizer) pair is in the cache take the stored count; of the others each distinct text
 is encoded once and its count appended to the cache, a Parquet table that later runs and other jobs
-share. Counts are read back from the cache, so a task that is run again finds or makes the same rows.
+share; it is laid out by tokenizer, so a run reads the entries of its own only. Counts are read back from
+the cache, so a task that is run again finds or makes the same rows.
 
 The normalisation must not change a count: by default it only reads null as the empty text.
 
 Defined results: null and empty texts count what the tokenizer gives for "" (0); repeated rows and
-repeated texts keep a row each; an empty table gives an empty result; extra columns are ignored.
+repeated texts keep a row each; a text of any length is encoded whole; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ class SentencePieceCounter:
 def open_cache(docs: DataFrame, cache_path: str) -> DataFrame:
     """The cache table; an empty one is made where there is none."""
     spark = docs.sparkSession
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(cache_path)
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").partitionBy("tokenizer").parquet(cache_path)
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
 
@@ -98,7 +100,7 @@ def fill_cache(
                 columns = [part.column("content"), pa.array([version] * len(counts)), pa.array(counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["content", "tokenizer", "n_tokens"])
 
-    misses.select("content", "body").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses.select("content", "body").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
 
 def token_counts(
