@@ -49,8 +49,9 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks up to this length are remembered: so many in use, and as many from before. Likewise pairs of pieces.
 REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_PAIRS = 1_000_000
 NO_SCORE = float("-inf")
+NO_PIECE, NOTHING = -1, 1 << 30
 #: Characters taken for parts of words where a text is cut into chunks; the cuts are right for any choice.
 WORD = "A-Za-z0-9\u00c0-\u1fff"
 
@@ -78,45 +79,44 @@ class Vocabulary:
         said = [byte_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
         self.said = [b"" if m.is_control(i) or m.is_unknown(i) else b for i, b in enumerate(said)]
         usual = [i for i in range(size) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-        self.score = {self.pieces[i]: (m.get_score(i), i) for i in usual}
+        self.scores = [m.get_score(i) for i in range(size)]
+        self.score = {self.pieces[i]: (self.scores[i], i) for i in usual}
         self.longest = max(map(len, self.score))
-        # Every beginning of a piece; those that are no piece themselves have no score.
-        self.begins: dict[str, tuple[float, int] | tuple[()]] = {p[:k]: () for p in self.score for k in range(1, len(p))} | self.score
+        # The id of every piece, and NO_PIECE for what only begins one.
+        self.begins = {p[:k]: NO_PIECE for p in self.score for k in range(1, len(p))} | {p: i for p, (_, i) in self.score.items()}
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.chunk = _chunk_pattern(self.score)
         self.merges = self._by_merges(m)
-        self.neighbours: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         # Answers in use, and those from before.
         self.known: dict[str, tuple[int, ...]] = {}
         self.known_before: dict[str, tuple[int, ...]] = {}
         self._ready = True
         return self
 
-    def ids_of(self, part: str) -> list[int]:
-        """The id of a piece, or those of the bytes of a character that is none."""
-        found = self.score.get(part)
-        return [found[1]] if found is not None else [self.bytes[b] for b in part.encode()]
+    def text_of(self, part: int) -> str:
+        """The piece of an id, or the character of its complement; nothing before the first."""
+        return "" if part == NOTHING else self.pieces[part] if part >= 0 else chr(~part)
 
     def merged(self, text: str) -> list[str]:
         """What is left of a short text after joining, by rank and from the left, adjacent parts that make a piece."""
-        parts = list(text)
-        ranks = [self.score.get(a + b, (NO_SCORE,))[0] for a, b in zip(parts, parts[1:], strict=False)]
+        score, parts = self.score, list(text)
+        ranks = [score.get(a + b, (NO_SCORE,))[0] for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (top := max(ranks)) > NO_SCORE:
             k = ranks.index(top)
             parts[k] += parts.pop(k + 1)
             del ranks[k]
             for near in (k - 1, k):
                 if 0 <= near < len(ranks):
-                    ranks[near] = self.score.get(parts[near] + parts[near + 1], (NO_SCORE,))[0]
+                    ranks[near] = score.get(parts[near] + parts[near + 1], (NO_SCORE,))[0]
         return parts
 
-    def beside(self, left: str, right: str) -> bool:
-        """Whether merging left and right together leaves the two; left may be empty: right alone."""
-        said = self.neighbours.get((left, right))
-        if said is None:
-            if len(self.neighbours) >= REMEMBERED_PAIRS:
-                self.neighbours.clear()
-            said = self.neighbours[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+    def beside(self, left: int, right: int) -> bool:
+        """Whether merging left and right together leaves the two as they are."""
+        if len(self.pairs) >= REMEMBERED_PAIRS:
+            self.pairs.clear()
+        a, b = self.text_of(left), self.text_of(right)
+        said = self.pairs[left << 32 | right] = self.merged(a + b) == ([a, b] if a else [b])
         return said
 
     def _by_merges(self, m) -> bool:
@@ -149,63 +149,75 @@ def _chunk_pattern(pieces: Iterable[str]) -> re.Pattern:
 def stream(chars: Iterable[str], v: Vocabulary) -> Iterator[list[int]]:
     """Ids of a stream of characters, in runs: each run is given out once no later character can change it.
 
-    State of a boundary: the start of its last piece, that piece, and (unigram) the sum of scores up to it.
-    `open` holds the boundaries from which the characters so far begin a longer piece; they and the newest
-    one are all that a later piece can start at.
+    Boundaries are counted from the last one whose path is settled. Of each the lists hold the start of its
+    last piece, that piece (the complement of the character where it is spelled in bytes) and, for sums, the
+    score up to it. open_at: the boundaries from which the characters so far begin a longer piece; they and
+    the newest one are all that a later piece can start at. Paths are compared once the window is two pieces long.
     """
-    begins, merges, unknown = v.begins, v.merges, v.unknown
-    back: dict[int, tuple[int, str]] = {}
-    score = {0: 0.0}
-    window, done, end, last = "", 0, 0, ""  # window: the characters from `done` to `end`; last: the piece before it
-    open_at: list[int] = []
+    get, pairs, merges, scores, longest = v.begins.get, v.pairs.get, v.merges, v.scores, v.longest
+    starts, last, score = [0], [NOTHING], [0.0]
+    window, open_at, look = "", [], 2 * longest
 
     def path(node: int) -> list[int]:
-        parts = []
-        while node > done:
-            node, part = back[node]
-            parts.append(part)
-        return [i for part in reversed(parts) for i in v.ids_of(part)]
+        ids: list[int] = []
+        while node:
+            part = last[node]
+            if part >= 0:
+                ids.append(part)
+            else:
+                ids += [v.bytes[b] for b in reversed(chr(~part).encode())]
+            node = starts[node]
+        ids.reverse()
+        return ids
 
+    here = 0
     for char in chars:
         window += char
-        end += 1
-        going: list[int] = []
-        choice, best = None, NO_SCORE
-        for start in (*open_at, end - 1):
-            part = window[start - done :]
-            found = begins.get(part)
-            if found is None:
-                if start < end - 1:
-                    continue
-                found = ()
-            else:
-                going.append(start)
-            if not found and start < end - 1:
-                continue
-            if merges:
-                if choice is None and v.beside(back[start][1] if start > done else last, part):
-                    choice = (start, part)
-            else:
-                total = score[start] + (found[0] if found else unknown)
-                if total > best:
-                    choice, best = (start, part), total
-        back[end], score[end], open_at = choice, best, going
-        # Follow the paths back from the boundaries that count, the furthest on first, to where they meet.
-        live = {end, *going}
-        while len(live) > 1:
-            top = max(live)
-            live.remove(top)
-            live.add(back[top][0])
-        meet = live.pop()
-        if meet > done:
-            yield path(meet)
-            last = back[meet][1]
-            for node in range(done + 1, meet + 1):
-                del back[node]
-                score.pop(node - 1, None)
-            window, done = window[meet - done :], meet
-    if end > done:
-        yield path(end)
+        here += 1
+        going, choice, piece = [], -1, 0
+        if merges:
+            for start in open_at:
+                k = get(window[start:])
+                if k is not None:
+                    going.append(start)
+                    if k >= 0 and choice < 0:
+                        fits = pairs(last[start] << 32 | k)
+                        if v.beside(last[start], k) if fits is None else fits:
+                            choice, piece = start, k
+            k = get(char)
+            if k is not None:
+                going.append(here - 1)
+            if choice < 0:  # where no longer piece fits, the character is one by itself: some last piece there is
+                choice, piece = here - 1, ~ord(char) if k is None or k < 0 else k
+        else:
+            best = NO_SCORE
+            for start in (*open_at, here - 1):
+                k = get(window[start:])
+                if k is not None:
+                    going.append(start)
+                    if k >= 0 and score[start] + scores[k] > best:
+                        choice, piece, best = start, k, score[start] + scores[k]
+            if char not in v.score and score[here - 1] + v.unknown > best:
+                choice, piece, best = here - 1, ~ord(char), score[here - 1] + v.unknown
+            score.append(best)
+        starts.append(choice)
+        last.append(piece)
+        open_at = going
+        if here >= look:
+            # Follow the paths back from the boundaries that count, the furthest on first, to where they meet.
+            live = {here, *going}
+            while len(live) > 1:
+                top = max(live)
+                live.remove(top)
+                live.add(starts[top])
+            meet = live.pop()
+            if meet:
+                yield path(meet)
+                starts, last, score = [0, *(n - meet for n in starts[meet + 1 :])], last[meet:], score[meet:]
+                window, open_at, here = window[meet:], [n - meet for n in going], here - meet
+            look = max(2 * longest, here + longest)
+    if len(starts) > 1:
+        yield path(len(starts) - 1)
 
 
 def encode_text(text: str, v: Vocabulary) -> list[int]:
