@@ -324,14 +324,12 @@ def find_passages(
             for batch in batches:
                 for part in text_slices(batch, text_col):
                     at = part.schema.get_field_index(matches_col)
-                    hits = [passages(text, index) for text in part.column(text_col).to_pylist()]
-                    if any(hits):
-                        told = zip(hits, part.column(at).to_pylist(), strict=True)
-                        matches = [before + [dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in new] for new, before in told]
-                        columns = [*part.columns]
-                        columns[at] = pa.array(matches, pa.list_(match))
-                        part = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-                    yield part
+                    matches = []
+                    for text, before in zip(part.column(text_col).to_pylist(), part.column(at).to_pylist(), strict=True):
+                        matches.append(before + [dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in passages(text, index)])
+                    columns = [*part.columns]
+                    columns[at] = pa.array(matches, pa.list_(match))
+                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
         out = out.mapInArrow(search, schema)
         if only_clean:

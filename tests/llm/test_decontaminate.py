@@ -82,3 +82,34 @@ def test_empty_tables_and_very_long_text(spark, docs):
     long = prose(pick, 400_000)
     got = d.contamination(docs([(1, long), (2, long + " one passage that is long enough to be looked for in every text")]), benchmark)
     assert {r.doc_id: r.contaminated for r in got.collect()} == {1: False, 2: True}
+
+
+def test_short_items_and_signs_beyond_the_basic_plane(spark, docs):
+    pick = random.Random(3)
+    signs = "".join(chr(0x10400 + pick.randrange(40)) for _ in range(200))
+    items = [(1, "What is the capital of France, now"), (2, signs), (3, "Yes!"), (4, "red apples"), (5, "it is?"), (6, "𝔘x 9")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [
+        (1, "they asked: what is the capital of france now? nobody knew"),
+        (2, f"a text that quotes {signs} whole"),
+        (3, "yes"),
+        (4, "yes and no"),
+        (5, "some red apples fell"),
+        (6, "some bored apples fell, and red appleseed"),
+        (7, " It is."),
+        (8, "so it is said"),
+        (9, "((𝔘X-9))"),
+        (10, signs[50:180]),
+    ]
+    got = {r.doc_id: r.item_ids for r in d.contamination(docs(rows), benchmark).collect()}
+    assert got == {1: "1", 2: "2", 3: "3", 4: "", 5: "4", 6: "", 7: "5", 8: "", 9: "6", 10: "2"}
+
+
+def test_a_verbatim_quote_of_a_segment_and_a_step_is_found_wherever_it_begins():
+    pick = random.Random(9)
+    item = prose(pick, 600)
+    index = d.Index(d.segments_of(1, item))
+    chars, places = d.normalise(item)
+    clean = "".join(map(chr, chars))
+    quote = d.SEGMENT + d.STEP - 1
+    assert all(d.passages(f"zq {clean[at : at + quote]} qz", index) for at in range(0, len(clean) - quote, 7))
