@@ -31,11 +31,12 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def artifact_difference(expected: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
-    """key, status: same, stale, missing or extra, by digests."""
-    e, f = expected.select(key, F.col(digest).alias("__expected")), found.select(key, F.col(digest).alias("__found"))
-    status = (
-        F.when(F.col("__found").isNull(), "missing").when(F.col("__expected").isNull(), "extra").when(F.col("__expected") == F.col("__found"), "same").otherwise("stale")
-    )
+    """key, status: same, stale, missing or extra, by digests; two null digests are the same."""
+    there = F.lit(True)
+    e = expected.select(key, F.col(digest).alias("__expected"), there.alias("__wanted"))
+    f = found.select(key, F.col(digest).alias("__found"), there.alias("__there"))
+    status = F.when(F.col("__there").isNull(), "missing").when(F.col("__wanted").isNull(), "extra")
+    status = status.when(F.col("__expected").eqNullSafe(F.col("__found")), "same").otherwise("stale")
     return e.join(f, key, "full_outer").select(key, status.alias("status"))
 
 
@@ -52,3 +53,11 @@ def exact_count(df: DataFrame, condition: Column, expected: int) -> DataFrame:
     n = chosen.agg(F.count(F.lit(1)).alias("__n"))
     checked = n.select(F.when(F.col("__n") == expected, F.lit(True)).otherwise(F.raise_error(F.lit(f"expected {expected} rows"))).alias("__ok"))
     return chosen.crossJoin(F.broadcast(checked)).filter("__ok").drop("__ok")
+
+
+def array_contract(df: DataFrame, by: Sequence[str], column: str, size: int) -> DataFrame:
+    """by, n, and how many arrays are missing or of another size, or hold a value that is no finite number."""
+    x = lambda v: v.cast("double")
+    odd = F.exists(column, lambda v: v.isNull() | F.isnan(x(v)) | (F.abs(x(v)) == float("inf")))
+    wrong = F.coalesce(F.size(column), F.lit(-1)) != size
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong_size"), F.count_if(odd).alias("not_finite"))

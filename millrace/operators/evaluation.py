@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalar import compare
+from millrace.functions.scalar import compare, percent_error
 from millrace.operators.quantiles import quantiles
 
 
@@ -47,13 +47,31 @@ def ensemble_variance(df: DataFrame, group: Sequence[str], cell: Sequence[str],
 
 def ratio_of_medians(df: DataFrame, by: Sequence[str], value: Column, top: Column, bottom: Column) -> DataFrame:
     """by, the medians of two kinds of rows, their ratio, status: invalid where a side is missing or the bottom is zero."""
-    a = quantiles(df.filter(top), by, value, {"top": 0.5})
-    b = quantiles(df.filter(bottom), by, value, {"bottom": 0.5})
-    both = a.join(b, list(by), "full_outer") if by else a.crossJoin(b)
+    by = list(by)
+    kinds = F.array(F.when(top, F.lit("top")), F.when(bottom, F.lit("bottom")))
+    rows = df.select(*by, value.cast("double").alias("__v"), F.explode(kinds).alias("__kind")).filter("__kind is not null")
+    middle = quantiles(rows, [*by, "__kind"], F.col("__v"), {"middle": 0.5})
+    both = middle.groupBy(*by).agg(*[F.max(F.when(F.col("__kind") == k, F.col("middle"))).alias(k) for k in ("top", "bottom")])
     ratio = F.try_divide("top", "bottom")
     return both.withColumn("ratio", ratio).withColumn("status", F.when(ratio.isNull(), "invalid").otherwise("valid"))
 
 
+def drag_errors(df: DataFrame) -> DataFrame:
+    """case_id with three errors in percent: of the head and of the field against the solver, and between the two."""
+    head, field, solver = F.col("cd_head"), F.col("cd_field"), F.col("cd_solver")
+    return df.select("case_id", percent_error(head, solver, solver).alias("head_error"), percent_error(field, solver, solver).alias("field_error"), percent_error(head, field, solver).alias("gap"))
+
+
+def disagreement(df: DataFrame, most: float) -> DataFrame:
+    """df with gap, disagrees (the gap is over a tenth of the solver's value), its status against `most`, and the range of all drags."""
+    head, field, solver = F.col("cd_head"), F.col("cd_field"), F.col("cd_solver")
+    gap = percent_error(head, field, solver)
+    flagged = F.abs(head - field) > 0.1 * F.greatest(F.abs(solver), F.lit(0.1))
+    ends = df.agg(F.min(F.least(head, field, solver)).alias("axis_low"), F.max(F.greatest(head, field, solver)).alias("axis_high"))
+    status = F.when(F.col("gap") <= most, "green").otherwise("red")
+    return df.withColumn("gap", gap).withColumn("disagrees", flagged).withColumn("status", status).crossJoin(F.broadcast(ends))  # one row
+
+
 def sign_agreement(df: DataFrame, by: Sequence[str], left: str, right: str, tolerance: float) -> DataFrame:
     """by, n, n_agree: pairs of slopes of one sign; slopes within the tolerance of zero agree with each other alone."""
     sign = lambda c: F.when(F.abs(F.col(c)) <= tolerance, 0).otherwise(F.signum(c)).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import floored_ratio
+from millrace.operators.cut import checkpointed
 
 
 def cells(spark: SparkSession, height: int, width: int, case_id: str = "case") -> DataFrame:
@@ -17,22 +18,36 @@ def cells(spark: SparkSession, height: int, width: int, case_id: str = "case") -
     return n.select(F.lit(case_id).alias("case_id"), F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
 
 
-def ellipse_distance(grid: DataFrame, cy: float, cx: float, a: float, b: float, degrees: float) -> DataFrame:
-    """grid with sdf: the first-order distance of a cell's centre to a turned ellipse with half-axes a, b; below zero inside."""
-    turn = math.radians(degrees)
-    dx, dy = F.col("x") + 0.5 - cx, F.col("y") + 0.5 - cy
-    u, v = dx * math.cos(turn) + dy * math.sin(turn), dy * math.cos(turn) - dx * math.sin(turn)
-    k0 = F.sqrt((u / a) ** 2 + (v / b) ** 2)
-    k1 = F.sqrt((u / (a * a)) ** 2 + (v / (b * b)) ** 2)
-    return grid.withColumn("sdf", F.when(k1 == 0, F.lit(-float(min(a, b)))).otherwise(k0 * (k0 - 1) / k1))
+def ellipse_distance(grid: DataFrame, cy, cx, a, b, degrees) -> DataFrame:
+    """grid with sdf: the algebraic distance (q - 1) * min(a, b) of a lattice point to a turned ellipse with half-axes a, b.
+
+    q is the point's radius in units of the ellipse: the distance is below zero inside. The shape is told by
+    numbers or by columns of grid, so each case may have its own.
+    """
+    shape = {n: F.col(v) if isinstance(v, str) else F.lit(float(v)) for n, v in (("cy", cy), ("cx", cx), ("a", a), ("b", b), ("d", degrees))}
+    turn = F.radians(shape["d"])
+    dx, dy = F.col("x") - shape["cx"], F.col("y") - shape["cy"]
+    u, v = dx * F.cos(turn) + dy * F.sin(turn), dy * F.cos(turn) - dx * F.sin(turn)
+    q = F.sqrt((u / shape["a"]) ** 2 + (v / shape["b"]) ** 2)
+    return grid.withColumn("sdf", (q - 1) * F.least(shape["a"], shape["b"]))
+
+
+def lattice(cases: DataFrame, height: int, width: int) -> DataFrame:
+    """cases with y, x of every cell of a grid."""
+    cell = cases.withColumn("__cell", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))))
+    return cell.withColumn("y", F.floor(F.col("__cell") / width).cast("int")).withColumn("x", (F.col("__cell") % width).cast("int")).drop("__cell")
 
 
 def bounding_box(grid: DataFrame, margin: float) -> DataFrame:
-    """case_id and the box of cells with sdf < margin, one cell larger on each side."""
+    """case_id, the box of cells with sdf < margin, one cell larger on each side, and the least sdf on the box's sides."""
     inside = grid.filter(F.col("sdf") < margin)
-    return inside.groupBy("case_id").agg(
+    box = inside.groupBy("case_id").agg(
         (F.min("y") - 1).alias("y0"), (F.max("y") + 1).alias("y1"), (F.min("x") - 1).alias("x0"), (F.max("x") + 1).alias("x1")
     )
+    on_side = F.col("y").isin(F.col("y0"), F.col("y1")) | F.col("x").isin(F.col("x0"), F.col("x1"))
+    around = grid.join(box, "case_id").filter("y between y0 and y1 and x between x0 and x1").filter(on_side)
+    least = around.groupBy("case_id").agg(F.min("sdf").alias("least_on_side"))
+    return box.join(least, "case_id", "left")
 
 
 def _along(axis: str, keys: Sequence[str]):
@@ -91,20 +106,26 @@ def case_metrics(grid: DataFrame, inlet_velocity: float, spacing: float, keys: S
 
 
 def surface_flux(grid: DataFrame, box: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """keys and the x-force on the box: pressure and momentum through its four sides. grid: rho, u, v."""
-    inside = grid.join(F.broadcast(box), list(keys)).filter("y between y0 and y1 and x between x0 and x1")
-    pressure = (F.col("rho") - 1) / 3
-    through_x, through_y = F.col("rho") * F.col("u") * F.col("u"), F.col("rho") * F.col("u") * F.col("v")
-    side = lambda at, value: F.coalesce(F.sum(F.when(at, value)), F.lit(0.0))
-    left, right, bottom, top = (F.col("x") == F.col("x0")), (F.col("x") == F.col("x1")), (F.col("y") == F.col("y0")), (F.col("y") == F.col("y1"))
-    return inside.groupBy(*keys).agg((side(left, pressure + through_x) - side(right, pressure + through_x) + side(bottom, through_y) - side(top, through_y)).alias("force_x"))
+    """keys, the x-force on the box, and the sums of pressure, rho u u and rho u v over each of its four sides. grid: rho, u, v."""
+    inside = grid.join(box, list(keys)).filter("y between y0 and y1 and x between x0 and x1")
+    values = {"pressure": (F.col("rho") - 1) / 3, "uu": F.col("rho") * F.col("u") * F.col("u"), "uv": F.col("rho") * F.col("u") * F.col("v")}
+    sides = {"left": F.col("x") == F.col("x0"), "right": F.col("x") == F.col("x1"), "bottom": F.col("y") == F.col("y0"), "top": F.col("y") == F.col("y1")}
+    sums = inside.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(at, value)), F.lit(0.0)).alias(f"{side}_{name}") for side, at in sides.items() for name, value in values.items()])
+    force = F.expr("left_pressure + left_uu - right_pressure - right_uu + bottom_uv - top_uv")
+    return sums.select(*keys, force.alias("force_x"), *[f"{side}_{name}" for side in sides for name in values])
+
 
+def masked_loss(grid: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("case_id",), floor: float = 1e-6, reference_speed: float = 1.0) -> DataFrame:
+    """keys and, for each channel c with pred_c and sol_c, the squared error over fluid cells relative to the channel's energy.
 
-def masked_loss(grid: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("case_id",), floor: float = 1e-6) -> DataFrame:
-    """keys and, for each channel c with pred_c and sol_c, the squared error over fluid cells relative to the channel's energy."""
-    error = lambda c: F.avg(F.when(F.col("fluid"), (F.col(f"pred_{c}") - F.col(f"sol_{c}")) ** 2))
-    energy = lambda c: F.avg(F.when(F.col("fluid"), F.col(f"sol_{c}") ** 2))
-    return grid.groupBy(*keys).agg(*[floored_ratio(error(c), energy(c), floor).alias(f"loss_{c}") for c in channels])
+    Both are means over all cells, those that are not fluid counting zero. loss_obstacle is the mean of the
+    predicted speed's square inside the obstacle, in units of the reference speed.
+    """
+    over_fluid = lambda value: F.avg(F.when(F.col("fluid"), value).otherwise(0.0))
+    error = lambda c: over_fluid((F.col(f"pred_{c}") - F.col(f"sol_{c}")) ** 2)
+    inside = F.avg(F.when(~F.col("fluid"), F.col("pred_u") ** 2 + F.col("pred_v") ** 2).otherwise(0.0)) / reference_speed**2
+    terms = [floored_ratio(error(c), over_fluid(F.col(f"sol_{c}") ** 2), floor).alias(f"loss_{c}") for c in channels]
+    return grid.groupBy(*keys).agg(*terms, inside.alias("loss_obstacle"))
 
 
 def snapshot_stability(grid: DataFrame, keys: Sequence[str] = ("case_id", "step"), *, low: float = 0.5, high: float = 1.5, fastest: float = 0.2) -> DataFrame:
@@ -139,21 +160,21 @@ def connected_cases(grid: DataFrame, keys: Sequence[str] = ("case_id",), *, most
     open_cells = grid.filter("not solid").withColumn("run", run).select(*keys, "y", "x", "run")
     below = open_cells.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("run").alias("other"))
     touching = open_cells.join(below, [*keys, "y", "x"]).select(F.col("run").alias("a"), F.col("other").alias("b")).distinct()
-    edges = touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = open_cells.select("run").distinct().withColumn("label", F.col("run")).checkpoint()
+    edges = checkpointed(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = checkpointed(open_cells.select("run").distinct().withColumn("label", F.col("run")))
     for _ in range(most_rounds):
         seen = edges.join(labels.withColumnRenamed("run", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
         near = labels.join(seen, labels["run"] == seen["a"], "left").select("run", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         # All that share a label take the least that any of them sees, and from there that label's own.
         hook = near.groupBy(F.col("old").alias("group")).agg(F.min("label").alias("hook"))
-        hooked = near.join(hook, near["old"] == hook["group"]).select("run", "old", F.col("hook").alias("label")).checkpoint()
+        hooked = checkpointed(near.join(hook, near["old"] == hook["group"]).select("run", "old", F.col("hook").alias("label")))
         jump = hooked.select(F.col("run").alias("label"), F.col("label").alias("own"))
-        new = hooked.join(jump, "label", "left").select("run", "old", F.least("label", "own").alias("label")).checkpoint()
+        new = checkpointed(hooked.join(jump, "label", "left").select("run", "old", F.least("label", "own").alias("label")))
         labels = new.select("run", "label")
         if new.filter("label <> old").isEmpty():
             break
     ends = grid.groupBy(*keys).agg(F.min("x").alias("__first"), F.max("x").alias("__last"))
-    at = open_cells.join(labels, "run").join(F.broadcast(ends), keys)
+    at = open_cells.join(labels, "run").join(ends, keys)
     sides = at.groupBy(*keys, "label").agg(F.bool_or(F.col("x") == F.col("__first")).alias("__in"), F.bool_or(F.col("x") == F.col("__last")).alias("__out"))
     whole = sides.groupBy(*keys).agg(F.bool_or(F.col("__in") & F.col("__out")).alias("connected"))
     return ends.select(*keys).join(whole, keys, "left").select(*keys, F.coalesce("connected", F.lit(False)).alias("connected"))

@@ -1,16 +1,15 @@
-"""Joins with a contract: complete or refused, nearest, shifted neighbours, overlaps."""
+"""Joins with a contract: complete or refused, nearest, overlaps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-#: Reference rows sent to the tasks at a time.
+#: Rows of a block of references, and of a part of the queries.
 BLOCK_ROWS = 50_000
 
 
@@ -37,69 +36,50 @@ def nearest(queries: DataFrame, references: DataFrame, key: str, features: Seque
 
     With exclude_self a query does not meet the references of its own key; null where no other is left.
 
-    The references go to the tasks in blocks of BLOCK_ROWS rows, by hash of their key; each block gives a
-    candidate for each query and the best of them stays. Queries never meet all references in a shuffle.
+    The queries are a stated set. References are dealt into blocks and queries into parts of BLOCK_ROWS
+    rows at most, by hash, equal rows once; each part meets each block in a task of its own, which holds the
+    two and gives each query's best, and the best of them stays. Nothing goes through the driver.
     """
-    columns = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
-    rows = queries.select(F.col(key).alias("q"), *columns)
-    known = references.select(F.col(key).alias("r"), *columns)
-    names, blocks = [f"f{i}" for i in range(len(features))], max(1, -(-known.count() // BLOCK_ROWS))
+    names = [f"f{i}" for i in range(len(features))]
+    columns = [F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)]
+    rows = queries.select(F.col(key).alias("q"), *columns).distinct()
+    known = references.select(F.col(key).alias("r"), *columns).distinct()
+    blocks, parts = (max(1, -(-t.count() // BLOCK_ROWS)) for t in (known, rows))
+
+    def dealt(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column, *names), F.lit(n).cast("long"))
+
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    asked = rows.withColumn("part", dealt("q", parts)).withColumn("block", all_of(blocks))
+    met = known.withColumn("block", dealt("r", blocks)).withColumn("part", all_of(parts))
+
+    def search(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        others = others.sort_values("r")
+        keys, points, wanted = others["r"].to_numpy(), others[names].to_numpy(), some["q"].to_numpy()
+        norms, found = (points**2).sum(axis=1), []
+        for at in range(0, len(some) if len(points) else 0, 512):
+            x = some[names].to_numpy()[at : at + 512]
+            rough = norms - 2 * x @ points.T
+            for i in range(len(x)):
+                if exclude_self:
+                    rough[i, keys == wanted[at + i]] = np.inf
+                least = rough[i].min()
+                if np.isinf(least):
+                    continue
+                # The product is rounded: the distance is taken anew where it could be the least.
+                near = np.flatnonzero(rough[i] <= least + 1e-6 * (1 + norms.max()))
+                exact = ((points[near] - x[i]) ** 2).sum(axis=1)
+                j = int(np.argmin(exact))
+                found.append((wanted[at + i], keys[near[j]], float(exact[j])))
+        return pd.DataFrame(found, columns=["q", "r", "d"])
+
     types = (rows.schema["q"].dataType.simpleString(), known.schema["r"].dataType.simpleString())
-    r_type = to_arrow_type(known.schema["r"].dataType)
-    found: DataFrame | None = None
-    for block in range(blocks):
-        part = known.filter(F.pmod(F.xxhash64("r"), F.lit(blocks)) == block).toPandas().sort_values("r")
-        if part.empty:
-            continue
-        shared = queries.sparkSession.sparkContext.broadcast((part["r"].to_numpy(), part[names].to_numpy()))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, points = shared.value
-            norms = (points**2).sum(axis=1)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    piece = batch.slice(at, 512)
-                    x = np.column_stack([piece.column(n).to_numpy() for n in names])
-                    rough = norms - 2 * x @ points.T
-                    # The product is rounded: the distance is taken anew where it could be the least.
-                    best, distance = [], []
-                    asked = piece.column("q").to_numpy(zero_copy_only=False) if exclude_self else None
-                    for i in range(len(x)):
-                        if exclude_self:
-                            rough[i, keys == asked[i]] = np.inf
-                        if np.isinf(rough[i].min()):
-                            best.append(None)
-                            distance.append(None)
-                            continue
-                        near = np.flatnonzero(rough[i] <= rough[i].min() + 1e-6 * (1 + norms.max()))
-                        exact = ((points[near] - x[i]) ** 2).sum(axis=1)
-                        j = int(np.argmin(exact))
-                        best.append(keys[near[j]])
-                        distance.append(float(exact[j]))
-                    yield pa.RecordBatch.from_arrays([piece.column("q"), pa.array(best, r_type), pa.array(distance, pa.float64())], names=["q", "r", "d"])
-
-        one = rows.mapInArrow(search, f"q {types[0]}, r {types[1]}, d double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.select(F.col("q").alias(key), F.lit(None).cast(types[1]).alias(as_key), F.lit(None).cast("double").alias("distance2"))
-    best = found if blocks == 1 else found.groupBy("q").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "r"))).alias("b")).select("q", "b.r", "b.d")
-    return best.select(F.col("q").alias(key), F.col("r").alias(as_key), F.col("d").alias("distance2"))
-
-
-def shifted_neighbours(cells: DataFrame, shifts: DataFrame, *, period: tuple[int, int] | None = None) -> DataFrame:
-    """cells (case_id, y, x, ...) with, for each shift (direction, cy, cx), the y and x of the neighbour; around the border with a period."""
-    moved = cells.crossJoin(F.broadcast(shifts))  # nine shifts at most
-    ny, nx = F.col("y") + F.col("cy"), F.col("x") + F.col("cx")
-    if period:
-        ny, nx = F.pmod(ny, F.lit(period[0])), F.pmod(nx, F.lit(period[1]))
-    return moved.withColumn("neighbour_y", ny).withColumn("neighbour_x", nx)
-
-
-def solid_links(cells: DataFrame, shifts: DataFrame) -> DataFrame:
-    """case_id, y, x, direction: fluid cells with a solid neighbour in that direction."""
-    solid = cells.filter("solid").select("case_id", F.col("y").alias("neighbour_y"), F.col("x").alias("neighbour_x"))
-    fluid = shifted_neighbours(cells.filter("not solid"), shifts.filter("cy <> 0 or cx <> 0"))
-    return fluid.join(solid, ["case_id", "neighbour_y", "neighbour_x"], "left_semi").select("case_id", "y", "x", "direction")
+    found = asked.groupBy("block", "part").cogroup(met.groupBy("block", "part")).applyInPandas(search, f"q {types[0]}, r {types[1]}, d double")
+    best = found.groupBy("q").agg(F.min(F.struct("d", "r")).alias("b"))
+    every = rows.select("q").distinct().join(best, "q", "left")
+    return every.select(F.col("q").alias(key), F.col("b.r").alias(as_key), F.col("b.d").alias("distance2"))
 
 
 def overlap_average(cells: DataFrame, axis: str, source: int, target: int, value: str, keys: Sequence[str]) -> DataFrame:

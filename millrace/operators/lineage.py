@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.cut import checkpointed
+
 
 def lineage_problems(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """code, subject for what is wrong. nodes: sha, kind. edges: child, parent, parent_kind. rules: kind, required, allowed (arrays)."""
@@ -27,19 +29,21 @@ def lineage_problems(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> Da
 def levels(nodes: DataFrame, edges: DataFrame, *, node: str = "sha", most_rounds: int = 1000) -> DataFrame:
     """node, level: 0 without parents, else one more than the highest parent; null for nodes on or below a cycle.
 
-    Each round settles the nodes all of whose parents are settled: as many rounds as there are levels, each
-    a checkpoint. (level, node) is an order in which parents come first.
+    Each round settles the nodes all of whose parents are settled, and drops the edges from them: as many
+    rounds as there are levels, each of which reads only what is still open and cuts its lineage. (level,
+    node) is an order in which parents come first.
     """
     open_nodes = nodes.select(F.col(node).alias("node")).distinct()
-    pending = edges.select("child", "parent").distinct()
-    waiting = open_nodes.join(pending.groupBy("child").agg(F.count(F.lit(1)).alias("parents")), F.col("node") == F.col("child"), "left")
-    waiting = waiting.select("node", F.coalesce("parents", F.lit(0)).alias("parents")).checkpoint()
-    settled = waiting.filter("parents = 0").select("node", F.lit(0).alias("level")).checkpoint()
-    fresh = settled
+    pending = checkpointed(edges.select("child", "parent").distinct())
+    children = pending.select(F.col("child").alias("node")).distinct()
+    fresh = checkpointed(open_nodes.join(children, "node", "left_anti").withColumn("level", F.lit(0)))
+    settled = fresh
     for level in range(1, most_rounds):
-        done = pending.join(fresh, F.col("parent") == F.col("node")).groupBy("child").agg(F.count(F.lit(1)).alias("gone"))
-        waiting = waiting.filter("parents > 0").join(done, F.col("node") == F.col("child"), "left").select("node", (F.col("parents") - F.coalesce("gone", F.lit(0))).alias("parents")).checkpoint()
-        fresh = waiting.filter("parents = 0").select("node", F.lit(level).alias("level")).checkpoint()
+        # What is left of the edges; the children that have none any more are settled.
+        left = checkpointed(pending.join(fresh.select(F.col("node").alias("parent")), "parent", "left_anti"))
+        waiting = left.select("child").distinct()
+        fresh = pending.select("child").distinct().join(waiting, "child", "left_anti").select(F.col("child").alias("node"), F.lit(level).alias("level"))
+        fresh, pending = checkpointed(fresh), left
         if fresh.isEmpty():
             break
         settled = settled.unionByName(fresh)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import finite
-from millrace.operators.quantiles import quantiles
+from millrace.operators.quantiles import matched, quantiles
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -22,21 +22,20 @@ def long_form(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, n, n_null, minimum, maximum, mean, std (population), q05, q50, q95; nulls where all is null."""
     cells = long_form(df, columns)
-    plain = cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("value").isNull()).alias("n_null"),
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-    )
-    return plain.join(quantiles(cells, ["column"], F.col("value"), {"q05": 0.05, "q50": 0.5, "q95": 0.95}), "column", "left")
+    plain = {
+        "n": F.count(F.lit(1)),
+        "n_null": F.count_if(F.col("value").isNull()),
+        "minimum": F.min("value"),
+        "maximum": F.max("value"),
+        "mean": F.avg("value"),
+        "std": F.stddev_pop("value"),
+    }
+    return quantiles(cells, ["column"], F.col("value"), {"q05": 0.05, "q50": 0.5, "q95": 0.95}, plain)
 
 
 def distribution(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
-    by = list(by)
-    plain = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.avg(value).alias("mean"))
-    return plain.join(quantiles(df, by, value, {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}), by, "left")
+    plain = {"n": F.count(F.lit(1)), "minimum": F.min(value), "maximum": F.max(value), "mean": F.avg(value)}
+    return quantiles(df, by, value, {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}, plain)
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,12 +49,11 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def summarise_closed(df: DataFrame, by: Sequence[str], value: Column, valid: Column) -> DataFrame:
     """Counts and median, p90, p95, maximum of a metric; one invalid member makes a group invalid, with null statistics."""
     by = list(by)
-    good = valid & finite(value)
-    rows = df.select(*by, value.cast("double").alias("__value"), F.coalesce(good, F.lit(False)).alias("__good"))
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("__good").alias("n_valid"), F.max("__value").alias("maximum"))
-    shape = quantiles(rows.filter("__good"), by, F.col("__value"), {"median": 0.5, "p90": 0.9, "p95": 0.95})
-    whole = F.col("n") == F.col("n_valid")
-    said = counts.join(shape, by, "left")
+    good = F.coalesce(valid & finite(value), F.lit(False))
+    rows = df.select(*by, F.when(good, value.cast("double")).alias("__value"))
+    counts = {"n": F.count(F.lit(1)), "n_valid": F.count("__value"), "maximum": F.max("__value")}
+    said = quantiles(rows, by, F.col("__value"), {"median": 0.5, "p90": 0.9, "p95": 0.95}, counts)
+    whole = (F.col("n") == F.col("n_valid")) & F.col("median").isNotNull()
     stats = [F.when(whole, F.col(c)).alias(c) for c in ("median", "p90", "p95", "maximum")]
     return said.select(*by, "n", "n_valid", *stats, F.when(whole, "valid").otherwise("invalid").alias("status"))
 
@@ -73,7 +71,7 @@ def representative_and_extreme(df: DataFrame, by: Sequence[str], value: str, key
     """Each group's median, the key nearest to it and the key of the greatest value; ties go to the least key."""
     by = list(by)
     shape = quantiles(df, by, F.col(value), {"median": 0.5})
-    rows = df.join(shape, by)
+    rows = matched(df, shape, by)
     distance = F.struct(F.abs(F.col(value) - F.col("median")), F.col(key))
     return rows.groupBy(*by).agg(
         F.first("median").alias("median"),

@@ -11,6 +11,7 @@ from millrace.functions.scalar import affine, hash_rank
 
 #: Rows are ranked inside ranges of their digest's first two bytes, which get offsets: no single task ranks all rows.
 PREFIX = 4
+MOST_LEVELS = 1000
 
 
 def ranked(df: DataFrame, digest: Column, *keys: str) -> DataFrame:
@@ -56,17 +57,24 @@ def stratified_design(spark, n: int, ranges: dict[str, tuple[float, float]], sal
     return rows
 
 
-def select_split(df: DataFrame, split: str) -> DataFrame:
-    return df.filter(F.col("split") == split)
-
-
 def probe_grid(items: DataFrame, *others: DataFrame) -> DataFrame:
-    """Every combination of a few stated levels with every item: levels are small tables of settings."""
+    """Every combination of a few stated levels with every item: levels are tables of at most MOST_LEVELS settings."""
     out = items
     for levels in others:
+        if levels.limit(MOST_LEVELS + 1).count() > MOST_LEVELS:
+            raise ValueError(f"a table of levels has more than {MOST_LEVELS} rows")
         out = out.crossJoin(F.broadcast(levels))
     return out
 
 
-def dimensions(ranges: dict[str, tuple[float, float]]) -> Sequence[str]:
-    return list(ranges)
+
+def maximin(points: DataFrame, candidate: str, key: str, features: Sequence[str]) -> DataFrame:
+    """candidate, least_distance2 and chosen: of a few candidate designs the one whose two closest points lie furthest apart.
+
+    A design's points meet each other: designs are small by nature, and their number is what grows.
+    """
+    other = points.select(candidate, F.col(key).alias("__k"), *[F.col(f).alias(f"__{f}") for f in features])
+    distance = sum((F.col(f) - F.col(f"__{f}")) ** 2 for f in features)
+    least = points.join(other, candidate).filter(F.col(key) < F.col("__k")).groupBy(candidate).agg(F.min(distance).alias("least_distance2"))
+    best = least.agg(F.max_by(candidate, F.struct("least_distance2", -F.col(candidate))).alias("__best"))
+    return least.crossJoin(F.broadcast(best)).withColumn("chosen", F.col(candidate) == F.col("__best")).drop("__best")  # one row

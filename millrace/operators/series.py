@@ -18,18 +18,55 @@ def sequence_gaps(df: DataFrame, key: Sequence[str], step: str, first: int = 0)
     return rows.filter(F.col(step) != F.col("expected")).withColumn("problem", problem)
 
 
-def regularity(df: DataFrame, key: Sequence[str], at: str) -> DataFrame:
-    """key, n, n_steps (different distances), least and greatest distance, regular: equal distances between neighbours."""
-    distance = F.col(at) - F.lag(at).over(Window.partitionBy(*key).orderBy(at))
-    rows = df.withColumn("__d", distance)
-    said = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__d").alias("n_steps"), F.min("__d").alias("least"), F.max("__d").alias("greatest"))
+def regularity(df: DataFrame, key: Sequence[str], at: str, width: int = 86_400) -> DataFrame:
+    """key, n, n_steps (different distances), least and greatest distance, regular: equal distances between neighbours.
+
+    Neighbours meet inside stretches of `width`; a stretch's first row meets the last of the one before.
+    """
+    key = list(key)
+    rows = df.select(*key, at).withColumn("__part", F.floor(F.col(at) / width))
+    inner = F.col(at) - F.lag(at).over(Window.partitionBy(*key, "__part").orderBy(at))
+    inside = rows.withColumn("__d", inner).groupBy(*key, "__d").agg(F.count(F.lit(1)).alias("__c"))
+    ends = rows.groupBy(*key, "__part").agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    outer = F.col("__first") - F.lag("__last").over(Window.partitionBy(*key).orderBy("__part"))
+    between = ends.select(*key, outer.alias("__d"), F.lit(0).cast("long").alias("__c"))
+    said = inside.unionByName(between).groupBy(*key).agg(F.sum("__c").alias("n"), F.count_distinct("__d").alias("n_steps"), F.min("__d").alias("least"), F.max("__d").alias("greatest"))
     return said.withColumn("regular", (F.col("n_steps") == 1) & (F.col("least") > 0))
 
 
 def trailing_mean(df: DataFrame, key: Sequence[str], at: str, value: str, width: int) -> DataFrame:
-    """df with n_trailing and trailing_mean over the rows with at in (at - width, at]."""
-    frame = Window.partitionBy(*key).orderBy(at).rangeBetween(-(width - 1), 0)
-    return df.withColumn("n_trailing", F.count(F.lit(1)).over(frame)).withColumn("trailing_mean", F.avg(value).over(frame))
+    """df with n_trailing and trailing_mean over the rows with at in (at - width, at]; at is a whole number.
+
+    A frame reaches into two stretches of `width` at most: each row goes to its own and, as context, to the
+    next, so a task holds two stretches and not a whole key.
+    """
+    home = F.floor(F.col(at) / width)
+    dealt = df.withColumn("__part", F.explode(F.array(home, home + 1)))
+    frame = Window.partitionBy(*key, "__part").orderBy(at).rangeBetween(-(width - 1), 0)
+    said = dealt.withColumn("n_trailing", F.count(F.lit(1)).over(frame)).withColumn("trailing_mean", F.avg(value).over(frame))
+    return said.filter(F.col("__part") == home).drop("__part")
+
+
+def running(df: DataFrame, key: Sequence[str], at: str, width: int, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums of each key's rows up to each one, in order; at is the first column of the order.
+
+    Rows are summed inside stretches of `width` and the stretches among each other, so a task holds one
+    stretch and not a whole key.
+    """
+    key, names = list(key), list(sums)
+    rows = df.withColumns({f"__{n}": v.cast("long") for n, v in sums.items()}).withColumn("__part", F.floor(F.col(at) / width))
+    parts = rows.groupBy(*key, "__part").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in names])
+    earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*key, "__part", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in names])
+    inside = Window.partitionBy(*key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({n: F.sum(f"__{n}").over(inside) for n in names}).join(offsets, [*key, "__part"])
+    return placed.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in names}).drop("__part", *[f"__{n}" for n in names], *[f"__before_{n}" for n in names])
+
+
+def drift(df: DataFrame, key: Sequence[str], at: str, value: str) -> DataFrame:
+    """df with drift: how far the value lies from the key's first one, as a share of it."""
+    first = df.groupBy(*key).agg(F.min_by(value, at).alias("__first"))
+    return df.join(first, list(key)).withColumn("drift", F.abs(F.col(value) - F.col("__first")) / F.abs("__first")).drop("__first")
 
 
 def last_range_mean(df: DataFrame, key: Sequence[str], at: str, value: str, width: int) -> DataFrame:
@@ -76,20 +113,35 @@ def illegal_transitions(df: DataFrame, key: Sequence[str], order: Sequence[str],
     """key, previous, state, n of transitions that `legal` (previous, state) does not list."""
     before = F.lag(state).over(Window.partitionBy(*key).orderBy(*order))
     moves = df.select(*key, before.alias("previous"), F.col(state).alias("state")).filter("previous is not null")
-    return moves.join(F.broadcast(legal), ["previous", "state"], "left_anti").groupBy(*key, "previous", "state").agg(F.count(F.lit(1)).alias("n"))
+    return moves.join(legal, ["previous", "state"], "left_anti").groupBy(*key, "previous", "state").agg(F.count(F.lit(1)).alias("n"))
+
 
+def monotone_progress(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int = 86_400) -> DataFrame:
+    """df with accepted: values in [0, 1) above all before them; equal or lesser ones are not.
 
-def monotone_progress(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """df with accepted: values in [0, 1) above all before them; equal or lesser ones are not."""
-    frame = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    The greatest value so far is found inside stretches of `width` of the first order column, then among them.
+    """
+    key = list(key)
     fits = F.when((F.col(value) >= 0) & (F.col(value) < 1), F.col(value))
-    return df.withColumn("accepted", F.coalesce(fits > F.coalesce(F.max(fits).over(frame), F.lit(-1.0)), F.lit(False)))
+    rows = df.withColumn("__fits", fits).withColumn("__part", F.floor(F.col(order[0]) / width))
+    tops = rows.groupBy(*key, "__part").agg(F.max("__fits").alias("__top"))
+    earlier = F.max("__top").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max("__fits").over(Window.partitionBy(*key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("__inside", inside).join(tops.select(*key, "__part", earlier.alias("__earlier")), [*key, "__part"])
+    before = F.coalesce(F.greatest("__inside", "__earlier"), F.lit(-1.0))
+    return placed.withColumn("accepted", F.coalesce(F.col("__fits") > before, F.lit(False))).drop("__fits", "__part", "__inside", "__earlier")
 
 
 def debounced(df: DataFrame, key: Sequence[str], at: str, order: Sequence[str], quiet: float) -> DataFrame:
-    """Rows after which nothing of the same key came for `quiet`: the last of each burst."""
-    following = F.lead(at).over(Window.partitionBy(*key).orderBy(at, *order))
-    return df.withColumn("__next", following).filter(F.col("__next").isNull() | (F.col("__next") - F.col(at) > quiet)).drop("__next")
+    """Rows after which nothing of the same key came for `quiet`: the last of each burst.
+
+    What comes within `quiet` lies in the row's own stretch of that length or in the next.
+    """
+    home = F.floor(F.col(at) / quiet)
+    dealt = df.withColumn("__part", F.explode(F.array(home, home - 1)))
+    following = F.lead(at).over(Window.partitionBy(*key, "__part").orderBy(at, *order))
+    last = dealt.withColumn("__next", following).filter(F.col("__part") == home)
+    return last.filter(F.col("__next").isNull() | (F.col("__next") - F.col(at) > quiet)).drop("__next", "__part")
 
 
 def grid_deltas(df: DataFrame, order: str, values: Sequence[str], partition: Sequence[str]) -> DataFrame:
@@ -99,6 +151,31 @@ def grid_deltas(df: DataFrame, order: str, values: Sequence[str], partition: Seq
 
 
 def replay(df: DataFrame, key: Sequence[str], sequence: str, cursor: Column) -> DataFrame:
-    """The events after each key's cursor, and none for a cursor that lies ahead of its events."""
-    last = F.max(sequence).over(Window.partitionBy(*key))
-    return df.withColumn("__cursor", cursor).withColumn("__last", last).filter((F.col(sequence) > F.col("__cursor")) & (F.col("__cursor") <= F.col("__last"))).drop("__cursor", "__last")
+    """The events after each key's cursor; reading them fails at a cursor that lies ahead of its key's events."""
+    last = df.groupBy(*key).agg(F.max(sequence).alias("__last"))
+    rows = df.withColumn("__cursor", cursor).join(last, list(key))
+    ahead = F.raise_error(F.concat_ws(" ", F.lit("the cursor lies ahead of the events of"), *[F.col(k).cast("string") for k in key])).cast("boolean")
+    return rows.filter(F.when(F.col("__cursor") > F.col("__last"), ahead).otherwise(F.col(sequence) > F.col("__cursor"))).drop("__cursor", "__last")
+
+
+def future_cursors(df: DataFrame, key: Sequence[str], sequence: str, cursor: Column) -> DataFrame:
+    """key, cursor, last: the keys whose cursor lies ahead of their events."""
+    said = df.groupBy(*key).agg(F.max(cursor).alias("cursor"), F.max(sequence).alias("last"))
+    return said.filter(F.col("cursor") > F.col("last"))
+
+
+def spans(df: DataFrame, key: Sequence[str], order: Sequence[str], state: str, starts: Sequence[str], terminals: Sequence[str]) -> DataFrame:
+    """The start rows of df with terminal, the terminal state that follows before the next start ('open' if none does), and took."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    rows = df.filter(F.col(state).isin(*starts, *terminals))
+    rows = rows.withColumn("__next", F.lead(state).over(w)).withColumn("__at", F.lead(order[0]).over(w)).filter(F.col(state).isin(*starts))
+    ended = F.coalesce(F.col("__next").isin(*terminals), F.lit(False))
+    said = rows.withColumn("terminal", F.when(ended, F.col("__next")).otherwise("open")).withColumn("took", F.when(ended, F.col("__at") - F.col(order[0])))
+    return said.drop("__next", "__at")
+
+
+def log_steps(df: DataFrame, key: Sequence[str], epoch: str, batches: str, jump: int) -> DataFrame:
+    """key, epochs, global_step (the batches summed) and how often the epoch goes on by more than `jump`."""
+    before = F.lag(epoch).over(Window.partitionBy(*key).orderBy(epoch))
+    rows = df.withColumn("__jumps", F.coalesce(F.col(epoch) - before > jump, F.lit(False)))
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("epochs"), F.sum(batches).alias("global_step"), F.count_if("__jumps").alias("jumps"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar
 from millrace.operators import checks, evaluation, grid, joins, lineage, profile, sampling, series
+from millrace.operators.cut import checkpointed
 from millrace.operators.quantiles import quantiles
 from millrace.plans.tables import event_rows, order_metrics, table
 from millrace.streaming import folds
@@ -38,7 +39,7 @@ GATES = [
 
 
 def _gates_on(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    metrics = orders.withColumn("all", F.lit("gap_pct"))
+    metrics = checkpointed(orders).withColumn("all", F.lit("gap_pct"))
     said = profile.summarise_closed(metrics, ["all"], F.col("gap_pct"), F.col("valid"))
     cells = profile.long_form(said, ["median", "p90", "p95", "maximum"], ["all", "status"])
     evidence = cells.select(F.concat_ws(".", "all", "column").alias("metric"), "value", "status")
@@ -72,13 +73,13 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metric_summary_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = profile.summarise_closed(order_metrics(spark, sf_dir), ["o_orderpriority"], F.col("gap_pct"), F.col("valid"))
+    said = profile.summarise_closed(checkpointed(order_metrics(spark, sf_dir)), ["o_orderpriority"], F.col("gap_pct"), F.col("valid"))
     return rounded(said, 4, "median", "p90", "p95", "maximum")
 
 
 @query
 def metric_summary_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = profile.summarise_closed(order_metrics(spark, sf_dir).filter("valid"), ["o_orderpriority"], F.col("gap_pct"), F.col("valid"))
+    said = profile.summarise_closed(checkpointed(order_metrics(spark, sf_dir).filter("valid")), ["o_orderpriority"], F.col("gap_pct"), F.col("valid"))
     return rounded(said, 4, "median", "p90", "p95", "maximum")
 
 
@@ -166,6 +167,7 @@ def missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("lineitem.part", checks.missing_parents(lines, "l_partkey", table(spark, sf_dir, "part"), "p_partkey")),
         ("lineitem.supplier", checks.missing_parents(lines, "l_suppkey", table(spark, sf_dir, "supplier"), "s_suppkey")),
         ("customer.orders", checks.missing_parents(table(spark, sf_dir, "customer"), "c_custkey", orders, "o_custkey")),
+        ("lineitem.open_orders", checks.missing_parents(lines, "l_orderkey", orders.filter("o_orderstatus = 'O'"), "o_orderkey")),
     ]
     out = None
     for name, keys in parts:
@@ -200,14 +202,14 @@ def nearest_design_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shared_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of two shapes on a grid by set operations."""
-    g = grid.cells(spark, 48, 64)
-    a = grid.ellipse_distance(g, 24, 26, 14, 9, 20).filter("sdf <= 0").select("y", "x")
-    b = grid.ellipse_distance(g, 24, 38, 14, 9, 160).filter("sdf <= 0").select("y", "x")
+    """Customers with open and with finished orders, by set operations."""
+    orders = table(spark, sf_dir, "orders")
+    a = orders.filter("o_orderstatus = 'O'").select("o_custkey")
+    b = orders.filter("o_orderstatus = 'F'").select("o_custkey")
     parts = {"both": a.intersect(b), "first_only": a.subtract(b), "either": a.union(b).distinct()}
     out = None
     for name, part in parts.items():
-        one = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("sum_y"), F.sum(F.col("x").cast("long")).alias("sum_x"))
+        one = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("sum_key"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -308,10 +310,13 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the turns of a conversation follow one another from 0, and its moves from role to role."""
+    """Conversations whose turns do not follow one another from 0, and how often each move from role to role that is not `user` to `assistant` occurs."""
     rows = table(spark, sf_dir, "conversations")
-    legal = spark.createDataFrame([("system", "user"), ("user", "assistant"), ("assistant", "user")], "previous string, state string")
-    return series.illegal_transitions(rows, ["conv_id"], ["turn"], "role", legal)
+    legal = spark.createDataFrame([("user", "assistant")], "previous string, state string")
+    moves = series.illegal_transitions(rows, ["conv_id"], ["turn"], "role", legal)
+    gaps = series.sequence_gaps(rows.select("conv_id", "turn").distinct(), ["conv_id"], "turn")
+    moved = moves.select("conv_id", F.concat_ws(" to ", "previous", "state").alias("what"), "n")
+    return moved.unionByName(gaps.groupBy("conv_id").agg(F.lit("turns").alias("what"), F.count(F.lit(1)).alias("n")).select("conv_id", "what", "n"))
 
 
 @query
@@ -352,8 +357,17 @@ def debounce_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replay_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events after a cursor that is at most their own last event."""
+    rows = event_rows(spark, sf_dir).select("user_id", "event_id")
+    last = rows.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    seen = rows.join(last, "user_id").withColumn("cursor", F.least(F.lit(5000), F.col("last")).cast("long"))
+    return series.replay(seen, ["user_id"], "event_id", F.col("cursor")).select("user_id", "event_id")
+
+
+@query
+def future_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir).select("user_id", "event_id")
-    return series.replay(rows, ["user_id"], "event_id", F.when(F.col("user_id") % 10 == 0, F.lit(10**12)).otherwise(F.lit(5000)).cast("long"))
+    return series.future_cursors(rows, ["user_id"], "event_id", F.when(F.col("user_id") % 10 == 0, F.lit(10**12)).otherwise(F.col("user_id")).cast("long"))
 
 
 @query
@@ -373,103 +387,120 @@ def grid_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- grids
 
 
+HEIGHT, WIDTH = 32, 48
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turned ellipse for each supplier, on a grid of its own."""
+    k = F.col("s_suppkey")
+    cases = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k).alias("case_id"), (9 + k % 4).alias("a"), (5 + k % 3).alias("b"), (k * 7 % 30).alias("degrees"))
+    return grid.ellipse_distance(grid.lattice(cases, HEIGHT, WIDTH), 15, 20, "a", "b", "degrees")
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 @query
 def ellipse_sdf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid.ellipse_distance(grid.cells(spark, 64, 96), 32, 40, 15, 9, 25)
-    return g.select(
-        F.col("y").cast("long").alias("y"),
-        F.col("x").cast("long").alias("x"),
-        F.round("sdf", 6).alias("sdf"),
-        (F.col("sdf") <= 0).alias("obstacle"),
-        F.round(scalar.clip(F.col("sdf") / 18, -1.0, 1.0), 6).alias("channel"),
-    )
+    g = _long(_shapes(spark, sf_dir), "y", "x")
+    return g.select("case_id", "y", "x", F.round("sdf", 6).alias("sdf"), (F.col("sdf") <= 0).alias("obstacle"), F.round(scalar.clip(F.col("sdf") / 18, -1.0, 1.0), 6).alias("channel"))
 
 
 @query
 def obstacle_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.bounding_box(grid.ellipse_distance(grid.cells(spark, 64, 96), 32, 40, 15, 9, 25), 8.0).select(*[F.col(c).cast("long").alias(c) for c in ("y0", "y1", "x0", "x1")])
+    return rounded(_long(grid.bounding_box(_shapes(spark, sf_dir), 8.0), "y0", "y1", "x0", "x1"), 6, "least_on_side")
 
 
-def _field(spark: SparkSession) -> DataFrame:
-    g = grid.ellipse_distance(grid.cells(spark, 64, 96), 32, 40, 15, 9, 25)
+def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.lit(0.1) + F.col("x") * F.col("y") / 65536
     v = (F.col("x") - F.col("y")) / 2048
-    return g.select("case_id", "y", "x", (F.col("sdf") > 0).alias("fluid"), (F.col("sdf") <= 0).alias("obstacle"), u.alias("sol_u"), v.alias("sol_v"), (u * 1.25).alias("pred_u"), (v - 0.0625).alias("pred_v"))
+    fluid = F.col("sdf") > 0
+    return _shapes(spark, sf_dir).select("case_id", "y", "x", fluid.alias("fluid"), (~fluid).alias("obstacle"), u.alias("sol_u"), v.alias("sol_v"), (u * 1.25).alias("pred_u"), (v - 0.0625).alias("pred_v"))
+
+
+def _drags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each case the drag that the solver, the head and the field say."""
+    k, cost = F.col("s_suppkey"), F.col("s_acctbal")
+    rows = table(spark, sf_dir, "supplier")
+    return rows.select(F.concat(F.lit("s"), k).alias("case_id"), (1 + cost / 20_000).alias("cd_solver"), (1 + cost / 20_000 + (k % 7) / 100).alias("cd_head"), (1 + cost / 20_000 - (k % 11) / 50).alias("cd_field"))
 
 
 @query
 def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.case_metrics(_field(spark), 0.1, 2.0), 6, "relative_l2", "obstacle_speed", "pred_divergence", "sol_divergence")
+    """The seven metrics of a case: four on its fields, three on its drag."""
+    said = grid.case_metrics(_field(spark, sf_dir), 0.1, 2.0).join(evaluation.drag_errors(_drags(spark, sf_dir)), "case_id")
+    return rounded(said, 6, "relative_l2", "obstacle_speed", "pred_divergence", "sol_divergence", "head_error", "field_error", "gap")
+
+
+@query
+def disagreement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose head and field disagree by more than a tenth of the solver's drag, with the status of the gap and the axis that all share."""
+    said = evaluation.disagreement(_drags(spark, sf_dir), 10.0)
+    return rounded(said.select("case_id", "gap", "disagrees", "status", "axis_low", "axis_high"), 6, "gap", "axis_low", "axis_high")
 
 
 @query
 def masked_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.masked_loss(_field(spark), ["u", "v"]), 6, "loss_u", "loss_v")
+    """The terms of a case's loss and their weighted sum."""
+    terms = grid.masked_loss(_field(spark, sf_dir), ["u", "v"], reference_speed=0.1)
+    drag = _drags(spark, sf_dir).select("case_id", (scalar.floored_ratio(F.col("cd_head") - F.col("cd_solver"), F.abs("cd_solver"), 0.1) ** 2).alias("loss_cd"))
+    total = F.col("loss_u") + F.col("loss_v") + 0.25 * F.col("loss_obstacle") + 0.5 * F.col("loss_cd")
+    return rounded(terms.join(drag, "case_id").withColumn("total", total), 6, "loss_u", "loss_v", "loss_obstacle", "loss_cd", "total")
 
 
 @query
 def vorticity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _field(spark).select("case_id", "y", "x", F.col("sol_u").alias("u"), (F.col("sol_v") * F.col("sol_v")).alias("v"))
-    said = grid.thinned(grid.vorticity(g), 4, 2)
-    return said.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("vorticity", 9).alias("vorticity"))
+    g = _field(spark, sf_dir).select("case_id", "y", "x", F.col("sol_u").alias("u"), (F.col("sol_v") * F.col("sol_v")).alias("v"))
+    return rounded(_long(grid.thinned(grid.vorticity(g), 4, 2), "y", "x").select("case_id", "y", "x", "vorticity"), 9, "vorticity")
 
 
 @query
 def control_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _field(spark).select("case_id", "y", "x", F.col("sol_u").alias("u"), F.col("sol_v").alias("v"), (F.lit(1.0) + F.col("x") / 4096 - F.col("y") / 8192).alias("rho"))
-    box = grid.bounding_box(grid.ellipse_distance(grid.cells(spark, 64, 96), 32, 40, 15, 9, 25), 8.0)
-    return rounded(grid.surface_flux(g, box), 7, "force_x")
+    g = _field(spark, sf_dir).select("case_id", "y", "x", F.col("sol_u").alias("u"), F.col("sol_v").alias("v"), (F.lit(1.0) + F.col("x") / 4096 - F.col("y") / 8192).alias("rho"))
+    said = grid.surface_flux(g, grid.bounding_box(_shapes(spark, sf_dir), 8.0))
+    return rounded(said.select("case_id", "force_x", "left_pressure", "right_uu", "top_uv"), 7, "force_x", "left_pressure", "right_uu", "top_uv")
+
+
+def _steps(g: DataFrame, n: int) -> DataFrame:
+    return g.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
 @query
 def snapshot_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _field(spark).crossJoin(F.broadcast(spark.range(3).select(F.col("id").alias("step"))))
-    g = g.select("case_id", "step", F.col("sol_u").alias("u"), F.col("sol_v").alias("v"), (F.lit(1.0) + F.col("x") * F.col("step") / 256).alias("rho"))
-    return rounded(grid.snapshot_stability(g), 6, "least_rho", "greatest_rho", "fastest", "mass")
+    """Each step's extremes, whether they are within bounds, and the drift of the mass from the first step."""
+    g = _steps(_field(spark, sf_dir), 3)
+    g = g.select("case_id", "step", F.col("sol_u").alias("u"), F.col("sol_v").alias("v"), (F.lit(1.0) + F.col("x") * F.col("step") / 128).alias("rho"))
+    said = series.drift(grid.snapshot_stability(g), ["case_id"], "step", "mass")
+    return rounded(said, 6, "least_rho", "greatest_rho", "fastest", "mass", "drift")
 
 
 @query
 def time_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _field(spark).crossJoin(F.broadcast(spark.range(4).select(F.col("id").alias("step"))))
-    g = g.select("case_id", "y", "x", (F.col("sol_u") * (1 + F.col("step"))).alias("u"))
-    said = grid.time_average(g, ["u"])
-    return said.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("u", 8).alias("u"))
+    """Each cell's mean over the steps, with the least and greatest of the whole history."""
+    g = _steps(_field(spark, sf_dir), 4).select("case_id", "y", "x", (F.col("sol_u") * (1 + F.col("step"))).alias("u"))
+    ends = g.groupBy("case_id").agg(F.min("u").alias("least"), F.max("u").alias("greatest"))
+    return rounded(_long(grid.time_average(g, ["u"]).join(ends, "case_id"), "y", "x"), 8, "u", "least", "greatest")
 
 
 @query
 def area_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _field(spark).select("case_id", "y", "x", (F.col("y") + 2 * F.col("x")).cast("double").alias("value"))
-    along_x = joins.overlap_average(g, "x", 96, 36, "value", ["case_id", "y"])
-    both = joins.overlap_average(along_x, "y", 64, 25, "value", ["case_id", "x"])
-    return both.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("value", 6).alias("value"))
-
-
-SHIFTS = [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1), (4, -1, 0), (5, 1, 1), (6, 1, -1), (7, -1, -1), (8, -1, 1)]  # fixed values: direction, cy, cx
-
-
-@query
-def obstacle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifts = spark.createDataFrame(SHIFTS, "direction int, cy int, cx int")
-    g = _field(spark).select("case_id", "y", "x", F.col("obstacle").alias("solid"))
-    return joins.solid_links(g, shifts).select(*[F.col(c).cast("long").alias(c) for c in ("y", "x", "direction")])
-
-
-@query
-def periodic_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What arrives in each cell from its nine neighbours around the border: the sum of their values by direction."""
-    shifts = spark.createDataFrame(SHIFTS, "direction int, cy int, cx int")
-    moved = joins.shifted_neighbours(grid.cells(spark, 32, 40), shifts, period=(32, 40))
-    value = (F.col("y") * 40 + F.col("x")) * (F.col("direction") + 1)
-    said = moved.groupBy("neighbour_y", "neighbour_x").agg(F.sum(value.cast("long")).alias("arrived"))
-    return said.select(F.col("neighbour_y").cast("long").alias("y"), F.col("neighbour_x").cast("long").alias("x"), "arrived")
+    cases = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("case_id"))
+    g = grid.lattice(cases, HEIGHT, WIDTH).withColumn("value", (F.col("y") + 2 * F.col("x")).cast("double"))
+    along_x = joins.overlap_average(g, "x", WIDTH, 20, "value", ["case_id", "y"])
+    both = joins.overlap_average(along_x, "y", HEIGHT, 12, "value", ["case_id", "x"])
+    return rounded(_long(both, "y", "x"), 6, "value")
 
 
 @query
 def grid_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wall with a gap and a wall without one."""
-    a = grid.cells(spark, 24, 32, "gap").withColumn("solid", (F.col("x") % 8 == 4) & (F.col("y") != F.when(F.col("x") % 16 == 4, 1).otherwise(22)))
-    b = grid.cells(spark, 24, 32, "wall").withColumn("solid", (F.col("x") == 12) | (F.col("x") == F.col("y")))
-    return grid.connected_cases(a.unionByName(b))
+    """A winding way through walls, and a closed wall: by the supplier's number."""
+    k = F.col("k")
+    cases = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("case_id"), (F.col("s_suppkey") % 5).alias("k"))
+    g = grid.lattice(cases, 12, 16)
+    winding = (F.col("x") % 4 == 2) & (F.col("y") != F.when(F.col("x") % 8 == 2, 1).otherwise(10))
+    closed = (F.col("x") == 6 + k) | (F.col("x") == F.col("y"))
+    return grid.connected_cases(g.withColumn("solid", F.when(k < 3, winding).otherwise(closed)).drop("k"))
 
 
 # -- lineage, identity, text
@@ -549,12 +580,15 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 requests of each UTC day are let in, while their reserved seconds stay within the day's."""
-    rows = event_rows(spark, sf_dir).withColumn("day", F.floor(F.col("seconds") / 86_400))
-    w = Window.partitionBy("day").orderBy("seconds", "event_id")
-    placed = rows.select("event_id", "day", F.row_number().over(w).alias("place"))
-    reason = F.when(F.col("place") > 20, "count").when(F.col("place") * 180 > 3600, "seconds")
-    return placed.select("event_id", "day", reason.isNull().alias("admitted"), reason.alias("reason"))
+    """A day's requests in order: the kind may be closed, then at most 20, then at most 3,600 reserved seconds before and with it.
+
+    A day's rows are numbered within hours first, so that no task sorts a whole day.
+    """
+    rows = event_rows(spark, sf_dir).withColumn("day", F.floor(F.col("seconds") / 86_400)).withColumn("cost", (60 + F.col("event_id") % 7 * 60).cast("long"))
+    closed = F.col("event_type") == "error"
+    asked = series.running(rows, ["day"], "seconds", 3600, ["seconds", "event_id"], {"place": F.when(~closed, F.lit(1)).otherwise(0), "reserved": F.when(~closed, F.col("cost")).otherwise(0)})
+    reason = F.when(closed, "closed").when(F.col("place") > 20, "count").when(F.col("reserved") > 3600, "seconds")
+    return asked.select("event_id", "day", reason.isNull().alias("admitted"), reason.alias("reason"))
 
 
 @query
@@ -576,17 +610,23 @@ def lease_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sweep_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By final state: cases, retries, and how often each failure code was met."""
     last = lease_replay(spark, sf_dir).groupBy("case_id").agg(F.max_by(F.struct("state", "attempt", "failure_codes"), "sequence").alias("s")).select("case_id", "s.*")
-    codes = F.size(F.filter(F.split("failure_codes", ","), lambda c: c != ""))
-    return last.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.lit(0), F.col("attempt") - 1)).alias("retries"), F.sum(codes).alias("failures"))
+    states = last.groupBy("state").agg(F.lit("cases").alias("what"), F.count(F.lit(1)).alias("n"))
+    retries = last.groupBy("state").agg(F.lit("retries").alias("what"), F.sum(F.greatest(F.lit(0), F.col("attempt") - 1)).cast("long").alias("n"))
+    codes = last.select("state", F.explode(F.split("failure_codes", ",")).alias("what")).filter("what <> ''").groupBy("state", "what").agg(F.count(F.lit(1)).alias("n"))
+    return states.unionByName(retries).unionByName(codes)
 
 
 @query
 def bounded_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that find fewer than three others of the last hour are taken, by kind."""
-    w = Window.partitionBy("event_type").orderBy("seconds").rangeBetween(-3599, 0)
-    rows = event_rows(spark, sf_dir).withColumn("waiting", F.count(F.lit(1)).over(w))
-    return rows.groupBy("event_type").agg(F.count_if(F.col("waiting") <= 3).alias("taken"), F.count_if(F.col("waiting") > 3).alias("refused"), F.max("waiting").alias("most"))
+    """Requests by user that find fewer than two others of theirs from the day before: how many a kind has, and the most that one found.
+
+    All requests count, taken or not, as load that the others see; token_bucket is the rule by which refusals do not.
+    """
+    rows = event_rows(spark, sf_dir)
+    said = series.trailing_mean(rows, ["user_id"], "seconds", "value", 86_400).withColumn("others", F.col("n_trailing") - 1)
+    return said.groupBy("event_type").agg(F.count_if(F.col("others") < 2).alias("taken"), F.count_if(F.col("others") >= 2).alias("refused"), F.max("others").alias("most"))
 
 
 @query

@@ -38,15 +38,15 @@ _GATES_ALL = _GATES.replace("said AS (", "complete AS (", 1).replace(
     1,
 )
 
-# Cells of the 64 x 96 grid with the distance to the ellipse and the fields that the queries put on it.
+# A turned ellipse for each supplier on a 32 x 48 grid, and the fields and drags that the queries put on it.
 _GRID = """
-    cells AS (SELECT y, x FROM range(64) a(y), range(96) b(x)),
-    turned AS (SELECT y, x, (x + 0.5 - 40) * cos(radians(25)) + (y + 0.5 - 32) * sin(radians(25)) AS p,
-                      (y + 0.5 - 32) * cos(radians(25)) - (x + 0.5 - 40) * sin(radians(25)) AS q FROM cells),
-    k AS (SELECT y, x, sqrt(power(p / 15, 2) + power(q / 9, 2)) AS k0, sqrt(power(p / 225, 2) + power(q / 81, 2)) AS k1 FROM turned),
-    ellipse AS (SELECT y, x, CASE WHEN k1 = 0 THEN -9.0 ELSE k0 * (k0 - 1) / k1 END AS sdf FROM k),
-    box AS (SELECT min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM ellipse WHERE sdf < 8),
-    field AS (SELECT y, x, sdf > 0 AS fluid, sdf <= 0 AS obstacle, 0.1 + x * y / 65536.0::DOUBLE AS u, (x - y) / 2048.0::DOUBLE AS v FROM ellipse)
+    shapes AS (SELECT 's' || s_suppkey AS case_id, 9 + s_suppkey % 4 AS a, 5 + s_suppkey % 3 AS b, radians(s_suppkey * 7 % 30) AS d FROM supplier),
+    cells AS (SELECT shapes.*, y, x FROM shapes, range(32) r(y), range(48) c(x)),
+    turned AS (SELECT case_id, a, b, y, x, (x - 20) * cos(d) + (y - 15) * sin(d) AS p, (y - 15) * cos(d) - (x - 20) * sin(d) AS q FROM cells),
+    ellipse AS (SELECT case_id, y, x, (sqrt(power(p / a, 2) + power(q / b, 2)) - 1) * least(a, b) AS sdf FROM turned),
+    box AS (SELECT case_id, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM ellipse WHERE sdf < 8 GROUP BY case_id),
+    field AS (SELECT case_id, y, x, sdf > 0 AS fluid, sdf <= 0 AS obstacle, 0.1 + x * y / 65536.0::DOUBLE AS u, (x - y) / 2048.0::DOUBLE AS v FROM ellipse),
+    drags AS (SELECT 's' || s_suppkey AS case_id, 1 + s_acctbal / 20000 AS solver, 1 + s_acctbal / 20000 + (s_suppkey % 7) / 100.0::DOUBLE AS head, 1 + s_acctbal / 20000 - (s_suppkey % 11) / 50.0::DOUBLE AS field FROM supplier)
 """
 
 
@@ -118,6 +118,7 @@ SQL: dict[str, str] = {
         UNION SELECT 'lineitem.part', l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
         UNION SELECT 'lineitem.supplier', l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
         UNION SELECT 'customer.orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+        UNION SELECT 'lineitem.open_orders', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')
     """,
     "artifact_difference": """
         WITH r AS (SELECT *, sha256(c_custkey || '|' || c_name || '|' || c_mktsegment) AS sha FROM customer),
@@ -135,11 +136,9 @@ SQL: dict[str, str] = {
         WHERE q.p_partkey % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.p_partkey ORDER BY power(r.size - q.size, 2) + power(r.price - q.price, 2), r.p_partkey) = 1
     """,
     "shared_neighbours": """
-        WITH t AS (SELECT y, x, n, (x + 0.5 - cx) * cos(radians(d)) + (y + 0.5 - 24) * sin(radians(d)) AS p, (y + 0.5 - 24) * cos(radians(d)) - (x + 0.5 - cx) * sin(radians(d)) AS q
-                   FROM range(48) a(y), range(64) b(x), (VALUES ('a', 26, 20), ('b', 38, 160)) s(n, cx, d)),
-        m AS (SELECT y, x, bool_or(n = 'a') AS a, bool_or(n = 'b') AS b FROM t WHERE sqrt(power(p / 14, 2) + power(q / 9, 2)) <= 1 GROUP BY 1, 2)
-        SELECT part, count(*) AS n, sum(y)::BIGINT AS sum_y, sum(x)::BIGINT AS sum_x FROM m, (VALUES ('both'), ('first_only'), ('either')) k(part)
-        WHERE CASE part WHEN 'both' THEN a AND b WHEN 'first_only' THEN a AND NOT b ELSE true END GROUP BY 1
+        WITH m AS (SELECT o_custkey, bool_or(o_orderstatus = 'O') AS a, bool_or(o_orderstatus = 'F') AS b FROM orders GROUP BY 1)
+        SELECT part, count(*) AS n, sum(o_custkey)::BIGINT AS sum_key FROM m, (VALUES ('both'), ('first_only'), ('either')) k(part)
+        WHERE CASE part WHEN 'both' THEN a AND b WHEN 'first_only' THEN a AND NOT b ELSE a OR b END GROUP BY 1
     """,
     "probe_grid": """
         SELECT n_nationkey, n_name, reynolds, member, CASE WHEN reynolds IN (20, 400) THEN 'ood' ELSE 'boundary' END AS regime
@@ -184,8 +183,10 @@ SQL: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, expected, CASE WHEN l_linenumber < expected THEN 'repeated' ELSE 'gap' END AS problem FROM s WHERE l_linenumber <> expected
     """,
     "conversation_turns": """
-        WITH m AS (SELECT conv_id, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, role AS state FROM conversations)
-        SELECT conv_id, previous, state, count(*) AS n FROM m WHERE previous IS NOT NULL AND (previous, state) NOT IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) GROUP BY 1, 2, 3
+        WITH m AS (SELECT conv_id, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, role AS state FROM conversations),
+        t AS (SELECT DISTINCT conv_id, turn FROM conversations), g AS (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, 0) AS expected FROM t)
+        SELECT conv_id, previous || ' to ' || state AS what, count(*) AS n FROM m WHERE previous IS NOT NULL AND NOT (previous = 'user' AND state = 'assistant') GROUP BY 1, 2
+        UNION ALL SELECT conv_id, 'turns', count(*) FROM g WHERE turn <> expected GROUP BY 1
     """,
     "regular_sampling": f"""
         WITH {_EVENTS}, d AS (SELECT user_id, seconds - lag(seconds) OVER (PARTITION BY user_id ORDER BY seconds) AS d FROM e)
@@ -212,8 +213,10 @@ SQL: dict[str, str] = {
     """,
     "debounce_last_wins": f"WITH {_EVENTS} SELECT user_id, event_id, seconds FROM e QUALIFY coalesce(lead(seconds) OVER (PARTITION BY user_id ORDER BY seconds, event_id) - seconds > 3600, true)",
     "replay_after_cursor": """
-        WITH c AS (SELECT user_id, event_id, CASE WHEN user_id % 10 = 0 THEN 1000000000000 ELSE 5000 END AS cur, max(event_id) OVER (PARTITION BY user_id) AS last FROM events)
-        SELECT user_id, event_id FROM c WHERE event_id > cur AND cur <= last
+        WITH c AS (SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id) AS last FROM events) SELECT user_id, event_id FROM c WHERE event_id > least(5000, last)
+    """,
+    "future_cursors": """
+        SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 1000000000000 ELSE user_id END AS cursor, max(event_id) AS last FROM events GROUP BY 1, 2 HAVING cursor > last
     """,
     "monotone_progress": f"""
         WITH {_EVENTS}, p AS (SELECT user_id, event_id, seconds, event_id * 37 % 1100 / 1000.0::DOUBLE AS v FROM e),
@@ -225,60 +228,76 @@ SQL: dict[str, str] = {
         WITH r AS (SELECT o_orderpriority, year(o_orderdate)::BIGINT AS year, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1, 2)
         SELECT o_orderpriority, year, round(mean, 2) AS mean, n, round(abs(mean - lag(mean) OVER w), 2) AS mean_delta, abs(n - lag(n) OVER w) AS n_delta FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year)
     """,
-    "ellipse_sdf_grid": f"WITH {_GRID} SELECT y, x, round(sdf, 6) AS sdf, sdf <= 0 AS obstacle, round(greatest(least(sdf / 18, 1), -1), 6) AS channel FROM ellipse",
-    "obstacle_box": f"WITH {_GRID} SELECT y0, y1, x0, x1 FROM box",
+    "ellipse_sdf_grid": f"WITH {_GRID} SELECT case_id, y, x, round(sdf, 6) AS sdf, sdf <= 0 AS obstacle, round(greatest(least(sdf / 18, 1), -1), 6) AS channel FROM ellipse",
+    "obstacle_box": f"""
+        WITH {_GRID} SELECT case_id, y0, y1, x0, x1, round(min(sdf), 6) AS least_on_side FROM box LEFT JOIN (
+            SELECT e.case_id AS c, sdf FROM ellipse e JOIN box b ON b.case_id = e.case_id
+            WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 AND (y = y0 OR y = y1 OR x = x0 OR x = x1)) ON c = case_id GROUP BY ALL
+    """,
     "case_metrics": f"""
         WITH {_GRID}, m AS (SELECT *, u * 1.25::DOUBLE AS pu, v - 0.0625::DOUBLE AS pv FROM field),
-        d AS (SELECT c.y, c.x, abs((r.pu - l.pu) / 4 + (t.pv - b.pv) / 4) AS pd, abs((r.u - l.u) / 4 + (t.v - b.v) / 4) AS sd FROM m c
-              JOIN m l ON l.y = c.y AND l.x = c.x - 1 JOIN m r ON r.y = c.y AND r.x = c.x + 1 JOIN m b ON b.y = c.y - 1 AND b.x = c.x JOIN m t ON t.y = c.y + 1 AND t.x = c.x
-              WHERE c.fluid AND l.fluid AND r.fluid AND b.fluid AND t.fluid)
-        SELECT 'case' AS case_id, round(sqrt(sum(power(pu - u, 2) + power(pv - v, 2)) FILTER (fluid)) / greatest(sqrt(sum(u * u + v * v) FILTER (fluid)), 1e-8), 6) AS relative_l2,
-               round(avg(sqrt(pu * pu + pv * pv)) FILTER (obstacle) / 0.1::DOUBLE, 6) AS obstacle_speed, (SELECT round(avg(pd), 6) FROM d) AS pred_divergence, (SELECT round(avg(sd), 6) FROM d) AS sol_divergence FROM m
+        d AS (SELECT c.case_id, avg(abs((r.pu - l.pu) / 4 + (t.pv - b.pv) / 4)) AS pd, avg(abs((r.u - l.u) / 4 + (t.v - b.v) / 4)) AS sd FROM m c
+              JOIN m l ON l.case_id = c.case_id AND l.y = c.y AND l.x = c.x - 1 JOIN m r ON r.case_id = c.case_id AND r.y = c.y AND r.x = c.x + 1
+              JOIN m b ON b.case_id = c.case_id AND b.y = c.y - 1 AND b.x = c.x JOIN m t ON t.case_id = c.case_id AND t.y = c.y + 1 AND t.x = c.x
+              WHERE c.fluid AND l.fluid AND r.fluid AND b.fluid AND t.fluid GROUP BY 1),
+        w AS (SELECT case_id, sqrt(sum(power(pu - u, 2) + power(pv - v, 2)) FILTER (fluid)) / greatest(sqrt(sum(u * u + v * v) FILTER (fluid)), 1e-8) AS l2,
+                     avg(sqrt(pu * pu + pv * pv)) FILTER (obstacle) / 0.1::DOUBLE AS inside FROM m GROUP BY 1)
+        SELECT w.case_id, round(l2, 6) AS relative_l2, round(inside, 6) AS obstacle_speed, round(pd, 6) AS pred_divergence, round(sd, 6) AS sol_divergence,
+               round(100 * abs(head - solver) / greatest(abs(solver), 0.1), 6) AS head_error, round(100 * abs(field - solver) / greatest(abs(solver), 0.1), 6) AS field_error,
+               round(100 * abs(head - field) / greatest(abs(solver), 0.1), 6) AS gap FROM w JOIN drags USING (case_id) LEFT JOIN d USING (case_id)
+    """,
+    "disagreement_flags": f"""
+        WITH {_GRID} SELECT case_id, round(100 * abs(head - field) / greatest(abs(solver), 0.1), 6) AS gap, abs(head - field) > 0.1 * greatest(abs(solver), 0.1) AS disagrees,
+               CASE WHEN 100 * abs(head - field) / greatest(abs(solver), 0.1) <= 10 THEN 'green' ELSE 'red' END AS status,
+               round(min(least(head, field, solver)) OVER (), 6) AS axis_low, round(max(greatest(head, field, solver)) OVER (), 6) AS axis_high FROM drags
     """,
     "masked_loss": f"""
-        WITH {_GRID} SELECT 'case' AS case_id, round(avg(power(u * 0.25::DOUBLE, 2)) FILTER (fluid) / greatest(avg(u * u) FILTER (fluid), 1e-6), 6) AS loss_u,
-               round(avg(power(0.0625::DOUBLE, 2)) FILTER (fluid) / greatest(avg(v * v) FILTER (fluid), 1e-6), 6) AS loss_v FROM field
+        WITH {_GRID}, t AS (
+            SELECT case_id, avg(CASE WHEN fluid THEN power(u * 0.25::DOUBLE, 2) ELSE 0 END) / greatest(avg(CASE WHEN fluid THEN u * u ELSE 0 END), 1e-6) AS lu,
+                   avg(CASE WHEN fluid THEN power(0.0625::DOUBLE, 2) ELSE 0 END) / greatest(avg(CASE WHEN fluid THEN v * v ELSE 0 END), 1e-6) AS lv,
+                   avg(CASE WHEN obstacle THEN power(u * 1.25::DOUBLE, 2) + power(v - 0.0625::DOUBLE, 2) ELSE 0 END) / 0.01::DOUBLE AS lo FROM field GROUP BY 1),
+        c AS (SELECT t.*, power((head - solver) / greatest(abs(solver), 0.1), 2) AS lc FROM t JOIN drags USING (case_id))
+        SELECT case_id, round(lu, 6) AS loss_u, round(lv, 6) AS loss_v, round(lo, 6) AS loss_obstacle, round(lc, 6) AS loss_cd, round(lu + lv + 0.25 * lo + 0.5 * lc, 6) AS total FROM c
     """,
     "vorticity_grid": f"""
-        WITH {_GRID}, f AS (SELECT y, x, u, v * v AS v FROM field), g AS (
-            SELECT y, x, coalesce((lead(v) OVER r - lag(v) OVER r) / 2, (-3 * v + 4 * lead(v) OVER r - lead(v, 2) OVER r) / 2, (3 * v - 4 * lag(v) OVER r + lag(v, 2) OVER r) / 2)
+        WITH {_GRID}, f AS (SELECT case_id, y, x, u, v * v AS v FROM field), g AS (
+            SELECT case_id, y, x, coalesce((lead(v) OVER r - lag(v) OVER r) / 2, (-3 * v + 4 * lead(v) OVER r - lead(v, 2) OVER r) / 2, (3 * v - 4 * lag(v) OVER r + lag(v, 2) OVER r) / 2)
                        - coalesce((lead(u) OVER c - lag(u) OVER c) / 2, (-3 * u + 4 * lead(u) OVER c - lead(u, 2) OVER c) / 2, (3 * u - 4 * lag(u) OVER c + lag(u, 2) OVER c) / 2) AS w
-            FROM f WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))
-        SELECT y, x, round(w, 9) AS vorticity FROM g WHERE y % 4 = 0 AND x % 2 = 0
+            FROM f WINDOW r AS (PARTITION BY case_id, y ORDER BY x), c AS (PARTITION BY case_id, x ORDER BY y))
+        SELECT case_id, y, x, round(w, 9) AS vorticity FROM g WHERE y % 4 = 0 AND x % 2 = 0
     """,
     "control_flux": f"""
-        WITH {_GRID}, f AS (SELECT y, x, u, v, 1 + x / 4096.0::DOUBLE - y / 8192.0::DOUBLE AS rho FROM field), i AS (
-            SELECT f.*, b.* FROM f, box b WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1)
-        SELECT 'case' AS case_id, round(coalesce(sum((rho - 1) / 3 + rho * u * u) FILTER (x = x0), 0) - coalesce(sum((rho - 1) / 3 + rho * u * u) FILTER (x = x1), 0)
-                   + coalesce(sum(rho * u * v) FILTER (y = y0), 0) - coalesce(sum(rho * u * v) FILTER (y = y1), 0), 7) AS force_x FROM i
+        WITH {_GRID}, f AS (SELECT case_id, y, x, u, v, 1 + x / 4096.0::DOUBLE - y / 8192.0::DOUBLE AS rho FROM field), i AS (
+            SELECT f.*, y0, y1, x0, x1 FROM f JOIN box b ON b.case_id = f.case_id WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1)
+        SELECT case_id, round(coalesce(sum((rho - 1) / 3 + rho * u * u) FILTER (x = x0), 0) - coalesce(sum((rho - 1) / 3 + rho * u * u) FILTER (x = x1), 0)
+                   + coalesce(sum(rho * u * v) FILTER (y = y0), 0) - coalesce(sum(rho * u * v) FILTER (y = y1), 0), 7) AS force_x,
+               round(coalesce(sum((rho - 1) / 3) FILTER (x = x0), 0), 7) AS left_pressure, round(coalesce(sum(rho * u * u) FILTER (x = x1), 0), 7) AS right_uu,
+               round(coalesce(sum(rho * u * v) FILTER (y = y1), 0), 7) AS top_uv FROM i GROUP BY 1
     """,
     "snapshot_stability": f"""
-        WITH {_GRID}, f AS (SELECT step, u, v, 1 + x * step / 256.0::DOUBLE AS rho FROM field, range(3) s(step))
-        SELECT 'case' AS case_id, step, round(min(rho), 6) AS least_rho, round(max(rho), 6) AS greatest_rho, round(max(sqrt(u * u + v * v)), 6) AS fastest, round(sum(rho), 6) AS mass,
-               min(rho) >= 0.5 AND max(rho) <= 1.5 AND max(sqrt(u * u + v * v)) <= 0.2 AS stable FROM f GROUP BY step
+        WITH {_GRID}, f AS (SELECT case_id, step, u, v, 1 + x * step / 128.0::DOUBLE AS rho FROM field, range(3) s(step)), m AS (
+            SELECT case_id, step, min(rho) AS a, max(rho) AS b, max(sqrt(u * u + v * v)) AS c, sum(rho) AS mass FROM f GROUP BY 1, 2)
+        SELECT case_id, step, round(a, 6) AS least_rho, round(b, 6) AS greatest_rho, round(c, 6) AS fastest, round(mass, 6) AS mass, a >= 0.5 AND b <= 1.5 AND c <= 0.2 AS stable,
+               round(abs(mass - first_value(mass) OVER w) / first_value(mass) OVER w, 6) AS drift FROM m WINDOW w AS (PARTITION BY case_id ORDER BY step)
     """,
-    "time_average": f"WITH {_GRID} SELECT y, x, round(avg(u * (1 + step)), 8) AS u FROM field, range(4) s(step) GROUP BY 1, 2",
-    "area_average": f"""
-        WITH cx AS (SELECT i, b, {_OVERLAP.format(w="(96 / 36.0::DOUBLE)")} AS o FROM range(96) t(i), range(36) s(b)), cy AS (SELECT i, b, {_OVERLAP.format(w="2.56::DOUBLE")} AS o FROM range(64) t(i), range(25) s(b))
-        SELECT cy.b AS y, cx.b AS x, round(sum((cy.i + 2 * cx.i) * cx.o * cy.o) / (2.56::DOUBLE * 96 / 36.0::DOUBLE), 6) AS value FROM cx, cy WHERE cx.o > 0 AND cy.o > 0 GROUP BY 1, 2
+    "time_average": f"""
+        WITH {_GRID}, h AS (SELECT case_id, y, x, u * (1 + step) AS u FROM field, range(4) s(step)), e AS (SELECT case_id, min(u) AS a, max(u) AS b FROM h GROUP BY 1)
+        SELECT case_id, y, x, round(avg(u), 8) AS u, round(min(a), 8) AS least, round(min(b), 8) AS greatest FROM h JOIN e USING (case_id) GROUP BY 1, 2, 3
     """,
-    "obstacle_links": f"""
-        WITH {_GRID}, s(direction, cy, cx) AS (VALUES (1, 0, 1), (2, 1, 0), (3, 0, -1), (4, -1, 0), (5, 1, 1), (6, 1, -1), (7, -1, -1), (8, -1, 1))
-        SELECT a.y, a.x, direction::BIGINT AS direction FROM field a, s JOIN field b ON b.y = a.y + cy AND b.x = a.x + cx WHERE a.fluid AND b.obstacle
-    """,
-    "periodic_shift": """
-        WITH s(direction, cy, cx) AS (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1), (4, -1, 0), (5, 1, 1), (6, 1, -1), (7, -1, -1), (8, -1, 1))
-        SELECT (a.y + cy + 32) % 32 AS y, (b.x + cx + 40) % 40 AS x, sum((a.y * 40 + b.x) * (direction + 1))::BIGINT AS arrived FROM range(32) a(y), range(40) b(x), s GROUP BY 1, 2
+    "area_average": f"""
+        WITH cx AS (SELECT i, b, {_OVERLAP.format(w="2.4::DOUBLE")} AS o FROM range(48) t(i), range(20) s(b)), cy AS (SELECT i, b, {_OVERLAP.format(w="(32 / 12.0::DOUBLE)")} AS o FROM range(32) t(i), range(12) s(b)),
+        v AS (SELECT cy.b AS y, cx.b AS x, round(sum((cy.i + 2 * cx.i) * cx.o * cy.o) / (2.4::DOUBLE * 32 / 12.0::DOUBLE), 6) AS value FROM cx, cy WHERE cx.o > 0 AND cy.o > 0 GROUP BY 1, 2)
+        SELECT 's' || s_suppkey AS case_id, y, x, value FROM supplier, v
     """,
     "grid_connectivity": """
         WITH RECURSIVE g AS (
-            SELECT case_id, y, x, CASE case_id WHEN 'gap' THEN x % 8 = 4 AND y <> CASE WHEN x % 16 = 4 THEN 1 ELSE 22 END ELSE x = 12 OR x = y END AS solid
-            FROM (VALUES ('gap'), ('wall')) c(case_id), range(24) a(y), range(32) b(x)
+            SELECT 's' || s_suppkey AS case_id, y, x, CASE WHEN s_suppkey % 5 < 3 THEN x % 4 = 2 AND y <> CASE WHEN x % 8 = 2 THEN 1 ELSE 10 END ELSE x = 6 + s_suppkey % 5 OR x = y END AS solid
+            FROM supplier, range(12) a(y), range(16) b(x)
         ), reach AS (
             SELECT case_id, y, x FROM g WHERE x = 0 AND NOT solid
             UNION SELECT g.case_id, g.y, g.x FROM reach r CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(cy, cx)
             JOIN g ON g.case_id = r.case_id AND g.y = r.y + cy AND g.x = r.x + cx AND NOT g.solid)
-        SELECT case_id, bool_or(x = 31) AS connected FROM reach GROUP BY 1
+        SELECT case_id, bool_or(x = 15) AS connected FROM reach GROUP BY 1
     """,
     "lineage_levels": """
         WITH RECURSIVE edges AS (SELECT * FROM (
@@ -317,16 +336,18 @@ SQL: dict[str, str] = {
         SELECT event_type, array_to_string(list_sort(json_keys(props)), ',') AS keys, count(*) AS n, event_type IN ('view', 'click', 'purchase') AS known FROM events GROUP BY 1, 2
     """,
     "daily_budget": f"""
-        WITH {_EVENTS}, p AS (SELECT event_id, seconds // 86400 AS day, row_number() OVER (PARTITION BY seconds // 86400 ORDER BY seconds, event_id) AS place FROM e)
-        SELECT event_id, day, place <= 20 AS admitted, CASE WHEN place > 20 THEN 'count' END AS reason FROM p
+        WITH {_EVENTS}, r AS (SELECT event_id, event_type, seconds, seconds // 86400 AS day, 60 + event_id % 7 * 60 AS cost FROM e),
+        p AS (SELECT *, count(*) FILTER (event_type <> 'error') OVER w AS place, sum(cost) FILTER (event_type <> 'error') OVER w AS reserved FROM r WINDOW w AS (PARTITION BY day ORDER BY seconds, event_id)),
+        q AS (SELECT event_id, day, CASE WHEN event_type = 'error' THEN 'closed' WHEN place > 20 THEN 'count' WHEN reserved > 3600 THEN 'seconds' END AS reason FROM p)
+        SELECT event_id, day, reason IS NULL AS admitted, reason FROM q
     """,
     "idempotency_conflicts": """
         WITH r AS (SELECT user_id || '/' || event_type AS key, sha256(props) AS digest, event_id FROM events)
         SELECT key, count(*) AS n, count(DISTINCT digest) AS digests, arg_min(digest, event_id) AS first, min(event_id) AS job, count(DISTINCT digest) > 1 AS conflict FROM r GROUP BY 1
     """,
     "bounded_admission": f"""
-        WITH {_EVENTS}, w AS (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY seconds RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS waiting FROM e)
-        SELECT event_type, count(*) FILTER (waiting <= 3) AS taken, count(*) FILTER (waiting > 3) AS refused, max(waiting) AS most FROM w GROUP BY 1
+        WITH {_EVENTS}, w AS (SELECT event_type, count(*) OVER (PARTITION BY user_id ORDER BY seconds RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) - 1 AS others FROM e)
+        SELECT event_type, count(*) FILTER (others < 2) AS taken, count(*) FILTER (others >= 2) AS refused, max(others) AS most FROM w GROUP BY 1
     """,
     "readiness": "SELECT CASE WHEN s_acctbal < 0 THEN 'overdrawn' WHEN s_nationkey > 20 THEN 'far' WHEN s_acctbal < 2000 THEN 'poor' ELSE 'ready' END AS reason, count(*) AS n FROM supplier GROUP BY 1",
     "exact_quantiles": """

@@ -85,13 +85,6 @@ def test_nearest_design_may_answer_with_any_part(spark, tmp_path):
     assert {r["p_partkey"]: r["nearest"] for r in nearest_design_all_parts(spark, str(tmp_path)).collect()} == {20: 40, 40: 20}
 
 
-def test_one_solid_cell_has_eight_links(spark):
-    shifts = [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1), (4, -1, 0), (5, 1, 1), (6, 1, -1), (7, -1, -1), (8, -1, 1)]
-    cells = grid.cells(spark, 16, 20).withColumn("solid", (F.col("y") == 8) & (F.col("x") == 10))
-    links = joins.solid_links(cells, spark.createDataFrame(shifts, "direction int, cy int, cx int")).collect()
-    assert len(links) == 8 and (8, 9, 1) in {(r["y"], r["x"], r["direction"]) for r in links}
-
-
 def test_area_average_keeps_the_mean(spark):
     cells = grid.cells(spark, 48, 60).withColumn("v", (F.col("y") + 2 * F.col("x")).cast("double"))
     small = joins.overlap_average(joins.overlap_average(cells, "x", 60, 32, "v", ["case_id", "y"]), "y", 48, 20, "v", ["case_id", "x"])

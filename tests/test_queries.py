@@ -6,8 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans.queries import QUERIES
-from millrace.plans.sql import SQL
+from millrace.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
