@@ -3,7 +3,8 @@
 Each round keeps the components and brings every node nearer to its least one; stars are the fixed
 point. Only minima are aggregated, so a node with a very large number of neighbours is combined before
 the shuffle, and the joins that follow are of the kind that adaptive execution splits. Rounds grow with
-the logarithm of the longest path. Each round's edges are a written table: nothing is collected.
+the logarithm of the longest path. Each round's edges are a written table, which goes once the next is
+there: nothing is collected.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable
+from millrace.llm.common import durable, forget
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -39,7 +40,8 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not said[0]:
             break
-        now = durable(_small_star(_large_star(now)), "edges")
+        last, now = now, durable(_small_star(_large_star(now)), "edges")
+        forget(last)
         before, said = said, _fingerprint(now)
         if said == before:
             break

@@ -1,4 +1,11 @@
-"""Cells of large groups, and reading sorted groups inside a task."""
+"""Cells of large groups, and reading sorted groups inside a task.
+
+All members of a small group meet in one cell. A large one is cut into blocks, and its members first meet a
+few pivots (star_cells): copies of the pivots go to every block, the members stay where they are. What the
+pivots tie together need not meet again. Only the members outside the largest tied part then meet all
+others (rest_cells), block by block. So a group that hangs together costs a few copies of each member, and
+every pair that may add a link still meets.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +13,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pivots of a large group, on average.
+PIVOTS = 8
+#: The part of a cell in which all pairs meet.
+ALL_PAIRS = -1
+
+
+def _cell(part: Column, left: bool, right: bool) -> Column:
+    return F.struct(part.cast("long").alias("part"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+
+
+def _each(n: Column, f) -> Column:
+    return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: f(i))
+
+
+def _dealt(rows: DataFrame, key: str, cells: Column) -> DataFrame:
+    dealt = rows.withColumn("__cell", F.explode(cells)).select("*", "__cell.part", "__cell.left", "__cell.right").drop("__cell")
+    return dealt.repartition(key, "part").sortWithinPartitions(key, "part")
+
+
+def _block(member: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(member)), F.col("blocks"))
+
+
+def star_cells(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """rows with part, left, right: in a cell (key, part) each left row meets each right one; with ALL_PAIRS all meet.
+
+    rows has `members` and `blocks` of its group. A large group's cells are its blocks, which its pivots meet.
+    """
+    none = F.array().cast("array<struct<part:bigint,left:boolean,right:boolean>>")
+    pivot = F.pmod(F.xxhash64(F.col(member), F.lit(1)), F.col("members")) < PIVOTS
+    stars = F.concat(F.array(_cell(_block(member), False, True)), F.when(pivot, _each(F.col("blocks"), lambda b: _cell(b, True, False))).otherwise(none))
+    return _dealt(rows, key, F.when(F.col("blocks") == 1, F.array(_cell(F.lit(ALL_PAIRS), True, True))).otherwise(stars))
+
 
-def cells_of(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """Deal the groups of `key` into cells, sorted within partitions.
+def rest_cells(rows: DataFrame, key: str, member: str, tied: DataFrame) -> DataFrame:
+    """The cells in which the members of large groups that are not of the largest tied part meet all members.
 
-    rows has `blocks`, the number of blocks of its group. A member belongs to one block, by hash, and goes
-    to the cells (lo, hi) of its block with every other: each pair of members meets in a cell, and no cell
-    holds more than two blocks. Adds block, lo, hi.
+    tied: node, component of what is tied together so far.
     """
-    block = F.pmod(F.xxhash64(F.col(member)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("block", block).withColumn("other", other)
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    return dealt.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+    named = rows.filter("blocks > 1").join(tied.select(F.col("node").alias(member), "component"), member, "left").withColumn("__tie", F.coalesce("component", member)).drop("component")
+    sizes = named.groupBy(key, "__tie").agg(F.count(F.lit(1)).alias("__n"))
+    largest = sizes.groupBy(key).agg(F.max_by("__tie", F.struct("__n", "__tie")).alias("__main"), (F.sum("__n") - F.max("__n")).alias("__others")).filter("__others > 0")
+    open_rows = named.join(largest, key).withColumn("__lefts", F.ceil(F.col("blocks") * F.col("__others") / F.col("members")))
+    none = F.array().cast("array<struct<part:bigint,left:boolean,right:boolean>>")
+    own, mine = _block(member), F.pmod(F.xxhash64(F.col(member), F.lit(2)), F.col("__lefts"))
+    as_right = _each(F.col("__lefts"), lambda i: _cell(i * F.col("blocks") + own, False, True))
+    as_left = F.when(F.col("__tie") != F.col("__main"), _each(F.col("blocks"), lambda b: _cell(mine * F.col("blocks") + b, True, False))).otherwise(none)
+    return _dealt(open_rows, key, F.concat(as_right, as_left)).drop("__tie", "__main", "__others", "__lefts")
 
 
 def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:

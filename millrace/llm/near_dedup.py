@@ -5,25 +5,27 @@
 2. Texts with the same word sequence are one class; its smallest id stands for it.
 3. Classes that share a band key are candidates. Their packed signatures are compared by bit counts and
    the share of equal values is corrected for chance matches; pairs whose estimate lies far below the
-   threshold go. A bucket larger than a block is cut into cells of two blocks, which cover all its pairs.
+   threshold go. In a bucket larger than a block the members first meet a few pivots, and only those that
+   stay outside the largest part tied together meet all others, block by block (grouped.py).
    A cell gives no list of pairs, only edges enough to connect what it found similar.
-4. Candidates that hang together are gathered with their texts, cut into cells in the same way, and every
-   pair of a cell is confirmed on the full shingle sets. Again a cell gives a spanning forest of its links.
+4. Candidates that hang together are gathered with their texts in cells of the same kind and confirmed on
+   the full shingle sets. Again a cell gives a spanning forest of its links.
 5. Components of the confirmed links.
 
 A link of similarity s is missed by all bands with probability (1 - s**5)**25: 4e-7 at 0.85, less above.
-The estimate's margin is five standard deviations. Nothing is capped: larger buckets make more cells.
+The estimate's margin is five standard deviations. Nothing is capped: every pair of a bucket that could
+join two parts is compared. A large family whose members resemble no pivot costs all its pairs.
 
 Defined results: null and empty texts, and texts of separators only, have no shingles, are linked with
 nothing and stay. Repeated rows of one id share their result. A row with a null id takes the component of
-its class (null if no other row of the class has an id); it stays only in the latter case. An empty table
-gives an empty result. Extra columns are ignored.
+its class (null if no other row of the class has an id); it stays only in the latter case. A text of any
+length is read whole. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, require, text_or_empty, text_slices
 from millrace.llm.components import components
-from millrace.llm.grouped import cells_of, group_bounds, whole_groups
+from millrace.llm.grouped import ALL_PAIRS, group_bounds, rest_cells, star_cells, whole_groups
 from millrace.llm.wordhash import mix, ranges, spans_hash, words_of
 
 SHINGLE = 5
@@ -133,74 +135,86 @@ def _alike(bits: np.ndarray) -> np.ndarray:
     return HASHES - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
 
 
-def similar_candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b: edges that connect all classes that share a band key and look similar by their bits."""
-    rows = classes.select("rep", "n_shingles", "bits", F.explode("bands").alias("key"))
-    shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    crowded = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = cells_of(crowded, "key", "rep").select("key", "lo", "hi", "block", "rep", "n_shingles", "bits")
+CELL = ["key", "part"]
+
+
+def _meetings(left: np.ndarray, right: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The left rows of a cell, each with the right rows that it meets."""
+    others = begin + np.flatnonzero(right[begin:end])
+    for i in (begin + np.flatnonzero(left[begin:end])).tolist():
+        yield i, others
+
+
+def _similar_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
+    """a, b: edges that connect in each cell what looks similar by its bits. dealt: key, part, left, right, rep, n_shingles, bits."""
     least, chance = least_estimate(threshold), 0.5**BITS
-    id_type = pa.int64()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in whole_groups(batches, ["key", "lo", "hi"]):
-            rep = chunk.column("rep").to_numpy()
-            size = chunk.column("n_shingles").to_numpy()
-            block, lo, hi = (chunk.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        for chunk in whole_groups(batches, CELL):
+            rep, size, part = (chunk.column(c).to_numpy() for c in ("rep", "n_shingles", "part"))
+            is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
             bits = np.frombuffer(b"".join(chunk.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, HASHES * BITS // 64)
-            left, right = [], []
+            a, b = [], []
 
             def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 share = _alike(bits[i] ^ bits[j]) / HASHES
                 fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
-                return fits & ((share - chance) / (1 - chance) >= least)  # noqa: B023
+                return fits & ((share - chance) / (1 - chance) >= least) & (rep[i] != rep[j])  # noqa: B023
 
-            bounds = group_bounds(chunk, ["key", "lo", "hi"])
-            sizes = np.diff(bounds)
+            bounds = group_bounds(chunk, CELL)
+            sizes, every = np.diff(bounds), part[bounds[:-1]] == ALL_PAIRS if len(part) else np.zeros(0, dtype=bool)
             for n in range(2, 5):  # the many small buckets: all of one size at once
-                begin = bounds[:-1][sizes == n]
+                begin = bounds[:-1][(sizes == n) & every]
                 for x in range(n):
                     for y in range(x + 1, n):
                         i, j = begin + x, begin + y
                         ok = keep(i, j)
-                        left.append(rep[i[ok]])
-                        right.append(rep[j[ok]])
-            for k in np.flatnonzero(sizes >= 5).tolist():
+                        a.append(rep[i[ok]])
+                        b.append(rep[j[ok]])
+            for k in np.flatnonzero((sizes >= 5) | ~every).tolist():
                 begin, end = int(bounds[k]), int(bounds[k + 1])
                 parent = list(range(end - begin))
-                members = np.arange(begin, end)
-                cross = lo[begin] != hi[begin]
-                for i in range(begin, end):
-                    others = members[i - begin + 1 :] if not cross else members[block[begin:end] == hi[begin]]
-                    if not len(others) or cross and block[i] != lo[begin]:
-                        continue
+                for i, others in _meetings(is_left, is_right, begin, end):
+                    if every[k]:
+                        others = others[others > i]
                     others = others[keep(np.full(len(others), i), others)]
                     made = _forest(parent, ((i - begin, int(j) - begin) for j in others))
-                    left.append(rep[[begin + a for a, _ in made]])
-                    right.append(rep[[begin + b for _, b in made]])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
+                    a.append(rep[[begin + x for x, _ in made]])
+                    b.append(rep[[begin + y for _, y in made]])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.select("key", "part", "left", "right", "rep", "n_shingles", "bits").mapInArrow(compare, "a bigint, b bigint")
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
-    """a, b: edges that connect all classes of a candidate component whose full sets are similar enough."""
-    members = near.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("all_shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
-    planned = members.join(sizes.select("component", blocks.alias("blocks")), "component")
-    # Rows that carry one id are one node, whatever their texts.
-    texts = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
-    dealt = cells_of(planned.select(F.col("component").alias("key"), "node", "blocks").distinct().join(texts, "node"), "key", "node")
-    dealt = dealt.select("key", "lo", "hi", "block", "node", "body")
+def _tied(rows: DataFrame, key: str, member: str, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component of all links inside the groups of rows (key, member, members, blocks, …), as `linked` finds them in cells."""
+    tied = components(linked(star_cells(rows, key, member)))
+    if rows.filter("blocks > 1").isEmpty():
+        return tied
+    more = durable(linked(rest_cells(rows, key, member, tied)), "rest-links")
+    if more.isEmpty():
+        return tied
+    return components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def similar_candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """node, component of all classes that share band keys and look similar by their bits."""
+    rows = classes.select("rep", "n_shingles", "bits", F.explode("bands").alias("key"))
+    shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    crowded = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    return _tied(crowded, "key", "rep", lambda dealt: _similar_pairs(dealt, threshold))
+
+
+def _confirmed_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that connect in each cell the nodes whose full sets are similar enough. dealt: key, part, left, right, node, body."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in whole_groups(batches, ["key", "lo", "hi"]):
-            node = chunk.column("node").to_numpy()
-            block, lo, hi = (chunk.column(c).to_numpy() for c in ("block", "lo", "hi"))
-            bounds = group_bounds(chunk, ["key", "lo", "hi"])
-            left, right = [], []
+        for chunk in whole_groups(batches, CELL):
+            node, part = chunk.column("node").to_numpy(), chunk.column("part").to_numpy()
+            is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+            bounds = group_bounds(chunk, CELL)
+            a, b = [], []
             for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 n = end - begin
                 shingles, number = shingles_of(chunk.column("body").slice(begin, n))
@@ -210,24 +224,40 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, near: DataFrame, percen
                 size = np.array([len(s) for s in sets])
                 first = np.concatenate(([0], np.cumsum(size)[:-1]))
                 known, place = np.unique(np.concatenate(sets), return_inverse=True)
-                parent, cross = list(range(n)), lo[begin] != hi[begin]
-                there = block[begin:end] == hi[begin]
-                for i in range(n):
-                    if cross and block[begin + i] != lo[begin]:
-                        continue
-                    mark = np.zeros(len(known), dtype=np.int64)
-                    mark[place[first[i] : first[i] + size[i]]] = 1
+                parent, every = list(range(n)), part[begin] == ALL_PAIRS
+                mark = np.zeros(len(known), dtype=np.int64)
+                for i, _ in _meetings(is_left, is_right, begin, end):
+                    i -= begin
+                    own = place[first[i] : first[i] + size[i]]
+                    mark[own] = 1
                     common = np.add.reduceat(mark[place], first)
-                    linked = 100 * common >= percent * (size + size[i] - common)
-                    linked[: i + 1] = False if not cross else linked[: i + 1]
-                    if cross:
-                        linked &= there
+                    mark[own] = 0
+                    linked = is_right[begin:end] & (node[begin:end] != node[begin + i]) & (100 * common >= percent * (size + size[i] - common))
+                    if every:
+                        linked[: i + 1] = False
                     made = _forest(parent, ((i, int(j)) for j in np.flatnonzero(linked)))
-                    left += [node[begin + a] for a, _ in made]
-                    right += [node[begin + b] for _, b in made]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                    a += [node[begin + x] for x, _ in made]
+                    b += [node[begin + y] for _, y in made]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.select("key", "part", "left", "right", "node", "body").mapInArrow(confirm, "a bigint, b bigint")
+
+
+def confirmed_components(docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
+    """node, component of all classes of a candidate component whose full sets are similar enough."""
+    members = near.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("all_shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
+    planned = members.join(sizes.select("component", "members", blocks.alias("blocks")), "component").select(F.col("component").alias("key"), "node", "members", "blocks").distinct()
+    # Rows that carry one id are one node, whatever their texts.
+    texts = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        # The plan of cells is dealt first and the texts follow: the join then moves each text once for each of its cells.
+        with_text = dealt.join(texts, "node").repartition("key", "part").sortWithinPartitions("key", "part")
+        return _confirmed_pairs(with_text, percent)
 
-    return dealt.mapInArrow(confirm, "a bigint, b bigint")
+    return _tied(durable(planned, "planned"), "key", "node", linked)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,9 +268,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     first = F.min_by(F.struct("n_shingles", "bands", "bits"), F.col("id")).alias("of")
     by_class = signed.filter("id is not null and n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep"), first)
     classes = durable(by_class.select("class", "rep", "of.n_shingles", "of.bands", "of.bits"), "classes")
-    near = components(similar_candidates(classes, percent / 100))
-    links = confirmed_links(docs, classes, near, percent, id_col=id_col, text_col=text_col)
-    labels = components(links)
+    near = similar_candidates(classes, percent / 100)
+    labels = confirmed_components(docs, classes, near, percent, id_col=id_col, text_col=text_col)
     found = classes.select("class", "rep").join(labels, F.col("node") == F.col("rep"), "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles", "class").join(found, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
@@ -256,4 +285,4 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
 def deduplicate(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: one of each component. Rows with a null id stay."""
     gone = near_duplicates(docs, percent=percent, id_col=id_col, text_col=text_col).filter(~F.col("kept") & F.col(id_col).isNotNull())
-    return docs.join(gone.select(F.col(id_col).alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(gone.select(id_col).distinct(), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,5 +1,6 @@
 import zlib
 
+import language_by_hand
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,21 @@ def test_nothing_learned(docs):
 
 def test_bounded_sample(small):
     assert train(small, most_rows=4).languages  # some of the labelled rows
+
+
+def test_the_whole_query_against_plain_python(spark, docs, sf_dir):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents(spark, sf_dir).collect()]
+    rows += [(10_001, "e\u0301te\u0301 naïve", "fr"), (10_002, "𐐀𐐨x 12 𝔘y", "en"), (10_003, None, "en"), (10_004, "½ ² 12", "de"), (10_005, "zzzqqq xxwv", None), (10_006, "ß STRASSE ǅ", "de")]
+    want = language_by_hand.predictions(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs(rows)).collect()}
+    assert set(got) == set(want)
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_one_text_that_many_rows_hold_does_not_break_the_bound(spark, docs):
+    from millrace.llm.language_id import _sample
+
+    rows = docs([(7, "the same", "en")] * 500 + [(i, f"text {i}", "en") for i in range(1000)]).select("lang", "text")
+    assert 50 <= _sample(rows, 100, 10**9).count() <= 180
+    assert _sample(rows, 10**6, 10**9).count() == 1001
+    assert _sample(rows, 10**6, 1000).count() <= 250

@@ -70,6 +70,29 @@ def test_cells_of_large_groups_lose_no_link(docs, monkeypatch):
     assert as_dict(near_duplicates(docs(rows))) == brute(rows)
 
 
+def test_a_large_group_costs_a_few_copies_and_every_open_pair_meets(spark):
+    from millrace.llm.grouped import PIVOTS, rest_cells, star_cells
+
+    n, blocks = 5000, 50
+    rows = spark.range(n).select(F.lit(1).alias("key"), F.col("id").alias("rep"), F.lit(n).cast("long").alias("members"), F.lit(blocks).alias("blocks"))
+    star = star_cells(rows, "key", "rep").collect()
+    assert len(star) <= n + 4 * PIVOTS * blocks and sum(r.right for r in star) == n
+    pivots = {r.rep for r in star if r.left}
+    assert pivots and all({r.part for r in star if r.left and r.rep == p} == set(range(blocks)) for p in pivots)
+    one = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    assert rest_cells(rows, "key", "rep", one).isEmpty()
+    # Most of these lie outside the largest part: each of them meets each member.
+    apart = one.filter("node >= 700 and node % 7 <> 3").withColumn("component", F.lit(0).cast("long"))
+    small, few = rows.filter("rep < 1000"), 10
+    small = small.withColumn("members", F.lit(1000).cast("long")).withColumn("blocks", F.lit(few))
+    cells = {}
+    for r in rest_cells(small, "key", "rep", apart).collect():
+        cells.setdefault(r.part, ([], []))[r.right].append(r.rep)
+    met = {(x, y) for left, right in cells.values() for x in left for y in right}
+    outside = [i for i in range(1, 1000) if i < 700 or i % 7 == 3]  # the part's name is 0
+    assert met == {(x, y) for x in outside for y in range(1000)}
+
+
 def test_repeated_rows_null_ids_and_extra_columns(docs):
     text = " ".join(f"t{i}" for i in range(40))
     rows = [(5, text), (5, text), (None, text), (None, "only nameless"), (2, text + " more"), (9, None)]
