@@ -603,7 +603,8 @@ def idempotency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lease_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.element_at(F.array(*[F.lit(x) for x in ("claim", "renew", "succeed", "fail", "reap")]), (F.col("event_id") % 5 + 1).cast("int"))
     events = event_rows(spark, sf_dir).select(
-        F.col("user_id").alias("case_id"), F.col("event_id").alias("sequence"), "seconds", op.alias("op"), (F.col("event_id") % 2).cast("string").alias("owner"), F.lit("d").alias("digest"), F.lit("ERR").alias("code")
+        F.col("user_id").alias("case_id"), F.col("event_id").alias("sequence"), "seconds", op.alias("op"), (F.col("event_id") % 2).cast("string").alias("owner"), F.lit("d").alias("digest"), F.lit("ERR").alias("code"),
+        F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 3 + 1).alias("attempt"),
     )
     return folds.lease_replay(events, minutes=24 * 60)
 

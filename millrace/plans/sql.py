@@ -50,6 +50,33 @@ _GRID = """
 """
 
 
+# A state for each event of a user, from the one before. Names of what holds after expiry end in 2.
+_LEASES = """
+    WITH RECURSIVE e AS (
+        SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS seconds, ['claim', 'renew', 'succeed', 'fail', 'reap'][event_id % 5 + 1] AS op, event_id % 2 AS owner,
+               CASE WHEN event_id % 4 = 0 THEN event_id % 3 + 1 END AS named, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events
+    ), walk(user_id, event_id, n, result, state, attempt, owner, expires, codes) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, '', 'pending', 0::BIGINT, NULL::BIGINT, NULL::BIGINT, '' FROM events
+        UNION ALL
+        SELECT user_id, event_id, n, result,
+               CASE WHEN result <> 'ok' OR op IN ('reap', 'renew') THEN state2 WHEN op = 'claim' THEN 'running' WHEN op = 'succeed' THEN 'succeeded' WHEN attempt >= 3 THEN 'failed' ELSE 'pending' END,
+               CASE WHEN result = 'ok' AND op = 'claim' THEN attempt + 1 ELSE attempt END,
+               CASE WHEN result = 'ok' AND op = 'claim' THEN own WHEN result = 'ok' AND op IN ('succeed', 'fail') THEN NULL ELSE owner2 END,
+               CASE WHEN result = 'ok' AND op IN ('claim', 'renew') THEN seconds + 86400 WHEN result = 'ok' AND op IN ('succeed', 'fail') THEN NULL ELSE expires2 END,
+               CASE WHEN result = 'ok' AND op = 'fail' THEN codes2 || CASE WHEN codes2 = '' THEN '' ELSE ',' END || 'ERR' ELSE codes2 END
+        FROM (SELECT *, CASE WHEN op = 'reap' THEN 'ok' WHEN op = 'claim' THEN CASE WHEN state2 = 'pending' THEN 'ok' ELSE 'refused: ' || state2 END
+                             WHEN op = 'succeed' AND state2 = 'succeeded' THEN 'same' WHEN state2 <> 'running' OR own IS DISTINCT FROM owner2 THEN 'refused: no lease'
+                             WHEN named IS NOT NULL AND named <> attempt THEN 'refused: other attempt' ELSE 'ok' END AS result
+              FROM (SELECT e.user_id, e.event_id, e.n, e.seconds, e.op, e.owner AS own, e.named, w.attempt,
+                           CASE WHEN w.state = 'running' AND e.seconds >= w.expires THEN CASE WHEN w.attempt >= 3 THEN 'failed' ELSE 'pending' END ELSE w.state END AS state2,
+                           CASE WHEN w.state = 'running' AND e.seconds >= w.expires THEN NULL ELSE w.owner END AS owner2,
+                           CASE WHEN w.state = 'running' AND e.seconds >= w.expires THEN NULL ELSE w.expires END AS expires2,
+                           CASE WHEN w.state = 'running' AND e.seconds >= w.expires THEN w.codes || CASE WHEN w.codes = '' THEN '' ELSE ',' END || 'LEASE_EXPIRED' ELSE w.codes END AS codes2
+                    FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+    )
+"""
+
+
 def _summary(where: str) -> str:
     whole = "count(*) = count(gap_pct)"
     stats = ", ".join(f"CASE WHEN {whole} THEN round({f}, 4) END AS {n}" for n, f in (("median", "quantile_cont(gap_pct, 0.5)"), ("p90", "quantile_cont(gap_pct, 0.9)"), ("p95", "quantile_cont(gap_pct, 0.95)"), ("maximum", "max(gap_pct)")))
@@ -349,6 +376,21 @@ SQL: dict[str, str] = {
         WITH {_EVENTS}, w AS (SELECT event_type, count(*) OVER (PARTITION BY user_id ORDER BY seconds RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) - 1 AS others FROM e)
         SELECT event_type, count(*) FILTER (others < 2) AS taken, count(*) FILTER (others >= 2) AS refused, max(others) AS most FROM w GROUP BY 1
     """,
+    "token_bucket": f"""
+        WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, event_id, seconds, row_number() OVER (PARTITION BY user_id ORDER BY seconds, event_id) AS n FROM e),
+        walk(user_id, event_id, n, moment, tokens, admitted, retry_after) AS (
+            SELECT user_id, event_id, n, seconds, 1.0::DOUBLE, true, 0::BIGINT FROM r WHERE n = 1
+            UNION ALL
+            SELECT user_id, event_id, n, seconds, CASE WHEN t >= 1 - 1e-9 THEN t - 1 ELSE t END, t >= 1 - 1e-9, CASE WHEN t >= 1 - 1e-9 THEN 0 ELSE ceil((1 - t) * 86400 / 2 - 1e-9)::BIGINT END
+            FROM (SELECT r.user_id, r.event_id, r.n, r.seconds, least(2.0::DOUBLE, w.tokens + (r.seconds - w.moment) * 2 / 86400.0::DOUBLE) AS t FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1))
+        SELECT user_id, event_id, admitted, retry_after FROM walk
+    """,
+    "lease_replay": f"{_LEASES} SELECT user_id AS case_id, event_id AS sequence, result, state, attempt, codes AS failure_codes FROM walk WHERE n > 0",
+    "sweep_rollup": f"""
+        {_LEASES}, last AS (SELECT * FROM walk WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+        SELECT state, 'cases' AS what, count(*) AS n FROM last GROUP BY 1 UNION ALL SELECT state, 'retries', sum(greatest(0, attempt - 1))::BIGINT FROM last GROUP BY 1
+        UNION ALL SELECT state, code, count(*) FROM (SELECT state, unnest(string_split(codes, ',')) AS code FROM last) WHERE code <> '' GROUP BY 1, 2
+    """,
     "readiness": "SELECT CASE WHEN s_acctbal < 0 THEN 'overdrawn' WHEN s_nationkey > 20 THEN 'far' WHEN s_acctbal < 2000 THEN 'poor' ELSE 'ready' END AS reason, count(*) AS n FROM supplier GROUP BY 1",
     "exact_quantiles": """
         SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.01), 4) AS q01, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.995), 4) AS q995

@@ -49,6 +49,51 @@ def test_three_expired_leases_fail_a_case(spark):
     assert (last["state"], last["attempt"], last["failure_codes"]) == ("failed", 3, "LEASE_EXPIRED,LEASE_EXPIRED,LEASE_EXPIRED")
 
 
+def test_a_late_attempt_does_not_end_the_lease_of_another(spark):
+    rows = [("case", 1, 0.0, "claim", "me", None, None, None), ("case", 2, 700.0, "claim", "me", None, None, None), ("case", 3, 701.0, "succeed", "me", "d", None, 1), ("case", 4, 702.0, "succeed", "me", "d", None, 2)]
+    events = spark.createDataFrame(rows, "case_id string, sequence bigint, seconds double, op string, owner string, digest string, code string, attempt bigint")
+    said = [(r["result"], r["state"]) for r in folds.lease_replay(events, minutes=10).orderBy("sequence").collect()]
+    assert said == [("ok", "running"), ("ok", "running"), ("refused: other attempt", "running"), ("ok", "succeeded")]
+
+
+def test_bootstrap_intervals_of_the_median(spark):
+    import random
+
+    pick = random.Random(2)
+    values = {"a": [pick.gauss(10, 2) for _ in range(200)], "b": [7.0] * 30, "c": [1.0]}
+    table = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    said = {r["g"]: r for r in profile.bootstrap_median(table, ["g"], F.col("v"), resamples=400).collect()}
+    assert (said["b"]["low"], said["b"]["high"], said["c"]["low"]) == (7.0, 7.0, 1.0)
+    middle = sorted(values["a"])[99:101]
+    assert said["a"]["low"] <= middle[1] and middle[0] <= said["a"]["high"]
+    # By the normal law the interval is 2 * 1.96 * 1.2533 * 2 / sqrt(200) wide.
+    assert 0.35 < said["a"]["high"] - said["a"]["low"] < 1.1
+    again = {r["g"]: r for r in profile.bootstrap_median(table.repartition(7), ["g"], F.col("v"), resamples=400).collect()}
+    assert said == again
+    with pytest.raises(Exception, match="too many distinct values"):
+        profile.bootstrap_median(table, ["g"], F.col("v"), most=10).collect()
+
+
+def test_first_submissions_and_counts_on_a_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    base = dt.datetime(2024, 1, 1)
+    rows = [("j", base, "view"), ("j", base + dt.timedelta(seconds=9), "view"), ("k", base + dt.timedelta(hours=3), "click"), ("l", base + dt.timedelta(hours=9), "view")]
+    schema = "job string, at timestamp, kind string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+
+    def read(build, name):
+        stream = build(spark.readStream.schema(schema).parquet(source))
+        out = str(tmp_path / name)
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+        return spark.read.parquet(out).collect()
+
+    first = read(lambda s: stateful.first_submissions(s, "job", "at"), "first")
+    assert sorted(r["job"] for r in first) == ["j", "k", "l"] and min(r["at"] for r in first) == base
+    counts = {(r["start"], r["kind"]): r["n"] for r in read(lambda s: stateful.windowed_counts(s, "at", "kind", "1 hour", "1 hour"), "counts")}
+    assert counts[base, "view"] == 2 and counts[base + dt.timedelta(hours=3), "click"] == 1
+
+
 def test_complete_join_refuses_what_is_not_one_to_one(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, x string")
     right = spark.createDataFrame([(1, "c"), (2, "d")], "k bigint, y string")
