@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import compare, percent_error
@@ -96,6 +96,20 @@ def verdict(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(F.count(F.lit(1)).alias("gates"), green.alias("green"), F.when((F.count(F.lit(1)) > 0) & (green == F.count(F.lit(1))), "green").otherwise("red").alias("status"))
 
 
+def central_slope(plus: Column, minus: Column, half_step: float) -> Column:
+    """The slope between two values, half a step to either side."""
+    return (plus - minus) / (2 * half_step)
+
+
+def report_lines(evaluated: DataFrame) -> DataFrame:
+    """place, line: the gates as lines of a Markdown table, in the order of their names; bars inside cells are escaped."""
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
+    number = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.4f", F.col(c)))
+    text = F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("name")), cell(F.col("metric")), cell(F.col("operator")), number("threshold"), number("value"), F.col("status")), F.lit(" |"))
+    place = F.row_number().over(Window.orderBy("name"))  # gates are few
+    return evaluated.select(place.cast("long").alias("place"), text.alias("line"))
+
+
 def readiness(df: DataFrame, reasons: Sequence[tuple[str, Column]]) -> Column:
     """The first reason that holds, else 'ready'."""
     said = None

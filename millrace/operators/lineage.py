@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from millrace.operators.cut import checkpointed
 
 
-def lineage_problems(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """code, subject for what is wrong. nodes: sha, kind. edges: child, parent, parent_kind. rules: kind, required, allowed (arrays)."""
+def lineage_problems(nodes: DataFrame, edges: DataFrame, rules: DataFrame, *, prefix: int | None = None) -> DataFrame:
+    """code, subject for what is wrong. nodes: sha, kind. edges: child, parent, parent_kind. rules: kind, required, allowed (arrays).
+
+    With prefix, different nodes whose first characters are the same collide where names are cut to so many.
+    """
     twice = nodes.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate").alias("code"), F.col("sha").alias("subject"))
     kinds = nodes.select(F.col("sha").alias("parent"), F.col("kind").alias("real_kind"))
     found = edges.join(kinds, "parent", "left")
@@ -21,6 +24,10 @@ def lineage_problems(nodes: DataFrame, edges: DataFrame, rules: DataFrame) -> Da
     barred = judged.filter(F.size(F.array_except("seen", "allowed")) > 0).select(F.lit("barred_parent").alias("code"), F.col("sha").alias("subject"))
     unruled = judged.filter("required is null").select(F.lit("no_rule").alias("code"), F.col("sha").alias("subject"))
     out = twice
+    if prefix:
+        short = F.substring("sha", 1, prefix)
+        same = nodes.groupBy(short.alias("subject")).agg(F.count_distinct("sha").alias("n")).filter("n > 1")
+        out = out.unionByName(same.select(F.lit("prefix_collision").alias("code"), "subject"))
     for part in (missing, other, lacking, barred, unruled):
         out = out.unionByName(part)
     return out.distinct()

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalar import finite
+
 
 def sequence_gaps(df: DataFrame, key: Sequence[str], step: str, first: int = 0) -> DataFrame:
     """Rows whose step does not follow the one before by one (or does not begin at `first`): key, step, expected, problem."""
@@ -75,12 +77,13 @@ def last_range_mean(df: DataFrame, key: Sequence[str], at: str, value: str, widt
     return df.join(last, list(key)).filter(F.col(at) > F.col("__last") - width).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
-def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: float, high: float, *, most: int = 20_000) -> DataFrame:
+def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: float, high: float, *, most: int = 20_000, least_cycles: int = 8) -> DataFrame:
     """key, n, frequency, power, failure: the greatest bin of the Hann-windowed, demeaned spectrum within [low, high].
 
     Frequencies are cycles a sample. Each sample meets each bin of the band once, so the cost is samples
     times bins; series of more than `most` samples fail as too long rather than explode. A peak inside the
-    band is refined by a parabola through the logarithms.
+    band is refined by a parabola through the logarithms. Failures: too_short, too_long, not_finite,
+    no_bin_in_band, flat, too_few_cycles (the peak goes round less than least_cycles times in the series).
     """
     key = list(key)
     order = Window.partitionBy(*key).orderBy(at)
@@ -102,9 +105,11 @@ def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: f
     a, b, c = F.log("__left"), F.log("__p"), F.log("__right")
     bend = a - 2 * b + c
     shift = F.when(inside & (bend != 0), 0.5 * (a - c) / bend).otherwise(0.0)
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    number = F.col(value).cast("double")
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~finite(number)).alias("__odd"))
     found = sizes.join(peak, key, "left")
-    failure = F.when(F.col("n") < 8, "too_short").when(F.col("n") > most, "too_long").when(F.col("__b").isNull(), "no_bin_in_band").when(F.col("__p") == 0, "flat")
+    failure = F.when(F.col("n") < 8, "too_short").when(F.col("n") > most, "too_long").when(F.col("__odd"), "not_finite")
+    failure = failure.when(F.col("__b").isNull(), "no_bin_in_band").when(F.col("__p") == 0, "flat").when(F.col("__b") < least_cycles, "too_few_cycles")
     ok = failure.isNull()
     return found.select(*key, "n", F.when(ok, (F.col("__b") + shift) / F.col("__n")).alias("frequency"), F.when(ok, F.col("__p")).alias("power"), failure.alias("failure"))
 
@@ -145,9 +150,10 @@ def debounced(df: DataFrame, key: Sequence[str], at: str, order: Sequence[str],
 
 
 def grid_deltas(df: DataFrame, order: str, values: Sequence[str], partition: Sequence[str]) -> DataFrame:
-    """df with the absolute change of each value from the row before."""
+    """df with the absolute change of each value from the row before, and whether that is less than the change before it."""
     w = Window.partitionBy(*partition).orderBy(order)
-    return df.withColumns({f"{v}_delta": F.abs(F.col(v) - F.lag(v).over(w)) for v in values})
+    out = df.withColumns({f"{v}_delta": F.abs(F.col(v) - F.lag(v).over(w)) for v in values})
+    return out.withColumns({f"{v}_contracts": F.col(f"{v}_delta") < F.lag(f"{v}_delta").over(w) for v in values})
 
 
 def replay(df: DataFrame, key: Sequence[str], sequence: str, cursor: Column) -> DataFrame:

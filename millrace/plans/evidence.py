@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar
-from millrace.operators import checks, evidence, joins, profile, sampling, series
+from millrace.operators import checks, evaluation, evidence, joins, profile, sampling, series
 from millrace.operators.quantiles import matched, quantiles
-from millrace.plans.queries import rounded
-from millrace.plans.sql import _EVENTS, _METRICS
+from millrace.plans.queries import gate_report, rounded
+from millrace.plans.sql import _EVENTS, _GATES, _METRICS
 from millrace.plans.tables import event_rows, order_metrics, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,6 +360,28 @@ def array_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("label", F.col("label").cast("long"))
 
 
+@query(f"""
+    {_GATES} SELECT row_number() OVER (ORDER BY name) AS place, '| ' || name || ' | ' || metric || ' | ' || operator || ' | ' || printf('%.4f', threshold) || ' | ' || coalesce(printf('%.4f', value), '') || ' | ' || status || ' |' AS line FROM gated
+""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates as a Markdown table."""
+    return evaluation.report_lines(gate_report(spark, sf_dir))
+
+
+@query("""
+    WITH s AS (SELECT c_nationkey, (c_acctbal - c_custkey) / 0.5::DOUBLE AS a, (c_acctbal / 2 - c_custkey * 3 % 4000) / 0.5::DOUBLE AS b FROM customer),
+    t AS (SELECT c_nationkey, CASE WHEN abs(a) <= 1e-5 THEN 0 ELSE sign(a) END AS a, CASE WHEN abs(b) <= 1e-5 THEN 0 ELSE sign(b) END AS b FROM s)
+    SELECT c_nationkey::BIGINT AS c_nationkey, count(*) AS n, count(*) FILTER (a = b) AS n_agree FROM t GROUP BY 1
+""")
+def slope_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes by central differences of two predictors, and how often they have one sign."""
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("long").alias("c_nationkey"), evaluation.central_slope(balance, key, 0.25).alias("a"), evaluation.central_slope(balance / 2, key * 3 % 4000, 0.25).alias("b")
+    )
+    return evaluation.sign_agreement(rows, ["c_nationkey"], "a", "b", 1e-5)
+
+
 # -- order, retention, operations
 
 

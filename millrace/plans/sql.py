@@ -252,8 +252,10 @@ SQL: dict[str, str] = {
         SELECT user_id, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS ignored FROM a GROUP BY 1
     """,
     "grid_sensitivity": """
-        WITH r AS (SELECT o_orderpriority, year(o_orderdate)::BIGINT AS year, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1, 2)
-        SELECT o_orderpriority, year, round(mean, 2) AS mean, n, round(abs(mean - lag(mean) OVER w), 2) AS mean_delta, abs(n - lag(n) OVER w) AS n_delta FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year)
+        WITH r AS (SELECT o_orderpriority, year(o_orderdate)::BIGINT AS year, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY 1, 2),
+        d AS (SELECT *, abs(mean - lag(mean) OVER w) AS md, abs(n - lag(n) OVER w) AS nd FROM r WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year))
+        SELECT o_orderpriority, year, round(mean, 2) AS mean, n, round(md, 2) AS mean_delta, nd AS n_delta, md < lag(md) OVER w AS mean_contracts, nd < lag(nd) OVER w AS n_contracts
+        FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year)
     """,
     "ellipse_sdf_grid": f"WITH {_GRID} SELECT case_id, y, x, round(sdf, 6) AS sdf, sdf <= 0 AS obstacle, round(greatest(least(sdf / 18, 1), -1), 6) AS channel FROM ellipse",
     "obstacle_box": f"""
@@ -263,10 +265,10 @@ SQL: dict[str, str] = {
     """,
     "case_metrics": f"""
         WITH {_GRID}, m AS (SELECT *, u * 1.25::DOUBLE AS pu, v - 0.0625::DOUBLE AS pv FROM field),
-        d AS (SELECT c.case_id, avg(abs((r.pu - l.pu) / 4 + (t.pv - b.pv) / 4)) AS pd, avg(abs((r.u - l.u) / 4 + (t.v - b.v) / 4)) AS sd FROM m c
-              JOIN m l ON l.case_id = c.case_id AND l.y = c.y AND l.x = c.x - 1 JOIN m r ON r.case_id = c.case_id AND r.y = c.y AND r.x = c.x + 1
-              JOIN m b ON b.case_id = c.case_id AND b.y = c.y - 1 AND b.x = c.x JOIN m t ON t.case_id = c.case_id AND t.y = c.y + 1 AND t.x = c.x
-              WHERE c.fluid AND l.fluid AND r.fluid AND b.fluid AND t.fluid GROUP BY 1),
+        n AS (SELECT *, (lead(pu) OVER r - lag(pu) OVER r) / 4 + (lead(pv) OVER c - lag(pv) OVER c) / 4 AS pd, (lead(u) OVER r - lag(u) OVER r) / 4 + (lead(v) OVER c - lag(v) OVER c) / 4 AS sd,
+                     fluid AND lag(fluid) OVER r AND lead(fluid) OVER r AND lag(fluid) OVER c AND lead(fluid) OVER c AS whole
+              FROM m WINDOW r AS (PARTITION BY case_id, y ORDER BY x), c AS (PARTITION BY case_id, x ORDER BY y)),
+        d AS (SELECT case_id, avg(abs(pd)) AS pd, avg(abs(sd)) AS sd FROM n WHERE coalesce(whole, false) GROUP BY 1),
         w AS (SELECT case_id, sqrt(sum(power(pu - u, 2) + power(pv - v, 2)) FILTER (fluid)) / greatest(sqrt(sum(u * u + v * v) FILTER (fluid)), 1e-8) AS l2,
                      avg(sqrt(pu * pu + pv * pv)) FILTER (obstacle) / 0.1::DOUBLE AS inside FROM m GROUP BY 1)
         SELECT w.case_id, round(l2, 6) AS relative_l2, round(inside, 6) AS obstacle_speed, round(pd, 6) AS pred_divergence, round(sd, 6) AS sol_divergence,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.series import sequence_gaps
+
 # Fixed value: a key is a relative POSIX path of plain names.
 KEY = r"^(?!.*(?:^|/)\.\.?(?:/|$))[A-Za-z0-9._-]+(?:/[A-Za-z0-9._-]+)*$"
 
@@ -102,6 +106,20 @@ def open_published(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def schema_digest(schema: T.StructType) -> str:
+    """A fingerprint of names, types, order and nullability, for comparing a table's form with the one agreed on."""
+    return hashlib.sha256(json.dumps(schema.jsonValue(), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], step: str, first: int = 1) -> DataFrame:
+    """A log of JSON lines that all fit the schema and whose steps follow one another from `first` for each key; else refused."""
+    rows = strict_json(spark, path, schema)
+    wrong = sequence_gaps(rows, key, step, first).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{path}: {wrong[0]['problem']} at {wrong[0].asDict()}")
+    return rows
+
+
 def append_batch(df: DataFrame, path: str, key: str, step: str) -> None:
     """Append the next records of a log: refused unless each key's steps follow its last one without a gap."""
     spark = df.sparkSession

@@ -247,3 +247,38 @@ def test_nearest_with_many_copies_in_small_blocks(spark, monkeypatch):
     asked = spark.createDataFrame([(100 + i, i + 0.4) for i in range(12)], "k bigint, f double")
     said = {r["k"]: r["nearest"] for r in joins.nearest(asked, known, "k", ["f"]).collect()}
     assert said == {100 + i: min([(abs(i + 0.4 - f), k) for k, f in [(1, 0.0)] + [(k, float(k)) for k in range(2, 20)]])[1] for i in range(12)}
+
+
+def test_spectra_say_why_they_have_no_peak(spark):
+    rows = [("good", i, math.sin(2 * math.pi * i / 10)) for i in range(200)] + [("slow", i, math.sin(2 * math.pi * i / 50)) for i in range(200)]
+    rows += [("flat", i, 1.0) for i in range(200)] + [("short", 0, 1.0)] + [("odd", i, math.nan if i == 7 else 1.0 * i) for i in range(200)]
+    table = spark.createDataFrame(rows, "k string, at bigint, v double")
+    said = {r["k"]: r for r in series.spectral_peak(table, ["k"], "at", "v", 0.01, 0.4).collect()}
+    assert {k: r["failure"] for k, r in said.items()} == {"good": None, "slow": "too_few_cycles", "flat": "flat", "short": "too_short", "odd": "not_finite"}
+    assert said["good"]["frequency"] == pytest.approx(0.1, abs=1e-6)
+    assert {r["failure"] for r in series.spectral_peak(table, ["k"], "at", "v", 0.01, 0.4, most=100).filter("k <> 'short'").collect()} == {"too_long"}
+
+
+def test_prefixes_may_collide(spark):
+    from millrace.operators import lineage
+
+    nodes = spark.createDataFrame([("abcd1", "x"), ("abcd2", "x"), ("abce1", "x")], "sha string, kind string")
+    edges = spark.createDataFrame([], "child string, parent string, parent_kind string")
+    rules = spark.createDataFrame([("x", [], [])], "kind string, required array<string>, allowed array<string>")
+    assert [tuple(r) for r in lineage.lineage_problems(nodes, edges, rules, prefix=4).collect()] == [("prefix_collision", "abcd")]
+    assert lineage.lineage_problems(nodes, edges, rules, prefix=5).isEmpty()
+
+
+def test_logs_of_json_lines_and_schemas(spark, tmp_path):
+    schema = T.StructType([T.StructField("run", T.StringType()), T.StructField("epoch", T.LongType())])
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"run":"a","epoch":1}\n{"run":"a","epoch":2}\n{"run":"b","epoch":1}\n')
+    assert files.read_log(spark, str(path), schema, ["run"], "epoch").count() == 3
+    path.write_text('{"run":"a","epoch":1}\n{"run":"a","epoch":3}\n')
+    with pytest.raises(ValueError, match="gap"):
+        files.read_log(spark, str(path), schema, ["run"], "epoch")
+    path.write_text('{"run":"a","epoch":"x"}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_log(spark, str(path), schema, ["run"], "epoch").collect()
+    other = T.StructType([T.StructField("run", T.StringType()), T.StructField("epoch", T.IntegerType())])
+    assert files.schema_digest(schema) == files.schema_digest(T.StructType.fromJson(schema.jsonValue())) != files.schema_digest(other)
