@@ -254,7 +254,8 @@ def confirmed_components(docs: DataFrame, classes: DataFrame, near: DataFrame, p
 
     def linked(dealt: DataFrame) -> DataFrame:
         # The plan of cells is dealt first and the texts follow: the join then moves each text once for each of its cells.
-        with_text = dealt.join(texts, "node").repartition("key", "part").sortWithinPartitions("key", "part")
+        # By a merge at every size: a plan small enough to broadcast today is not when the corpus grows.
+        with_text = dealt.hint("merge").join(texts, "node").repartition("key", "part").sortWithinPartitions("key", "part")
         return _confirmed_pairs(with_text, percent)
 
     return _tied(durable(planned, "planned"), "key", "node", linked)
