@@ -39,20 +39,29 @@ def coverage(said: DataFrame, cases: DataFrame, predictor: str, key: str) -> Dat
     return found.crossJoin(F.broadcast(total)).select(predictor, "wanted", (F.col("wanted") - F.col("__met")).alias("missing"), "extra", "repeated")  # one row
 
 
-def rollup_digest(rows: DataFrame, by: Sequence[str], stretch: Column, order: Sequence[str], digest: str) -> DataFrame:
-    """by, n, digest of each group's rows in order.
+#: Digests that make one of the next level, and how many levels there are above the stretches.
+FAN, LEVELS = 1000, 2
 
-    The digests of a stretch's rows make the stretch's digest, and those of the stretches the group's: a
-    task holds one stretch, and the result does not depend on how the rows were partitioned.
-    """
-    by, row = list(by), F.struct(*order, digest)
 
-    def joined(pairs: Column, with_: str, said: Callable[[Column], Column]) -> Column:
-        return F.sha2(F.array_join(F.transform(F.array_sort(pairs), said), with_), 256)
+def rollup_digest(rows: DataFrame, by: Sequence[str], stretch: Column, order: Sequence[str], digest: str) -> DataFrame:
+    """by, n, digest of each group's rows in order; stretch is a whole number that grows with the order.
 
-    parts = rows.withColumn("__part", stretch.cast("long")).groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"), joined(F.collect_list(row), "", lambda r: r[digest]).alias("__d"))
-    pair = F.struct("__part", "__d")
-    return parts.groupBy(*by).agg(F.sum("__n").alias("n"), joined(F.collect_list(pair), ",", lambda p: F.concat_ws(":", p["__part"], p["__d"])).alias("digest"))
+    The digests of a stretch's rows make the stretch's digest, those of FAN stretches the next one's, and
+    those at the top the group's: a task holds one stretch or FAN digests, and the result does not depend on
+    how the rows were partitioned.
+    """
+    by = list(by)
+
+    def joined(pairs: Column, between: str, said: Callable[[Column], Column]) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(pairs), said), between), 256)
+
+    row = F.struct(*order, digest)
+    level = rows.withColumn("__part", stretch.cast("long")).groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("n"), joined(F.collect_list(row), "", lambda r: r[digest]).alias("digest"))
+    pair = F.struct("__part", "digest")
+    merged = [F.sum("n").alias("n"), joined(F.collect_list(pair), ",", lambda p: F.concat_ws(":", p["__part"], p["digest"])).alias("digest")]
+    for _ in range(LEVELS - 1):
+        level = level.groupBy(*by, F.floor(F.col("__part") / FAN).alias("__next")).agg(*merged).withColumnRenamed("__next", "__part")
+    return level.groupBy(*by).agg(*merged)
 
 
 def weighted_means(df: DataFrame, by: Sequence[str], columns: Sequence[str], weight: str, digits: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from millrace.functions.scalar import affine, hash_rank
 #: Rows are ranked inside ranges of their digest's first two bytes, which get offsets: no single task ranks all rows.
 PREFIX = 4
 MOST_LEVELS = 1000
+#: Points of a design whose distances one task takes.
+MOST_POINTS = 50_000
 
 
 def ranked(df: DataFrame, digest: Column, *keys: str) -> DataFrame:
@@ -69,12 +73,25 @@ def probe_grid(items: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def maximin(points: DataFrame, candidate: str, key: str, features: Sequence[str]) -> DataFrame:
-    """candidate, least_distance2 and chosen: of a few candidate designs the one whose two closest points lie furthest apart.
+    """candidate, least_distance2 and chosen: of candidate designs the one whose two closest points lie furthest apart.
 
-    A design's points meet each other: designs are small by nature, and their number is what grows.
+    Ties go to the lowest candidate; a design of one point has no distance and is not chosen. A design is one
+    task's work, a block of rows at a time: those of over MOST_POINTS points are refused.
     """
-    other = points.select(candidate, F.col(key).alias("__k"), *[F.col(f).alias(f"__{f}") for f in features])
-    distance = sum((F.col(f) - F.col(f"__{f}")) ** 2 for f in features)
-    least = points.join(other, candidate).filter(F.col(key) < F.col("__k")).groupBy(candidate).agg(F.min(distance).alias("least_distance2"))
-    best = least.agg(F.max_by(candidate, F.struct("least_distance2", -F.col(candidate))).alias("__best"))
-    return least.crossJoin(F.broadcast(best)).withColumn("chosen", F.col(candidate) == F.col("__best")).drop("__best")  # one row
+    kind = points.schema[candidate].dataType.simpleString()
+    sizes = points.groupBy(candidate).agg(F.count(F.lit(1)).alias("__n"))
+    refused = F.raise_error(F.lit(f"a design has more than {MOST_POINTS} points")).cast("boolean")
+    checked = points.join(sizes, candidate).filter(F.when(F.col("__n") > MOST_POINTS, refused).otherwise(F.lit(True)))
+
+    def closest(key_of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, least = pdf.sort_values(key)[list(features)].to_numpy(dtype=float), np.inf
+        for at in range(0, len(x), 256):
+            block = x[at : at + 256]
+            distance = ((block[:, None, :] - x[None, at:, :]) ** 2).sum(axis=2)
+            distance[np.tril_indices(len(block), 0, distance.shape[1])] = np.inf
+            least = min(least, distance.min())
+        return pd.DataFrame([(key_of[0], None if np.isinf(least) else float(least))], columns=[candidate, "least_distance2"])
+
+    least = checked.select(candidate, key, *features).groupBy(candidate).applyInPandas(closest, f"`{candidate}` {kind}, least_distance2 double")
+    best = least.filter("least_distance2 is not null").agg(F.max_by(candidate, F.struct("least_distance2", -F.col(candidate))).alias("__best"))
+    return least.crossJoin(F.broadcast(best)).withColumn("chosen", F.coalesce(F.col(candidate) == F.col("__best"), F.lit(False))).drop("__best")  # one row

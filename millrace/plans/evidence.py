@@ -155,7 +155,8 @@ def design_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH r AS (SELECT l_returnflag AS g, l_orderkey // 1000 AS part, l_orderkey AS k, l_linenumber AS n, sha256(l_orderkey || '|' || l_linenumber || '|' || l_shipdate::DATE) AS d FROM lineitem),
-    p AS (SELECT g, part, count(*) AS n, sha256(string_agg(d, '' ORDER BY k, n, d)) AS d FROM r GROUP BY 1, 2)
+    q AS (SELECT g, part, count(*) AS n, sha256(string_agg(d, '' ORDER BY k, n, d)) AS d FROM r GROUP BY 1, 2),
+    p AS (SELECT g, q.part // 1000 AS part, sum(n) AS n, sha256(string_agg(q.part || ':' || d, ',' ORDER BY q.part)) AS d FROM q GROUP BY g, q.part // 1000)
     SELECT g AS l_returnflag, sum(n)::BIGINT AS n, sha256(string_agg(part || ':' || d, ',' ORDER BY part)) AS digest FROM p GROUP BY 1
 """)
 def rollup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,8 +295,8 @@ def half_precision_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH c AS (SELECT s_suppkey % 8 AS candidate, s_suppkey AS i, s_acctbal / 10000 AS a, s_nationkey / 25.0::DOUBLE AS b FROM supplier),
-    d AS (SELECT x.candidate, min(power(x.a - y.a, 2) + power(x.b - y.b, 2)) AS d FROM c x JOIN c y ON x.candidate = y.candidate AND x.i < y.i GROUP BY 1)
-    SELECT candidate, round(d, 9) AS least_distance2, row_number() OVER (ORDER BY d DESC, candidate) = 1 AS chosen FROM d
+    d AS (SELECT x.candidate, min(power(x.a - y.a, 2) + power(x.b - y.b, 2)) AS d FROM c x LEFT JOIN c y ON x.candidate = y.candidate AND x.i < y.i GROUP BY 1)
+    SELECT candidate, round(d, 9) AS least_distance2, d IS NOT NULL AND row_number() OVER (ORDER BY d DESC NULLS LAST, candidate) = 1 AS chosen FROM d
 """)
 def maximin_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of candidate designs the one whose two closest points lie furthest apart; ties go to the lowest number."""

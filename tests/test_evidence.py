@@ -210,6 +210,12 @@ def test_a_rollup_does_not_depend_on_partitions(spark):
     rows = spark.range(500).select((F.col("id") % 3).alias("g"), "id", F.sha2(F.col("id").cast("string"), 256).alias("d"))
     said = [sorted(map(tuple, evidence.rollup_digest(r, ["g"], F.floor(F.col("id") / 64), ["id"], "d").collect())) for r in (rows, rows.repartition(9), rows.orderBy(F.desc("id")))]
     assert said[0] == said[1] == said[2]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    parts = {}
+    for i in range(0, 500, 3):
+        parts.setdefault(i // 64, []).append(sha(str(i)))
+    below = sha(",".join(f"{p}:{sha(''.join(ds))}" for p, ds in sorted(parts.items())))
+    assert said[0][0][1:] == (167, sha(f"0:{below}"))
     assert evidence.rollup_digest(rows.filter("id <> 7"), ["g"], F.floor(F.col("id") / 64), ["id"], "d").filter("g = 1").first()["digest"] != dict((g, d) for g, _, d in said[0])[1]
 
 
@@ -228,10 +234,18 @@ def test_coverage_and_identities(spark):
     assert sorted((r["who"], r["k"], r["status"]) for r in evidence.identities(said, known).collect()) == [("p", 1, "known"), ("p", 2, "known"), ("p", 2, "known"), ("q", 1, "no name"), ("q", 9, "no case")]
 
 
-def test_maximin_takes_the_lowest_of_equal_designs(spark):
+def test_maximin_takes_the_lowest_of_equal_designs(spark, monkeypatch):
     rows = [(1, 0, 0.0), (1, 1, 2.0), (2, 0, 0.0), (2, 1, 3.0), (3, 0, 1.0), (3, 1, 4.0)]
     said = {r["c"]: (r["least_distance2"], r["chosen"]) for r in sampling.maximin(spark.createDataFrame(rows, "c bigint, i bigint, x double"), "c", "i", ["x"]).collect()}
     assert said == {1: (4.0, False), 2: (9.0, True), 3: (9.0, False)}
+    pick = random.Random(5)
+    many = [(1, i, pick.random(), pick.random()) for i in range(700)] + [(2, 0, 0.0, 0.0)]
+    least = {r["c"]: r["least_distance2"] for r in sampling.maximin(spark.createDataFrame(many, "c bigint, i bigint, x double, y double"), "c", "i", ["x", "y"]).collect()}
+    assert least[2] is None
+    assert least[1] == pytest.approx(min((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 for i, a in enumerate(many[:700]) for b in many[i + 1 : 700]))
+    monkeypatch.setattr(sampling, "MOST_POINTS", 699)
+    with pytest.raises(Exception, match="more than 699 points"):
+        sampling.maximin(spark.createDataFrame(many, "c bigint, i bigint, x double, y double"), "c", "i", ["x", "y"]).collect()
 
 
 def test_levels_of_settings_are_few(spark, monkeypatch):
