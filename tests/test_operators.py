@@ -74,6 +74,30 @@ def test_bootstrap_intervals_of_the_median(spark):
         profile.bootstrap_median(table, ["g"], F.col("v"), most=10).collect()
 
 
+def test_leases_on_a_stream_expire_by_themselves(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    base = dt.datetime(2024, 1, 1)
+    at = lambda minutes: base + dt.timedelta(minutes=minutes)
+    schema = "case_id string, sequence bigint, at timestamp, op string, owner string, digest string, code string, attempt bigint"
+    batches = [
+        [("a", 1, at(0), "claim", "me", None, None, None), ("b", 1, at(1), "claim", "you", None, None, None), ("b", 2, at(2), "succeed", "you", "d", None, 1)],
+        [("c", 1, at(60), "claim", "me", None, None, None)],
+        [("a", 2, at(61), "claim", "me", None, None, None), ("c", 2, at(62), "fail", "me", None, "ERR", None)],
+        [("c", 3, at(200), "reap", None, None, None, None)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"part={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+    run = stateful.lease_stream(stream, minutes=10).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert run.awaitTermination(180)
+    got = sorted((r["case_id"], r["sequence"] or 0, r["result"], r["state"], r["attempt"], r["failure_codes"]) for r in spark.read.parquet(out).collect())
+    # The second claim of a is its second attempt: the first one's time had passed, and was told once. So is the second's.
+    assert [g for g in got if g[0] == "b"] == [("b", 1, "ok", "running", 1, ""), ("b", 2, "ok", "succeeded", 1, "")]
+    assert [g for g in got if g[0] == "a" and g[1]] == [("a", 1, "ok", "running", 1, ""), ("a", 2, "ok", "running", 2, "LEASE_EXPIRED")]
+    assert ("a", 0, "expired", "pending", 2, "LEASE_EXPIRED,LEASE_EXPIRED") in got
+    assert ("c", 2, "ok", "pending", 1, "ERR") in got
+
+
 def test_first_submissions_and_counts_on_a_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     base = dt.datetime(2024, 1, 1)
