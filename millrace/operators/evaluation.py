@@ -84,7 +84,7 @@ def evaluate_gates(gates: DataFrame, evidence: DataFrame) -> DataFrame:
     evidence: metric, value, status.
     """
     said = evidence.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"), F.first("status").alias("evidence"))
-    both = F.broadcast(gates).join(said, "metric", "full_outer")
+    both = gates.join(said, "metric", "full_outer")
     good = (F.col("n") == 1) & (F.col("evidence") == "valid") & compare(F.col("operator"), F.col("value"), F.col("threshold"))
     status = F.when(F.coalesce(good, F.lit(False)), "green").otherwise("red")
     return both.select(F.coalesce("name", F.concat(F.lit("no gate: "), F.col("metric"))).alias("name"), "metric", "operator", "threshold", "value", status.alias("status"))

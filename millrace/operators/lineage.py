@@ -19,7 +19,7 @@ def lineage_problems(nodes: DataFrame, edges: DataFrame, rules: DataFrame, *, pr
     missing = found.filter("real_kind is null").select(F.lit("missing_parent").alias("code"), F.col("child").alias("subject"))
     other = found.filter("real_kind <> parent_kind").select(F.lit("parent_kind").alias("code"), F.col("child").alias("subject"))
     seen = edges.groupBy(F.col("child").alias("sha")).agg(F.collect_set("parent_kind").alias("seen"))  # kinds are few
-    judged = nodes.join(F.broadcast(rules), "kind", "left").join(seen, "sha", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    judged = nodes.join(rules, "kind", "left").join(seen, "sha", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
     lacking = judged.filter(F.size(F.array_except("required", "seen")) > 0).select(F.lit("lacks_parent").alias("code"), F.col("sha").alias("subject"))
     barred = judged.filter(F.size(F.array_except("seen", "allowed")) > 0).select(F.lit("barred_parent").alias("code"), F.col("sha").alias("subject"))
     unruled = judged.filter("required is null").select(F.lit("no_rule").alias("code"), F.col("sha").alias("subject"))

@@ -281,7 +281,7 @@ def ensemble_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members are suppliers of one part in one flag: their unit prices' variance, in units of the flag's."""
     lines = table(spark, sf_dir, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
     scale = lines.groupBy("l_returnflag").agg(F.var_pop("unit").alias("scale"))
-    rows = lines.join(F.broadcast(scale), "l_returnflag")
+    rows = lines.join(scale, "l_returnflag")
     return rounded(evaluation.ensemble_variance(rows, ["l_returnflag"], ["l_partkey"], "unit", "scale"), 5, "variance")
 
 
@@ -342,9 +342,8 @@ def spectral_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
     hourly = rows.groupBy("event_type", F.floor(F.col("seconds") / 3600).alias("hour")).agg(F.count(F.lit(1)).alias("n_events"))
     bounds = rows.agg(F.floor(F.min("seconds") / 3600).alias("a"), F.floor(F.max("seconds") / 3600).alias("b"))
-    hours = bounds.select(F.explode(F.sequence("a", "b")).alias("hour"))
-    kinds = rows.select("event_type").distinct()
-    whole = kinds.crossJoin(F.broadcast(hours)).join(hourly, ["event_type", "hour"], "left").fillna(0, ["n_events"])
+    kinds = rows.select("event_type").distinct().crossJoin(F.broadcast(bounds))  # one row
+    whole = kinds.select("event_type", F.explode(F.sequence("a", "b")).alias("hour")).join(hourly, ["event_type", "hour"], "left").fillna(0, ["n_events"])
     said = series.spectral_peak(whole, ["event_type"], "hour", "n_events", 1 / 48, 1 / 4)
     return rounded(said, 5, "frequency", "power")
 
