@@ -8,7 +8,6 @@ import language_by_hand
 import public_tokenizers
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as d
 
