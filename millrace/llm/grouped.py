@@ -1,8 +1,8 @@
 """Cells of large groups, and reading sorted groups inside a task.
 
 All members of a small group meet in one cell. A large one is cut into blocks, and its members first meet a
-few pivots (star_cells): copies of the pivots go to every block, the members stay where they are. What the
-pivots tie together need not meet again. Only the members outside the largest tied part then meet all
+few pivots (star_cells): copies of the pivots go to every block, the members stay where they are. What one
+pivot ties together need not meet again. Only the members that the best pivot does not tie then meet all
 others (rest_cells), block by block. So a group that hangs together costs a few copies of each member, and
 every pair that may add a link still meets.
 """
@@ -50,20 +50,31 @@ def star_cells(rows: DataFrame, key: str, member: str) -> DataFrame:
     return _dealt(rows, key, F.when(F.col("blocks") == 1, F.array(_cell(F.lit(ALL_PAIRS), True, True))).otherwise(stars))
 
 
-def rest_cells(rows: DataFrame, key: str, member: str, tied: DataFrame) -> DataFrame:
-    """The cells in which the members of large groups that are not of the largest tied part meet all members.
+def best_pivots(found: DataFrame) -> DataFrame:
+    """key, pivot: of each large group the pivot that most members are tied to. found: key, a (pivot), b, star."""
+    counts = found.filter("star").groupBy("key", "a").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("key").agg(F.max_by("a", F.struct("n", "a")).alias("pivot"))
 
-    tied: node, component of what is tied together so far.
+
+def rest_cells(rows: DataFrame, key: str, member: str, found: DataFrame) -> DataFrame:
+    """The cells in which the members of large groups that are not tied to the best pivot meet all members.
+
+    found: what star_cells() led to, as best_pivots() takes it; a group without ties meets whole.
     """
-    named = rows.filter("blocks > 1").join(tied.select(F.col("node").alias(member), "component"), member, "left").withColumn("__tie", F.coalesce("component", member)).drop("component")
-    sizes = named.groupBy(key, "__tie").agg(F.count(F.lit(1)).alias("__n"))
-    largest = sizes.groupBy(key).agg(F.max_by("__tie", F.struct("__n", "__tie")).alias("__main"), (F.sum("__n") - F.max("__n")).alias("__others")).filter("__others > 0")
-    open_rows = named.join(largest, key).withColumn("__lefts", F.ceil(F.col("blocks") * F.col("__others") / F.col("members")))
+    best = best_pivots(found).withColumnRenamed("key", key)
+    stars = found.filter("star").select(F.col("key").alias(key), F.col("a").alias("pivot"), F.col("b").alias(member))
+    tied = stars.join(best, [key, "pivot"]).select(key, member).distinct()
+    named = rows.filter("blocks > 1").join(best, key, "left")
+    named = named.join(tied.withColumn("__tied", F.lit(True)), [key, member], "left")
+    free = F.col("__tied").isNull() & ~F.coalesce(F.col(member) == F.col("pivot"), F.lit(False))
+    named = named.withColumn("__open", free).drop("pivot", "__tied")
+    others = named.groupBy(key).agg(F.count_if("__open").alias("__others")).filter("__others > 0")
+    open_rows = named.join(others, key).withColumn("__lefts", F.ceil(F.col("blocks") * F.col("__others") / F.col("members")))
     none = F.array().cast("array<struct<part:bigint,left:boolean,right:boolean>>")
     own, mine = _block(member), F.pmod(F.xxhash64(F.col(member), F.lit(2)), F.col("__lefts"))
     as_right = _each(F.col("__lefts"), lambda i: _cell(i * F.col("blocks") + own, False, True))
-    as_left = F.when(F.col("__tie") != F.col("__main"), _each(F.col("blocks"), lambda b: _cell(mine * F.col("blocks") + b, True, False))).otherwise(none)
-    return _dealt(open_rows, key, F.concat(as_right, as_left)).drop("__tie", "__main", "__others", "__lefts")
+    as_left = F.when(F.col("__open"), _each(F.col("blocks"), lambda b: _cell(mine * F.col("blocks") + b, True, False))).otherwise(none)
+    return _dealt(open_rows, key, F.concat(as_right, as_left)).drop("__open", "__others", "__lefts")
 
 
 def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:

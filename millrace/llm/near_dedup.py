@@ -6,10 +6,10 @@
 3. Classes that share a band key are candidates. Their packed signatures are compared by bit counts and
    the share of equal values is corrected for chance matches; pairs whose estimate lies far below the
    threshold go. In a bucket larger than a block the members first meet a few pivots, and only those that
-   stay outside the largest part tied together meet all others, block by block (grouped.py).
-   A cell gives no list of pairs, only edges enough to connect what it found similar.
+   the best pivot does not tie meet all others, block by block (grouped.py). A cell gives no list of
+   pairs, only edges enough to connect what it found similar, and those of its pivots.
 4. Candidates that hang together are gathered with their texts in cells of the same kind and confirmed on
-   the full shingle sets. Again a cell gives a spanning forest of its links.
+   the full shingle sets, in the same way.
 5. Components of the confirmed links.
 
 A link of similarity s is missed by all bands with probability (1 - s**5)**25: 4e-7 at 0.85, less above.
@@ -145,16 +145,27 @@ def _meetings(left: np.ndarray, right: np.ndarray, begin: int, end: int) -> Iter
         yield i, others
 
 
-def _similar_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
-    """a, b: edges that connect in each cell what looks similar by its bits. dealt: key, part, left, right, rep, n_shingles, bits."""
+LINKS = "key bigint, a bigint, b bigint, star boolean"
+
+
+def _links(key: list, a: list, b: list, star: bool) -> pa.RecordBatch:
+    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, a, b)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(len(columns[0]), star))], names=["key", "a", "b", "star"])
+
+
+def _similar_pairs(dealt: DataFrame, threshold: float, stars: bool) -> DataFrame:
+    """LINKS: edges that connect in each cell what looks similar by its bits, and with stars all of those of pivots.
+
+    dealt: key, part, left, right, rep, n_shingles, bits.
+    """
     least, chance = least_estimate(threshold), 0.5**BITS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, CELL):
-            rep, size, part = (chunk.column(c).to_numpy() for c in ("rep", "n_shingles", "part"))
+            keys, rep, size, part = (chunk.column(c).to_numpy() for c in ("key", "rep", "n_shingles", "part"))
             is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
             bits = np.frombuffer(b"".join(chunk.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, HASHES * BITS // 64)
-            a, b = [], []
+            a, b, told, stars_of = [], [], [], ([], [], [])
 
             def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 share = _alike(bits[i] ^ bits[j]) / HASHES
@@ -171,6 +182,7 @@ def _similar_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
                         ok = keep(i, j)
                         a.append(rep[i[ok]])
                         b.append(rep[j[ok]])
+                        told.append(keys[i[ok]])
             for k in np.flatnonzero((sizes >= 5) | ~every).tolist():
                 begin, end = int(bounds[k]), int(bounds[k + 1])
                 parent = list(range(end - begin))
@@ -178,24 +190,27 @@ def _similar_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
                     if every[k]:
                         others = others[others > i]
                     others = others[keep(np.full(len(others), i), others)]
+                    if stars and not every[k]:
+                        for at, values in zip(stars_of, (np.full(len(others), keys[i]), np.full(len(others), rep[i]), rep[others]), strict=True):
+                            at.append(values)
+                        continue
                     made = _forest(parent, ((i - begin, int(j) - begin) for j in others))
                     a.append(rep[[begin + x for x, _ in made]])
                     b.append(rep[[begin + y for _, y in made]])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    told.append(np.full(len(made), keys[i]))
+            yield _links(told, a, b, False)
+            yield _links(*stars_of, True)
 
-    return dealt.select("key", "part", "left", "right", "rep", "n_shingles", "bits").mapInArrow(compare, "a bigint, b bigint")
+    return dealt.select("key", "part", "left", "right", "rep", "n_shingles", "bits").mapInArrow(compare, LINKS)
 
 
-def _tied(rows: DataFrame, key: str, member: str, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _tied(rows: DataFrame, key: str, member: str, linked: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """node, component of all links inside the groups of rows (key, member, members, blocks, …), as `linked` finds them in cells."""
-    tied = components(linked(star_cells(rows, key, member)))
-    if rows.filter("blocks > 1").isEmpty():
-        return tied
-    more = durable(linked(rest_cells(rows, key, member, tied)), "rest-links")
-    if more.isEmpty():
-        return tied
-    return components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    found = durable(linked(star_cells(rows, key, member), True), "links")
+    edges = found.select("a", "b")
+    if not rows.filter("blocks > 1").isEmpty():
+        edges = edges.unionByName(linked(rest_cells(rows, key, member, found), False).select("a", "b"))
+    return components(edges)
 
 
 def similar_candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -203,18 +218,21 @@ def similar_candidates(classes: DataFrame, threshold: float) -> DataFrame:
     rows = classes.select("rep", "n_shingles", "bits", F.explode("bands").alias("key"))
     shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     crowded = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    return _tied(crowded, "key", "rep", lambda dealt: _similar_pairs(dealt, threshold))
+    return _tied(crowded, "key", "rep", lambda dealt, stars: _similar_pairs(dealt, threshold, stars))
+
 
+def _confirmed_pairs(dealt: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """LINKS: edges that connect in each cell the nodes whose full sets are similar enough, and with stars all of those of pivots.
 
-def _confirmed_pairs(dealt: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges that connect in each cell the nodes whose full sets are similar enough. dealt: key, part, left, right, node, body."""
+    dealt: key, part, left, right, node, body.
+    """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, CELL):
-            node, part = chunk.column("node").to_numpy(), chunk.column("part").to_numpy()
+            keys, node, part = (chunk.column(c).to_numpy() for c in ("key", "node", "part"))
             is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
             bounds = group_bounds(chunk, CELL)
-            a, b = [], []
+            plain, stars_of = ([], [], []), ([], [], [])
             for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 n = end - begin
                 shingles, number = shingles_of(chunk.column("body").slice(begin, n))
@@ -235,12 +253,16 @@ def _confirmed_pairs(dealt: DataFrame, percent: int) -> DataFrame:
                     linked = is_right[begin:end] & (node[begin:end] != node[begin + i]) & (100 * common >= percent * (size + size[i] - common))
                     if every:
                         linked[: i + 1] = False
-                    made = _forest(parent, ((i, int(j)) for j in np.flatnonzero(linked)))
-                    a += [node[begin + x] for x, _ in made]
-                    b += [node[begin + y] for _, y in made]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    others = np.flatnonzero(linked)
+                    if every or not stars:
+                        others = np.array([y for _, y in _forest(parent, ((i, int(j)) for j in others))], dtype=np.int64)
+                    values = (np.full(len(others), keys[begin]), np.full(len(others), node[begin + i]), node[begin + others])
+                    for at, some in zip(plain if every or not stars else stars_of, values, strict=True):
+                        at.append(some)
+            yield _links(*plain, False)
+            yield _links(*stars_of, True)
 
-    return dealt.select("key", "part", "left", "right", "node", "body").mapInArrow(confirm, "a bigint, b bigint")
+    return dealt.select("key", "part", "left", "right", "node", "body").mapInArrow(confirm, LINKS)
 
 
 def confirmed_components(docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
@@ -251,14 +273,10 @@ def confirmed_components(docs: DataFrame, classes: DataFrame, near: DataFrame, p
     planned = members.join(sizes.select("component", "members", blocks.alias("blocks")), "component").select(F.col("component").alias("key"), "node", "members", "blocks").distinct()
     # Rows that carry one id are one node, whatever their texts.
     texts = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
-
-    def linked(dealt: DataFrame) -> DataFrame:
-        # The plan of cells is dealt first and the texts follow: the join then moves each text once for each of its cells.
-        # By a merge at every size: a plan small enough to broadcast today is not when the corpus grows.
-        with_text = dealt.hint("merge").join(texts, "node").repartition("key", "part").sortWithinPartitions("key", "part")
-        return _confirmed_pairs(with_text, percent)
-
-    return _tied(durable(planned, "planned"), "key", "node", linked)
+    # By a merge at every size: a plan small enough to broadcast today is not when the corpus grows. The texts of the
+    # candidates are a table of their own, so that all texts are shuffled once, however many cells follow.
+    candidates = durable(planned.hint("merge").join(texts, "node"), "candidates")
+    return _tied(candidates, "key", "node", lambda dealt, stars: _confirmed_pairs(dealt, percent, stars))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
