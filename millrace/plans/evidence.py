@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar
@@ -16,6 +16,7 @@ from millrace.operators.quantiles import matched, quantiles
 from millrace.plans.queries import gate_report, rounded
 from millrace.plans.sql import _EVENTS, _GATES, _METRICS
 from millrace.plans.tables import event_rows, order_metrics, table
+from millrace.sources.strict import strict_objects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,8 +104,8 @@ def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {_EVENTS}, b AS (SELECT DISTINCT user_id FROM e WHERE event_type = 'purchase' AND seconds < (SELECT min(seconds) + 15 * 86400 FROM e)),
     a AS (SELECT DISTINCT user_id FROM e WHERE event_type = 'purchase' AND seconds >= (SELECT min(seconds) + 15 * 86400 FROM e))
-    SELECT user_id, a.user_id IS NOT NULL AS preserved FROM b LEFT JOIN a USING (user_id)
-""".replace("SELECT user_id, a.user_id", "SELECT b.user_id, a.user_id"))
+    SELECT b.user_id, a.user_id IS NOT NULL AS preserved FROM b LEFT JOIN a USING (user_id)
+""")
 def preserved_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a success in the first half: whether they have one again in the second."""
     rows = event_rows(spark, sf_dir)
@@ -120,15 +121,13 @@ def preserved_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def publication_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first part of a release's provenance that is not as it should be; null equals null."""
-    from millrace.operators.evaluation import readiness
-
     rows = table(spark, sf_dir, "supplier")
     reasons = [
         ("source", ~F.col("s_nationkey").cast("long").eqNullSafe(F.col("s_suppkey") % 25)),
         ("lock", F.coalesce(F.col("s_acctbal") < 0, F.lit(True))),
         ("config", F.length("s_name") > 18),
     ]
-    return rows.select("s_suppkey", readiness(rows, reasons).alias("status"))
+    return rows.select("s_suppkey", evaluation.readiness(rows, reasons).alias("status"))
 
 
 # -- identity
@@ -229,9 +228,9 @@ def client_of_forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_returnflag, count(*) AS n, (sum(l_quantity::DECIMAL(18, 4) * l_discount::DECIMAL(18, 4)) / sum(l_quantity::DECIMAL(18, 4)))::DOUBLE AS discount_raw, round(sum(l_quantity::DECIMAL(18, 4) * l_discount::DECIMAL(18, 4))::DOUBLE / sum(l_quantity::DECIMAL(18, 4))::DOUBLE, 9) AS discount,
+    SELECT l_returnflag, count(*) AS n, round(sum(l_quantity::DECIMAL(18, 4) * l_discount::DECIMAL(18, 4))::DOUBLE / sum(l_quantity::DECIMAL(18, 4))::DOUBLE, 9) AS discount,
            round(sum(l_quantity::DECIMAL(18, 4) * l_tax::DECIMAL(18, 4))::DOUBLE / sum(l_quantity::DECIMAL(18, 4))::DOUBLE, 9) AS tax FROM lineitem GROUP BY 1
-""".replace("(sum(l_quantity::DECIMAL(18, 4) * l_discount::DECIMAL(18, 4)) / sum(l_quantity::DECIMAL(18, 4)))::DOUBLE AS discount_raw, ", ""))
+""")
 def weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means weighted by quantity, from sums that are exact and so the same in any order."""
     said = evidence.weighted_means(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_discount", "l_tax"], "l_quantity", 4)
@@ -305,8 +304,8 @@ def maximin_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT k AS row, v AS centre FROM (SELECT unnest(range(33)) AS k, round_even(unnest(range(33)) * 255 / 32.0::DOUBLE, 0)::BIGINT AS v)
-""".replace("row", '"row"'))
+    SELECT k AS "row", round_even(k * 255 / 32.0::DOUBLE, 0)::BIGINT AS centre FROM range(33) t(k)
+""")
 def centre_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of a fine grid that stand for the rows of a coarse one."""
     return spark.range(33).select(F.col("id").alias("row"), scalar.nearest_center(F.col("id"), 33, 256).alias("centre"))
@@ -331,10 +330,8 @@ def values_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def error_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absolute errors of the mean predictor, cell by cell, with one scale for both fields and one for the errors."""
-    from millrace.operators.evaluation import mean_vectors
-
     rows = table(spark, sf_dir, "embeddings")
-    means = mean_vectors(rows, ["label"], "embedding").withColumnRenamed("embedding", "mean")
+    means = evaluation.mean_vectors(rows, ["label"], "embedding").withColumnRenamed("embedding", "mean")
     cells = rows.join(means, "label").select("vec_id", F.posexplode(F.arrays_zip("embedding", "mean")).alias("i", "c"))
     cells = cells.select("vec_id", F.col("i").cast("long").alias("i"), F.col("c.embedding").cast("double").alias("x"), F.col("c.mean").alias("mean"))
     return rounded(evidence.error_grid(cells, "x", "mean").select("vec_id", "i", "error", "field_scale", "error_scale"), 6, "error", "field_scale", "error_scale")
@@ -443,8 +440,6 @@ def checkpoint_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def running_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The global step of a log, summed over its epochs in order, and the jumps of the epoch."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("run").orderBy("epoch")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"))
     rows = rows.withColumn("batches", F.row_number().over(w).cast("long"))
@@ -456,7 +451,5 @@ def running_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that are read under caps on depth and keys, without repeated keys or numbers that are not finite."""
-    from millrace.sources.strict import strict_objects
-
     said = strict_objects(table(spark, sf_dir, "events"), "props")
     return said.groupBy(F.when(F.col("refused").isNull(), "read").otherwise("refused").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("refused") == "repeated key").alias("twice"))
