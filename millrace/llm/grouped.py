@@ -50,22 +50,26 @@ def star_cells(rows: DataFrame, key: str, member: str) -> DataFrame:
     return _dealt(rows, key, F.when(F.col("blocks") == 1, F.array(_cell(F.lit(ALL_PAIRS), True, True))).otherwise(stars))
 
 
-def best_pivots(found: DataFrame) -> DataFrame:
-    """key, pivot: of each large group the pivot that most members are tied to. found: key, a (pivot), b, star."""
-    counts = found.filter("star").groupBy("key", "a").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("key").agg(F.max_by("a", F.struct("n", "a")).alias("pivot"))
+def best_ties(found: DataFrame) -> DataFrame:
+    """key, pivot, node: of each large group the pivot that most members are tied to, and those members.
+
+    found: key, a (pivot), b, star, as star_cells() leads to. The ties of other pivots add nothing: who is
+    not tied to the best one meets all members anyway.
+    """
+    stars = found.filter("star").select("key", F.col("a").alias("pivot"), F.col("b").alias("node")).distinct()
+    counts = stars.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+    return stars.join(best, ["key", "pivot"])
 
 
-def rest_cells(rows: DataFrame, key: str, member: str, found: DataFrame) -> DataFrame:
+def rest_cells(rows: DataFrame, key: str, member: str, ties: DataFrame) -> DataFrame:
     """The cells in which the members of large groups that are not tied to the best pivot meet all members.
 
-    found: what star_cells() led to, as best_pivots() takes it; a group without ties meets whole.
+    ties: of best_ties(); a group without ties meets whole.
     """
-    best = best_pivots(found).withColumnRenamed("key", key)
-    stars = found.filter("star").select(F.col("key").alias(key), F.col("a").alias("pivot"), F.col("b").alias(member))
-    tied = stars.join(best, [key, "pivot"]).select(key, member).distinct()
-    named = rows.filter("blocks > 1").join(best, key, "left")
-    named = named.join(tied.withColumn("__tied", F.lit(True)), [key, member], "left")
+    best = ties.select(F.col("key").alias(key), "pivot").distinct()
+    tied = ties.select(F.col("key").alias(key), F.col("node").alias(member), F.lit(True).alias("__tied"))
+    named = rows.filter("blocks > 1").join(best, key, "left").join(tied, [key, member], "left")
     free = F.col("__tied").isNull() & ~F.coalesce(F.col(member) == F.col("pivot"), F.lit(False))
     named = named.withColumn("__open", free).drop("pivot", "__tied")
     others = named.groupBy(key).agg(F.count_if("__open").alias("__others")).filter("__others > 0")

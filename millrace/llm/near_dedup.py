@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, require, text_or_empty, text_slices
 from millrace.llm.components import components
-from millrace.llm.grouped import ALL_PAIRS, group_bounds, rest_cells, star_cells, whole_groups
+from millrace.llm.grouped import ALL_PAIRS, best_ties, group_bounds, rest_cells, star_cells, whole_groups
 from millrace.llm.wordhash import mix, ranges, spans_hash, words_of
 
 SHINGLE = 5
@@ -207,9 +207,11 @@ def _similar_pairs(dealt: DataFrame, threshold: float, stars: bool) -> DataFrame
 def _tied(rows: DataFrame, key: str, member: str, linked: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """node, component of all links inside the groups of rows (key, member, members, blocks, …), as `linked` finds them in cells."""
     found = durable(linked(star_cells(rows, key, member), True), "links")
-    edges = found.select("a", "b")
+    edges = found.filter("not star").select("a", "b")
     if not rows.filter("blocks > 1").isEmpty():
-        edges = edges.unionByName(linked(rest_cells(rows, key, member, found), False).select("a", "b"))
+        ties = durable(best_ties(found), "ties")
+        edges = edges.unionByName(ties.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        edges = edges.unionByName(linked(rest_cells(rows, key, member, ties), False).select("a", "b"))
     return components(edges)
 
 

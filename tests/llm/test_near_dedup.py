@@ -71,7 +71,7 @@ def test_cells_of_large_groups_lose_no_link(docs, monkeypatch):
 
 
 def test_a_large_group_costs_a_few_copies_and_every_open_pair_meets(spark):
-    from millrace.llm.grouped import PIVOTS, rest_cells, star_cells
+    from millrace.llm.grouped import PIVOTS, best_ties, rest_cells, star_cells
 
     n, blocks = 5000, 50
     rows = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.lit(n).cast("long").alias("members"), F.lit(blocks).alias("blocks"))
@@ -81,13 +81,13 @@ def test_a_large_group_costs_a_few_copies_and_every_open_pair_meets(spark):
     assert pivots and all({r.part for r in star if r.left and r.rep == p} == set(range(blocks)) for p in pivots)
     pivot = min(pivots)
     star = lambda ids: ids.select(F.lit(1).cast("long").alias("key"), F.lit(pivot).cast("long").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
-    assert rest_cells(rows, "key", "rep", star(spark.range(n).filter(f"id <> {pivot}"))).isEmpty()
+    assert rest_cells(rows, "key", "rep", best_ties(star(spark.range(n).filter(f"id <> {pivot}")))).isEmpty()
     # Most of these are not tied to the pivot: each of them meets each member.
     found = star(spark.range(1000).filter(f"id >= 700 and id % 7 <> 3 and id <> {pivot}"))
     small, few = rows.filter("rep < 1000"), 10
     small = small.withColumn("members", F.lit(1000).cast("long")).withColumn("blocks", F.lit(few))
     cells = {}
-    for r in rest_cells(small, "key", "rep", found).collect():
+    for r in rest_cells(small, "key", "rep", best_ties(found)).collect():
         cells.setdefault(r.part, ([], []))[r.right].append(r.rep)
     met = {(x, y) for left, right in cells.values() for x in left for y in right}
     outside = [i for i in range(1000) if (i < 700 or i % 7 == 3) and i != pivot]
