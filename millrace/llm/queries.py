@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import base64
-
-import public_tokenizers
-
-from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece_codec, sharding, substring_dedup, token_counts
+from millrace.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    license_scan,
+    near_dedup,
+    oracles,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    substring_dedup,
+    token_counts,
+    vector_codes,
+)
 from millrace.llm.common import documents, fresh_path
 
 
@@ -68,6 +79,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), fresh_path(spark, "token-cache"), counter, version, limit=4096)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
@@ -79,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -147,4 +163,5 @@ SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id
     """,
+    "op13_vector_codes": oracles.vector_codes(),
 }
