@@ -46,3 +46,57 @@ def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int
         SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest.s AS codebooks_sha256
         FROM kept JOIN coded USING (r), digest
     """
+
+
+def _luhn(digits: str) -> str:
+    d = f"(ascii({digits}[i]) - 48)"
+    doubled = f"CASE WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END"
+    return f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 THEN {doubled} ELSE {d} END)) % 10 = 0"
+
+
+def _mod97(bare: str) -> str:
+    codes = f"list_transform(string_split(concat({bare}[5:], {bare}[1:4]), ''), lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    return f"list_reduce(list_prepend(0, {codes}), lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1"
+
+
+def personal_data() -> str:
+    """The kinds of pii.py as plain patterns: this engine's search is linear as it is."""
+    digits, bare = "regexp_replace(m, '[^0-9]', '', 'g')", "replace(m, ' ', '')"
+    byte = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    phone_words = "phone|tel|call|mobile|fax|cell"
+    card = r"[0-9](?:[\x20-]?[0-9])+"
+    # Name, pattern, what is valid, score, words near and what they add, words against and what they take, least score.
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 90, "e-?mail|contact|write", 10, "", 0, 0),
+        ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_full_match(m, '{byte}(\.{byte}){{3}}')", 60, "ip|address|host|server|login", 30, "version|release|build|section", 40, 0),
+        ("card", card, f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {_luhn(digits)} ELSE false END", 80, "card|visa|credit|payment", 20, "order|invoice|tracking|serial", 30, 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15", 60, phone_words, 30, "", 0, 0),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", f"CASE WHEN length({bare}) BETWEEN 15 AND 34 THEN {_mod97(bare)} ELSE false END", 80, "iban|account|bank", 20, "", 0, 0),
+        ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')", 30, "ssn|social security", 50, "", 0, 50),
+        ("localphone", r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b", r"NOT regexp_matches(before, '\+[0-9 ().-]*$')", 30, phone_words, 40, "", 0, 50),
+        ("shortcard", card, f"CASE WHEN length({digits}) BETWEEN 13 AND 15 THEN {_luhn(digits)} ELSE false END", 40, "card|visa|credit|payment|amex", 30, "", 0, 50),
+    ]
+    found = []
+    for no, (name, pattern, valid, score, near, adds, against, takes, least) in enumerate(kinds):
+        less = f" - CASE WHEN regexp_matches(before, '{against}') THEN {takes} ELSE 0 END" if against else ""
+        found.append(f"""
+            SELECT r, {no} AS no, '{name}' AS kind, start, start + length(m) AS stop, score
+            FROM (SELECT *, least(100, {score} + CASE WHEN regexp_matches(before, '{near}') THEN {adds} ELSE 0 END{less}) AS score FROM (
+                SELECT r, m, lower(right(gap, 40)) AS before, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS start
+                FROM (SELECT r, i, g[i] AS gap, f[i] AS m FROM (
+                    SELECT r, g, f, unnest(range(1, len(f) + 1)) AS i
+                    FROM (SELECT r, string_split_regex(body, '{pattern}') AS g, regexp_extract_all(body, '{pattern}') AS f FROM texts)
+                ))
+            )) WHERE ({valid}) AND score >= {least}""")
+    counts = ", ".join(f"count(f.r) FILTER (WHERE kind = '{k[0]}') AS n_{k[0]}" for k in kinds[:4])
+    each = "kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR)"
+    return f"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents
+        ), found AS ({" UNION ALL ".join(found)})
+        SELECT any_value(doc_id) AS doc_id, {counts},
+               sha256(coalesce(string_agg({each}, ',' ORDER BY no, start) FILTER (WHERE no < 4), '')) AS base_sha256,
+               coalesce(string_agg({each}, ',' ORDER BY no, start), '') AS spans,
+               coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY no, start), '') AS scores
+        FROM texts t LEFT JOIN found f ON f.r = t.r GROUP BY t.r
+    """

@@ -16,6 +16,7 @@ from millrace.llm import (
     license_scan,
     near_dedup,
     oracles,
+    pii,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -79,6 +80,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), fresh_path(spark, "token-cache"), counter, version, limit=4096)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_personal_data(documents(spark, sf_dir)))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -163,5 +169,6 @@ SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id
     """,
+    "op12_personal_data": oracles.personal_data(),
     "op13_vector_codes": oracles.vector_codes(),
 }
