@@ -100,3 +100,43 @@ def personal_data() -> str:
                coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY no, start), '') AS scores
         FROM texts t LEFT JOIN found f ON f.r = t.r GROUP BY t.r
     """
+
+
+def prefix_trie() -> str:
+    bits = "flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({bits} AS BIGINT[])), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"
+    return f"""
+        WITH turns AS (
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(concat(strlen(role), ':', role, text))) AS pos
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+        ), known AS (
+            SELECT conv_id, {crc} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+        ), rebuilt AS (
+            SELECT k.conv_id, t.pos, t.role, t.text FROM known k JOIN turns t ON t.conv_id = k.conv_id - k.conv_id % 100 AND t.pos <= k.h
+            UNION ALL
+            SELECT k.conv_id, t.pos, t.role, t.text FROM known k JOIN turns t ON t.conv_id = k.conv_id AND t.pos > k.h
+        ), placed AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, length(text) AS n, sha256(concat(strlen(role), ':', role, text)) AS t FROM rebuilt
+        ), lists AS (
+            SELECT k.conv_id, coalesce(list(t ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS ts, coalesce(list(n ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS ns
+            FROM known k LEFT JOIN placed p ON p.conv_id = k.conv_id GROUP BY k.conv_id
+        ), steps AS (
+            SELECT conv_id, d, len(ts) = d AS ends, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n,
+                   sha256(array_to_string(ts[1:d], ' ')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(ts[1:d - 1], ' ')) END AS up
+            FROM (SELECT conv_id, ts, ns, unnest(range(0, len(ts) + 1)) AS d FROM lists)
+        ), nodes AS (
+            SELECT k, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM steps GROUP BY k
+        ), children AS (
+            SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+        ), under AS (
+            SELECT DISTINCT a.k AS top, b.k AS k FROM steps a JOIN steps b ON b.conv_id = a.conv_id AND b.d >= a.d
+        ), sums AS (
+            SELECT top, sum(CAST(c.n_children IS NULL AS BIGINT)) AS n_leaves, sum((o.n_convs - 1) * o.n) AS saved
+            FROM under u JOIN nodes o ON o.k = u.k LEFT JOIN children c ON c.k = u.k GROUP BY top
+        )
+        SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, coalesce(c.n_children, 0) AS n_children,
+               CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, o.ends_sha256
+        FROM nodes o JOIN sums s ON s.top = o.k LEFT JOIN children c ON c.k = o.k LEFT JOIN nodes p ON p.k = o.up
+    """

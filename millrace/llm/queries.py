@@ -17,6 +17,7 @@ from millrace.llm import (
     near_dedup,
     oracles,
     pii,
+    prefix_trie,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -80,6 +81,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), fresh_path(spark, "token-cache"), counter, version, limit=4096)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_personal_data(documents(spark, sf_dir)))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -169,6 +175,7 @@ SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id
     """,
+    "op11_prefix_trie": oracles.prefix_trie(),
     "op12_personal_data": oracles.personal_data(),
     "op13_vector_codes": oracles.vector_codes(),
 }
