@@ -1,10 +1,10 @@
 """Cells of large groups, and reading sorted groups inside a task.
 
 All members of a small group meet in one cell. A large one is cut into blocks, and its members first meet a
-few pivots (star_cells): copies of the pivots go to every block, the members stay where they are. What one
-pivot ties together need not meet again. Only the members that the best pivot does not tie then meet all
-others (rest_cells), block by block. So a group that hangs together costs a few copies of each member, and
-every pair that may add a link still meets.
+few pivots (star_cells): copies of the pivots go to every block, the members stay where they are. What hangs
+together then need not meet again. Only the members outside the largest part that does meet all others
+(rest_cells), block by block. So a group that hangs together costs a few copies of each member, and every
+pair that may add a link still meets.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ def _each(n: Column, f) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: f(i))
 
 
-def _dealt(rows: DataFrame, key: str, cells: Column) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, member: str, cells: Column) -> DataFrame:
     dealt = rows.withColumn("__cell", F.explode(cells)).select("*", "__cell.part", "__cell.left", "__cell.right").drop("__cell")
-    return dealt.repartition(key, "part").sortWithinPartitions(key, "part")
+    return dealt.repartition(key, "part").sortWithinPartitions(key, "part", member)
 
 
 def _block(member: str) -> Column:
@@ -47,25 +47,13 @@ def star_cells(rows: DataFrame, key: str, member: str) -> DataFrame:
     none = F.array().cast("array<struct<part:bigint,left:boolean,right:boolean>>")
     pivot = F.pmod(F.xxhash64(F.col(member), F.lit(1)), F.col("members")) < PIVOTS
     stars = F.concat(F.array(_cell(_block(member), False, True)), F.when(pivot, _each(F.col("blocks"), lambda b: _cell(b, True, False))).otherwise(none))
-    return _dealt(rows, key, F.when(F.col("blocks") == 1, F.array(_cell(F.lit(ALL_PAIRS), True, True))).otherwise(stars))
-
-
-def best_ties(found: DataFrame) -> DataFrame:
-    """key, pivot, node: of each large group the pivot that most members are tied to, and those members.
-
-    found: key, a (pivot), b, star, as star_cells() leads to. The ties of other pivots add nothing: who is
-    not tied to the best one meets all members anyway.
-    """
-    stars = found.filter("star").select("key", F.col("a").alias("pivot"), F.col("b").alias("node")).distinct()
-    counts = stars.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    return stars.join(best, ["key", "pivot"])
+    return _dealt(rows, key, member, F.when(F.col("blocks") == 1, F.array(_cell(F.lit(ALL_PAIRS), True, True))).otherwise(stars))
 
 
 def rest_cells(rows: DataFrame, key: str, member: str, ties: DataFrame) -> DataFrame:
-    """The cells in which the members of large groups that are not tied to the best pivot meet all members.
+    """The cells in which the members of large groups that are not tied to the rest meet all members.
 
-    ties: of best_ties(); a group without ties meets whole.
+    ties: key, pivot, node: the members that need not meet, because they hang together; a group without ties meets whole.
     """
     best = ties.select(F.col("key").alias(key), "pivot").distinct()
     tied = ties.select(F.col("key").alias(key), F.col("node").alias(member), F.lit(True).alias("__tied"))
@@ -78,7 +66,7 @@ def rest_cells(rows: DataFrame, key: str, member: str, ties: DataFrame) -> DataF
     own, mine = _block(member), F.pmod(F.xxhash64(F.col(member), F.lit(2)), F.col("__lefts"))
     as_right = _each(F.col("__lefts"), lambda i: _cell(i * F.col("blocks") + own, False, True))
     as_left = F.when(F.col("__open"), _each(F.col("blocks"), lambda b: _cell(mine * F.col("blocks") + b, True, False))).otherwise(none)
-    return _dealt(open_rows, key, F.concat(as_right, as_left)).drop("__open", "__others", "__lefts")
+    return _dealt(open_rows, key, member, F.concat(as_right, as_left)).drop("__open", "__others", "__lefts")
 
 
 def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -120,4 +108,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    if len(parts) == 1:
+        return parts[0]
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
+    if len(whole) > 1:
+        raise ValueError("a group holds more than 2 GB in one column")
+    return whole[0]

@@ -5,16 +5,18 @@
 2. Texts with the same word sequence are one class; its smallest id stands for it.
 3. Classes that share a band key are candidates. Their packed signatures are compared by bit counts and
    the share of equal values is corrected for chance matches; pairs whose estimate lies far below the
-   threshold go. In a bucket larger than a block the members first meet a few pivots, and only those that
-   the best pivot does not tie meet all others, block by block (grouped.py). A cell gives no list of
-   pairs, only edges enough to connect what it found similar, and those of its pivots.
-4. Candidates that hang together are gathered with their texts in cells of the same kind and confirmed on
-   the full shingle sets, in the same way.
+   threshold go. A bucket larger than a block is dealt over cells (grouped.py).
+4. What looks similar is confirmed on the full sets, word by word, in rounds: each class meets one partner,
+   at first the smallest similar one of its buckets, so that a family meets the same few; later the most
+   similar one that no link ties to it yet. Most members of a family are tied then, and all pairs that are
+   still open meet. Pairs are confirmed as pairs, never as whole groups of candidates, so a chain of texts
+   that lie just under the threshold costs a few copies of each text.
 5. Components of the confirmed links.
 
 A link of similarity s is missed by all bands with probability (1 - s**5)**25: 4e-7 at 0.85, less above.
 The estimate's margin is five standard deviations. Nothing is capped: every pair of a bucket that could
-join two parts is compared. A large family whose members resemble no pivot costs all its pairs.
+join two parts is compared. A large family whose members lie just under the threshold of each other costs
+all its pairs.
 
 Defined results: null and empty texts, and texts of separators only, have no shingles, are linked with
 nothing and stay. Repeated rows of one id share their result. A row with a null id takes the component of
@@ -25,24 +27,26 @@ length is read whole. An empty table gives an empty result. Extra columns are ig
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import durable, require, text_or_empty, text_slices
+from millrace.llm.common import durable, forget, require, text_or_empty, text_slices
 from millrace.llm.components import components
-from millrace.llm.grouped import ALL_PAIRS, best_ties, group_bounds, rest_cells, star_cells, whole_groups
-from millrace.llm.wordhash import mix, ranges, spans_hash, words_of
+from millrace.llm.grouped import ALL_PAIRS, group_bounds, rest_cells, star_cells, whole_groups
+from millrace.llm.wordhash import exact_shingles, mix, ranges, spans_hash, words_of
 
 SHINGLE = 5
 HASHES, ROWS, BANDS, BITS = 128, 5, 25, 2
 #: Members of a block: a cell compares two blocks at most.
 BLOCK = 512
-#: Shingles of a block whose full sets are compared.
-BLOCK_SHINGLES = 400_000
+#: Bytes of text in a cell whose full sets are compared.
+CELL_BYTES = 4 << 20
+#: Rounds in which each member meets one partner, before all pairs that are still open do.
+ROUNDS = 3
 
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTOR, OFFSET = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
@@ -112,23 +116,6 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(sign, f"id {id_type}, n_shingles bigint, class binary, bands array<bigint>, bits binary")
 
 
-def _forest(parent: list[int], pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs that join two trees of `parent`, which is changed."""
-    made = []
-    for i, j in pairs:
-        x, y = i, j
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            made.append((i, j))
-    return made
-
-
 def _alike(bits: np.ndarray) -> np.ndarray:
     """Of XORed signatures (…, 4 words): the number of values that agree in both bits."""
     differ = (bits | (bits >> np.uint64(1))) & np.uint64(0x5555555555555555)
@@ -136,41 +123,41 @@ def _alike(bits: np.ndarray) -> np.ndarray:
 
 
 CELL = ["key", "part"]
+#: Partners that a member was compared with in the rounds before.
+TRIED = "tried"
 
 
-def _meetings(left: np.ndarray, right: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The left rows of a cell, each with the right rows that it meets."""
-    others = begin + np.flatnonzero(right[begin:end])
-    for i in (begin + np.flatnonzero(left[begin:end])).tolist():
-        yield i, others
-
-
-LINKS = "key bigint, a bigint, b bigint, star boolean"
-
+def _open_pairs(dealt: DataFrame, threshold: float, how: str) -> DataFrame:
+    """leaf, hub, score: pairs of a cell that look similar by their bits and that no link ties yet.
 
-def _links(key: list, a: list, b: list, star: bool) -> pa.RecordBatch:
-    columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, a, b)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(len(columns[0]), star))], names=["key", "a", "b", "star"])
-
-
-def _similar_pairs(dealt: DataFrame, threshold: float, stars: bool) -> DataFrame:
-    """LINKS: edges that connect in each cell what looks similar by its bits, and with stars all of those of pivots.
-
-    dealt: key, part, left, right, rep, n_shingles, bits.
+    dealt: key, part, left, right, rep, label, tried, n_shingles, bits. how: "first", each row with the first
+    similar one of its cell; "best", each row with the most similar one that it wasn't compared with; "all".
     """
     least, chance = least_estimate(threshold), 0.5**BITS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, CELL):
-            keys, rep, size, part = (chunk.column(c).to_numpy() for c in ("key", "rep", "n_shingles", "part"))
+            rep, label, size, part = (chunk.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "part"))
             is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
             bits = np.frombuffer(b"".join(chunk.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, HASHES * BITS // 64)
-            a, b, told, stars_of = [], [], [], ([], [], [])
-
-            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                share = _alike(bits[i] ^ bits[j]) / HASHES
-                fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
-                return fits & ((share - chance) / (1 - chance) >= least) & (rep[i] != rep[j])  # noqa: B023
+            width = len(chunk.column(TRIED)[0])
+            tried = chunk.column(TRIED).flatten().to_numpy().reshape(chunk.num_rows, width)
+            leaf, hub, score = [], [], []
+
+            def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                """The number of equal values where a pair is open and looks similar, otherwise -1."""
+                same = _alike(bits[i] ^ bits[j])  # noqa: B023
+                fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9  # noqa: B023
+                fits &= ((same / HASHES - chance) / (1 - chance) >= least) & (label[i] != label[j])  # noqa: B023
+                for k in range(width):  # noqa: B023
+                    fits &= (tried[i, k] != rep[j]) & (tried[j, k] != rep[i])  # noqa: B023
+                return np.where(fits, same, -1)
+
+            def keep(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> None:
+                ok = own >= 0
+                leaf.append(rep[i[ok]])  # noqa: B023
+                hub.append(rep[j[ok]])  # noqa: B023
+                score.append(own[ok])  # noqa: B023
 
             bounds = group_bounds(chunk, CELL)
             sizes, every = np.diff(bounds), part[bounds[:-1]] == ALL_PAIRS if len(part) else np.zeros(0, dtype=bool)
@@ -178,107 +165,141 @@ def _similar_pairs(dealt: DataFrame, threshold: float, stars: bool) -> DataFrame
                 begin = bounds[:-1][(sizes == n) & every]
                 for x in range(n):
                     for y in range(x + 1, n):
-                        i, j = begin + x, begin + y
-                        ok = keep(i, j)
-                        a.append(rep[i[ok]])
-                        b.append(rep[j[ok]])
-                        told.append(keys[i[ok]])
+                        own = scores(begin + x, begin + y)
+                        keep(begin + y, begin + x, own)
+                        if how == "best":
+                            keep(begin + x, begin + y, own)
             for k in np.flatnonzero((sizes >= 5) | ~every).tolist():
                 begin, end = int(bounds[k]), int(bounds[k + 1])
-                parent = list(range(end - begin))
-                for i, others in _meetings(is_left, is_right, begin, end):
-                    if every[k]:
-                        others = others[others > i]
-                    others = others[keep(np.full(len(others), i), others)]
-                    if stars and not every[k]:
-                        for at, values in zip(stars_of, (np.full(len(others), keys[i]), np.full(len(others), rep[i]), rep[others]), strict=True):
-                            at.append(values)
+                if every[k] and (label[begin:end] == label[begin]).all():
+                    continue
+                right = begin + np.flatnonzero(is_right[begin:end])
+                best, partner = np.full(end - begin, -1, dtype=np.int64), np.zeros(end - begin, dtype=np.int64)
+                for i in (begin + np.flatnonzero(is_left[begin:end])).tolist():
+                    others = right[right > i] if every[k] else right
+                    own = scores(np.full(len(others), i), others)
+                    if how == "all":
+                        keep(others, np.full(len(others), i), own)
                         continue
-                    made = _forest(parent, ((i - begin, int(j) - begin) for j in others))
-                    a.append(rep[[begin + x for x, _ in made]])
-                    b.append(rep[[begin + y for _, y in made]])
-                    told.append(np.full(len(made), keys[i]))
-            yield _links(told, a, b, False)
-            yield _links(*stars_of, True)
+                    better = own > best[others - begin] if how == "best" else (own >= 0) & (best[others - begin] < 0)
+                    at = others[better] - begin
+                    best[at], partner[at] = own[better], i
+                    if how == "best" and len(own) and own.max() > best[i - begin]:
+                        best[i - begin], partner[i - begin] = own.max(), others[own.argmax()]
+                some = np.flatnonzero(best >= 0)
+                keep(begin + some, partner[some], best[some])
+            columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (leaf, hub, score)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["leaf", "hub", "score"])
 
-    return dealt.select("key", "part", "left", "right", "rep", "n_shingles", "bits").mapInArrow(compare, LINKS)
+    return dealt.select("key", "part", "left", "right", "rep", "label", TRIED, "n_shingles", "bits").mapInArrow(compare, "leaf bigint, hub bigint, score bigint")
 
 
-def _tied(rows: DataFrame, key: str, member: str, linked: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
-    """node, component of all links inside the groups of rows (key, member, members, blocks, …), as `linked` finds them in cells."""
-    found = durable(linked(star_cells(rows, key, member), True), "links")
-    edges = found.filter("not star").select("a", "b")
-    if not rows.filter("blocks > 1").isEmpty():
-        ties = durable(best_ties(found), "ties")
-        edges = edges.unionByName(ties.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        edges = edges.unionByName(linked(rest_cells(rows, key, member, ties), False).select("a", "b"))
-    return components(edges)
-
-
-def similar_candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """node, component of all classes that share band keys and look similar by their bits."""
+def crowded_buckets(classes: DataFrame) -> DataFrame:
+    """key, rep, n_shingles, bits, members, blocks of the classes that share a band key, as a written table."""
     rows = classes.select("rep", "n_shingles", "bits", F.explode("bands").alias("key"))
     shared = classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    crowded = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    return _tied(crowded, "key", "rep", lambda dealt, stars: _similar_pairs(dealt, threshold, stars))
+    return durable(rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "crowded")
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """The cells in which the members of each bucket meet: of a large one, those without its commonest label meet all."""
+    large = rows.filter("blocks > 1")
+    counts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("pivot"))
+    ties = large.join(common, "key").filter("label = pivot").select("key", "pivot", F.col("rep").alias("node"))
+    small = rows.filter("blocks = 1").withColumns({"part": F.lit(ALL_PAIRS).cast("long"), "left": F.lit(True), "right": F.lit(True)})
+    return small.repartition("key").sortWithinPartitions("key", "rep").unionByName(rest_cells(rows, "key", "rep", ties))
 
 
-def _confirmed_pairs(dealt: DataFrame, percent: int, stars: bool) -> DataFrame:
-    """LINKS: edges that connect in each cell the nodes whose full sets are similar enough, and with stars all of those of pivots.
+def _confirmed(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: the left and right nodes of each cell whose sets of word sequences are similar enough.
 
-    dealt: key, part, left, right, node, body.
+    dealt: key, part, left, node, body. Sequences are compared by their words.
     """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, CELL):
-            keys, node, part = (chunk.column(c).to_numpy() for c in ("key", "node", "part"))
-            is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
-            bounds = group_bounds(chunk, CELL)
-            plain, stars_of = ([], [], []), ([], [], [])
+            node, is_left = chunk.column("node").to_numpy(), chunk.column("left").to_numpy(zero_copy_only=False)
+            bounds, a, b = group_bounds(chunk, CELL), [], []
             for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 n = end - begin
-                shingles, number = shingles_of(chunk.column("body").slice(begin, n))
-                stops = np.cumsum(number)
-                sets = [np.unique(shingles[e - m : e]) for m, e in zip(number.tolist(), stops.tolist(), strict=True)]
-                sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]  # an id may also stand for an empty text
-                size = np.array([len(s) for s in sets])
-                first = np.concatenate(([0], np.cumsum(size)[:-1]))
-                known, place = np.unique(np.concatenate(sets), return_inverse=True)
-                parent, every = list(range(n)), part[begin] == ALL_PAIRS
-                mark = np.zeros(len(known), dtype=np.int64)
-                for i, _ in _meetings(is_left, is_right, begin, end):
-                    i -= begin
-                    own = place[first[i] : first[i] + size[i]]
-                    mark[own] = 1
-                    common = np.add.reduceat(mark[place], first)
-                    mark[own] = 0
-                    linked = is_right[begin:end] & (node[begin:end] != node[begin + i]) & (100 * common >= percent * (size + size[i] - common))
-                    if every:
-                        linked[: i + 1] = False
-                    others = np.flatnonzero(linked)
-                    if every or not stars:
-                        others = np.array([y for _, y in _forest(parent, ((i, int(j)) for j in others))], dtype=np.int64)
-                    values = (np.full(len(others), keys[begin]), np.full(len(others), node[begin + i]), node[begin + others])
-                    for at, some in zip(plain if every or not stars else stars_of, values, strict=True):
-                        at.append(some)
-            yield _links(*plain, False)
-            yield _links(*stars_of, True)
-
-    return dealt.select("key", "part", "left", "right", "node", "body").mapInArrow(confirm, LINKS)
-
-
-def confirmed_components(docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
-    """node, component of all classes of a candidate component whose full sets are similar enough."""
-    members = near.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("all_shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
-    planned = members.join(sizes.select("component", "members", blocks.alias("blocks")), "component").select(F.col("component").alias("key"), "node", "members", "blocks").distinct()
+                shingles, number = exact_shingles(chunk.column("body").slice(begin, n).to_pylist(), SHINGLE)
+                of = np.repeat(np.arange(n), number)
+                pairs = np.unique(of * (int(shingles.max(initial=0)) + 1) + shingles)
+                of, shingles = np.divmod(pairs, int(shingles.max(initial=0)) + 1)
+                size, stop = np.bincount(of, minlength=n), np.searchsorted(of, np.arange(n), side="right")
+                for i in np.flatnonzero(is_left[begin:end]).tolist():
+                    mark = np.zeros(int(shingles.max(initial=0)) + 1, dtype=bool)
+                    mark[shingles[stop[i] - size[i] : stop[i]]] = True
+                    common = np.bincount(of, weights=mark[shingles], minlength=n).astype(np.int64)
+                    linked = ~is_left[begin:end] & (common > 0) & (100 * common >= percent * (size + size[i] - common))
+                    others = node[begin:end][linked]
+                    a.append(np.full(len(others), node[begin + i]))
+                    b.append(others)
+            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
+
+    return dealt.select("key", "part", "left", "node", "body").mapInArrow(confirm, "a bigint, b bigint")
+
+
+def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs whose full sets are similar enough, as a written table.
+
+    pairs: leaf, hub. texts: node, n_bytes, body. A hub meets its leaves in cells of BLOCK leaves and CELL_BYTES of
+    text on average; each leaf's text goes to its hubs only, the hub's to its cells.
+    """
+    sized = pairs.join(texts.select(F.col("node").alias("leaf"), "n_bytes"), "leaf")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / CELL_BYTES)).cast("long")
+    hubs = durable(sized.groupBy("hub").agg(parts.alias("parts")), "hubs")
+    leaves = pairs.join(hubs, "hub").select(F.col("leaf").alias("node"), F.col("hub").alias("key"), F.pmod(F.xxhash64("leaf"), "parts").alias("part"), F.lit(False).alias("left"))
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    centres = hubs.select(F.col("hub").alias("node"), F.col("hub").alias("key"), cells, F.lit(True).alias("left"))
+    dealt = leaves.unionByName(centres).join(texts.select("node", "body"), "node")
+    links = durable(_confirmed(dealt.repartition("key", "part").sortWithinPartitions(*CELL), percent).distinct(), "links")
+    forget(hubs)
+    return links
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
+    """node, component of the classes that links tie together.
+
+    Round by round each member of a bucket is compared with one partner in full, at first the smallest that looks
+    similar and then the most similar one that no link ties to it yet; in the end all pairs that are still open.
+    """
+    crowded = crowded_buckets(classes)
+    candidates = crowded.select(F.col("rep").alias("node")).distinct()
     # Rows that carry one id are one node, whatever their texts.
-    texts = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
-    # By a merge at every size: a plan small enough to broadcast today is not when the corpus grows. The texts of the
-    # candidates are a table of their own, so that all texts are shuffled once, however many cells follow.
-    candidates = durable(planned.hint("merge").join(texts, "node"), "candidates")
-    return _tied(candidates, "key", "node", lambda dealt, stars: _confirmed_pairs(dealt, percent, stars))
+    bodies = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
+    texts = durable(bodies.join(candidates, "node", "left_semi").select("node", F.octet_length("body").alias("n_bytes"), "body"), "candidates")
+    rows = crowded.withColumns({"label": F.col("rep"), TRIED: F.expr("cast(array() as array<bigint>)")})
+    labels, links, tried = None, None, None
+    for step in range(ROUNDS + 1):
+        how = "first" if not step else "best" if step < ROUNDS else "all"
+        if labels is not None:
+            known = tried.groupBy(F.col("leaf").alias("rep")).agg(F.collect_list("hub").alias("hubs"))  # one a round at most
+            padded = F.slice(F.concat(F.coalesce("hubs", F.expr("cast(array() as array<bigint>)")), F.array_repeat(F.lit(-1).cast("long"), step)), 1, step)
+            rows = crowded.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").join(known, "rep", "left")
+            rows = rows.withColumns({"label": F.coalesce("label", "rep"), TRIED: padded}).drop("hubs")
+        cells = star_cells(rows, "key", "rep") if not step else _rest(rows)
+        found = _open_pairs(cells, percent / 100, how)
+        if how == "first":
+            pairs = found.groupBy("leaf").agg(F.min("hub").alias("hub"))
+        elif how == "best":
+            pairs = found.groupBy("leaf").agg(F.max_by("hub", F.struct("score", -F.col("hub"))).alias("hub"))
+            pairs = pairs.groupBy(F.greatest("leaf", "hub").alias("x"), F.least("leaf", "hub").alias("y")).agg(F.first("leaf").alias("leaf")).select("leaf", F.when(F.col("leaf") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("hub"))
+        else:
+            pairs = found.select(F.greatest("leaf", "hub").alias("leaf"), F.least("leaf", "hub").alias("hub")).distinct()
+        pairs = durable(pairs, "pairs")
+        # No open pair is left, here or in any later round; large buckets have met some pivots only after the first.
+        if step and pairs.isEmpty():
+            break
+        said = confirmed_links(pairs, texts, percent)
+        links = said if links is None else links.unionByName(said)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = components(links)
+    for table in (crowded, texts):
+        forget(table)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,8 +310,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     first = F.min_by(F.struct("n_shingles", "bands", "bits"), F.col("id")).alias("of")
     by_class = signed.filter("id is not null and n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep"), first)
     classes = durable(by_class.select("class", "rep", "of.n_shingles", "of.bands", "of.bits"), "classes")
-    near = similar_candidates(classes, percent / 100)
-    labels = confirmed_components(docs, classes, near, percent, id_col=id_col, text_col=text_col)
+    labels = linked_classes(docs, classes, percent, id_col=id_col, text_col=text_col)
     found = classes.select("class", "rep").join(labels, F.col("node") == F.col("rep"), "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles", "class").join(found, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))

@@ -7,14 +7,14 @@ document; each word covered by a window that also starts in a document with a sm
    index; every rolling window of that length probes it. A repeat of `window` words holds a whole block of
    the document on either side, so it is hit on both. Fingerprints travel packed, a few bytes a word, in
    one row for each hash partition and chunk of text.
-2. Hits are extended: in the texts that have hits, the windows around them are fingerprinted in full,
-   and a window's smallest document is found by a minimum, combined before the shuffle. Windows of other
-   documents are repeats, and neighbouring ones join to maximal repeats.
+2. Hits are extended: in the texts that have hits, the words of each window around them are digested
+   (128 bits of BLAKE2b), and a window's smallest document is found by a minimum, combined before the
+   shuffle. Windows of other documents are repeats, and neighbouring ones join to maximal repeats.
 
 There is no list of pairs: a passage that many documents share costs each of them its own length.
 Anchors use 40 bits and those that say which part they go to; a false hit costs a look at a few windows.
-The parts follow from the size of the input, so that the blocks of one fit in a task's memory. Repeats are
-told by two 64-bit fingerprints of the whole window, made with different bases.
+The parts follow from the size of the input, so that the blocks of one fit in a task's memory. Fingerprints
+only propose; what counts as a repeat is told by the digest of the window's words.
 
 Defined results: null and empty texts have no words. Rows with a null id are left as they are and are
 no one's earlier document. Rows that share an id are one document: none of them is earlier than another.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import durable, require, text_or_empty, text_slices
 from millrace.llm.grouped import group_bounds, whole_groups
-from millrace.llm.wordhash import BASE_WORD, Words, ranges, windows, words_of
+from millrace.llm.wordhash import Words, ranges, window_digests, windows, words_of
 
 #: Bytes of text whose blocks make a part, and the most parts there are (a part then holds more).
 PART_BYTES, MOST_PARTS = 32 << 20, 1 << 17
@@ -42,7 +42,6 @@ PART_BYTES, MOST_PARTS = 32 << 20, 1 << 17
 CHUNK_BYTES, CHUNK_BYTES_MOST, CHUNK_BYTES_A_PART = 8 << 20, 64 << 20, 512
 TAIL_BITS = 40
 PRINT = ["print", "other"]
-OTHER_BASE = 0xA0761D6478BD642F
 BLOCKS, PROBES, DOCS = 0, 1, 2
 CHUNK_SCHEMA = "part int, kind int, chunk bigint, gaps binary, tails binary, ids binary, counts binary, words binary, digests binary"
 COLUMNS = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
@@ -263,8 +262,11 @@ def repeated_words(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
             for part in text_slices(batch, "body"):
                 words = words_of(part.column("body"))
                 starts, number = _around(words, part.column("hits").to_pylist(), window, block)
-                at = np.repeat(words.first[:-1], number) + starts
-                prints = [pa.array(windows(words, window, base)[at].view(np.int64)) for base in (BASE_WORD, OTHER_BASE)]
+                texts = part.column("body").to_pylist()
+                cut = np.cumsum(number)[:-1]
+                digests = [window_digests(t, own, window) for t, own in zip(texts, np.split(starts, cut), strict=True) if len(own)]
+                both = np.concatenate(digests) if digests else np.zeros((0, 2), dtype=np.int64)
+                prints = [pa.array(both[:, 0]), pa.array(both[:, 1])]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), number))
                 columns = [part.column("id").take(rows), part.column("mark").take(rows), pa.array(starts.astype(np.int32)), *prints]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "start", *PRINT])

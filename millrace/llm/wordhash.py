@@ -1,19 +1,23 @@
 """Vectorised word and word-window fingerprints over Arrow string columns.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word's fingerprint is a polynomial
-over its bytes modulo 2**64 followed by a mixer; a window's fingerprint is the same over its words.
-Both come from prefix sums, so the cost does not depend on word or window length.
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word's fingerprint is a sum of 64-bit
+values that a mixer makes of each byte together with its place in the word, so words built from a pattern
+(such as a letter sequence and its complement) do not meet. A window's fingerprint is a polynomial over its
+words' fingerprints modulo 2**64, followed by the mixer. All come from prefix sums, so the cost does not
+depend on word or window length. Fingerprints propose; whoever decides compares words or their digests
+(exact_shingles() here, window_digests() for windows).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE_BYTE = 0x9E3779B97F4A7C15
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 BASE_WORD = 0xD1342543DE82EF95
 
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -90,10 +94,12 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     begins[1:] &= ~inside[:-1] | opens[1:n]
     ends[:-1] &= ~inside[1:] | opens[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(BASE_BYTE, n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, dtype=np.uint64)
+    length = end - start
+    stop = np.cumsum(length)
+    place = np.arange(int(stop[-1]) if len(stop) else 0, dtype=np.uint64) - np.repeat((stop - length).astype(np.uint64), length)
+    sums = np.zeros(len(place) + 1, dtype=np.uint64)
+    np.cumsum(mix((place * np.uint64(256) + data[inside].astype(np.uint64) + np.uint64(1)) * PLACE), out=sums[1:])
+    hashes = mix(sums[stop] - sums[stop - length] + length.astype(np.uint64))
     return Words(data, start, end, hashes, np.searchsorted(start, offsets))
 
 
@@ -120,6 +126,37 @@ def spans_hash(words: Words, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((sums[stop] - sums[start]) * down[np.minimum(start, n - 1)] + (stop - start).astype(np.uint64))
 
 
+def exact_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each text's word sequences of `size` words, in order and with repeats, and how many each text has.
+
+    Equal numbers stand for equal words, A-Z in either case: words get numbers from a dictionary, and sequences
+    from the pairs of a shorter sequence and its next word. A text of fewer words is one sequence.
+    """
+    known: dict[bytes, int] = {}
+    split = [t.encode().lower().split() for t in texts]
+    counts = np.array([len(w) for w in split], dtype=np.int64)
+    word = np.fromiter((known.setdefault(w, len(known) + 1) for words in split for w in words), dtype=np.int64, count=int(counts.sum()))
+    number = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    first = np.cumsum(counts) - counts
+    start, stop = ranges(first, number), np.repeat(first + counts, number)
+    now = np.zeros(len(start), dtype=np.int64)
+    for step in range(size):
+        # 0 where the text has ended.
+        following = np.where(start + step < stop, word[np.minimum(start + step, max(len(word) - 1, 0))], 0) if len(start) else now
+        now = np.unique(now * (len(known) + 1) + following, return_inverse=True)[1]
+    return now, number
+
+
+def window_digests(text: str, starts: np.ndarray, size: int) -> np.ndarray:
+    """(len(starts), 2): 128 bits of BLAKE2b of the `size` words that begin at each start, joined by one space."""
+    words = text.encode().split()
+    joined = b" ".join(words)
+    begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+    spans = zip(begin[starts].tolist(), (begin[starts + size] - 1).tolist(), strict=True)
+    digests = b"".join([hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in spans])
+    return np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All integers of the ranges [start, start + length), one range after the other."""
     length = np.maximum(length, 0)

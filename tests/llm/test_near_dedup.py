@@ -71,7 +71,7 @@ def test_cells_of_large_groups_lose_no_link(docs, monkeypatch):
 
 
 def test_a_large_group_costs_a_few_copies_and_every_open_pair_meets(spark):
-    from millrace.llm.grouped import PIVOTS, best_ties, rest_cells, star_cells
+    from millrace.llm.grouped import PIVOTS, rest_cells, star_cells
 
     n, blocks = 5000, 50
     rows = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.lit(n).cast("long").alias("members"), F.lit(blocks).alias("blocks"))
@@ -80,14 +80,14 @@ def test_a_large_group_costs_a_few_copies_and_every_open_pair_meets(spark):
     pivots = {r.rep for r in star if r.left}
     assert pivots and all({r.part for r in star if r.left and r.rep == p} == set(range(blocks)) for p in pivots)
     pivot = min(pivots)
-    star = lambda ids: ids.select(F.lit(1).cast("long").alias("key"), F.lit(pivot).cast("long").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
-    assert rest_cells(rows, "key", "rep", best_ties(star(spark.range(n).filter(f"id <> {pivot}")))).isEmpty()
-    # Most of these are not tied to the pivot: each of them meets each member.
-    found = star(spark.range(1000).filter(f"id >= 700 and id % 7 <> 3 and id <> {pivot}"))
+    tied = lambda ids: ids.select(F.lit(1).cast("long").alias("key"), F.lit(pivot).cast("long").alias("pivot"), F.col("id").alias("node"))
+    assert rest_cells(rows, "key", "rep", tied(spark.range(n).filter(f"id <> {pivot}"))).isEmpty()
+    # Most of these are not tied to the rest: each of them meets each member.
+    found = tied(spark.range(1000).filter(f"id >= 700 and id % 7 <> 3 and id <> {pivot}"))
     small, few = rows.filter("rep < 1000"), 10
     small = small.withColumn("members", F.lit(1000).cast("long")).withColumn("blocks", F.lit(few))
     cells = {}
-    for r in rest_cells(small, "key", "rep", best_ties(found)).collect():
+    for r in rest_cells(small, "key", "rep", found).collect():
         cells.setdefault(r.part, ([], []))[r.right].append(r.rep)
     met = {(x, y) for left, right in cells.values() for x in left for y in right}
     outside = [i for i in range(1000) if (i < 700 or i % 7 == 3) and i != pivot]
@@ -125,3 +125,53 @@ def test_estimate_is_corrected_for_chance():
     share = near_dedup._alike(words[0] ^ words[1]) / near_dedup.HASHES
     assert abs((share - 0.25) / 0.75 - 1 / 3) < 0.2
     assert 0.6 < near_dedup.least_estimate(0.85) < 0.7
+
+
+def test_words_of_one_pattern_are_told_apart(docs):
+    rows = []
+    for k, n in enumerate((2048, 65_536)):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        rows += [(10 * k + 1, word), (10 * k + 2, word.translate(str.maketrans("ab", "ba"))), (10 * k + 3, word.upper())]
+    assert as_dict(near_duplicates(docs(rows))) == {1: (1, 1), 2: (1, 2), 3: (1, 1), 11: (1, 11), 12: (1, 12), 13: (1, 11)}
+
+
+def test_exact_shingles():
+    from millrace.llm.wordhash import exact_shingles
+
+    texts = ["A b c d e f", "a B c d e", "a b c d", "", "b c d e f a b c d e"]
+    told, number = exact_shingles(texts, 5)
+    assert number.tolist() == [2, 1, 1, 0, 6]
+    of = np.split(told, np.cumsum(number)[:-1])
+    assert of[0][0] == of[1][0] == of[4][5] and of[0][1] == of[4][0] and of[2][0] not in [*of[0], *of[1], *of[4]]
+
+
+def test_families_at_the_threshold_against_brute_force(docs):
+    """Copies of one text that differ from it by so much that about half of all pairs are linked."""
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base, rows = [pick.choice(words) for _ in range(200)], []
+    for i in range(90):
+        own = list(base)
+        for at in pick.sample(range(200), pick.choice([1, 2, 3, 4, 5])):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    assert as_dict(near_duplicates(docs(rows))) == brute(rows)
+
+
+def test_a_chain_under_the_threshold_is_never_one_group(spark, docs, monkeypatch):
+    """Texts of 100 words, each 12 words on from the last: 0.78 to the next, no link at all."""
+    words = [f"w{i}" for i in range(12 * 600 + 100)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 100])) for i in range(600)]
+    cells, copies = [], []
+    plain = near_dedup._confirmed
+
+    def watched(dealt, percent):
+        held = dealt.groupBy("key", "part").count().agg(F.max("count"), F.sum("count")).first()
+        cells.append(held[0])
+        copies.append(held[1])
+        return plain(dealt, percent)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", watched)
+    out = near_duplicates(docs(rows)).collect()
+    assert all(r.kept for r in out)
+    assert max(cells) <= 16 and sum(copies) <= 10 * len(rows)

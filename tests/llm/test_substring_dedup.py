@@ -87,3 +87,17 @@ def test_gaps():
         places = np.unique(pick.randint(0, 10 ** pick.randint(1, 6), 300))
         assert (unpack_gaps(pack_gaps(places)) == places).all()
     assert (unpack_gaps(pack_gaps(np.array([254, 255, 510, 766, 1276]))) == [254, 255, 510, 766, 1276]).all()
+
+
+def thue_morse(n):
+    """n letters of a sequence whose complement has the same value as a polynomial modulo 2**64, from 2048 on."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [2048, 65_536])
+def test_words_of_one_pattern_are_told_apart(docs, letters):
+    one, other = thue_morse(letters)
+    rest = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest])), (3, " ".join([one, *rest]))]
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(docs(rows)).collect()) == [(1, 0), (2, 0), (3, 50)]
