@@ -16,8 +16,10 @@ under Q characters has no q-gram and would stand in most texts by chance: it mat
 item, after normalisation.
 
 The benchmark is taken in blocks of bounded size, one after the other: a block's index goes to the tasks
-that read the texts, and with more than one block each block's matches are a written table before the next
-block is read. A text is read whole, whatever its length.
+that read the texts, and with more than one block each block's matches (no texts) are a written table before
+the next block is read; one join brings them back to the rows. A text is read whole, whatever its length, in
+stretches of bounded size; what repeats itself is counted and aligned once. Of places of one segment that
+overlap, the best is told.
 
 Defined results: null and empty texts match nothing, as do null items and items without a letter or digit;
 an empty benchmark matches nothing. Repeated rows give repeated results; repeated items report each; extra
@@ -32,6 +34,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,10 @@ EDIT_RATE = 0.1
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
+#: Characters that are counted together, and those that neighbouring stretches share: more than a region has.
+STRETCH, OVERLAP = 2048, 256
+#: Pairs of a gram and a place that are held at once, and stretches or bands that are remembered.
+MOST_PAIRS, REMEMBERED = 4_000_000, 2048
 _GRAM = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 MATCH = "struct<item_id:{0},start:int,end:int,distance:int>"
@@ -151,8 +158,24 @@ class Index:
     def _slot(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * _SPREAD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def regions(self, chars: np.ndarray) -> list[tuple[int, int]]:
-        """(segment, first diagonal) of the bands of `chars` that reach their segment's bound."""
+    def regions(self, chars: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(segment, first diagonal) of the bands of `chars` that reach their segment's bound.
+
+        The text is read in stretches that overlap by more than a region; a stretch that was there before, as in a
+        text that repeats itself, isn't counted again.
+        """
+        seen: dict[bytes, list[tuple[int, int]]] = {}
+        for begin in range(0, max(len(chars) - OVERLAP, 1), STRETCH - OVERLAP):
+            stretch = chars[begin : begin + STRETCH]
+            key = stretch.tobytes()
+            if key not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[key] = self._bands(stretch)
+            for segment, first in seen[key]:
+                yield segment, first + begin
+
+    def _bands(self, chars: np.ndarray) -> list[tuple[int, int]]:
         hashes = gram_hashes(chars)
         if not len(hashes) or not len(self.known):
             return []
@@ -163,8 +186,28 @@ class Index:
         at, found = at[real], found[real]
         if not len(at):
             return []
-        times = self.count[found]
-        entry = ranges(self.first[found].astype(np.int64), times)
+        # Very frequent grams are counted for some segments at a time.
+        pairs = int(self.count[found].sum())
+        slices = -(-pairs // MOST_PAIRS)
+        cuts = np.linspace(0, len(self.segments), min(slices, len(self.segments)) + 1).astype(np.int64)
+        out = []
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first, last = self.first[found].astype(np.int64), (self.first[found] + self.count[found]).astype(np.int64)
+            if slices > 1:
+                room = len(self.segments) + 1
+                first, last = (np.searchsorted(self.sorted_by_gram, found * room + s) for s in (low, high))
+            out += self._bands_of(chars, at, first, last - first)
+        return out
+
+    @cached_property
+    def sorted_by_gram(self) -> np.ndarray:
+        gram = np.repeat(np.arange(len(self.known), dtype=np.int64), self.count)
+        return gram * (len(self.segments) + 1) + self.segment
+
+    def _bands_of(self, chars: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray) -> list[tuple[int, int]]:
+        entry = ranges(first, times)
+        if not len(entry):
+            return []
         segment, diagonal = self.segment[entry].astype(np.int64), np.repeat(at, times) - self.place[entry]
         base = len(chars) + SEGMENT  # keeps strips positive
         room = 2 * base + 2
@@ -181,11 +224,11 @@ class Index:
         order = np.lexsort((diagonal, segment))
         segment, diagonal, place = segment[order], diagonal[order], self.place[entry][order]
         found = []
-        for s, first in zip(of[enough].tolist(), (strip * (self.edits[of] + 1) - base)[enough].tolist(), strict=True):
+        for s, first_one in zip(of[enough].tolist(), (strip * (self.edits[of] + 1) - base)[enough].tolist(), strict=True):
             begin, end = np.searchsorted(segment, (s, s + 1))
-            low, high = begin + np.searchsorted(diagonal[begin:end], (first, first + 2 * (int(self.edits[s]) + 1)))
-            if high - low >= self.least[s] and len(set(place[low:high].tolist())) >= self.least[s]:
-                found.append((s, first))
+            low, high = begin + np.searchsorted(diagonal[begin:end], (first_one, first_one + 2 * (int(self.edits[s]) + 1)))
+            if high - low >= self.least[s] and len(np.unique(place[low:high])) >= self.least[s]:
+                found.append((s, first_one))
         return found
 
 
@@ -267,21 +310,39 @@ def passages(text: str | None, index: Index) -> list[tuple[object, int, int, int
     return _regions_found(chars, places, index)
 
 
+def _hits(segment: Segment, chars: np.ndarray, first: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of the segment in a band of chars."""
+    width = 2 * (segment.edits + 1)
+    if not segment.edits and len(segment.chars) < 2 * Q:
+        return [(0, at, at + len(segment.chars)) for at in range(first, first + width) if _stands(segment.chars, chars, at)]
+    if least_edits(segment, chars, first, width) > segment.edits:
+        return []
+    hit = align(segment.chars, chars, first, width, segment.edits)
+    return [hit] if hit else []
+
+
 def _regions_found(chars: np.ndarray, places: np.ndarray, index: Index) -> list[tuple[object, int, int, int]]:
-    found: dict[tuple[int, int], tuple[object, int, int, int]] = {}
+    """Of places of one segment that overlap, the one with least edits is told (of ties the first)."""
+    told: dict[int, list[tuple[int, int, int]]] = {}
+    known: dict[tuple[int, int, bytes], list[tuple[int, int, int]]] = {}
     for which, first in index.regions(chars):
         segment = index.segments[which]
-        width = 2 * (segment.edits + 1)
-        if not segment.edits and len(segment.chars) < 2 * Q:
-            hits = [(0, at, at + len(segment.chars)) for at in range(first, first + width) if _stands(segment.chars, chars, at)]
-        elif least_edits(segment, chars, first, width) > segment.edits:
-            continue
-        else:
-            hits = [align(segment.chars, chars, first, width, segment.edits)]
-        for hit in filter(None, hits):
-            distance, start, end = hit
-            found.setdefault((which, end), (segment.item, int(places[start]), int(places[max(start, end - 1)]) + 1, distance))
-    return [found[k] for k in sorted(found)]
+        # What a band gives depends on its characters only, and on where the text begins and ends.
+        begin, stop = max(0, first - segment.edits - 1), first + 2 * (segment.edits + 1) + segment.edits + len(segment.chars) + 1
+        key = (which, first - begin, chars[begin:stop].tobytes())
+        if key not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[key] = [(d, a - first, b - first) for d, a, b in _hits(segment, chars, first)]
+        own = told.setdefault(which, [])
+        for d, a, b in known[key]:
+            hit = (d, a + first, b + first)
+            if own and hit[1] < own[-1][2] and own[-1][1] < hit[2]:
+                if d < own[-1][0]:
+                    own[-1] = hit
+            else:
+                own.append(hit)
+    return [(index.segments[w].item, int(places[a]), int(places[max(a, b - 1)]) + 1, d) for w in sorted(told) for d, a, b in sorted(set(told[w]), key=lambda x: x[2])]
 
 
 def _count_blocks(items: DataFrame) -> int:
@@ -310,37 +371,56 @@ def find_passages(
     item_field = benchmark.schema[item_col].dataType.simpleString()
     item_arrow = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
     match = pa.struct([("item_id", item_arrow), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())])
-    out = docs.withColumn(matches_col, F.expr(f"cast(array() as array<{MATCH.format(item_field)}>)"))
-    schema = out.schema
+    schema = f"key binary, {matches_col} array<{MATCH.format(item_field)}>"
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
-    blocks, before = _count_blocks(items), None
-    for block in range(blocks):
+    blocks = _count_blocks(items)
+    none = F.expr(f"cast(array() as array<{MATCH.format(item_field)}>)")
+
+    def searched(rows: DataFrame, block: int, out_schema: object, told) -> tuple[DataFrame, object]:
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        index = Index([s for r in part.toLocalIterator() for s in segments_of(r["item"], r["text"])])
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(Index([s for r in part.toLocalIterator() for s in segments_of(r["item"], r["text"])]))
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                for part in text_slices(batch, text_col):
-                    at = part.schema.get_field_index(matches_col)
-                    matches = []
-                    for text, before in zip(part.column(text_col).to_pylist(), part.column(at).to_pylist(), strict=True):
-                        matches.append(before + [dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in passages(text, index)])
-                    columns = [*part.columns]
-                    columns[at] = pa.array(matches, pa.list_(match))
-                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-        out = out.mapInArrow(search, schema)
-        if only_clean:
-            out = out.filter(F.size(matches_col) == 0)
-        if blocks > 1:  # one block's index and one table at a time
-            out = durable(out, "passages")
-            shared.destroy()
-            if before is not None:
-                forget(before)
-            before = out
-    return out.drop(matches_col) if only_clean else out
+                for piece in text_slices(batch, text_col):
+                    hits = [[dict(zip(("item_id", "start", "end", "distance"), hit, strict=True)) for hit in passages(text, index)] for text in piece.column(text_col).to_pylist()]
+                    yield told(piece, pa.array(hits, pa.list_(match)))
+
+        return rows.mapInArrow(search, out_schema), shared
+
+    if blocks == 0:
+        return docs if only_clean else docs.withColumn(matches_col, none)
+    if blocks == 1:  # the matches go with their rows
+        wide = docs.withColumn(matches_col, none).schema
+        names = wide.names
+        told = lambda piece, hits: pa.RecordBatch.from_arrays([*piece.columns, hits], names=names)
+        out, _ = searched(docs, 0, wide, told)
+        return out.filter(F.size(matches_col) == 0).drop(matches_col) if only_clean else out
+    # Texts are read once for each block, and only matches are written, by the digest of the text they belong to.
+    digest, free = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)), next(n for k in range(len(docs.columns) + 1) if (n := f"__key{k}") not in docs.columns)
+    rows, tables = docs.select(digest.alias("key"), F.col(text_col)), []
+
+    def keyed(piece: pa.RecordBatch, hits: pa.Array) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([piece.column(0), hits], names=["key", matches_col])
+        return out.filter(pa.compute.greater(pa.compute.list_value_length(hits), 0))
+
+    for block in range(blocks):
+        found, shared = searched(rows, block, schema, keyed)
+        tables.append(durable(found.dropDuplicates(["key"]).withColumn("block", F.lit(block)), "passages"))
+        shared.destroy()
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    # A text's matches of all blocks, in their order: at most a list for each block.
+    of_text = durable(every.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", matches_col))), lambda x: x[matches_col])).alias(matches_col)), "passages")
+    for table in tables:
+        forget(table)
+    with_key, of_text = docs.withColumn(free, digest), of_text.withColumnRenamed("key", free)
+    if only_clean:
+        return with_key.join(of_text.select(free), free, "left_anti").drop(free)
+    joined = with_key.join(of_text, free, "left").withColumn(matches_col, F.coalesce(matches_col, none))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], matches_col)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

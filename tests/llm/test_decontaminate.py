@@ -113,3 +113,46 @@ def test_a_verbatim_quote_of_a_segment_and_a_step_is_found_wherever_it_begins():
     clean = "".join(map(chr, chars))
     quote = d.SEGMENT + d.STEP - 1
     assert all(d.passages(f"zq {clean[at : at + quote]} qz", index) for at in range(0, len(clean) - quote, 7))
+
+
+def test_a_text_that_repeats_itself_takes_linear_time_and_little_memory():
+    import time
+    import tracemalloc
+
+    index = d.Index([s for k in range(3) for s in d.segments_of(k, "0" * 200)] + d.segments_of(9, "na " * 60))
+    took = []
+    for n in (30_000, 120_000):
+        tracemalloc.start()
+        began = time.time()
+        found = d.passages("0" * n + " " + "na " * (n // 10), index)
+        took.append(time.time() - began)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        assert {f[0] for f in found} == {0, 1, 2, 9}
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_frequent_grams_are_counted_in_slices(monkeypatch):
+    pick = random.Random(4)
+    index = d.Index([s for k in range(8) for s in d.segments_of(k, prose(pick, 150) + " ab" * 40)])
+    text = prose(pick, 300) + " ab" * 300 + prose(pick, 3000)
+    whole = d.passages(text, index)
+    monkeypatch.setattr(d, "MOST_PAIRS", 500)
+    assert whole and d.passages(text, index) == whole
+
+
+def test_many_blocks_write_no_text(spark, docs, monkeypatch):
+    pick = random.Random(6)
+    items = [(i, prose(pick, 120)) for i in range(12)]
+    rows = [(i, prose(pick, 80) + " " + items[i % 12][1] + " " + (items[(i + 5) % 12][1] if i % 3 else "") + prose(pick, 50)) for i in range(20)] + [(90, "clean text"), (91, None), (92, "")]
+    rows += [rows[0], (None, rows[1][1])]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted((str(r.doc_id), r.item_ids, r.least_edits) for r in d.contamination(docs(rows), benchmark).collect())
+    clean = sorted(str(r.doc_id) for r in d.decontaminate(docs(rows), benchmark).collect())
+    written = []
+    plain = d.durable
+    monkeypatch.setattr(d, "durable", lambda df, label: (written.append(df.columns), plain(df, label))[1])
+    monkeypatch.setattr(d, "BLOCK_CHARS", 150)
+    assert sorted((str(r.doc_id), r.item_ids, r.least_edits) for r in d.contamination(docs(rows), benchmark).collect()) == one
+    assert sorted(str(r.doc_id) for r in d.decontaminate(docs(rows), benchmark).collect()) == clean
+    assert len(written) > 8 and not any({"text", "body"} & set(c) for c in written)
