@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import evidence, queries, sql
+from millrace.plans import evidence, queries, sql, state
 
-QUERIES = queries.QUERIES | evidence.QUERIES
-SQL = sql.SQL | evidence.SQL
+QUERIES = queries.QUERIES | evidence.QUERIES | state.QUERIES
+SQL = sql.SQL | evidence.SQL | state.SQL
