@@ -14,6 +14,7 @@ from millrace.operators.sweeps import Sweep
 from millrace.plans.sql import _EVENTS
 from millrace.plans.tables import event_rows, table
 from millrace.sources.state_log import StateLog
+from millrace.streaming.machines import Barrier, DayBudget, OperationTimer, Retention, run_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,93 @@ def sweep_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sweep.claim(asked("a3", cases.filter("k % 3 = 2")), at(21))
     sweep.reap(at(40))
     return sweep.cases().select("case_id", "state", "attempt", "run_digest", F.array_join("failure_codes", ",").alias("failure_codes"), "revision")
+
+
+# -- machines in order of time
+
+
+@query(f"""
+    WITH RECURSIVE {_EVENTS}, r AS (
+        SELECT seconds // 86400 AS day, event_id, user_id, seconds, 60 + event_id % 7 * 60 AS cost, event_type = 'error' AS closed,
+               row_number() OVER (PARTITION BY seconds // 86400 ORDER BY seconds, event_id) AS n FROM e
+    ), walk(day, n, event_id, reason, taken, reserved, held) AS (
+        SELECT DISTINCT day, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, MAP {{}}::MAP(BIGINT, DOUBLE[]) FROM r
+        UNION ALL
+        SELECT day, n, event_id, reason, taken + CASE WHEN reason IS NULL THEN 1 ELSE 0 END, reserved + CASE WHEN reason IS NULL THEN cost ELSE 0 END,
+               CASE WHEN reason IS NULL OR reason = 'rate' THEN map_concat(held, MAP {{user_id: [CASE WHEN reason IS NULL THEN tokens - 1 ELSE tokens END, seconds]}}) ELSE held END
+        FROM (SELECT *, CASE WHEN closed THEN 'closed' WHEN taken >= 20 THEN 'count' WHEN reserved + cost > 3600 THEN 'seconds' WHEN tokens < 1 - 1e-9 THEN 'rate' END AS reason
+              FROM (SELECT r.day, r.n, r.event_id, r.user_id, r.seconds::DOUBLE AS seconds, r.cost, r.closed, w.taken, w.reserved, w.held,
+                           least(1.0::DOUBLE, coalesce(map_extract(w.held, r.user_id)[1][1], 1.0) + (r.seconds - coalesce(map_extract(w.held, r.user_id)[1][2], r.seconds)) / 7200.0) AS tokens
+                    FROM walk w JOIN r ON r.day = w.day AND r.n = w.n + 1))
+    )
+    SELECT day, event_id AS sequence, reason IS NULL AS admitted, reason FROM walk WHERE n > 0
+""")
+def budget_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's requests, refused as closed, over the day's number, over its seconds, or over the client's rate, in this order."""
+    rows = event_rows(spark, sf_dir).select(
+        F.floor(F.col("seconds") / 86_400).alias("day"), "seconds", "event_id", F.col("user_id").alias("client"), (60 + F.col("event_id") % 7 * 60).alias("cost"), (F.col("event_type") == "error").alias("closed")
+    )
+    return run_table(rows, "day", "seconds", "event_id", DayBudget(most=20, seconds=3600, capacity=1, window=7200))
+
+
+@query(f"""
+    WITH {_EVENTS}, j AS (
+        SELECT user_id, event_id, seconds, lead(seconds, 3) OVER (PARTITION BY user_id ORDER BY seconds, event_id) AS pushed FROM e WHERE event_type IN ('purchase', 'error', 'view')
+    ), said AS (
+        SELECT user_id, CAST(event_id AS VARCHAR) AS job, CASE WHEN pushed < seconds + 86400 THEN pushed ELSE seconds + 86400 END::DOUBLE AS removed_at,
+               CASE WHEN pushed < seconds + 86400 THEN 'trimmed' ELSE 'expired' END AS why FROM j
+    )
+    SELECT * FROM said WHERE why = 'trimmed' OR removed_at <= (SELECT max(seconds) FROM e)
+""")
+def retention_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ended jobs of each user that went: after a day, or earlier because three others had come."""
+    rows = event_rows(spark, sf_dir)
+    until = rows.agg(F.max("seconds")).first()[0]
+    ended = rows.filter(F.col("event_type").isin("purchase", "error", "view")).select("user_id", "seconds", "event_id", F.col("event_id").cast("string").alias("job"))
+    return run_table(ended, "user_id", "seconds", "event_id", Retention(ttl=86_400, capacity=3), until=until)
+
+
+@query(f"""
+    WITH {_EVENTS}, r AS (
+        SELECT user_id, event_type AS member, seconds, event_id % 10 < 9 AS identity, row_number() OVER w AS n, first_value(seconds) OVER w AS t0, first_value(event_id % 10 < 9) OVER w AS id0
+        FROM e WINDOW w AS (PARTITION BY user_id ORDER BY seconds, event_id)
+    ), timely AS (SELECT * FROM r WHERE seconds < t0 + 172800),
+    other AS (SELECT user_id, min(n) AS n FROM timely WHERE identity <> id0 GROUP BY 1),
+    firsts AS (SELECT user_id, member, min(n) AS n FROM timely WHERE identity = id0 GROUP BY 1, 2),
+    third AS (SELECT user_id, n FROM firsts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n) = 4),
+    ends AS (
+        SELECT u.user_id, u.t0, CASE WHEN o.n < coalesce(t.n, o.n + 1) THEN 'mismatch' WHEN t.n IS NOT NULL THEN 'complete' ELSE 'timeout' END AS result, least(o.n, t.n) AS n
+        FROM (SELECT DISTINCT user_id, t0 FROM r) u LEFT JOIN other o ON o.user_id = u.user_id LEFT JOIN third t ON t.user_id = u.user_id
+    )
+    SELECT e.user_id, result, CASE WHEN result = 'timeout' THEN e.t0 + 172800 ELSE r.seconds END::DOUBLE AS decided_at,
+           (SELECT count(*) FROM firsts f WHERE f.user_id = e.user_id AND (e.n IS NULL OR f.n < e.n OR (f.n = e.n AND result = 'complete'))) AS members
+    FROM ends e LEFT JOIN r ON r.user_id = e.user_id AND r.n = e.n
+""")
+def barrier_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user whether four kinds of events came within two days of the first one, all with its identity."""
+    rows = event_rows(spark, sf_dir)
+    identity = F.when(F.col("event_id") % 10 < 9, "same").otherwise("other")
+    return run_table(rows.select("user_id", "seconds", "event_id", F.col("event_type").alias("member"), identity.alias("identity")), "user_id", "seconds", "event_id", Barrier(needed=4, deadline=172_800))
+
+
+@query(f"""
+    WITH RECURSIVE {_EVENTS}, r AS (
+        SELECT user_id, event_id, seconds, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY seconds, event_id) AS n
+        FROM e WHERE event_type IN ('signup', 'purchase', 'error')
+    ), walk(user_id, n, began, start, over, sequence, outcome, took) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::DOUBLE FROM r
+        UNION ALL
+        SELECT user_id, n, CASE WHEN op = 'start' THEN CASE WHEN live THEN began ELSE seconds END END, CASE WHEN op = 'start' THEN CASE WHEN live THEN start ELSE event_id END END,
+               CASE WHEN began IS NOT NULL AND NOT live THEN start END, CASE WHEN op = 'start' AND NOT live THEN NULL WHEN op <> 'start' AND live THEN start ELSE event_id END,
+               CASE WHEN op = 'start' THEN 'overlap' WHEN live THEN op ELSE 'no start' END, CASE WHEN op <> 'start' AND live THEN seconds - began END::DOUBLE
+        FROM (SELECT r.*, w.began, w.start, w.began IS NOT NULL AND w.began + 172800 > r.seconds AS live FROM walk w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+    )
+    SELECT user_id, sequence, outcome, took FROM walk WHERE n > 0 AND sequence IS NOT NULL
+    UNION ALL SELECT user_id, over, 'expired', 172800.0::DOUBLE FROM walk WHERE over IS NOT NULL
+    UNION ALL SELECT user_id, start, 'expired', 172800.0::DOUBLE FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1) WHERE start IS NOT NULL
+""")
+def operation_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One operation of a user at a time: how it ended, or that two days passed; starts in between and ends without a start are refused."""
+    rows = event_rows(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase", "error"))
+    op = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "done").otherwise("failed")
+    return run_table(rows.select("user_id", "seconds", "event_id", op.alias("op")), "user_id", "seconds", "event_id", OperationTimer(limit=172_800))
