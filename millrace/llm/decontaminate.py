@@ -47,10 +47,10 @@ EDIT_RATE = 0.1
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
-#: Characters that are counted together, and those that neighbouring stretches share: more than a region has.
-STRETCH, OVERLAP = 2048, 256
+#: Characters of a piece and of a stretch of it, and those that neighbouring ones share: more than a region has.
+PIECE, STRETCH, OVERLAP = 1 << 18, 2048, 256
 #: Pairs of a gram and a place that are held at once, and stretches or bands that are remembered.
-MOST_PAIRS, REMEMBERED = 4_000_000, 2048
+MOST_PAIRS, REMEMBERED = 1_000_000, 2048
 _GRAM = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 MATCH = "struct<item_id:{0},start:int,end:int,distance:int>"
@@ -161,41 +161,52 @@ class Index:
     def regions(self, chars: np.ndarray) -> Iterator[tuple[int, int]]:
         """(segment, first diagonal) of the bands of `chars` that reach their segment's bound.
 
-        The text is read in stretches that overlap by more than a region; a stretch that was there before, as in a
-        text that repeats itself, isn't counted again.
+        The text is read in pieces that overlap by more than a region. A piece with very many shared grams is counted
+        in stretches, and a stretch that was there before, as in a text that repeats itself, isn't counted again.
         """
         seen: dict[bytes, list[tuple[int, int]]] = {}
-        for begin in range(0, max(len(chars) - OVERLAP, 1), STRETCH - OVERLAP):
-            stretch = chars[begin : begin + STRETCH]
-            key = stretch.tobytes()
-            if key not in seen:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen[key] = self._bands(stretch)
-            for segment, first in seen[key]:
-                yield segment, first + begin
-
-    def _bands(self, chars: np.ndarray) -> list[tuple[int, int]]:
+        for begin in range(0, max(len(chars) - OVERLAP, 1), PIECE - OVERLAP):
+            piece = chars[begin : begin + PIECE]
+            at, found = self._shared(piece)
+            if not len(at):
+                continue
+            if int(self.count[found].sum()) <= MOST_PAIRS:
+                for segment, first in self._bands(piece, at, found):
+                    yield segment, first + begin
+                continue
+            for inner in range(0, max(len(piece) - OVERLAP, 1), STRETCH - OVERLAP):
+                stretch = piece[inner : inner + STRETCH]
+                key = stretch.tobytes()
+                if key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[key] = self._bands(stretch, *self._shared(stretch))
+                for segment, first in seen[key]:
+                    yield segment, first + begin + inner
+
+    def _shared(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the q-grams of chars that some segment has, and which they are."""
         hashes = gram_hashes(chars)
         if not len(hashes) or not len(self.known):
-            return []
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         at = np.flatnonzero(self.filter[self._slot(hashes)])
         found = np.searchsorted(self.known, hashes[at])
         found[found == len(self.known)] = 0
         real = self.known[found] == hashes[at]
-        at, found = at[real], found[real]
+        return at[real], found[real]
+
+    def _bands(self, chars: np.ndarray, at: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
         if not len(at):
             return []
         # Very frequent grams are counted for some segments at a time.
         pairs = int(self.count[found].sum())
-        slices = -(-pairs // MOST_PAIRS)
-        cuts = np.linspace(0, len(self.segments), min(slices, len(self.segments)) + 1).astype(np.int64)
+        slices = min(-(-pairs // MOST_PAIRS), len(self.segments))
+        if slices == 1:
+            return self._bands_of(chars, at, self.first[found].astype(np.int64), self.count[found])
+        cuts, room = np.linspace(0, len(self.segments), slices + 1).astype(np.int64), len(self.segments) + 1
         out = []
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            first, last = self.first[found].astype(np.int64), (self.first[found] + self.count[found]).astype(np.int64)
-            if slices > 1:
-                room = len(self.segments) + 1
-                first, last = (np.searchsorted(self.sorted_by_gram, found * room + s) for s in (low, high))
+            first, last = (np.searchsorted(self.sorted_by_gram, found * room + s) for s in (low, high))
             out += self._bands_of(chars, at, first, last - first)
         return out
 

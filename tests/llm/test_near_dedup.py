@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import near_dedup
@@ -145,14 +146,17 @@ def test_exact_shingles():
     assert of[0][0] == of[1][0] == of[4][5] and of[0][1] == of[4][0] and of[2][0] not in [*of[0], *of[1], *of[4]]
 
 
-def test_families_at_the_threshold_against_brute_force(docs):
+@pytest.mark.parametrize("few,block", [(64, 512), (0, 512), (0, 16), (10**6, 16)])
+def test_families_at_the_threshold_against_brute_force(docs, monkeypatch, few, block):
     """Copies of one text that differ from it by so much that about half of all pairs are linked."""
     pick = random.Random(8)
     words = [f"w{i}" for i in range(400)]
     base, rows = [pick.choice(words) for _ in range(200)], []
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     for i in range(90):
         own = list(base)
-        for at in pick.sample(range(200), pick.choice([1, 2, 3, 4, 5])):
+        for at in pick.sample(range(200), pick.choice([1, 2, 3, 4, 5, 8])):
             own[at] = f"x{i}-{at}"
         rows.append((i, " ".join(own)))
     assert as_dict(near_duplicates(docs(rows))) == brute(rows)
@@ -167,8 +171,8 @@ def test_a_chain_under_the_threshold_is_never_one_group(spark, docs, monkeypatch
 
     def watched(dealt, percent):
         held = dealt.groupBy("key", "part").count().agg(F.max("count"), F.sum("count")).first()
-        cells.append(held[0])
-        copies.append(held[1])
+        cells.append(held[0] or 0)
+        copies.append(held[1] or 0)
         return plain(dealt, percent)
 
     monkeypatch.setattr(near_dedup, "_confirmed", watched)
