@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.profile import told
+from millrace.operators.quantiles import matched
+
 
 def agreement(manifest: DataFrame, runs: DataFrame, key: str, rules: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """column, compared, differ: over the keys that both have, how many pairs break a column's rule; null breaks it."""
@@ -109,12 +112,16 @@ def barrier(df: DataFrame, by: Sequence[str], at: str, member: str, needed: int,
     """by, the members seen within the deadline from the group's first row, and whether they are enough."""
     first = df.groupBy(*by).agg(F.min(at).alias("__first"))
     in_time = F.when(F.col(at) <= F.col("__first") + deadline, F.col(member))
-    said = df.join(first, list(by)).groupBy(*by).agg(F.count_distinct(in_time).alias("members"))
+    said = matched(df, first, list(by)).groupBy(*by).agg(F.count_distinct(in_time).alias("members"))
     return said.withColumn("complete", F.col("members") >= needed)
 
 
 def pointers(df: DataFrame, run: str, epoch: str, score: str) -> DataFrame:
-    """run, checkpoints, latest, best (least score, then earliest) and how many checkpoints neither points to."""
-    said = df.groupBy(run).agg(F.count(F.lit(1)).alias("checkpoints"), F.max(epoch).alias("latest"), F.min_by(epoch, F.struct(score, epoch)).alias("best"))
-    held = F.when(F.col("latest") == F.col("best"), 1).otherwise(2)
+    """run, checkpoints, latest, best (least score, then earliest) and how many checkpoints neither points to.
+
+    A checkpoint without a score (null or NaN) is never the best; a run without any score has no best one.
+    """
+    best = F.min_by(epoch, F.when(told(df, score), F.struct(score, epoch)))
+    said = df.groupBy(run).agg(F.count(F.lit(1)).alias("checkpoints"), F.max(epoch).alias("latest"), best.alias("best"))
+    held = F.when(F.coalesce(F.col("latest") == F.col("best"), F.lit(True)), 1).otherwise(2)
     return said.withColumn("prunable", F.col("checkpoints") - held)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import affine, hash_rank
+from millrace.operators.cut import checkpointed
+from millrace.operators.quantiles import matched
 
 #: Rows are ranked inside ranges of their digest's first two bytes, which get offsets: no single task ranks all rows.
 PREFIX = 4
 MOST_LEVELS = 1000
-#: Points of a design whose distances one task takes.
-MOST_POINTS = 50_000
+#: Points of a block whose distances give a bound, and features that make the cells of the grid.
+BLOCK_POINTS, GRID_FEATURES = 32, 3
 
 
 def ranked(df: DataFrame, digest: Column, *keys: str) -> DataFrame:
@@ -71,27 +71,50 @@ def probe_grid(items: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
+def closest_pairs(points: DataFrame, group: str, key: str, features: Sequence[str]) -> DataFrame:
+    """group, least_distance2: the square of the least distance between two points of each group; null without two.
+
+    Points are dealt at random into blocks of BLOCK_POINTS, and the least distance d within them is a bound that about
+    n / BLOCK_POINTS pairs lie under, whatever the points are. In cells of side d (of the first GRID_FEATURES features)
+    only points of neighbouring cells can be nearer, and few share one. A point whose features aren't all numbers has no
+    distance.
+    """
+    rows = points.select(F.col(group).alias("g"), F.col(key).alias("i"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
+    names = [f"x{k}" for k in range(len(features))]
+    whole = rows.filter(F.greatest(*[F.abs(n) for n in names], F.lit(0.0)) < float("inf")) if names else rows
+    for n in names:
+        whole = whole.filter(F.col(n).isNotNull() & ~F.isnan(n))
+    # A number of its own tells apart points that share a key.
+    whole = checkpointed(whole.withColumn("o", F.monotonically_increasing_id()))
+    sizes = whole.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("blocks"))
+    dealt = matched(whole, sizes, ["g"]).withColumn("b", F.pmod(F.xxhash64("o"), F.col("blocks"))).drop("blocks")
+    bound = checkpointed(_least(dealt, dealt, ["g", "b"], names))
+    near = matched(whole, bound.filter("d2 > 0"), ["g"]).withColumn("side", F.sqrt("d2"))
+    grid = names[:GRID_FEATURES]
+    cell = [F.floor(F.least(F.greatest(F.col(n) / F.col("side"), F.lit(-4e18)), F.lit(4e18))).alias(f"c{n}") for n in grid]
+    placed = near.select("g", "o", *names, *cell)
+    around = placed
+    for n in grid:
+        around = around.withColumn(f"c{n}", F.explode(F.array(*[F.col(f"c{n}") + s for s in (-1, 0, 1)])))
+    nearer = _least(around, placed, ["g", *[f"c{n}" for n in grid]], names)
+    both = bound.unionByName(nearer).groupBy("g").agg(F.min("d2").alias("d2"))
+    every = rows.select("g").distinct()
+    return matched(every, both, ["g"], "left").select(F.col("g").alias(group), F.col("d2").alias("least_distance2"))
+
+
+def _least(left: DataFrame, right: DataFrame, on: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """g, d2: the least squared distance between two points that share `on`."""
+    other = right.select(*[F.col(c).alias(f"{c}__r") for c in [*on, "o", *names]])
+    same = [left[c].eqNullSafe(other[f"{c}__r"]) for c in on]
+    pairs = left.join(other, [*same, left["o"] < other["o__r"]])
+    return pairs.groupBy("g").agg(F.min(sum(((F.col(n) - F.col(f"{n}__r")) ** 2 for n in names), F.lit(0.0))).alias("d2"))
+
 
 def maximin(points: DataFrame, candidate: str, key: str, features: Sequence[str]) -> DataFrame:
     """candidate, least_distance2 and chosen: of candidate designs the one whose two closest points lie furthest apart.
 
-    Ties go to the lowest candidate; a design of one point has no distance and is not chosen. A design is one
-    task's work, a block of rows at a time: those of over MOST_POINTS points are refused.
+    Ties go to the lowest candidate; a design of one point has no distance and is not chosen.
     """
-    kind = points.schema[candidate].dataType.simpleString()
-    sizes = points.groupBy(candidate).agg(F.count(F.lit(1)).alias("__n"))
-    refused = F.raise_error(F.lit(f"a design has more than {MOST_POINTS} points")).cast("boolean")
-    checked = points.join(sizes, candidate).filter(F.when(F.col("__n") > MOST_POINTS, refused).otherwise(F.lit(True)))
-
-    def closest(key_of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, least = pdf.sort_values(key)[list(features)].to_numpy(dtype=float), np.inf
-        for at in range(0, len(x), 256):
-            block = x[at : at + 256]
-            distance = ((block[:, None, :] - x[None, at:, :]) ** 2).sum(axis=2)
-            distance[np.tril_indices(len(block), 0, distance.shape[1])] = np.inf
-            least = min(least, distance.min())
-        return pd.DataFrame([(key_of[0], None if np.isinf(least) else float(least))], columns=[candidate, "least_distance2"])
-
-    least = checked.select(candidate, key, *features).groupBy(candidate).applyInPandas(closest, f"`{candidate}` {kind}, least_distance2 double")
+    least = checkpointed(closest_pairs(points, candidate, key, features))
     best = least.filter("least_distance2 is not null").agg(F.max_by(candidate, F.struct("least_distance2", -F.col(candidate))).alias("__best"))
     return least.crossJoin(F.broadcast(best)).withColumn("chosen", F.coalesce(F.col(candidate) == F.col("__best"), F.lit(False))).drop("__best")  # one row

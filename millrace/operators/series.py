@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import finite
+from millrace.operators.quantiles import matched
 
 
 def sequence_gaps(df: DataFrame, key: Sequence[str], step: str, first: int = 0) -> DataFrame:
@@ -61,20 +62,21 @@ def running(df: DataFrame, key: Sequence[str], at: str, width: int, order: Seque
     earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(*key, "__part", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in names])
     inside = Window.partitionBy(*key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({n: F.sum(f"__{n}").over(inside) for n in names}).join(offsets, [*key, "__part"])
+    placed = rows.withColumns({n: F.sum(f"__{n}").over(inside) for n in names})
+    placed = matched(placed, offsets, [*key, "__part"])
     return placed.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in names}).drop("__part", *[f"__{n}" for n in names], *[f"__before_{n}" for n in names])
 
 
 def drift(df: DataFrame, key: Sequence[str], at: str, value: str) -> DataFrame:
     """df with drift: how far the value lies from the key's first one, as a share of it."""
     first = df.groupBy(*key).agg(F.min_by(value, at).alias("__first"))
-    return df.join(first, list(key)).withColumn("drift", F.abs(F.col(value) - F.col("__first")) / F.abs("__first")).drop("__first")
+    return matched(df, first, list(key)).withColumn("drift", F.abs(F.col(value) - F.col("__first")) / F.abs("__first")).drop("__first")
 
 
 def last_range_mean(df: DataFrame, key: Sequence[str], at: str, value: str, width: int) -> DataFrame:
     """key, n, mean over the last `width` of at: two aggregates, no sort."""
     last = df.groupBy(*key).agg(F.max(at).alias("__last"))
-    return df.join(last, list(key)).filter(F.col(at) > F.col("__last") - width).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    return matched(df, last, list(key)).filter(F.col(at) > F.col("__last") - width).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
 def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: float, high: float, *, most: int = 20_000, least_cycles: int = 8) -> DataFrame:
@@ -107,7 +109,7 @@ def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: f
     shift = F.when(inside & (bend != 0), 0.5 * (a - c) / bend).otherwise(0.0)
     number = F.col(value).cast("double")
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~finite(number)).alias("__odd"))
-    found = sizes.join(peak, key, "left")
+    found = matched(sizes, peak, key, "left")
     failure = F.when(F.col("n") < 8, "too_short").when(F.col("n") > most, "too_long").when(F.col("__odd"), "not_finite")
     failure = failure.when(F.col("__b").isNull(), "no_bin_in_band").when(F.col("__p") == 0, "flat").when(F.col("__b") < least_cycles, "too_few_cycles")
     ok = failure.isNull()
@@ -132,7 +134,7 @@ def monotone_progress(df: DataFrame, key: Sequence[str], order: Sequence[str], v
     tops = rows.groupBy(*key, "__part").agg(F.max("__fits").alias("__top"))
     earlier = F.max("__top").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     inside = F.max("__fits").over(Window.partitionBy(*key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("__inside", inside).join(tops.select(*key, "__part", earlier.alias("__earlier")), [*key, "__part"])
+    placed = matched(rows.withColumn("__inside", inside), tops.select(*key, "__part", earlier.alias("__earlier")), [*key, "__part"])
     before = F.coalesce(F.greatest("__inside", "__earlier"), F.lit(-1.0))
     return placed.withColumn("accepted", F.coalesce(F.col("__fits") > before, F.lit(False))).drop("__fits", "__part", "__inside", "__earlier")
 
@@ -159,7 +161,7 @@ def grid_deltas(df: DataFrame, order: str, values: Sequence[str], partition: Seq
 def replay(df: DataFrame, key: Sequence[str], sequence: str, cursor: Column) -> DataFrame:
     """The events after each key's cursor; reading them fails at a cursor that lies ahead of its key's events."""
     last = df.groupBy(*key).agg(F.max(sequence).alias("__last"))
-    rows = df.withColumn("__cursor", cursor).join(last, list(key))
+    rows = matched(df.withColumn("__cursor", cursor), last, list(key))
     ahead = F.raise_error(F.concat_ws(" ", F.lit("the cursor lies ahead of the events of"), *[F.col(k).cast("string") for k in key])).cast("boolean")
     return rows.filter(F.when(F.col("__cursor") > F.col("__last"), ahead).otherwise(F.col(sequence) > F.col("__cursor"))).drop("__cursor", "__last")
 

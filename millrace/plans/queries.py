@@ -91,7 +91,8 @@ def worst_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bootstrap_median_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.bootstrap_median(table(spark, sf_dir, "supplier"), ["s_nationkey"], F.col("s_acctbal"), resamples=200)
+    said = profile.bootstrap_median(table(spark, sf_dir, "supplier"), ["s_nationkey"], F.col("s_acctbal"), F.col("s_suppkey"), resamples=200)
+    return rounded(said, 6, "low", "high")
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.operators.profile import POISSON
+
 _METRICS = """
     lines AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS revenue FROM lineitem GROUP BY l_orderkey),
     metrics AS (
@@ -398,4 +400,13 @@ SQL: dict[str, str] = {
         SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.01), 4) AS q01, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.995), 4) AS q995
         FROM lineitem GROUP BY 1, 2
     """,
+    "bootstrap_median_interval": f"""
+        WITH drawn AS (
+            SELECT s_nationkey, s_suppkey, s_acctbal AS v, r, ('0x' || md5('17|' || s_suppkey || '|' || (r // 4))[(r % 4) * 8 + 1:(r % 4) * 8 + 8])::BIGINT AS b FROM supplier, range(200) t(r)
+        ), w AS (SELECT *, {" + ".join(f"(b >= {t})::INT" for t in POISSON)} AS w FROM drawn),
+        c AS (SELECT *, sum(w) OVER (PARTITION BY s_nationkey, r ORDER BY v, s_suppkey) AS e, sum(w) OVER (PARTITION BY s_nationkey, r) AS a FROM w),
+        m AS (SELECT s_nationkey, r, (max(v) FILTER (e - w <= (a - 1) // 2 AND (a - 1) // 2 < e) + max(v) FILTER (e - w <= a // 2 AND a // 2 < e)) / 2 AS m FROM c WHERE w > 0 GROUP BY 1, 2)
+        SELECT s_nationkey, (SELECT count(s_acctbal) FROM supplier s WHERE s.s_nationkey = m.s_nationkey) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high
+        FROM m GROUP BY 1
+    """,
 }

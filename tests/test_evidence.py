@@ -234,7 +234,7 @@ def test_coverage_and_identities(spark):
     assert sorted((r["who"], r["k"], r["status"]) for r in evidence.identities(said, known).collect()) == [("p", 1, "known"), ("p", 2, "known"), ("p", 2, "known"), ("q", 1, "no name"), ("q", 9, "no case")]
 
 
-def test_maximin_takes_the_lowest_of_equal_designs(spark, monkeypatch):
+def test_maximin_takes_the_lowest_of_equal_designs(spark):
     rows = [(1, 0, 0.0), (1, 1, 2.0), (2, 0, 0.0), (2, 1, 3.0), (3, 0, 1.0), (3, 1, 4.0)]
     said = {r["c"]: (r["least_distance2"], r["chosen"]) for r in sampling.maximin(spark.createDataFrame(rows, "c bigint, i bigint, x double"), "c", "i", ["x"]).collect()}
     assert said == {1: (4.0, False), 2: (9.0, True), 3: (9.0, False)}
@@ -243,9 +243,14 @@ def test_maximin_takes_the_lowest_of_equal_designs(spark, monkeypatch):
     least = {r["c"]: r["least_distance2"] for r in sampling.maximin(spark.createDataFrame(many, "c bigint, i bigint, x double, y double"), "c", "i", ["x", "y"]).collect()}
     assert least[2] is None
     assert least[1] == pytest.approx(min((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 for i, a in enumerate(many[:700]) for b in many[i + 1 : 700]))
-    monkeypatch.setattr(sampling, "MOST_POINTS", 699)
-    with pytest.raises(Exception, match="more than 699 points"):
-        sampling.maximin(spark.createDataFrame(many, "c bigint, i bigint, x double, y double"), "c", "i", ["x", "y"]).collect()
+    # Clusters, points that coincide, null groups and points without a place.
+    tight = [(3, i, 0.5 + pick.gauss(0, 1e-6 if i % 2 else 0.3), pick.random()) for i in range(900)]
+    same = [(4, i, float(i // 2), 1.0) for i in range(200)]
+    rest = [(None, i, float(i), 2.0 * i) for i in range(100)] + [(5, 1, None, 1.0), (5, 2, float("nan"), 1.0), (5, 3, 0.0, 0.0)]
+    table = spark.createDataFrame(tight + same + rest, "c bigint, i bigint, x double, y double")
+    least = {r["c"]: r["least_distance2"] for r in sampling.closest_pairs(table, "c", "i", ["x", "y"]).collect()}
+    assert least[3] == pytest.approx(min((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 for i, a in enumerate(tight) for b in tight[i + 1 :]))
+    assert (least[4], least[None], least[5]) == (0.0, 5.0, None)
 
 
 def test_levels_of_settings_are_few(spark, monkeypatch):
@@ -296,3 +301,32 @@ def test_logs_of_json_lines_and_schemas(spark, tmp_path):
         files.read_log(spark, str(path), schema, ["run"], "epoch").collect()
     other = T.StructType([T.StructField("run", T.StringType()), T.StructField("epoch", T.IntegerType())])
     assert files.schema_digest(schema) == files.schema_digest(T.StructType.fromJson(schema.jsonValue())) != files.schema_digest(other)
+
+
+def test_what_has_no_score_or_value_never_wins(spark):
+    from millrace.operators import evidence, profile
+
+    rows = [("a", 1, None), ("a", 2, 5.0), ("a", 3, 1.0), ("a", 4, float("nan")), ("n", 1, None), ("n", 2, None), (None, 7, 2.0), (None, 8, None)]
+    table = spark.createDataFrame(rows, "g string, k bigint, s double")
+    best = {r["g"]: (r["k"], r["s"]) for r in profile.best_of(table, ["g"], "s", "k").collect()}
+    assert best == {"a": (3, 1.0), "n": (None, None), None: (7, 2.0)}
+    said = {r["g"]: (r["median"], r["representative"], r["extreme"]) for r in profile.representative_and_extreme(table, ["g"], "s", "k").collect()}
+    assert said == {"a": (3.0, 2, 2), "n": (None, None, None), None: (2.0, 7, 7)}
+    told = {r["g"]: (r["latest"], r["best"], r["prunable"]) for r in evidence.pointers(table, "g", "k", "s").collect()}
+    assert told == {"a": (4, 3, 2), "n": (2, None, 1), None: (8, 7, 0)}
+
+
+def test_null_keys_stay_in_series(spark):
+    from millrace.operators import evidence, series
+
+    rows = [(k, 10 * i, 0.1 * i, "m") for k in ("a", None) for i in range(1, 4)]
+    table = spark.createDataFrame(rows, "k string, t bigint, v double, m string")
+    assert series.drift(table, ["k"], "t", "v").count() == 6
+    assert series.running(table, ["k"], "t", 15, ["t"], {"s": F.lit(1)}).count() == 6
+    assert sorted(r["s"] for r in series.running(table, ["k"], "t", 15, ["t"], {"s": F.lit(1)}).collect()) == [1, 1, 2, 2, 3, 3]
+    assert series.monotone_progress(table, ["k"], ["t"], "v").filter("accepted").count() == 6
+    assert series.replay(table, ["k"], "t", F.lit(10)).count() == 4
+    assert series.last_range_mean(table, ["k"], "t", "v", 15).count() == 2
+    assert evidence.barrier(table, ["k"], "t", "m", 1, 5).count() == 2
+    long = spark.createDataFrame([(k, i, float(i % 3)) for k in ("a", None) for i in range(60)], "k string, t bigint, v double")
+    assert {r["k"]: r["failure"] for r in series.spectral_peak(long, ["k"], "t", "v", 0.2, 0.45).collect()} == {"a": None, None: None}

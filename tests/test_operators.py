@@ -70,8 +70,24 @@ def test_bootstrap_intervals_of_the_median(spark):
     assert 0.35 < said["a"]["high"] - said["a"]["low"] < 1.1
     again = {r["g"]: r for r in profile.bootstrap_median(table.repartition(7), ["g"], F.col("v"), resamples=400).collect()}
     assert said == again
-    with pytest.raises(Exception, match="too many distinct values"):
-        profile.bootstrap_median(table, ["g"], F.col("v"), most=10).collect()
+    # A null group stays, a group without values has nulls, and the intervals are those of drawing with replacement.
+    more = spark.createDataFrame([(None, float(i), i) for i in range(50)] + [("n", None, 1), ("m", float("nan"), 2)], "g string, v double, k bigint")
+    said = {r["g"]: r for r in profile.bootstrap_median(more, ["g"], F.col("v"), F.col("k"), resamples=200).collect()}
+    assert said[None]["n"] == 50 and 10 < said[None]["low"] < 24.5 < said[None]["high"] < 39
+    assert (said["n"]["n"], said["n"]["low"], said["m"]["high"]) == (0, None, None)
+
+
+def test_bootstrap_of_a_large_group_agrees_with_drawing(spark):
+    """A group whose median is looked for in a bracket: within 2 % of the multinomial interval."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    values = np.exp(draw.normal(3, 0.5, 40_000))
+    table = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)], "g int, k bigint, v double")
+    said = profile.bootstrap_median(table, ["g"], F.col("v"), F.col("k"), resamples=200).collect()[0]
+    medians = [np.median(values[draw.integers(0, len(values), len(values))]) for _ in range(1000)]
+    low, high = np.quantile(medians, [0.025, 0.975])
+    assert abs(said["low"] / low - 1) < 0.02 and abs(said["high"] / high - 1) < 0.02 and said["low"] < np.median(values) < said["high"]
 
 
 def test_leases_on_a_stream_expire_by_themselves(spark, tmp_path):
