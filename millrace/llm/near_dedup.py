@@ -6,11 +6,11 @@
 3. Classes that share a band key are candidates. Their packed signatures are compared by bit counts and
    the share of equal values is corrected for chance matches; pairs whose estimate lies far below the
    threshold go. A bucket larger than a block is dealt over cells (grouped.py).
-4. What looks similar is confirmed on the full sets, word by word, in rounds: each class meets one partner,
-   at first the smallest similar one of its buckets, so that a family meets the same few; later the most
-   similar one that no link ties to it yet. Most members of a family are tied then, and all pairs that are
-   still open meet. Pairs are confirmed as pairs, never as whole groups of candidates, so a chain of texts
-   that lie just under the threshold costs a few copies of each text.
+4. What looks similar is confirmed on the full sets, word by word. First each class meets one other, the
+   smallest similar one of its buckets, so that a family meets the same few and most of it is tied. What
+   looks similar and isn't tied then hangs together in groups: one with few such pairs for its size (a chain
+   of texts just under the threshold) meets as pairs, a few copies of each text; in a dense one all open
+   members meet, block by block.
 5. Components of the confirmed links.
 
 A link of similarity s is missed by all bands with probability (1 - s**5)**25: 4e-7 at 0.85, less above.
@@ -45,8 +45,8 @@ HASHES, ROWS, BANDS, BITS = 128, 5, 25, 2
 BLOCK = 512
 #: Bytes of text in a cell whose full sets are compared.
 CELL_BYTES = 4 << 20
-#: Rounds in which each member meets one partner, before all pairs that are still open do.
-ROUNDS = 3
+#: Pairs a member, counted once for each bucket, up to which a group's open pairs meet as pairs.
+FEW_PAIRS = 64
 
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTOR, OFFSET = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
@@ -123,41 +123,43 @@ def _alike(bits: np.ndarray) -> np.ndarray:
 
 
 CELL = ["key", "part"]
-#: Partners that a member was compared with in the rounds before.
-TRIED = "tried"
 
 
-def _open_pairs(dealt: DataFrame, threshold: float, how: str) -> DataFrame:
-    """leaf, hub, score: pairs of a cell that look similar by their bits and that no link ties yet.
+def _merged(tree: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """One of `others` from each tree that i does not belong to yet; `tree` is changed so that it does."""
+    found, at = np.unique(tree[others], return_index=True)
+    new = found != tree[i]
+    if not new.any():
+        return others[:0]
+    tree[np.isin(tree, found)] = tree[i]
+    return others[at[new]]
 
-    dealt: key, part, left, right, rep, label, tried, n_shingles, bits. how: "first", each row with the first
-    similar one of its cell; "best", each row with the most similar one that it wasn't compared with; "all".
+
+def _similar_pairs(dealt: DataFrame, threshold: float, how: str) -> DataFrame:
+    """leaf, hub, n: pairs of a cell that look similar by their bits and that no link ties yet.
+
+    dealt: key, part, left, right, rep, label, tried, n_shingles, bits. how: "first", each row with the first similar
+    one of its cell; "all"; "forest", pairs enough to connect what is similar, and each row with itself and the
+    number of its pairs.
     """
     least, chance = least_estimate(threshold), 0.5**BITS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, CELL):
-            rep, label, size, part = (chunk.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "part"))
+            rep, label, tried, size, part = (chunk.column(c).to_numpy() for c in ("rep", "label", "tried", "n_shingles", "part"))
             is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
             bits = np.frombuffer(b"".join(chunk.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, HASHES * BITS // 64)
-            width = len(chunk.column(TRIED)[0])
-            tried = chunk.column(TRIED).flatten().to_numpy().reshape(chunk.num_rows, width)
-            leaf, hub, score = [], [], []
+            leaf, hub, count = [], [], []
 
-            def scores(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                """The number of equal values where a pair is open and looks similar, otherwise -1."""
-                same = _alike(bits[i] ^ bits[j])  # noqa: B023
+            def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                share = _alike(bits[i] ^ bits[j]) / HASHES  # noqa: B023
                 fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9  # noqa: B023
-                fits &= ((same / HASHES - chance) / (1 - chance) >= least) & (label[i] != label[j])  # noqa: B023
-                for k in range(width):  # noqa: B023
-                    fits &= (tried[i, k] != rep[j]) & (tried[j, k] != rep[i])  # noqa: B023
-                return np.where(fits, same, -1)
+                fits &= ((share - chance) / (1 - chance) >= least) & (label[i] != label[j])  # noqa: B023
+                return fits & (tried[i] != rep[j]) & (tried[j] != rep[i])  # noqa: B023
 
-            def keep(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> None:
-                ok = own >= 0
-                leaf.append(rep[i[ok]])  # noqa: B023
-                hub.append(rep[j[ok]])  # noqa: B023
-                score.append(own[ok])  # noqa: B023
+            def keep(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> None:
+                for at, values in zip((leaf, hub, count), (rep[i], rep[j], n), strict=True):  # noqa: B023
+                    at.append(values)
 
             bounds = group_bounds(chunk, CELL)
             sizes, every = np.diff(bounds), part[bounds[:-1]] == ALL_PAIRS if len(part) else np.zeros(0, dtype=bool)
@@ -165,33 +167,33 @@ def _open_pairs(dealt: DataFrame, threshold: float, how: str) -> DataFrame:
                 begin = bounds[:-1][(sizes == n) & every]
                 for x in range(n):
                     for y in range(x + 1, n):
-                        own = scores(begin + x, begin + y)
-                        keep(begin + y, begin + x, own)
-                        if how == "best":
-                            keep(begin + x, begin + y, own)
+                        at = begin[similar(begin + x, begin + y)]
+                        keep(at + y, at + x, np.zeros(len(at), dtype=np.int64))
+                        if how == "forest":
+                            keep(at + y, at + y, np.ones(len(at), dtype=np.int64))
             for k in np.flatnonzero((sizes >= 5) | ~every).tolist():
                 begin, end = int(bounds[k]), int(bounds[k + 1])
                 if every[k] and (label[begin:end] == label[begin]).all():
                     continue
-                right = begin + np.flatnonzero(is_right[begin:end])
-                best, partner = np.full(end - begin, -1, dtype=np.int64), np.zeros(end - begin, dtype=np.int64)
+                right, tree = begin + np.flatnonzero(is_right[begin:end]), np.arange(end - begin)
+                free, pairs = np.ones(end - begin, dtype=bool), np.zeros(end - begin, dtype=np.int64)
                 for i in (begin + np.flatnonzero(is_left[begin:end])).tolist():
                     others = right[right > i] if every[k] else right
-                    own = scores(np.full(len(others), i), others)
-                    if how == "all":
-                        keep(others, np.full(len(others), i), own)
-                        continue
-                    better = own > best[others - begin] if how == "best" else (own >= 0) & (best[others - begin] < 0)
-                    at = others[better] - begin
-                    best[at], partner[at] = own[better], i
-                    if how == "best" and len(own) and own.max() > best[i - begin]:
-                        best[i - begin], partner[i - begin] = own.max(), others[own.argmax()]
-                some = np.flatnonzero(best >= 0)
-                keep(begin + some, partner[some], best[some])
-            columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (leaf, hub, score)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["leaf", "hub", "score"])
-
-    return dealt.select("key", "part", "left", "right", "rep", "label", TRIED, "n_shingles", "bits").mapInArrow(compare, "leaf bigint, hub bigint, score bigint")
+                    others = others[similar(np.full(len(others), i), others)]
+                    if how == "first":
+                        others = others[free[others - begin]]
+                        free[others - begin] = False
+                    elif how == "forest":
+                        pairs[i - begin] = len(others)
+                        others = begin + _merged(tree, i - begin, others - begin)
+                    keep(others, np.full(len(others), i), np.zeros(len(others), dtype=np.int64))
+                if pairs.any():
+                    some = np.flatnonzero(pairs)
+                    keep(begin + some, begin + some, pairs[some])
+            columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (leaf, hub, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["leaf", "hub", "n"])
+
+    return dealt.select("key", "part", "left", "right", "rep", "label", "tried", "n_shingles", "bits").mapInArrow(compare, "leaf bigint, hub bigint, n bigint")
 
 
 def crowded_buckets(classes: DataFrame) -> DataFrame:
@@ -201,49 +203,55 @@ def crowded_buckets(classes: DataFrame) -> DataFrame:
     return durable(rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "crowded")
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """The cells in which the members of each bucket meet: of a large one, those without its commonest label meet all."""
+def _rest(rows: DataFrame, member: str) -> DataFrame:
+    """The cells in which the members of each group meet: of a large one, those without its commonest label meet all."""
     large = rows.filter("blocks > 1")
     counts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     common = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("pivot"))
-    ties = large.join(common, "key").filter("label = pivot").select("key", "pivot", F.col("rep").alias("node"))
+    ties = large.join(common, "key").filter("label = pivot").select("key", "pivot", F.col(member).alias("node"))
     small = rows.filter("blocks = 1").withColumns({"part": F.lit(ALL_PAIRS).cast("long"), "left": F.lit(True), "right": F.lit(True)})
-    return small.repartition("key").sortWithinPartitions("key", "rep").unionByName(rest_cells(rows, "key", "rep", ties))
+    # Each kind of cell lies in partitions of its own, sorted.
+    return small.repartition("key").sortWithinPartitions("key", member).unionByName(rest_cells(rows, "key", member, ties))
 
 
 def _confirmed(dealt: DataFrame, percent: int) -> DataFrame:
-    """a, b: the left and right nodes of each cell whose sets of word sequences are similar enough.
+    """a, b: links enough to connect the nodes of each cell whose sets of word sequences are similar enough.
 
-    dealt: key, part, left, node, body. Sequences are compared by their words.
+    dealt: key, part, left, right, node, label, body. Nodes of one label hang together already. Sequences are
+    compared by their words.
     """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, CELL):
-            node, is_left = chunk.column("node").to_numpy(), chunk.column("left").to_numpy(zero_copy_only=False)
+            node, label, part = (chunk.column(c).to_numpy() for c in ("node", "label", "part"))
+            is_left, is_right = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
             bounds, a, b = group_bounds(chunk, CELL), [], []
             for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                n = end - begin
+                n, own = end - begin, slice(begin, end)
                 shingles, number = exact_shingles(chunk.column("body").slice(begin, n).to_pylist(), SHINGLE)
-                of = np.repeat(np.arange(n), number)
-                pairs = np.unique(of * (int(shingles.max(initial=0)) + 1) + shingles)
-                of, shingles = np.divmod(pairs, int(shingles.max(initial=0)) + 1)
+                room = int(shingles.max(initial=0)) + 1
+                of, shingles = np.divmod(np.unique(np.repeat(np.arange(n), number) * room + shingles), room)
                 size, stop = np.bincount(of, minlength=n), np.searchsorted(of, np.arange(n), side="right")
-                for i in np.flatnonzero(is_left[begin:end]).tolist():
-                    mark = np.zeros(int(shingles.max(initial=0)) + 1, dtype=bool)
-                    mark[shingles[stop[i] - size[i] : stop[i]]] = True
-                    common = np.bincount(of, weights=mark[shingles], minlength=n).astype(np.int64)
-                    linked = ~is_left[begin:end] & (common > 0) & (100 * common >= percent * (size + size[i] - common))
-                    others = node[begin:end][linked]
+                mark, tree = np.zeros(room, dtype=bool), np.unique(node[own], return_inverse=True)[1]
+                for i in np.flatnonzero(is_left[own]).tolist():
+                    mine = shingles[stop[i] - size[i] : stop[i]]
+                    mark[mine] = True
+                    common = np.bincount(of[mark[shingles]], minlength=n)
+                    mark[mine] = False
+                    linked = is_right[own] & (label[own] != label[begin + i]) & (common > 0) & (100 * common >= percent * (size + size[i] - common))
+                    if part[begin] == ALL_PAIRS:
+                        linked[: i + 1] = False
+                    others = _merged(tree, i, np.flatnonzero(linked))
                     a.append(np.full(len(others), node[begin + i]))
-                    b.append(others)
+                    b.append(node[begin + others])
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
 
-    return dealt.select("key", "part", "left", "node", "body").mapInArrow(confirm, "a bigint, b bigint")
+    return dealt.select("key", "part", "left", "right", "node", "label", "body").mapInArrow(confirm, "a bigint, b bigint")
 
 
-def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs whose full sets are similar enough, as a written table.
+def confirmed_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs whose full sets are similar enough.
 
     pairs: leaf, hub. texts: node, n_bytes, body. A hub meets its leaves in cells of BLOCK leaves and CELL_BYTES of
     text on average; each leaf's text goes to its hubs only, the hub's to its cells.
@@ -254,52 +262,60 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFra
     leaves = pairs.join(hubs, "hub").select(F.col("leaf").alias("node"), F.col("hub").alias("key"), F.pmod(F.xxhash64("leaf"), "parts").alias("part"), F.lit(False).alias("left"))
     cells = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     centres = hubs.select(F.col("hub").alias("node"), F.col("hub").alias("key"), cells, F.lit(True).alias("left"))
-    dealt = leaves.unionByName(centres).join(texts.select("node", "body"), "node")
-    links = durable(_confirmed(dealt.repartition("key", "part").sortWithinPartitions(*CELL), percent).distinct(), "links")
-    forget(hubs)
-    return links
+    # Where nodes go grows with the corpus, so it is not sent to all tasks, however small it is today.
+    dealt = leaves.unionByName(centres).hint("merge").join(texts.select("node", "body"), "node").withColumns({"right": ~F.col("left"), "label": F.col("node")})
+    return _confirmed(dealt.repartition("key", "part").sortWithinPartitions(*CELL), percent)
+
+
+def confirmed_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b: links enough to connect all that is similar enough in groups whose members all meet.
+
+    members: key, node, label, members, blocks.
+    """
+    return _confirmed(_rest(members.hint("merge").join(texts.select("node", "body"), "node"), "node"), percent)
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
     """node, component of the classes that links tie together.
 
-    Round by round each member of a bucket is compared with one partner in full, at first the smallest that looks
-    similar and then the most similar one that no link ties to it yet; in the end all pairs that are still open.
+    First each member of a bucket meets one other in full, the smallest that looks similar. Then what looks similar
+    and isn't tied yet hangs together in groups. Where a group has few such pairs for its size they meet as pairs,
+    otherwise all its members meet in cells, whichever takes fewer copies of texts.
     """
     crowded = crowded_buckets(classes)
     candidates = crowded.select(F.col("rep").alias("node")).distinct()
-    # Rows that carry one id are one node, whatever their texts.
+    # Rows that carry one id are one node, whatever their texts. The candidates grow with the corpus: no broadcast.
     bodies = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
-    texts = durable(bodies.join(candidates, "node", "left_semi").select("node", F.octet_length("body").alias("n_bytes"), "body"), "candidates")
-    rows = crowded.withColumns({"label": F.col("rep"), TRIED: F.expr("cast(array() as array<bigint>)")})
-    labels, links, tried = None, None, None
-    for step in range(ROUNDS + 1):
-        how = "first" if not step else "best" if step < ROUNDS else "all"
-        if labels is not None:
-            known = tried.groupBy(F.col("leaf").alias("rep")).agg(F.collect_list("hub").alias("hubs"))  # one a round at most
-            padded = F.slice(F.concat(F.coalesce("hubs", F.expr("cast(array() as array<bigint>)")), F.array_repeat(F.lit(-1).cast("long"), step)), 1, step)
-            rows = crowded.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").join(known, "rep", "left")
-            rows = rows.withColumns({"label": F.coalesce("label", "rep"), TRIED: padded}).drop("hubs")
-        cells = star_cells(rows, "key", "rep") if not step else _rest(rows)
-        found = _open_pairs(cells, percent / 100, how)
-        if how == "first":
-            pairs = found.groupBy("leaf").agg(F.min("hub").alias("hub"))
-        elif how == "best":
-            pairs = found.groupBy("leaf").agg(F.max_by("hub", F.struct("score", -F.col("hub"))).alias("hub"))
-            pairs = pairs.groupBy(F.greatest("leaf", "hub").alias("x"), F.least("leaf", "hub").alias("y")).agg(F.first("leaf").alias("leaf")).select("leaf", F.when(F.col("leaf") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("hub"))
-        else:
-            pairs = found.select(F.greatest("leaf", "hub").alias("leaf"), F.least("leaf", "hub").alias("hub")).distinct()
-        pairs = durable(pairs, "pairs")
-        # No open pair is left, here or in any later round; large buckets have met some pivots only after the first.
-        if step and pairs.isEmpty():
-            break
-        said = confirmed_links(pairs, texts, percent)
-        links = said if links is None else links.unionByName(said)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(links)
-    for table in (crowded, texts):
+    texts = durable(bodies.join(candidates.hint("merge"), "node", "left_semi").select("node", F.octet_length("body").alias("n_bytes"), "body"), "candidates")
+    rows = crowded.withColumns({"label": F.col("rep"), "tried": F.lit(-1).cast("long")})
+    firsts = _similar_pairs(star_cells(rows, "key", "rep"), percent / 100, "first").groupBy("leaf").agg(F.min("hub").alias("hub"))
+    firsts = durable(firsts, "pairs")
+    links = durable(confirmed_pairs(firsts, texts, percent), "links")
+    # Two links upwards are enough of a label: equal ones hang together, and most of a family has one.
+    up = links.select(F.col("b").alias("rep"), F.col("a").alias("hub"))
+    higher = links.select(F.col("b").alias("hub"), F.col("a").alias("above"))
+    labels = up.join(higher, "hub", "left").select("rep", F.coalesce("above", "hub").alias("label")).dropDuplicates(["rep"])
+    rows = crowded.join(labels, "rep", "left").join(firsts.select(F.col("leaf").alias("rep"), F.col("hub").alias("tried")), "rep", "left")
+    rows = rows.withColumns({"label": F.coalesce("label", "rep"), "tried": F.coalesce("tried", F.lit(-1).cast("long"))})
+    open_pairs = durable(_similar_pairs(_rest(rows, "rep"), percent / 100, "forest"), "open")
+    if not open_pairs.isEmpty():
+        groups = durable(components(open_pairs.select(F.col("leaf").alias("a"), F.col("hub").alias("b"))), "groups")
+        counts = open_pairs.filter("leaf = hub").groupBy(F.col("leaf").alias("node")).agg(F.sum("n").alias("n"))
+        sized = groups.join(counts, "node", "left").join(texts.groupBy("node").agg(F.sum("n_bytes").alias("n_bytes")), "node")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / CELL_BYTES))
+        plan = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), blocks.cast("int").alias("blocks"), F.sum("n").alias("pairs"))
+        plan = durable(plan.withColumn("dense", F.col("pairs") > F.col("members") * F.greatest(F.lit(FEW_PAIRS), F.col("blocks"))), "plan")
+        planned = groups.join(plan, "component").select(F.col("node").alias("rep"), F.col("component").alias("group"), F.col("members").alias("n_group"), F.col("blocks").alias("n_blocks"), "dense")
+        sparse = rows.join(planned.filter("not dense").select("rep"), "rep")
+        pairs = _similar_pairs(_rest(sparse, "rep"), percent / 100, "all").select(F.greatest("leaf", "hub").alias("leaf"), F.least("leaf", "hub").alias("hub")).distinct()
+        more = durable(confirmed_pairs(durable(pairs, "pairs"), texts, percent), "links")
+        known = rows.select("rep", "label").distinct()
+        dense = planned.filter("dense").join(known, "rep").select(F.col("group").alias("key"), F.col("rep").alias("node"), "label", F.col("n_group").alias("members"), F.col("n_blocks").alias("blocks"))
+        links = links.unionByName(more).unionByName(durable(confirmed_groups(dense, texts, percent), "links"))
+    out = components(links)
+    for table in (crowded, texts, open_pairs, firsts):
         forget(table)
-    return labels
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
