@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import finite
+from millrace.operators.cut import checkpointed
 from millrace.operators.quantiles import matched
+from millrace.operators.spectra import spectrum
 
 
 def sequence_gaps(df: DataFrame, key: Sequence[str], step: str, first: int = 0) -> DataFrame:
@@ -50,7 +52,7 @@ def trailing_mean(df: DataFrame, key: Sequence[str], at: str, value: str, width:
     return said.filter(F.col("__part") == home).drop("__part")
 
 
-def running(df: DataFrame, key: Sequence[str], at: str, width: int, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, key: Sequence[str], at: str, width: int | Column, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """df with running sums of each key's rows up to each one, in order; at is the first column of the order.
 
     Rows are summed inside stretches of `width` and the stretches among each other, so a task holds one
@@ -79,27 +81,38 @@ def last_range_mean(df: DataFrame, key: Sequence[str], at: str, value: str, widt
     return matched(df, last, list(key)).filter(F.col(at) > F.col("__last") - width).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
-def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: float, high: float, *, most: int = 20_000, least_cycles: int = 8) -> DataFrame:
+def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: float, high: float, *, direct: int = 20_000, least_cycles: int = 8) -> DataFrame:
     """key, n, frequency, power, failure: the greatest bin of the Hann-windowed, demeaned spectrum within [low, high].
 
-    Frequencies are cycles a sample. Each sample meets each bin of the band once, so the cost is samples
-    times bins; series of more than `most` samples fail as too long rather than explode. A peak inside the
-    band is refined by a parabola through the logarithms. Failures: too_short, too_long, not_finite,
-    no_bin_in_band, flat, too_few_cycles (the peak goes round less than least_cycles times in the series).
+    Frequencies are cycles a sample. In series of up to `direct` samples each sample meets each bin of the band once;
+    longer ones are numbered stretch by stretch and transformed in parts (spectra.py). A peak inside the band is
+    refined by a parabola through the logarithms. Failures: too_short, not_finite, no_bin_in_band, flat, too_few_cycles
+    (the peak goes round less than least_cycles times in the series).
     """
     key = list(key)
-    order = Window.partitionBy(*key).orderBy(at)
-    whole = Window.partitionBy(*key)
-    rows = df.select(*key, at, F.col(value).cast("double").alias("__v")).withColumn("__k", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(whole))
+    number = F.col(value).cast("double")
+    sizes = checkpointed(
+        df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~finite(number)).alias("__odd"), F.avg(number).alias("__mean"), F.min(F.col(at).cast("double")).alias("__from"), F.max(F.col(at).cast("double")).alias("__to"))
+    )
+    sound = sizes.filter((F.col("n") >= 8) & ~F.col("__odd")).select(*key, F.col("n").alias("__n"), "__mean", "__from", "__to")
+    rows = matched(df.select(*key, at, number.alias("__v")), sound, key)
     hann = 0.5 * (1 - F.cos(2 * math.pi * F.col("__k") / (F.col("__n") - 1)))
-    rows = rows.withColumn("__w", hann * (F.col("__v") - F.avg("__v").over(whole)))
-    usable = (F.col("__n") >= 8) & (F.col("__n") <= most)
+    short = rows.filter(F.col("__n") <= direct).withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(at)) - 1)
+    short = short.withColumn("__w", hann * (F.col("__v") - F.col("__mean")))
     bins = F.sequence(F.greatest(F.ceil(F.lit(low) * F.col("__n")), F.lit(1)).cast("int"), F.floor(F.lit(high) * F.col("__n")).cast("int"))
-    some = usable & (F.floor(F.lit(high) * F.col("__n")) >= F.greatest(F.ceil(F.lit(low) * F.col("__n")), F.lit(1)))
-    met = rows.filter(some).withColumn("__b", F.explode(bins))
+    some = F.floor(F.lit(high) * F.col("__n")) >= F.greatest(F.ceil(F.lit(low) * F.col("__n")), F.lit(1))
+    met = short.filter(some).withColumn("__b", F.explode(bins))
     angle = 2 * math.pi * F.pmod(F.col("__b").cast("long") * F.col("__k"), F.col("__n")) / F.col("__n")
     power = met.groupBy(*key, "__b").agg(F.max("__n").alias("__n"), F.sum(F.col("__w") * F.cos(angle)).alias("__re"), F.sum(F.col("__w") * F.sin(angle)).alias("__im"))
-    power = power.withColumn("__p", F.sqrt(F.col("__re") ** 2 + F.col("__im") ** 2))
+    power = power.select(*key, F.col("__b").cast("long").alias("__b"), "__n", F.sqrt(F.col("__re") ** 2 + F.col("__im") ** 2).alias("__p"))
+    if not sound.filter(F.col("__n") > direct).isEmpty():
+        # About 4,096 samples a stretch of the series' own axis.
+        width = F.greatest((F.col("__to") - F.col("__from")) / (F.col("__n") / 4096), F.lit(1e-300))
+        long = rows.filter(F.col("__n") > direct).withColumn("__at", F.col(at).cast("double") - F.col("__from")).withColumn("__width", width)
+        placed = running(long, key, "__at", F.col("__width"), ["__at"], {"__k": F.lit(1)}).withColumn("__k", F.col("__k") - 1)
+        samples = placed.select(*key, F.col("__k").alias("__j"), "__n", (hann * (F.col("__v") - F.col("__mean"))).alias("__v"))
+        far = spectrum(checkpointed(samples), key, low, high).filter("__b >= 1")
+        power = checkpointed(power.unionByName(far.select(*key, "__b", "__n", "__p")))
     beside = Window.partitionBy(*key).orderBy("__b")
     power = power.withColumn("__left", F.lag("__p").over(beside)).withColumn("__right", F.lead("__p").over(beside))
     peak = power.groupBy(*key).agg(F.max_by(F.struct("__b", "__n", "__p", "__left", "__right"), F.struct("__p", -F.col("__b"))).alias("t")).select(*key, "t.*")
@@ -107,10 +120,8 @@ def spectral_peak(df: DataFrame, key: Sequence[str], at: str, value: str, low: f
     a, b, c = F.log("__left"), F.log("__p"), F.log("__right")
     bend = a - 2 * b + c
     shift = F.when(inside & (bend != 0), 0.5 * (a - c) / bend).otherwise(0.0)
-    number = F.col(value).cast("double")
-    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(~finite(number)).alias("__odd"))
     found = matched(sizes, peak, key, "left")
-    failure = F.when(F.col("n") < 8, "too_short").when(F.col("n") > most, "too_long").when(F.col("__odd"), "not_finite")
+    failure = F.when(F.col("n") < 8, "too_short").when(F.col("__odd"), "not_finite")
     failure = failure.when(F.col("__b").isNull(), "no_bin_in_band").when(F.col("__p") == 0, "flat").when(F.col("__b") < least_cycles, "too_few_cycles")
     ok = failure.isNull()
     return found.select(*key, "n", F.when(ok, (F.col("__b") + shift) / F.col("__n")).alias("frequency"), F.when(ok, F.col("__p")).alias("power"), failure.alias("failure"))
