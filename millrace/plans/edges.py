@@ -11,6 +11,7 @@ from millrace.operators import evidence, profile, sampling, series
 from millrace.plans.queries import rounded
 from millrace.plans.sql import _EVENTS
 from millrace.plans.tables import event_rows, table
+from millrace.sources.strict import strict_objects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +70,17 @@ def closest_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least distance between two customers of each segment."""
     points = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", (F.col("c_acctbal") / 10_000).alias("a"), (F.col("c_nationkey") / 25).alias("b"))
     return rounded(sampling.closest_pairs(points, "c_mktsegment", "c_custkey", ["a", "b"]), 12, "least_distance2")
+
+
+@query("""
+    SELECT CASE event_id % 7 WHEN 0 THEN 'repeated key' WHEN 1 THEN 'number is not finite' WHEN 2 THEN 'not an object' WHEN 3 THEN 'not JSON' WHEN 4 THEN 'number is too long' WHEN 5 THEN 'missing'
+                ELSE CASE WHEN json_valid(props) THEN 'read' ELSE 'not JSON' END END AS status, count(*) AS n
+    FROM events GROUP BY 1
+""")
+def strict_json_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of which six of seven have a fault put in, counted by what a strict reader says of them."""
+    of, rest = F.col("event_id") % 7, F.expr("substring(props, 2)")
+    text = F.when(of == 0, F.concat(F.lit('{"x":1,"x":2,'), rest)).when(of == 1, F.concat(F.lit('{"y":NaN,'), rest)).when(of == 2, F.concat(F.lit("["), "props", F.lit("]")))
+    text = text.when(of == 3, F.concat("props", F.lit("}"))).when(of == 4, F.concat(F.lit('{"z":'), F.repeat(F.lit("7"), 5000), F.lit(","), rest)).when(of == 6, F.col("props"))
+    said = strict_objects(table(spark, sf_dir, "events").select(text.alias("text")), "text")
+    return said.groupBy(F.coalesce("refused", F.lit("read")).alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Digits of an integer; the language itself reads no more than 4,300.
+MOST_DIGITS = 1000
+
+
 class _Refused(ValueError):
     pass
 
@@ -35,6 +39,12 @@ def _constant(name: str) -> float:
     raise _Refused("number is not finite")
 
 
+def _integer(text: str) -> int:
+    if len(text) > MOST_DIGITS:
+        raise _Refused("number is too long")
+    return int(text)
+
+
 def _size(value: object, depth: int, most_depth: int) -> int:
     if not isinstance(value, dict | list):
         return 0
@@ -52,14 +62,14 @@ def refusal(text: str | None, most_depth: int = 32, most_keys: int = 10_000, mos
     if len(text.encode()) > most_bytes:
         return "too large"
     try:
-        value = json.loads(text, object_pairs_hook=_once, parse_float=_number, parse_constant=_constant)
+        value = json.loads(text, object_pairs_hook=_once, parse_int=_integer, parse_float=_number, parse_constant=_constant)
         if not isinstance(value, dict):
             return "not an object"
         if _size(value, 1, most_depth) > most_keys:
             return "too many keys"
     except _Refused as error:
         return str(error)
-    except (json.JSONDecodeError, RecursionError):
+    except (ValueError, RecursionError):  # JSONDecodeError is a ValueError
         return "not JSON"
     return None
 
