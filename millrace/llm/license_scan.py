@@ -195,7 +195,7 @@ def canonical_sql(text: str) -> str:
 
 def known_sql() -> str:
     """The known licences as rows of SQL: license, text."""
-    return ", ".join("({}, {})".format(*("'" + v.replace("'", "''") + "'" for v in row)) for row in KNOWN)
+    return ", ".join("({}, {})".format(*("'" + v.replace("'", "''") + "'" for v in row)) for row in [*KNOWN, *whole_licenses()])
 
 
 def scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
