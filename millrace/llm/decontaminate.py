@@ -219,7 +219,14 @@ class Index:
         entry = ranges(first, times)
         if not len(entry):
             return []
-        segment, diagonal = self.segment[entry].astype(np.int64), np.repeat(at, times) - self.place[entry]
+        segment, at = self.segment[entry].astype(np.int64), np.repeat(at, times)
+        # A segment that shares too few grams with all of the text has no band that shares enough.
+        enough = np.bincount(segment, minlength=len(self.segments)) >= self.least
+        if not enough.any():
+            return []
+        some = enough[segment]
+        entry, segment, at = entry[some], segment[some], at[some]
+        diagonal = at - self.place[entry]
         base = len(chars) + SEGMENT  # keeps strips positive
         room = 2 * base + 2
         strips, number = np.unique(segment * room + (diagonal + base) // (self.edits[segment] + 1), return_counts=True)
@@ -238,7 +245,7 @@ class Index:
         for s, first_one in zip(of[enough].tolist(), (strip * (self.edits[of] + 1) - base)[enough].tolist(), strict=True):
             begin, end = np.searchsorted(segment, (s, s + 1))
             low, high = begin + np.searchsorted(diagonal[begin:end], (first_one, first_one + 2 * (int(self.edits[s]) + 1)))
-            if high - low >= self.least[s] and len(np.unique(place[low:high])) >= self.least[s]:
+            if high - low >= self.least[s] and len(set(place[low:high].tolist())) >= self.least[s]:
                 found.append((s, first_one))
         return found
 
