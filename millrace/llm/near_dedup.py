@@ -203,8 +203,11 @@ def crowded_buckets(classes: DataFrame) -> DataFrame:
     return durable(rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "crowded")
 
 
-def _rest(rows: DataFrame, member: str) -> DataFrame:
+def _rest(rows: DataFrame, member: str, some_large: bool) -> DataFrame:
     """The cells in which the members of each group meet: of a large one, those without its commonest label meet all."""
+    if not some_large:
+        every = rows.withColumns({"part": F.lit(ALL_PAIRS).cast("long"), "left": F.lit(True), "right": F.lit(True)})
+        return every.repartition("key").sortWithinPartitions("key", member)
     large = rows.filter("blocks > 1")
     counts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     common = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("pivot"))
@@ -272,7 +275,8 @@ def confirmed_groups(members: DataFrame, texts: DataFrame, percent: int) -> Data
 
     members: key, node, label, members, blocks.
     """
-    return _confirmed(_rest(members.hint("merge").join(texts.select("node", "body"), "node"), "node"), percent)
+    some_large = not members.filter("blocks > 1").isEmpty()
+    return _confirmed(_rest(members.hint("merge").join(texts.select("node", "body"), "node"), "node", some_large), percent)
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int, *, id_col: str, text_col: str) -> DataFrame:
@@ -283,6 +287,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int, *, id_col:
     otherwise all its members meet in cells, whichever takes fewer copies of texts.
     """
     crowded = crowded_buckets(classes)
+    some_large = not crowded.filter("blocks > 1").isEmpty()
     candidates = crowded.select(F.col("rep").alias("node")).distinct()
     # Rows that carry one id are one node, whatever their texts. The candidates grow with the corpus: no broadcast.
     bodies = docs.select(F.col(id_col).alias("node"), text_or_empty(text_col).alias("body"))
@@ -297,7 +302,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int, *, id_col:
     labels = up.join(higher, "hub", "left").select("rep", F.coalesce("above", "hub").alias("label")).dropDuplicates(["rep"])
     rows = crowded.join(labels, "rep", "left").join(firsts.select(F.col("leaf").alias("rep"), F.col("hub").alias("tried")), "rep", "left")
     rows = rows.withColumns({"label": F.coalesce("label", "rep"), "tried": F.coalesce("tried", F.lit(-1).cast("long"))})
-    open_pairs = durable(_similar_pairs(_rest(rows, "rep"), percent / 100, "forest"), "open")
+    open_pairs = durable(_similar_pairs(_rest(rows, "rep", some_large), percent / 100, "forest"), "open")
     if not open_pairs.isEmpty():
         groups = durable(components(open_pairs.select(F.col("leaf").alias("a"), F.col("hub").alias("b"))), "groups")
         counts = open_pairs.filter("leaf = hub").groupBy(F.col("leaf").alias("node")).agg(F.sum("n").alias("n"))
@@ -306,12 +311,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int, *, id_col:
         plan = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), blocks.cast("int").alias("blocks"), F.sum("n").alias("pairs"))
         plan = durable(plan.withColumn("dense", F.col("pairs") > F.col("members") * F.greatest(F.lit(FEW_PAIRS), F.col("blocks"))), "plan")
         planned = groups.join(plan, "component").select(F.col("node").alias("rep"), F.col("component").alias("group"), F.col("members").alias("n_group"), F.col("blocks").alias("n_blocks"), "dense")
-        sparse = rows.join(planned.filter("not dense").select("rep"), "rep")
-        pairs = _similar_pairs(_rest(sparse, "rep"), percent / 100, "all").select(F.greatest("leaf", "hub").alias("leaf"), F.least("leaf", "hub").alias("hub")).distinct()
-        more = durable(confirmed_pairs(durable(pairs, "pairs"), texts, percent), "links")
-        known = rows.select("rep", "label").distinct()
-        dense = planned.filter("dense").join(known, "rep").select(F.col("group").alias("key"), F.col("rep").alias("node"), "label", F.col("n_group").alias("members"), F.col("n_blocks").alias("blocks"))
-        links = links.unionByName(more).unionByName(durable(confirmed_groups(dense, texts, percent), "links"))
+        if not plan.filter("not dense").isEmpty():
+            sparse = rows.join(planned.filter("not dense").select("rep"), "rep")
+            pairs = _similar_pairs(_rest(sparse, "rep", some_large), percent / 100, "all").select(F.greatest("leaf", "hub").alias("leaf"), F.least("leaf", "hub").alias("hub")).distinct()
+            links = links.unionByName(durable(confirmed_pairs(durable(pairs, "pairs"), texts, percent), "links"))
+        if not plan.filter("dense").isEmpty():
+            known = rows.select("rep", "label").distinct()
+            dense = planned.filter("dense").join(known, "rep").select(F.col("group").alias("key"), F.col("rep").alias("node"), "label", F.col("n_group").alias("members"), F.col("n_blocks").alias("blocks"))
+            links = links.unionByName(durable(confirmed_groups(durable(dense, "dense"), texts, percent), "links"))
     out = components(links)
     for table in (crowded, texts, open_pairs, firsts):
         forget(table)
