@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def finite(x: Column) -> Column:
@@ -107,6 +109,47 @@ def canonical_object(fields: Mapping[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def canonical_value(x: Column, kind: T.DataType) -> Column:
+    """Any value as JSON, by recursion over its type: sorted keys, no spaces, nulls kept, minus zero as zero.
+
+    Times are texts in UTC, dates and decimals their own texts, bytes base64. Keys of maps must be strings. Fails on
+    a number that is not finite.
+    """
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical_value(x.getField(f.name), f.dataType)) for f in fields]
+        said = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        said = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: canonical_value(e, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise TypeError("keys of maps must be strings")
+        # The value goes through the lambda with its key: entries are sorted by key, which no two share.
+        order = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        one = lambda e: F.concat(canonical_text(e["key"]), F.lit(":"), canonical_value(e["value"], kind.valueType))
+        said = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(x), order), one), ","), F.lit("}"))
+    elif isinstance(kind, T.BooleanType):
+        said = F.when(x, "true").otherwise("false")
+    elif isinstance(kind, T.DoubleType | T.FloatType):
+        said = canonical_number(x)
+    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        said = canonical_time(x.cast("timestamp"))
+    elif isinstance(kind, T.BinaryType):
+        said = canonical_text(F.base64(x))
+    elif isinstance(kind, T.IntegralType):
+        said = x.cast("string")
+    elif isinstance(kind, T.StringType | T.DateType | T.DecimalType):
+        said = canonical_text(x.cast("string"))
+    else:
+        raise TypeError(f"no canonical form of {kind.simpleString()}")
+    return F.coalesce(F.when(x.isNotNull(), said), F.lit("null"))
+
+
+def canonical_row(schema: T.StructType) -> Column:
+    """A row of this schema as a JSON object."""
+    return canonical_value(F.struct(*[F.col(f"`{n}`") for n in schema.fieldNames()]), schema)
+
+
 def content_id(text: Column, digits: int = 20) -> Column:
     return F.substring(F.sha2(text, 256), 1, digits)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import scalar
 from millrace.operators import evidence, profile, sampling, series
 from millrace.plans.queries import rounded
 from millrace.plans.sql import _EVENTS
@@ -84,3 +85,22 @@ def strict_json_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text.when(of == 3, F.concat("props", F.lit("}"))).when(of == 4, F.concat(F.lit('{"z":'), F.repeat(F.lit("7"), 5000), F.lit(","), rest)).when(of == 6, F.col("props"))
     said = strict_objects(table(spark, sf_dir, "events").select(text.alias("text")), "text")
     return said.groupBy(F.coalesce("refused", F.lit("read")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT c_custkey, sha256('{"account":{"balance":"' || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) || '","open":' || CASE WHEN c_acctbal >= 0 THEN 'true' ELSE 'false' END || '},"keys":[' || c_custkey || ',null,' || c_nationkey
+           || '],"marks":{"a":' || c_nationkey % 3 || ',"b":null},"name":"' || c_name || '","zip":null}') AS row_id FROM customer
+""")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of nested rows: structs, arrays, maps and nulls in one canonical text."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.struct(
+            F.lit(None).cast("string").alias("zip"),
+            F.col("c_name").alias("name"),
+            F.create_map(F.lit("b"), F.lit(None).cast("int"), F.lit("a"), F.col("c_nationkey") % 3).alias("marks"),
+            F.array(F.col("c_custkey"), F.lit(None).cast("long"), F.col("c_nationkey").cast("long")).alias("keys"),
+            F.struct((F.col("c_acctbal") >= 0).alias("open"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance")).alias("account"),
+        ).alias("row"),
+    )
+    return rows.select("c_custkey", F.sha2(scalar.canonical_value(F.col("row"), rows.schema["row"].dataType), 256).alias("row_id"))

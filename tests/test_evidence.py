@@ -350,3 +350,21 @@ def test_spectra_of_any_length_equal_the_direct_sum(spark):
     got = spectrum(spark.createDataFrame(rows, "k string, __j bigint, __n bigint, __v double"), ["k"], 0.0, 0.5).collect()
     assert len(got) == sum(len(v) // 2 + 1 for v in want.values())
     assert max(abs(r["__p"] - want[r["k"]][r["__b"]]) for r in got) < 1e-9
+
+
+def test_canonical_rows_equal_python(spark):
+    import json
+
+    schema = "z bigint, a struct<y: double, x: array<struct<k: string, v: double>>>, m map<string, array<boolean>>, s string"
+    rows = [
+        (1, {"y": -0.0, "x": [{"k": "é\"q", "v": 1e22}, None, {"k": None, "v": 0.1}]}, {"b": [True, None], "a": []}, "t\n"),
+        (None, None, None, None),
+        (-5, {"y": None, "x": []}, {}, ""),
+    ]
+    table = spark.createDataFrame(rows, schema)
+    said = [r["j"] for r in table.coalesce(1).select(scalar.canonical_row(table.schema).alias("j")).collect()]
+    plain = [dict(zip(("z", "a", "m", "s"), r, strict=True)) for r in rows]
+    plain[0]["a"]["y"] = 0.0
+    assert said == [json.dumps(p, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for p in plain]
+    with pytest.raises(TypeError):
+        scalar.canonical_row(spark.range(1).select(F.create_map("id", "id").alias("m")).schema)
