@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import edges, evidence, queries, sql, state
+from millrace.plans import edges, evidence, networks, queries, sql, state
 
-QUERIES = queries.QUERIES | evidence.QUERIES | state.QUERIES | edges.QUERIES
-SQL = sql.SQL | evidence.SQL | state.SQL | edges.SQL
+QUERIES = queries.QUERIES | evidence.QUERIES | state.QUERIES | edges.QUERIES | networks.QUERIES
+SQL = sql.SQL | evidence.SQL | state.SQL | edges.SQL | networks.SQL
