@@ -13,6 +13,7 @@ from millrace.operators.cut import shared_folder
 from millrace.operators.sweeps import Sweep
 from millrace.plans.sql import _EVENTS
 from millrace.plans.tables import event_rows, table
+from millrace.sources.epoch_sink import EpochSink
 from millrace.sources.state_log import StateLog
 from millrace.streaming.machines import Barrier, DayBudget, OperationTimer, Retention, run_table
 
@@ -63,6 +64,26 @@ def keyed_state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.snapshot().select("user_id", "n", "ids", "last_type", "revision")
 
 
+@query(f"""
+    WITH {_EVENTS}, w AS (SELECT *, (seconds - (SELECT min(seconds) FROM e)) // 604800 AS epoch FROM e)
+    SELECT epoch, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM w GROUP BY epoch, event_type
+""")
+def epoch_sink_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by week in a sink: each week is sent twice and written once, and one that was taken back is sent again."""
+    rows = event_rows(spark, sf_dir)
+    first, last = rows.agg(F.min("seconds"), F.max("seconds")).first()
+    own = rows.select(F.floor((F.col("seconds") - F.lit(first)) / 604_800).alias("week"), "event_id", "event_type")
+    sink = EpochSink(spark, _fresh(spark, "sink"), own.drop("week").schema)
+    weeks = (last - first) // 604_800 + 1 if first is not None else 0
+    for k in range(weeks):
+        for _ in range(2):
+            sink.write(own.filter(F.col("week") == k).drop("week"), k)
+    if weeks:
+        sink.roll_back(weeks - 2)
+        sink.write(own.filter(F.col("week") == weeks - 1).drop("week"), weeks - 1)
+    return sink.read().groupBy("epoch", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("""
     SELECT CAST(s_suppkey AS VARCHAR) AS case_id,
            CASE WHEN s_suppkey % 3 = 0 THEN 'succeeded' WHEN s_suppkey % 3 = 1 THEN 'pending' ELSE 'failed' END AS state,
