@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import floored_ratio
-from millrace.operators.cut import checkpointed
+from millrace.operators.cut import checkpointed, dealt
+
+#: Cells that one task of a lattice makes, about.
+TASK_CELLS = 250_000
 
 
 def cells(spark: SparkSession, height: int, width: int, case_id: str = "case") -> DataFrame:
@@ -31,22 +34,29 @@ def ellipse_distance(grid: DataFrame, cy, cx, a, b, degrees) -> DataFrame:
     return grid.withColumn("sdf", (q - 1) * F.least(shape["a"], shape["b"]))
 
 
-def lattice(cases: DataFrame, height: int, width: int) -> DataFrame:
-    """cases with y, x of every cell of a grid."""
-    cell = cases.withColumn("__cell", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))))
+def lattice(cases: DataFrame, height: int, width: int, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """cases with y, x of every cell of a grid.
+
+    A small table makes many cells, so cases are counted and dealt by keys into tasks of about TASK_CELLS cells.
+    What groups or orders cells within a case then needs no shuffle.
+    """
+    cell = dealt(cases, keys, TASK_CELLS // (height * width)).withColumn("__cell", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))))
     return cell.withColumn("y", F.floor(F.col("__cell") / width).cast("int")).withColumn("x", (F.col("__cell") % width).cast("int")).drop("__cell")
 
 
 def bounding_box(grid: DataFrame, margin: float) -> DataFrame:
-    """case_id, the box of cells with sdf < margin, one cell larger on each side, and the least sdf on the box's sides."""
+    """case_id, the box of cells with sdf < margin, one cell larger on each side, and the least sdf on the box's sides.
+
+    The planner takes exploded cells for as few as their cases and would send them to all tasks, so joins name their kind.
+    """
     inside = grid.filter(F.col("sdf") < margin)
     box = inside.groupBy("case_id").agg(
         (F.min("y") - 1).alias("y0"), (F.max("y") + 1).alias("y1"), (F.min("x") - 1).alias("x0"), (F.max("x") + 1).alias("x1")
     )
     on_side = F.col("y").isin(F.col("y0"), F.col("y1")) | F.col("x").isin(F.col("x0"), F.col("x1"))
-    around = grid.join(box, "case_id").filter("y between y0 and y1 and x between x0 and x1").filter(on_side)
+    around = grid.join(box.hint("shuffle_hash"), "case_id").filter("y between y0 and y1 and x between x0 and x1").filter(on_side)
     least = around.groupBy("case_id").agg(F.min("sdf").alias("least_on_side"))
-    return box.join(least, "case_id", "left")
+    return box.join(least.hint("shuffle_hash"), "case_id", "left")
 
 
 def _along(axis: str, keys: Sequence[str]):
@@ -106,7 +116,7 @@ def case_metrics(grid: DataFrame, inlet_velocity: float, spacing: float, keys: S
 
 def surface_flux(grid: DataFrame, box: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
     """keys, the x-force on the box, and the sums of pressure, rho u u and rho u v over each of its four sides. grid: rho, u, v."""
-    inside = grid.join(box, list(keys)).filter("y between y0 and y1 and x between x0 and x1")
+    inside = grid.join(box.hint("shuffle_hash"), list(keys)).filter("y between y0 and y1 and x between x0 and x1")
     values = {"pressure": (F.col("rho") - 1) / 3, "uu": F.col("rho") * F.col("u") * F.col("u"), "uv": F.col("rho") * F.col("u") * F.col("v")}
     sides = {"left": F.col("x") == F.col("x0"), "right": F.col("x") == F.col("x1"), "bottom": F.col("y") == F.col("y0"), "top": F.col("y") == F.col("y1")}
     sums = inside.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(at, value)), F.lit(0.0)).alias(f"{side}_{name}") for side, at in sides.items() for name, value in values.items()])
