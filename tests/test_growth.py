@@ -21,3 +21,7 @@ def test_cells_of_a_small_table_are_dealt_over_tasks(spark):
 
 def test_control_flux_sends_no_cells_to_all_tasks(spark, sf_dir):
     assert "Broadcast" not in plan(QUERIES["control_flux"](spark, sf_dir))
+
+
+def test_obstacle_box_sends_no_cells_to_all_tasks(spark, sf_dir):
+    assert "Broadcast" not in plan(QUERIES["obstacle_box"](spark, sf_dir))
