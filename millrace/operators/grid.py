@@ -158,32 +158,34 @@ def thinned(grid: DataFrame, every_y: int, every_x: int) -> DataFrame:
 def connected_cases(grid: DataFrame, keys: Sequence[str] = ("case_id",), *, most_rounds: int = 10_000) -> DataFrame:
     """keys, connected: whether open cells lead from the first column to the last, over sides.
 
-    Cells in a row's run of open cells are one node, told by windows; runs that touch in neighbouring rows
-    are edges. Labels then go to the least over edges and from there to the label's own label, so rounds grow
-    with the logarithm of the longest detour. Each round is a checkpoint.
+    Cells in a row's run of open cells are one node, told by windows, as are the runs that touch in neighbouring
+    rows: these are edges. Labels then go to the least over edges and from there to the label's own label, so rounds
+    grow with the logarithm of the longest detour. Each round is a checkpoint. Joins are by sorted shuffles: the
+    planner's sizes are those of the table that the cells come from, and it would send whole tables through the driver.
     """
     keys = list(keys)
-    line = Window.partitionBy(*keys, "y").orderBy("x")
-    begins = F.coalesce(F.col("x") - F.lag("x").over(line), F.lit(0)) != 1
-    run = F.concat_ws(":", *keys, F.col("y"), F.sum(begins.cast("int")).over(line))
+    line, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    begins = F.coalesce(F.col("x") - F.lag("x").over(line), F.lit(2)) > 1
+    run = F.shiftleft(F.col("y").cast("long"), 32) + F.sum(begins.cast("int")).over(line)
     open_cells = grid.filter("not solid").withColumn("run", run).select(*keys, "y", "x", "run")
-    below = open_cells.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("run").alias("other"))
-    touching = open_cells.join(below, [*keys, "y", "x"]).select(F.col("run").alias("a"), F.col("other").alias("b")).distinct()
-    edges = checkpointed(touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpointed(open_cells.select("run").distinct().withColumn("label", F.col("run")))
+    above = F.when(F.lag("y").over(column) == F.col("y") - 1, F.lag("run").over(column))
+    touching = open_cells.select(*keys, above.alias("a"), F.col("run").alias("b")).filter("a is not null").distinct()
+    edges = checkpointed(touching.unionByName(touching.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = grid.groupBy(*keys).agg(F.min("x").alias("__first"), F.max("x").alias("__last"))
+    runs = checkpointed(open_cells.groupBy(*keys, "run").agg(F.min("x").alias("__from"), F.max("x").alias("__to")))
+    labels = runs.select(*keys, "run", F.col("run").alias("label"))
     for _ in range(most_rounds):
-        seen = edges.join(labels.withColumnRenamed("run", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
-        near = labels.join(seen, labels["run"] == seen["a"], "left").select("run", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        seen = edges.join(labels.withColumnRenamed("run", "b").hint("merge"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("run")).agg(F.min("label").alias("seen"))
+        near = labels.join(seen.hint("merge"), [*keys, "run"], "left").select(*keys, "run", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         # All that share a label take the least that any of them sees, and from there that label's own.
-        hook = near.groupBy(F.col("old").alias("group")).agg(F.min("label").alias("hook"))
-        hooked = checkpointed(near.join(hook, near["old"] == hook["group"]).select("run", "old", F.col("hook").alias("label")))
-        jump = hooked.select(F.col("run").alias("label"), F.col("label").alias("own"))
-        new = checkpointed(hooked.join(jump, "label", "left").select("run", "old", F.least("label", "own").alias("label")))
-        labels = new.select("run", "label")
+        hook = near.groupBy(*keys, "old").agg(F.min("label").alias("hook"))
+        hooked = checkpointed(near.join(hook.hint("merge"), [*keys, "old"]).select(*keys, "run", "old", F.col("hook").alias("label")))
+        jump = hooked.select(*keys, F.col("run").alias("label"), F.col("label").alias("own"))
+        new = checkpointed(hooked.join(jump.hint("merge"), [*keys, "label"], "left").select(*keys, "run", "old", F.least("label", "own").alias("label")))
+        labels = new.select(*keys, "run", "label")
         if new.filter("label <> old").isEmpty():
             break
-    ends = grid.groupBy(*keys).agg(F.min("x").alias("__first"), F.max("x").alias("__last"))
-    at = open_cells.join(labels, "run").join(ends, keys)
-    sides = at.groupBy(*keys, "label").agg(F.bool_or(F.col("x") == F.col("__first")).alias("__in"), F.bool_or(F.col("x") == F.col("__last")).alias("__out"))
+    at = runs.join(labels.hint("merge"), [*keys, "run"]).join(ends.hint("merge"), keys)
+    sides = at.groupBy(*keys, "label").agg(F.bool_or(F.col("__from") == F.col("__first")).alias("__in"), F.bool_or(F.col("__to") == F.col("__last")).alias("__out"))
     whole = sides.groupBy(*keys).agg(F.bool_or(F.col("__in") & F.col("__out")).alias("connected"))
-    return ends.select(*keys).join(whole, keys, "left").select(*keys, F.coalesce("connected", F.lit(False)).alias("connected"))
+    return ends.select(*keys).join(whole.hint("merge"), keys, "left").select(*keys, F.coalesce("connected", F.lit(False)).alias("connected"))

@@ -25,3 +25,13 @@ def test_control_flux_sends_no_cells_to_all_tasks(spark, sf_dir):
 
 def test_obstacle_box_sends_no_cells_to_all_tasks(spark, sf_dir):
     assert "Broadcast" not in plan(QUERIES["obstacle_box"](spark, sf_dir))
+
+
+def test_connected_cases_sends_no_cells_to_all_tasks(spark):
+    open_ = {"a": ["..#", "#.#", "#.."], "b": ["..#", "##.", "..."]}
+    rows = [(c, y, x, v == "#") for c, lines in open_.items() for y, line in enumerate(lines) for x, v in enumerate(line)]
+    found = grid.connected_cases(spark.createDataFrame(rows + [("a", 1, 1, False)], "case_id string, y int, x int, solid boolean"))
+    assert "Broadcast" not in plan(found)
+    assert {r["case_id"]: r["connected"] for r in found.collect()} == {"a": True, "b": True}
+    closed = spark.createDataFrame([(c, y, x, s or c == "b" and (y, x) == (2, 1)) for c, y, x, s in rows], "case_id string, y int, x int, solid boolean")
+    assert {r["case_id"]: r["connected"] for r in grid.connected_cases(closed).collect()} == {"a": True, "b": False}
