@@ -35,3 +35,11 @@ def test_connected_cases_sends_no_cells_to_all_tasks(spark):
     assert {r["case_id"]: r["connected"] for r in found.collect()} == {"a": True, "b": True}
     closed = spark.createDataFrame([(c, y, x, s or c == "b" and (y, x) == (2, 1)) for c, y, x, s in rows], "case_id string, y int, x int, solid boolean")
     assert {r["case_id"]: r["connected"] for r in grid.connected_cases(closed).collect()} == {"a": True, "b": False}
+
+
+def exchanges(df):
+    return [line for line in plan(df).splitlines() if "Exchange" in line]
+
+
+def test_area_average_shuffles_cases_only(spark, sf_dir):
+    assert all("REPARTITION_BY_NUM" in line for line in exchanges(QUERIES["area_average"](spark, sf_dir)))
