@@ -43,3 +43,7 @@ def exchanges(df):
 
 def test_area_average_shuffles_cases_only(spark, sf_dir):
     assert all("REPARTITION_BY_NUM" in line for line in exchanges(QUERIES["area_average"](spark, sf_dir)))
+
+
+def test_time_average_shuffles_cases_only(spark, sf_dir):
+    assert all("REPARTITION_BY_NUM" in line for line in exchanges(QUERIES["time_average"](spark, sf_dir)))
