@@ -47,3 +47,8 @@ def test_area_average_shuffles_cases_only(spark, sf_dir):
 
 def test_time_average_shuffles_cases_only(spark, sf_dir):
     assert all("REPARTITION_BY_NUM" in line for line in exchanges(QUERIES["time_average"](spark, sf_dir)))
+
+
+def test_case_metrics_sorts_cells_once_an_axis(spark, sf_dir):
+    said = plan(QUERIES["case_metrics"](spark, sf_dir))
+    assert said.count("- Window [") == 2 and "Broadcast" not in said
