@@ -1,8 +1,10 @@
 """What a task or the driver holds must not grow with the tables: read from plans and parts, on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import grid
+from millrace.operators import grid, joins
+from millrace.operators.cut import parts_for
 from millrace.plans.catalog import QUERIES
 
 
@@ -52,3 +54,14 @@ def test_time_average_shuffles_cases_only(spark, sf_dir):
 def test_case_metrics_sorts_cells_once_an_axis(spark, sf_dir):
     said = plan(QUERIES["case_metrics"](spark, sf_dir))
     assert said.count("- Window [") == 2 and "Broadcast" not in said
+
+
+@pytest.mark.parametrize("distances", [1, 7, 500_000])
+def test_nearest_holds_few_distances_and_numbers_at_once(spark, monkeypatch, distances):
+    monkeypatch.setattr(joins, "DISTANCES", distances)
+    monkeypatch.setattr(joins, "BLOCK_NUMBERS", 12)
+    made = []
+    monkeypatch.setattr(joins, "parts_for", lambda rows, each: made.append((rows, each)) or parts_for(rows, each))
+    known = spark.createDataFrame([(i, float(i * i), 0.0, 1.0) for i in range(10)], "k bigint, f double, g double, h double")
+    said = {r["k"]: r["nearest"] for r in joins.nearest(known, known, "k", ["f", "g", "h"], exclude_self=True).collect()}
+    assert said == {0: 1} | {i: i - 1 for i in range(1, 10)} and made == [(10, 4), (10, 4)]
