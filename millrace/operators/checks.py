@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.cut import parts_for
+
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """code, n for each rule that some row breaks; a rule that is null counts as broken."""
@@ -20,8 +22,13 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def missing_parents(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Distinct child keys that no parent has."""
-    return child.join(parent, F.col(key) == F.col(parent_key), "left_anti").select(F.col(key).alias("key")).distinct()
+    """Distinct child keys that no parent has.
+
+    Both sides are counted and dealt by key into as many parts as that needs, so a task sorts no more for larger tables.
+    """
+    parts = parts_for(child.count() + parent.count())
+    keys, known = (df.select(F.col(c).alias("key")).repartition(parts, "key") for df, c in ((child, key), (parent, parent_key)))
+    return keys.distinct().join(known.hint("merge"), "key", "left_anti")
 
 
 def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

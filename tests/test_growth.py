@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import grid, joins
+from millrace.operators import checks, grid, joins
 from millrace.operators.cut import parts_for
 from millrace.plans.catalog import QUERIES
 
@@ -65,3 +65,10 @@ def test_nearest_holds_few_distances_and_numbers_at_once(spark, monkeypatch, dis
     known = spark.createDataFrame([(i, float(i * i), 0.0, 1.0) for i in range(10)], "k bigint, f double, g double, h double")
     said = {r["k"]: r["nearest"] for r in joins.nearest(known, known, "k", ["f", "g", "h"], exclude_self=True).collect()}
     assert said == {0: 1} | {i: i - 1 for i in range(1, 10)} and made == [(10, 4), (10, 4)]
+
+
+def test_parts_of_missing_parents_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(checks, "parts_for", lambda rows: parts_for(rows, 10))
+    child = spark.createDataFrame([(i % 50,) for i in range(90)] + [(None,)], "k bigint")
+    found = checks.missing_parents(child, "k", spark.range(40), "id")
+    assert found.rdd.getNumPartitions() == 14 and sorted(r["key"] or 0 for r in found.collect()) == [0, *range(40, 50)]
