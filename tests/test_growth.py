@@ -72,3 +72,9 @@ def test_parts_of_missing_parents_grow_with_the_rows(spark, monkeypatch):
     child = spark.createDataFrame([(i % 50,) for i in range(90)] + [(None,)], "k bigint")
     found = checks.missing_parents(child, "k", spark.range(40), "id")
     assert found.rdd.getNumPartitions() == 14 and sorted(r["key"] or 0 for r in found.collect()) == [0, *range(40, 50)]
+
+
+def test_designs_are_dealt_over_tasks(spark, sf_dir, tmp_path):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").drop("p_partkey").limit(1).crossJoin(spark.range(50_000).withColumnRenamed("id", "p_partkey"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["design_identity"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
