@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.cut import parts_for
 from millrace.operators.profile import told
 from millrace.operators.quantiles import matched
 
@@ -21,11 +22,15 @@ def agreement(manifest: DataFrame, runs: DataFrame, key: str, rules: dict[str, C
 
 
 def identities(rows: DataFrame, known: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
-    """rows with status: the first of (reason, column, table of one column) whose table does not hold the row's value, else 'known'."""
-    out, status = rows, None
+    """rows with status: the first of (reason, column, table of one column) whose table does not hold the row's value, else 'known'.
+
+    Rows are counted and dealt anew for each table, into as many parts as both need, so a task sorts no more for larger tables.
+    """
+    out, status, n = rows, None, rows.count()
     for i, (reason, column, table) in enumerate(known):
-        there = table.select(F.col(table.columns[0]).alias(f"__k{i}")).distinct().withColumn(f"__there{i}", F.lit(True))
-        out = out.join(there, F.col(column) == F.col(f"__k{i}"), "left")
+        parts = parts_for(n + table.count())
+        there = table.select(F.col(table.columns[0]).alias(f"__k{i}")).repartition(parts, f"__k{i}").distinct().withColumn(f"__there{i}", F.lit(True))
+        out = out.repartition(parts, column).join(there.hint("merge"), F.col(column) == F.col(f"__k{i}"), "left")
         lacks = F.col(f"__there{i}").isNull()
         status = F.when(lacks, reason) if status is None else status.when(lacks, reason)
     return out.withColumn("status", status.otherwise("known")).select(*rows.columns, "status")

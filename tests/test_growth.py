@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import checks, grid, joins
+from millrace.operators import checks, evidence, grid, joins
 from millrace.operators.cut import parts_for
 from millrace.plans.catalog import QUERIES
 
@@ -78,3 +78,10 @@ def test_designs_are_dealt_over_tasks(spark, sf_dir, tmp_path):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").drop("p_partkey").limit(1).crossJoin(spark.range(50_000).withColumnRenamed("id", "p_partkey"))
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert QUERIES["design_identity"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_parts_of_identities_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "parts_for", lambda rows: parts_for(rows, 10))
+    rows = spark.createDataFrame([(i % 50,) for i in range(90)] + [(None,)], "k bigint")
+    found = evidence.identities(rows, [("none", "k", spark.range(40))])
+    assert found.rdd.getNumPartitions() == 14 and sorted(r["status"] for r in found.collect()) == ["known"] * 80 + ["none"] * 11
