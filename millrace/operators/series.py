@@ -70,9 +70,12 @@ def running(df: DataFrame, key: Sequence[str], at: str, width: int | Column, ord
 
 
 def drift(df: DataFrame, key: Sequence[str], at: str, value: str) -> DataFrame:
-    """df with drift: how far the value lies from the key's first one, as a share of it."""
+    """df with drift: how far the value lies from the key's first one, as a share of it.
+
+    The planner's size of the first ones is that of the table that df was made from, so the join names its kind.
+    """
     first = df.groupBy(*key).agg(F.min_by(value, at).alias("__first"))
-    return matched(df, first, list(key)).withColumn("drift", F.abs(F.col(value) - F.col("__first")) / F.abs("__first")).drop("__first")
+    return matched(df, first.hint("shuffle_hash"), list(key)).withColumn("drift", F.abs(F.col(value) - F.col("__first")) / F.abs("__first")).drop("__first")
 
 
 def last_range_mean(df: DataFrame, key: Sequence[str], at: str, value: str, width: int) -> DataFrame:

@@ -29,6 +29,10 @@ def test_obstacle_box_sends_no_cells_to_all_tasks(spark, sf_dir):
     assert "Broadcast" not in plan(QUERIES["obstacle_box"](spark, sf_dir))
 
 
+def test_snapshot_stability_sends_no_cases_to_all_tasks(spark, sf_dir):
+    assert "Broadcast" not in plan(QUERIES["snapshot_stability"](spark, sf_dir))
+
+
 def test_connected_cases_sends_no_cells_to_all_tasks(spark):
     open_ = {"a": ["..#", "#.#", "#.."], "b": ["..#", "##.", "..."]}
     rows = [(c, y, x, v == "#") for c, lines in open_.items() for y, line in enumerate(lines) for x, v in enumerate(line)]
