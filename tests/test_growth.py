@@ -51,6 +51,12 @@ def test_area_average_shuffles_cases_only(spark, sf_dir):
     assert all("REPARTITION_BY_NUM" in line for line in exchanges(QUERIES["area_average"](spark, sf_dir)))
 
 
+def test_a_task_of_area_average_holds_few_cases(spark, tmp_path):
+    spark.range(2000).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    said = QUERIES["area_average"](spark, str(tmp_path))
+    assert said.count() == 2000 * 240 and most_in_a_part(said) < 2 * 240 * grid.TASK_CELLS // (32 * 48)
+
+
 def test_time_average_shuffles_cases_only(spark, sf_dir):
     assert all("REPARTITION_BY_NUM" in line for line in exchanges(QUERIES["time_average"](spark, sf_dir)))
 
